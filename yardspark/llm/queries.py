@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardspark.llm import byte_bpe, language_id, line_dedup, token_count
+from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, token_count, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,58 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licences(docs).select("doc_id", "sentence_ids", "licences", "n_unmatched", "n_unknown")
+
+
+def _op1_sql() -> str:
+    """The same sentences and rules as DuckDB expressions."""
+    cases = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{name}'" for name, p in license_scan.SENTENCES)
+    seq = "coalesce(string_agg('|' || id || '|', '' ORDER BY pos), '')"
+    for licence, ids in license_scan.RULES:
+        seq = f"replace({seq}, '{''.join(f'|{x}|' for x in ids)}', '|#{licence}|')"
+    return rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+cut AS (SELECT r, unnest(string_split(regexp_replace(lower(text), '[.!?;:]+([ \t\r\n]|$)|\n', chr(1), 'g'), chr(1))) AS raw,
+               generate_subscripts(string_split(regexp_replace(lower(text), '[.!?;:]+([ \t\r\n]|$)|\n', chr(1), 'g'), chr(1)), 1) AS pos
+        FROM rows_),
+named AS (SELECT r, pos, CASE {cases} ELSE 'unknown' END AS id
+          FROM (SELECT r, pos, trim(regexp_replace(raw, '[^a-z0-9.,]+', ' ', 'g')) AS s FROM cut WHERE regexp_matches(raw, '{license_scan.CUES}'))),
+seqs AS (SELECT r, coalesce(string_agg(id, ',' ORDER BY pos), '') AS sentence_ids, {seq} AS seq, count(*) FILTER (id = 'unknown') AS n_unknown FROM named GROUP BY r),
+parts AS (SELECT r, sentence_ids, n_unknown, list_filter(string_split(seq, '|'), lambda x: x <> '') AS p FROM seqs)
+SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids,
+       coalesce(array_to_string(list_transform(list_filter(p, lambda x: x[1] = '#'), lambda x: x[2:]), ','), '') AS licences,
+       coalesce(len(list_filter(p, lambda x: x[1] <> '#' AND x <> 'unknown')), 0) AS n_unmatched, coalesce(n_unknown, 0) AS n_unknown
+FROM rows_ LEFT JOIN parts USING (r)
+"""
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = language_id.learn_profiles(docs.filter(~language_id.held_out(F.col("doc_id"))))
@@ -63,14 +115,41 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_jaccard_join": op2_jaccard_join,
+        "op3_decontamination": op3_decontamination,
+        "op4_topk_search": op4_topk_search,
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op7_line_dedup": op7_line_dedup,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
+        "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op1_license_scan": _op1_sql(), "op4_topk_search": OP4_SQL, "op7_line_dedup": OP7_SQL}
