@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:
-    from yardspark.plans import dashboard
+    from yardspark.plans import dashboard, placement
 
-    return {**dashboard.QUERIES}
+    return {**dashboard.QUERIES, **placement.QUERIES}
 
 
 def queries() -> dict[str, Callable]:
