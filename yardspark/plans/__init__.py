@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:
-    from yardspark.plans import dashboard, placement
+    from yardspark.plans import boxes, dashboard, placement
 
-    return {**dashboard.QUERIES, **placement.QUERIES}
+    return {**dashboard.QUERIES, **placement.QUERIES, **boxes.QUERIES}
 
 
 def queries() -> dict[str, Callable]:
