@@ -52,10 +52,17 @@ def _text(name: str, engine: str) -> str:
     return _BY[name].format(k=_K[engine], s="string" if engine == "spark" else "varchar")
 
 
+def source(name: str) -> str:
+    return "lineitem" if name in ("boxes", "coordinates") else "events"
+
+
+def derive(table: DataFrame, name: str) -> DataFrame:
+    """A derived table over its source, which may be a stream; its columns and filters reach the scan."""
+    return table.sparkSession.sql(_text(name, "spark").replace(f"from {source(name)}", "from {table}"), table=table)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table over the Parquet tables of sf_dir; its columns and filters reach the scan."""
-    source = "lineitem" if name in ("boxes", "coordinates") else "events"
-    return spark.sql(_text(name, "spark").replace(f"from {source}", "from {table}"), table=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    return derive(spark.read.parquet(f"{sf_dir}/{source(name)}.parquet"), name)
 
 
 def spots(spark: SparkSession) -> DataFrame:
