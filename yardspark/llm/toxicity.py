@@ -47,7 +47,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     wanted = F.lit(False)
     for k, s in share.items():
         wanted = wanted | ((F.col("label") == k) & (draw < int(s * (1 << 20))))
-    return docs.select("doc_id", "text").join(known.filter(wanted), "doc_id"), {k: 1 / s for k, s in share.items()}
+    drawn = known.filter(wanted).dropDuplicates(["doc_id", "label"]).limit(2 * sample * max(1, len(share)))  # a bound also on an uneven draw
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), {k: 1 / s for k, s in share.items()}
 
 
 class Model:
