@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by the ranks of a vocabulary file.
 
 Words outside the vocabulary are encoded by Spark's higher-order functions, which fold ranked merges over their byte
-arrays with a literal table of ranks. The corpus's distinct words are counted over all texts; the most frequent ones
-(at most FREQUENT, so the broadcast is bounded) are folded once, and the rest are folded within their documents, once
-for each distinct word of a document. No text is shuffled. Decoding concatenates the ids' binary pieces.
+arrays with a literal table of ranks. Distinct words that are frequent in a bounded sample of texts (at most FREQUENT
+of them, so the broadcast is bounded) are folded once; all others are folded within their documents, once for each
+distinct word of a document, so the sample only saves work. No text is shuffled. Decoding concatenates the ids' binary
+pieces.
 
 A null or empty text has no ids. Every row is encoded alone, with any id, also null or repeated; columns named like an
 output are replaced. Texts are encoded whole, of any length.
@@ -26,13 +27,17 @@ from yardspark.llm._pretokens import Memory, chunks, splitter
 from yardspark.llm._staging import Staging
 
 #: Most words whose ids are broadcast.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Bytes of a word beyond which it is merged with a heap, as a fold takes time with the square of the length.
 LONG = 128
-#: Chunks that a worker remembers, in each half of its memory.
-MEMORY = 300_000
-#: Distinct words that a task counts before it passes the counts on.
-FLUSH = 400_000
+#: About so many texts are sampled by a hash for the frequent words.
+SAMPLE = 1 << 14
+#: Chunks that a worker remembers, in each half of its memory; texts that it handles at once.
+MEMORY, ROWS = 200_000, 256
+#: Distinct chunks that a task counts before it passes the counts on.
+FLUSH = 200_000
+#: Ids from here on stand for the words of a document that are still to be folded.
+_OPEN = 1 << 31
 #: Bits of an id within a table entry.
 _BITS = 20
 #: Slots of the table of merges for each entry, about.
@@ -118,30 +123,41 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int], table: list[int]) -> Column:
-    """The ids (array<int>) of one word given as an array of its byte values, by ranked merging."""
-    single, entries = _numbers([ranks[bytes([b])] for b in range(256)], "int"), _numbers(table, "bigint")
+def fold_merges(words: Column, ranks: dict[bytes, int], table: list[int]) -> Column:
+    """The ids (array<array<int>>) of words given as arrays of their byte values, by ranked merging.
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a * F.lit(1 << _BITS) + b
-        one, two = _slots(a, b, len(table))
-        found = lambda x, other: F.when(F.shiftright(x, _BITS) == key, x.bitwiseAND(F.lit((1 << _BITS) - 1))).otherwise(other)
-        return found(F.get(entries, one), found(F.get(entries, two), F.lit(None)))
+    The state holds a number for each part: the rank at which it merges with the next part, then its id. The least
+    number is the next merge, the leftmost of equal ones comes first, and only its neighbours get new ranks. The two
+    literal tables are bound once, outside the fold.
+    """
+    mask, never = F.lit((1 << _BITS) - 1), F.lit(((1 << _BITS) - 1) << _BITS)
 
-    def merged(ids: Column, best: Column, found: Column) -> Column:
-        at = F.array_position(found, best).cast("int")
-        return F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))
+    def fold(word: Column, single: Column, entries: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            """A part's number: (rank of the pair, id of a); `never` and the id where the pair has no rank."""
+            one, two = _slots(a, b, len(table))
+            found = lambda x, other: F.when(F.shiftright(x, _BITS) == a * F.lit(1 << _BITS) + b, x.bitwiseAND(mask) * F.lit(1 << _BITS)).otherwise(other)
+            return a + found(F.get(entries, one), found(F.get(entries, two), never))
 
-    def step(ids: Column, _: Column) -> Column:
-        ranks_of = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank)
-        return _let(ranks_of, lambda found: _let(F.array_min(found), lambda best: F.when(best.isNull(), ids).otherwise(merged(ids, best, found))))
+        def merged(parts: Column, best: Column, at: Column) -> Column:
+            new = F.shiftright(best, _BITS)
+            before, after = F.get(parts, at - 2).bitwiseAND(mask), F.get(parts, at + 1).bitwiseAND(mask)
+            head = F.when(at > 1, F.concat(F.slice(parts, F.lit(1), at - 2), F.array(part(before, new)))).otherwise(F.slice(parts, F.lit(1), F.lit(0)))
+            return F.concat(head, F.array(F.when(after.isNull(), new + never).otherwise(part(new, after))), F.slice(parts, at + 2, F.size(parts)))
 
-    start = F.transform(word, lambda b: F.get(single, b).cast("bigint"))
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step).cast("array<int>")
+        def step(parts: Column, _: Column) -> Column:
+            return _let(F.array_min(parts), lambda best: F.when(best >= never, parts).otherwise(_let(F.array_position(parts, best).cast("int"), lambda at: merged(parts, best, at))))
+
+        ids = F.transform(word, lambda b: F.get(single, b))
+        start = _let(ids, lambda i: F.transform(i, lambda a, at: F.when(at + 1 < F.size(i), part(a, F.get(i, at + 1))).otherwise(a + never)))
+        return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step), lambda x: x.bitwiseAND(mask).cast("int"))
+
+    bytes_, pairs = _numbers([ranks[bytes([b])] for b in range(256)], "bigint"), _numbers(table, "bigint")
+    return _let(pairs, lambda entries: _let(bytes_, lambda single: F.transform(words, lambda w: fold(w, single, entries))))
 
 
 def word_counts(docs: DataFrame, ranks, split_pattern: str, text: str = "text") -> DataFrame:
-    """(word, n): the distinct pretokens of all texts that are not in the vocabulary. ranks: a broadcast."""
+    """(word, n): the distinct pretokens of the texts that are not in the vocabulary. ranks: a broadcast."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = splitter(split_pattern), ranks.value
@@ -166,8 +182,9 @@ def word_counts(docs: DataFrame, ranks, split_pattern: str, text: str = "text")
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, counts: DataFrame, ranks: dict[bytes, int], table: list[int], most: int = FREQUENT) -> dict[str, bytes]:
-    """The ids of the most frequent words, at most `most` of them: those above the least count that keeps to the bound."""
+def frequent_words(counts: DataFrame, ranks: dict[bytes, int], table: list[int], most: int = FREQUENT) -> bytes:
+    """The most frequent words, at most `most` of them, with their ids, as one Arrow stream: those above the least count
+    that keeps to the bound."""
     top = F.least("n", F.lit(10_000))
     least, left = 10_001, most
     for r in sorted(counts.groupBy(top.alias("c")).count().collect(), reverse=True):
@@ -175,9 +192,22 @@ def frequent_words(docs: DataFrame, counts: DataFrame, ranks: dict[bytes, int],
         if left < 0:
             break
         least = r[0]
-    words = counts.filter(F.col("n") >= max(2, least)).select("word", fold_merges(byte_values(F.encode("word", "UTF-8")), ranks, table).alias("ids"))
+    words = counts.filter(F.col("n") >= max(2, least)).select("word", F.get(fold_merges(F.array(byte_values(F.encode("word", "UTF-8"))), ranks, table), F.lit(0)).alias("ids"))
     got = words.toArrow()
-    return {w: np.array(i, "<u4").tobytes() for w, i in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)}
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got)
+    return sink.getvalue().to_pybytes()
+
+
+def word_ids(stream: bytes) -> dict[str, bytes]:
+    """The words of frequent_words with their ids as little-endian unsigned 32-bit integers."""
+    out: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(stream):
+        lists = batch.column(1)
+        ends, flat = lists.offsets.to_numpy() * 4, lists.values.to_numpy().astype("<u4").tobytes()
+        out.update(zip(batch.column(0).to_pylist(), (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True))
+    return out
 
 
 def byte_values(word: Column) -> Column:
@@ -185,76 +215,103 @@ def byte_values(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int"))
 
 
-def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """docs with `ids`, the text's token ids as little-endian unsigned 32-bit integers, and n_tokens."""
-    sc, ranks = docs.sparkSession.sparkContext, read_ranks(vocabulary)
-    table, sent = merge_table(merges(ranks)), docs.sparkSession.sparkContext.broadcast(ranks)
-    counts = word_counts(docs, sent, split_pattern, text)
-    counts = Staging(docs.sparkSession, "byte_bpe").put(counts.filter("n > 1"), "words")
-    common = sc.broadcast(frequent_words(docs, counts, ranks, table, frequent))
-    docs = docs.drop("ids", "n_tokens", "_runs", "_at", "_rest")
+def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE, decoded: bool = False) -> DataFrame:
+    """docs with `ids`, the text's token ids as little-endian unsigned 32-bit integers, and n_tokens.
+
+    decoded: also the bytes to which the ids decode, as decode() gives them.
+    """
+    spark, ranks = docs.sparkSession, read_ranks(vocabulary)
+    table, sent = merge_table(merges(ranks)), spark.sparkContext.broadcast(ranks)
+    share = int(min(1.0, sample / max(1, docs.count())) * (1 << 20))
+    drawn = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share)
+    counts = Staging(spark, "byte_bpe").put(word_counts(drawn, sent, split_pattern, text), "words")
+    common = spark.sparkContext.broadcast(frequent_words(counts, ranks, table, frequent))
+    docs = docs.drop("ids", "n_tokens", "_open", "_rest")
     at = docs.columns.index(text)
-    parts = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_runs array<binary>, _at array<int>, _rest array<array<int>>").fields])
+    parts = T.StructType([*docs.schema.fields, T.StructField("_open", T.BinaryType()), T.StructField("_rest", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, more, memory = splitter(split_pattern), sent.value, common.value, Memory(MEMORY)
-        kinds = [f.type for f in _arrow(parts)][-3:]
-
-        def resolve(chunk: str) -> tuple:
-            out: list = []
-            for w in split(chunk):
-                raw = w.encode()
-                if (i := known.get(raw)) is not None:
-                    piece = i.to_bytes(4, "little")
-                elif len(raw) > LONG:
-                    piece = np.array(merge_long(raw, known), "<u4").tobytes()
-                else:
-                    piece = more.get(w, w)
-                if out and type(piece) is bytes and type(out[-1]) is bytes:
-                    out[-1] += piece
+        split, known, more, memory = splitter(split_pattern), sent.value, word_ids(common.value), Memory(MEMORY)
+        kind = pa.list_(pa.field("element", pa.list_(pa.field("element", pa.int32()))))
+
+        class Chunks(dict):
+            """Ids of the chunks that `memory` lacks, for one run of texts; words still to be folded stand as open ids."""
+
+            def __missing__(self, chunk: str) -> bytes:
+                if (got := memory.get(chunk)) is not None:
+                    return got
+                out, closed = [], True
+                for w in split(chunk):
+                    raw = w.encode()
+                    if (i := known.get(raw)) is not None:
+                        out.append(i.to_bytes(4, "little"))
+                    elif (ids := more.get(w)) is not None:
+                        out.append(ids)
+                    elif len(raw) > LONG:
+                        out.append(np.array(merge_long(raw, known), "<u4").tobytes())
+                    else:
+                        closed = False
+                        out.append((_OPEN + opened.setdefault(raw, len(opened))).to_bytes(4, "little"))
+                got = b"".join(out)
+                if closed and len(chunk) < 64:
+                    memory.put(chunk, got)
                 else:
-                    out.append(piece)
-            if len(chunk) < 64:
-                memory.put(chunk, got := out[0] if len(out) == 1 and type(out[0]) is bytes else tuple(out))
+                    self[chunk] = got
                 return got
-            return tuple(out)
 
         for batch in batches:
-            all_runs, all_at, all_rest = [], [], []
-            for x in batch.column(at).to_pylist():
-                runs, where, rest, run = [], [], {}, []
-                held = memory.new
-                for c in chunks(x or ""):
-                    got = held.get(c)
-                    if got is None and (got := memory.get(c)) is None:
-                        got = resolve(c)
-                    if type(got) is bytes:
-                        run.append(got)
-                        continue
-                    for piece in got:
-                        if type(piece) is bytes:
-                            run.append(piece)
-                        else:
-                            runs.append(b"".join(run))
-                            run = []
-                            where.append(rest.setdefault(piece, len(rest)))
-                runs.append(b"".join(run))
-                all_runs.append(runs)
-                all_at.append(where)
-                all_rest.append([list(w.encode()) for w in rest])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(all_runs, kinds[0]), pa.array(all_at, kinds[1]), pa.array(all_rest, kinds[2])], names=parts.names)
-
-    found = docs.mapInArrow(look_up, parts).withColumn("_rest", F.transform("_rest", lambda w: fold_merges(w, ranks, table)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                opened: dict[bytes, int] = {}
+                look = Chunks().__getitem__
+                ids, rest = [], []
+                for x in rows.column(at).to_pylist():
+                    one = np.frombuffer(b"".join(map(look, chunks(x or ""))), "<u4")
+                    where = np.flatnonzero(one >= _OPEN)
+                    own, place = np.unique(one[where], return_inverse=True)
+                    if len(own):
+                        one = one.copy()
+                        one[where] = place + _OPEN
+                    ids.append(one.tobytes())
+                    rest.append(own - _OPEN)
+                lengths = np.fromiter(map(len, opened), np.int64, len(opened))
+                begins, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(opened), np.uint8)
+                picks = np.concatenate(rest).astype(np.int64) if rest else np.empty(0, np.int64)
+                size = lengths[picks]
+                inner = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                values = flat[np.repeat(begins[picks] - inner[:-1], size) + np.arange(inner[-1])].astype(np.int32)
+                outer = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(values))).cast(kind)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary()), words], names=parts.names)
+
+    found = docs.mapInArrow(look_up, parts).drop(text) if decoded else docs.mapInArrow(look_up, parts)
+    found = found.withColumn("_rest", fold_merges(F.col("_rest"), ranks, table))
+    keep = [f for f in found.schema.fields if f.name not in ("_open", "_rest")]
+    schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(schema) - 2
+        piece = {i: t for t, i in sent.value.items()}.__getitem__
+        n = len(keep)
         for batch in batches:
-            ids = []
-            for runs, where, rest in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
-                folded = [np.array(r, "<u4").tobytes() for r in rest]
-                ids.append(b"".join([runs[0], *(x for w, run in zip(where, runs[1:], strict=True) for x in (folded[w], run))]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], names=schema.names)
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                folded = rows.column(n + 1)
+                outer, inner, flat = folded.offsets.to_numpy(), folded.values.offsets.to_numpy(), folded.values.values.to_numpy().astype("<u4")
+                ids = []
+                for i, x in enumerate(rows.column(n).to_pylist()):
+                    one = np.frombuffer(x, "<u4")
+                    size, begin = np.ones(len(one), np.int64), np.arange(len(one))
+                    where = np.flatnonzero(one >= _OPEN)
+                    if len(where):
+                        word = outer[i] + (one[where] - _OPEN).astype(np.int64)
+                        size[where], begin[where] = inner[word + 1] - inner[word], inner[word] + len(one)
+                        ends = np.cumsum(size)
+                        one = np.concatenate((one, flat))[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])] if len(flat) < 64 * len(one) else np.concatenate([flat[b - len(one) : b - len(one) + s] if b >= len(one) else one[b : b + 1] for b, s in zip(begin, size, strict=True)])
+                    ids.append(one)
+                columns = [*rows.columns[:n], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
+                if decoded:
+                    columns.append(pa.array([b"".join(map(piece, i.tolist())) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return found.mapInArrow(assemble, schema)
 
@@ -273,8 +330,3 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
     return encoded.mapInArrow(join, schema)
 
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)

@@ -110,8 +110,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, vocabulary = _table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
-    both = byte_bpe.decode(coded, vocabulary)
+    both = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
