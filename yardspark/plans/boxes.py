@@ -14,15 +14,16 @@ FRAME = (1280, 720)
 
 
 def _boxes(s, d):
-    """Boxes with a unique key in each frame: the given rows, each once."""
-    return view(s, d, "boxes").dropDuplicates(["frame", *KEY])
+    """Boxes with a unique key in each frame; of rows with equal keys the least stays."""
+    rest = ["conf", "x1", "y1", "x2", "y2"]
+    return view(s, d, "boxes").groupBy("frame", *KEY).agg(F.min(F.struct(*rest)).alias("m")).select("frame", *KEY, "m.*")
 
 
 def _crops(s, d):
     return _boxes(s, d).withColumns({"x1": F.col("x1") * 1.5, "x2": F.col("x2") * 2.0, "y1": F.col("y1") * 2.0, "y2": F.col("y2") * 2.2})
 
 
-_BX = "bx as (select distinct on (frame, box_id, l_partkey, l_suppkey) * from boxes)"
+_BX = "bx as (select distinct on (frame, box_id, l_partkey, l_suppkey) * from boxes order by conf, x1, y1, x2, y2)"
 _CR = f"{_BX}, cr as (select * replace (x1 * 1.5 as x1, x2 * 2.0 as x2, y1 * 2.0 as y1, y2 * 2.2 as y2) from bx)"
 _V = f"""{_CR}, v as (select *, x2 - x1 as w, y2 - y1 as h, least(1280, cast(trunc(x2) as int)) - greatest(0, cast(trunc(x1) as int)) as cw, least(720, cast(trunc(y2) as int)) - greatest(0, cast(trunc(y1) as int)) as ch from cr),
 u as (select *, cw * ch / nullif(w * h, 0) as vis, cw / nullif(w, 0) as wide, ch / nullif(h, 0) as high, case when ch > 0 then cw / ch else 0 end as asp from v)"""
@@ -75,7 +76,7 @@ def _rounded(df, digits, *names):
 def _suppress_sql(limit, op):
     """Greedy suppression by a recursive walk over each frame's boxes in order of confidence."""
     over = f"list_any_value(list_filter(kept, lambda k: (greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))) {op} {limit})) is not null"
-    heads = f"o as (select *, row_number() over (partition by frame order by conf desc, {_K}) as rn from (select distinct on (frame, box_id, l_partkey, l_suppkey) * from boxes))"
+    heads = f"o as (select *, row_number() over (partition by frame order by conf desc, {_K}) as rn from (select distinct on (frame, box_id, l_partkey, l_suppkey) * from boxes order by conf, x1, y1, x2, y2))"
     body = f""",
 w as (select frame, 1::bigint as rn, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] as kept, true as keep from o where rn = 1
   union all select r.frame, r.rn, case when {over} then kept else list_append(kept, {{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) end, not ({over}) from w join o r on r.frame = w.frame and r.rn = w.rn + 1)

@@ -74,7 +74,7 @@ select tag, min(t) as at, 4::bigint as n from c where before >= t - 259200 group
 
 
 def _boxes(s, d):
-    b = view(s, d, "boxes").dropDuplicates(["frame", "box_id"])
+    b = view(s, d, "boxes").groupBy("frame", "box_id").agg(F.min(F.struct("conf", "x1", "y1", "x2", "y2")).alias("m")).select("frame", "box_id", "m.*")
     return b.select((F.col("frame") % 40).alias("video"), F.floor(F.col("frame") / 40).alias("frame"), "box_id", "x1", "y1", "x2", "y2", (0.2 + F.col("conf") * 0.8).alias("conf"))
 
 
