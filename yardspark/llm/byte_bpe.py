@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardspark.llm._pretokens import Memory, chunks, splitter
+from yardspark.llm._pretokens import chunks, splitter
 from yardspark.llm._staging import Staging
 
 #: Most words whose ids are broadcast.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Bytes of a word beyond which it is merged with a heap, as a fold takes time with the square of the length.
 LONG = 128
 #: About so many texts are sampled by a hash for the frequent words.
-SAMPLE = 1 << 14
+SAMPLE = 1 << 15
 #: Chunks that a worker remembers, in each half of its memory; texts that it handles at once.
 MEMORY, ROWS = 200_000, 256
 #: Distinct chunks that a task counts before it passes the counts on.
@@ -44,6 +44,35 @@ _BITS = 20
 _ROOM = 2.6
 
 
+class Looked(dict):
+    """Ids by chunk in a worker's memory. Chunks with open words are held for one run of texts only; when the memory is
+    full, what the last runs used moves on and the rest is dropped."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old, self.open = most, {}, []
+
+    def start(self) -> None:
+        for chunk in self.open:
+            del self[chunk]
+        self.open = []
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (got := self.old.get(chunk)) is None:
+            got, closed = self.resolve(chunk)
+            if not closed or len(chunk) >= 64:
+                self.open.append(chunk)
+        self[chunk] = got
+        return got
+
+
+#: One memory for each worker process, vocabulary and pattern, kept from task to task.
+_looked: dict[tuple[str, str], Looked] = {}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -231,39 +260,34 @@ def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "te
     parts = T.StructType([*docs.schema.fields, T.StructField("_open", T.BinaryType()), T.StructField("_rest", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, more, memory = splitter(split_pattern), sent.value, word_ids(common.value), Memory(MEMORY)
+        split, known, more = splitter(split_pattern), sent.value, word_ids(common.value)
         kind = pa.list_(pa.field("element", pa.list_(pa.field("element", pa.int32()))))
 
-        class Chunks(dict):
-            """Ids of the chunks that `memory` lacks, for one run of texts; words still to be folded stand as open ids."""
-
-            def __missing__(self, chunk: str) -> bytes:
-                if (got := memory.get(chunk)) is not None:
-                    return got
-                out, closed = [], True
-                for w in split(chunk):
-                    raw = w.encode()
-                    if (i := known.get(raw)) is not None:
-                        out.append(i.to_bytes(4, "little"))
-                    elif (ids := more.get(w)) is not None:
-                        out.append(ids)
-                    elif len(raw) > LONG:
-                        out.append(np.array(merge_long(raw, known), "<u4").tobytes())
-                    else:
-                        closed = False
-                        out.append((_OPEN + opened.setdefault(raw, len(opened))).to_bytes(4, "little"))
-                got = b"".join(out)
-                if closed and len(chunk) < 64:
-                    memory.put(chunk, got)
+        looked = _looked.setdefault((vocabulary, split_pattern), Looked(MEMORY))
+        looked.resolve = lambda chunk: resolve(chunk)
+        look = looked.__getitem__
+
+        def resolve(chunk: str) -> tuple[bytes, bool]:
+            """The chunk's ids, words still to be folded as open ids, and whether there are none of these."""
+            out, closed = [], True
+            for w in split(chunk):
+                raw = w.encode()
+                if (i := known.get(raw)) is not None:
+                    out.append(i.to_bytes(4, "little"))
+                elif (ids := more.get(w)) is not None:
+                    out.append(ids)
+                elif len(raw) > LONG:
+                    out.append(np.array(merge_long(raw, known), "<u4").tobytes())
                 else:
-                    self[chunk] = got
-                return got
+                    closed = False
+                    out.append((_OPEN + opened.setdefault(raw, len(opened))).to_bytes(4, "little"))
+            return b"".join(out), closed
 
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(first, ROWS)
                 opened: dict[bytes, int] = {}
-                look = Chunks().__getitem__
+                looked.start()
                 ids, rest = [], []
                 for x in rows.column(at).to_pylist():
                     one = np.frombuffer(b"".join(map(look, chunks(x or ""))), "<u4")
