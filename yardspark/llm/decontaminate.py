@@ -175,7 +175,7 @@ def _leaks_of(docs, benchmark, threshold, min_hits, doc_id, text, item_id, item_
                 order = np.lexsort((start, item, d))
                 d, item, start = d[order], item[order], start[order]
                 edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])))) if len(d) else np.empty(0, int)
-                for s, e in zip(edge, [*edge[1:], len(d)], strict=True):
+                for s, e in zip(edge, np.append(edge, len(d))[1:], strict=True):
                     key, i = int(item[s]), int(d[s])
                     if e - s < min(min_hits, chosen[key]):
                         continue
