@@ -82,9 +82,9 @@ RULES = [
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, other signs than letters, digits, full stops and commas as single blanks."""
+    """Normalised sentences: lower case, other signs than letters, digits and full stops as single blanks."""
     cut = F.split(F.regexp_replace(F.lower(text), r"[.!?;:]+([ \t\r\n]|$)|\n", "\u0001"), "\u0001", -1)
-    plain = lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.,]+", " "))
+    plain = lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.]+", " "))
     cue = lambda s: s.rlike(CUES)
     return F.transform(F.filter(cut, cue), plain)
 

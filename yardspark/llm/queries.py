@@ -37,7 +37,7 @@ cut AS (SELECT r, unnest(string_split(regexp_replace(lower(text), '[.!?;:]+([ \t
                generate_subscripts(string_split(regexp_replace(lower(text), '[.!?;:]+([ \t\r\n]|$)|\n', chr(1), 'g'), chr(1)), 1) AS pos
         FROM rows_),
 named AS (SELECT r, pos, CASE {cases} ELSE 'unknown' END AS id
-          FROM (SELECT r, pos, trim(regexp_replace(raw, '[^a-z0-9.,]+', ' ', 'g')) AS s FROM cut WHERE regexp_matches(raw, '{license_scan.CUES}'))),
+          FROM (SELECT r, pos, trim(regexp_replace(raw, '[^a-z0-9.]+', ' ', 'g')) AS s FROM cut WHERE regexp_matches(raw, '{license_scan.CUES}'))),
 seqs AS (SELECT r, coalesce(string_agg(id, ',' ORDER BY pos), '') AS sentence_ids, {seq} AS seq, count(*) FILTER (id = 'unknown') AS n_unknown FROM named GROUP BY r),
 parts AS (SELECT r, sentence_ids, n_unknown, list_filter(string_split(seq, '|'), lambda x: x <> '') AS p FROM seqs)
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids,
