@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from yardspark.llm._staging import Staging
 
 #: Most pivots of the root page, which is broadcast; vectors of a subtree, entries of a page, queries in a block, about.
-PIVOTS, SUBTREE, PAGE, FANOUT, BLOCK = 1024, 2000, 48, 12, 256
+PIVOTS, SUBTREE, PAGE, FANOUT, BLOCK = 1024, 8000, 768, 12, 256
 _MARGIN = 1e-6
 
 
@@ -57,16 +57,18 @@ class Tree:
         self.extra = np.sqrt(np.maximum(0.0, most * most - (vectors * vectors).sum(1)))
         self.pages: list[tuple] = []
         order = np.argsort(ids, kind="stable")
-        self.root = self._build(order, int(order[0]))
+        self.root, self.top = self._build(order, int(order[0])), vectors[order[:1]]
+        self.ids = self.v = self.extra = None  # the pages hold what a search reads
 
     def distance(self, one: int, many: np.ndarray) -> np.ndarray:
         d = self.v[many] - self.v[one]
         return np.sqrt((d * d).sum(1) + (self.extra[many] - self.extra[one]) ** 2)
 
     def _build(self, rows: np.ndarray, centre: int) -> int:
-        """The page of these rows under the routing vector `centre`: (leaf, members or children, distances to it, radii, centres, least ids)."""
+        """The page of these rows under the routing vector `centre`: (leaf, children, distances to it, radii, vectors of
+        the entries, their ids or the least ids below them)."""
         if len(rows) <= PAGE:
-            self.pages.append((True, rows, self.distance(centre, rows), None, None, self.ids[rows]))
+            self.pages.append((True, None, self.distance(centre, rows), 0.0, self.v[rows], self.ids[rows]))
             return len(self.pages) - 1
         heads = rows[:: max(1, len(rows) // FANOUT)][:FANOUT]
         near = np.argmin(np.stack([self.distance(h, rows) for h in heads]), axis=0)
@@ -78,7 +80,7 @@ class Tree:
         children = np.array([self._build(p, h) for h, p in kept])
         centres = np.array([h for h, _ in kept])
         radii = np.array([self.distance(h, p).max() for h, p in kept])
-        self.pages.append((False, children, self.distance(centre, centres), radii, centres, np.array([self.ids[p].min() for _, p in kept])))
+        self.pages.append((False, children, self.distance(centre, centres), radii, self.v[centres], np.array([self.ids[p].min() for _, p in kept])))
         return len(self.pages) - 1
 
     def search(self, query: np.ndarray, k: int, skip: int, floor: tuple[float, int] | None, most: float) -> list[tuple[int, int]]:
@@ -87,25 +89,31 @@ class Tree:
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
         worst = (floor[0], -floor[1]) if floor else (-np.inf, 0)
 
-        def to(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0.0, norm - 2 * (self.v[rows] @ query)))
+        def to(vectors: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, norm - 2 * (vectors @ query)))
 
         def bound(near: np.ndarray) -> np.ndarray:
             """The greatest score at a distance of `near` or more."""
             return (norm - np.maximum(0.0, near - _MARGIN) ** 2) / 2 + _MARGIN * (1 + most)
 
-        start = int(np.argmin(self.ids))
-        queue = [(-np.inf, self.root, float(to(np.array([start]))[0]))]
+        queue = [(-np.inf, self.root, float(to(self.top)[0]))]
         while queue:
             value, page, above = heapq.heappop(queue)
             if -value < worst[0]:
                 break
-            leaf, members, parent, radii, centres, least = self.pages[page]
-            hope = bound(np.abs(above - parent) - (0 if leaf else radii))  # without computing a distance
-            open_ = (hope > worst[0]) | (hope >= worst[0]) & (-least > worst[1])
+            leaf, children, parent, radii, vectors, ids = self.pages[page]
+            hope = bound(np.abs(above - parent) - radii)  # without computing a distance
+            at = np.flatnonzero((hope > worst[0]) | (hope >= worst[0]) & (-ids > worst[1]))
+            if not len(at):
+                continue
+            if len(at) < len(ids):
+                vectors, ids = vectors[at], ids[at]
             if leaf:
-                rows = members[open_]
-                for s, i in zip((self.v[rows] @ query).tolist(), self.ids[rows].tolist(), strict=True):
+                score = vectors @ query
+                good = np.flatnonzero(score >= worst[0])
+                if len(good) > 4 * k:  # only the best of the page can matter
+                    good = good[np.lexsort((ids[good], -score[good]))[: k + 1]]
+                for s, i in zip(score[good].tolist(), ids[good].tolist(), strict=True):
                     if i != skip and (s, -i) > worst:
                         heapq.heappush(best, (s, -i))
                         if len(best) > k:
@@ -113,12 +121,10 @@ class Tree:
                         if len(best) == k:
                             worst = max(worst, best[0])
             else:
-                at = np.flatnonzero(open_)
-                d = to(centres[at])
-                value = bound(d - radii[at])
-                for j, x, y in zip(at.tolist(), d.tolist(), value.tolist(), strict=True):
+                d = to(vectors)
+                for j, x, y in zip(at.tolist(), d.tolist(), bound(d - radii[at]).tolist(), strict=True):
                     if y >= worst[0]:
-                        heapq.heappush(queue, (-y, int(members[j]), x))
+                        heapq.heappush(queue, (-y, int(children[j]), x))
         return [(int(s), -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
 
 
@@ -133,7 +139,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sc, most = spark.sparkContext, float(most) * (1 + 1e-12)
-    wanted = max(1, min(PIVOTS, n // 1000))
+    wanted = max(1, min(PIVOTS, n // (SUBTREE // 2)))
     pivots = _matrix([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").collect()], width)
     root = sc.broadcast(pivots)
     lift = lambda m: np.sqrt(np.maximum(0.0, most * most - (m * m).sum(1)))
