@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,12 +27,12 @@ from yardspark.llm._pretokens import chunks, splitter
 from yardspark.llm._staging import Staging
 
 #: Most words whose ids are broadcast.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Bytes of a word beyond which it is merged with a heap, as a fold takes time with the square of the length.
 LONG = 128
 #: About so many texts are sampled by a hash for the frequent words.
 SAMPLE = 1 << 15
-#: Chunks that a worker remembers, in each half of its memory; texts that it handles at once.
+#: Chunks that a task remembers, in each half of its memory; texts that it handles at once.
 MEMORY, ROWS = 200_000, 256
 #: Distinct chunks that a task counts before it passes the counts on.
 FLUSH = 200_000
@@ -45,12 +45,12 @@ _ROOM = 2.6
 
 
 class Looked(dict):
-    """Ids by chunk in a worker's memory. Chunks with open words are held for one run of texts only; when the memory is
+    """Ids by chunk in a task's memory. Chunks with open words are held for one run of texts only; when the memory is
     full, what the last runs used moves on and the rest is dropped."""
 
-    def __init__(self, most: int):
+    def __init__(self, resolve: Callable[[str], tuple[bytes, bool]], most: int):
         super().__init__()
-        self.most, self.old, self.open = most, {}, []
+        self.resolve, self.most, self.old, self.open = resolve, most, {}, []
 
     def start(self) -> None:
         for chunk in self.open:
@@ -69,10 +69,6 @@ class Looked(dict):
         return got
 
 
-#: One memory for each worker process, vocabulary and pattern, kept from task to task.
-_looked: dict[tuple[str, str], Looked] = {}
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -263,10 +259,6 @@ def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "te
         split, known, more = splitter(split_pattern), sent.value, word_ids(common.value)
         kind = pa.list_(pa.field("element", pa.list_(pa.field("element", pa.int32()))))
 
-        looked = _looked.setdefault((vocabulary, split_pattern), Looked(MEMORY))
-        looked.resolve = lambda chunk: resolve(chunk)
-        look = looked.__getitem__
-
         def resolve(chunk: str) -> tuple[bytes, bool]:
             """The chunk's ids, words still to be folded as open ids, and whether there are none of these."""
             out, closed = [], True
@@ -283,6 +275,8 @@ def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "te
                     out.append((_OPEN + opened.setdefault(raw, len(opened))).to_bytes(4, "little"))
             return b"".join(out), closed
 
+        looked = Looked(resolve, MEMORY)  # of this task alone, so that idle workers hold nothing
+        look = looked.__getitem__
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(first, ROWS)
@@ -324,13 +318,19 @@ def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "te
                 ids = []
                 for i, x in enumerate(rows.column(n).to_pylist()):
                     one = np.frombuffer(x, "<u4")
-                    size, begin = np.ones(len(one), np.int64), np.arange(len(one))
                     where = np.flatnonzero(one >= _OPEN)
                     if len(where):
                         word = outer[i] + (one[where] - _OPEN).astype(np.int64)
-                        size[where], begin[where] = inner[word + 1] - inner[word], inner[word] + len(one)
-                        ends = np.cumsum(size)
-                        one = np.concatenate((one, flat))[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])] if len(flat) < 64 * len(one) else np.concatenate([flat[b - len(one) : b - len(one) + s] if b >= len(one) else one[b : b + 1] for b, s in zip(begin, size, strict=True)])
+                        size, grown = np.ones(len(one), np.int64), (inner[word + 1] - inner[word]).astype(np.int64)
+                        size[where] = grown
+                        at = np.cumsum(size) - size
+                        out = np.empty(int(at[-1] + size[-1]), "<u4")
+                        closed = np.ones(len(one), bool)
+                        closed[where] = False
+                        out[at[closed]] = one[closed]
+                        step = np.arange(int(grown.sum())) - np.repeat(np.cumsum(grown) - grown, grown)
+                        out[np.repeat(at[where], grown) + step] = flat[np.repeat(inner[word].astype(np.int64), grown) + step]
+                        one = out
                     ids.append(one)
                 columns = [*rows.columns[:n], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
                 if decoded:
