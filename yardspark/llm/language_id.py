@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yardspark.llm._words import pieces
+
 UNKNOWN = "und"
 #: n-grams in a profile.
 PROFILE = 400
@@ -72,7 +74,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for g, n in zip(*(x.tolist() for x in ngram_counts(words)), strict=True):
                     total[name, g] = total.get((name, g), 0) + n
@@ -118,7 +120,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = Judge(judge.value, size)
-        for batch in batches:
+        for batch in pieces(batches):
             said = [decide(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=schema.names)
 

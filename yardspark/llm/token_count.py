@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from yardspark.llm._pretokens import Memory
+from yardspark.llm._words import pieces
 
 #: Entries in each half of a worker's memory of words.
 MEMORY = 400_000
@@ -203,7 +204,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             size, total, fit = [], [], []
             for x in batch.column(at).to_pylist():
                 each = count.running(x or "")

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yardspark.llm._words import pieces
+
 #: Examples of each label that are read and indexed, about; the bound of the fitted sample.
 SAMPLE = 2000
 FEATURES, LEAST_FEATURES, CHI_SQUARE = 2000, 50, 25.0
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, n = sent.value, Counter(), 0
-        for batch in batches:
+        for batch in pieces(batches):
             for x in batch.column(0).to_pylist():
                 n += 1
                 total.update(known.keys() & set(words(x)))
@@ -169,7 +171,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
-        for batch in batches:
+        for batch in pieces(batches):
             said = [judge.score(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in said], pa.float64()), pa.array([int(s >= 0.5) for s, _ in said], pa.int32()), pa.array([e for _, e in said], pa.list_(pa.int64()))], names=schema.names)
 
