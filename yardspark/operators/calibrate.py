@@ -24,10 +24,11 @@ def method_errors(boxes: DataFrame, methods: list[str] | None = None) -> DataFra
 
 def grid_search_offsets(boxes: DataFrame, xs: range = range(-30, 31, 10), ys: range = range(30, 71, 10), top: int = 10) -> DataFrame:
     """The best combinations of offsets in hundredths and reference edge by mean error. The grid is fixed by its parameters."""
+    cells = F.array(*[F.struct(F.lit(x).alias("x_pct"), F.lit(y).alias("y_pct"), F.lit(r).alias("reference")) for x in xs for y in ys for r in ("left_edge", "right_edge", "center")])
     w, h = size()
-    refs = {"left_edge": F.col("x1"), "right_edge": F.col("x2"), "center": (F.col("x1") + F.col("x2")) / 2}
-    cells = [F.struct(F.lit(x).alias("x_pct"), F.lit(y).alias("y_pct"), F.lit(r).alias("reference"), _error((base + w * (x / 100), F.col("y1") + h * (y / 100))).alias("e")) for x in xs for y in ys for r, base in refs.items()]
-    rows = boxes.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    base = F.when(F.col("reference") == "left_edge", F.col("x1")).when(F.col("reference") == "right_edge", F.col("x2")).otherwise((F.col("x1") + F.col("x2")) / 2)
+    rows = boxes.select("x1", "y1", "x2", "y2", "ex", "ey", F.explode(cells).alias("c")).select("*", "c.*")
+    rows = rows.withColumn("e", _error((base + w * (F.col("x_pct") / 100), F.col("y1") + h * (F.col("y_pct") / 100))))
     errors = rows.groupBy("x_pct", "y_pct", "reference").agg(F.avg("e").alias("mean"), F.max("e").alias("max"), F.min("e").alias("min"))
     return errors.orderBy("mean", "x_pct", "y_pct", "reference").limit(top)
 
