@@ -134,3 +134,50 @@ def blend_positions(a: DataFrame, b: DataFrame, share: float = 0.7) -> DataFrame
     right = b.select("id", F.col("x").alias("_x"), F.col("y").alias("_y"))
     mix = lambda p, q: F.coalesce(share * F.col(p) + (1 - share) * F.col(q), F.col(p), F.col(q))
     return a.join(right, "id", "full_outer").select("id", mix("x", "_x").alias("x"), mix("y", "_y").alias("y"))
+
+
+def resolve_position(df: DataFrame) -> DataFrame:
+    """df with latitude and longitude: lat and lon, else world_coords as [lat, lon] where in range, else swapped where that is, else null."""
+    a, b = F.get("world_coords", F.lit(0)), F.get("world_coords", F.lit(1))
+    pair = F.when(a.between(-90, 90) & b.between(-180, 180), F.struct(a.alias("lat"), b.alias("lon"))).when(b.between(-90, 90) & a.between(-180, 180), F.struct(b.alias("lat"), a.alias("lon")))
+    own = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
+    best = F.coalesce(own, pair)
+    return df.withColumns({"latitude": best["lat"], "longitude": best["lon"]})
+
+
+def offset_position(boxes: DataFrame, lat0: float, lon0: float, frame: tuple[int, int], metres: tuple[float, float]) -> DataFrame:
+    """boxes with the position that their centre's offset from the frame's centre gives about a camera; y points north."""
+    east = ((F.col("x1") + F.col("x2")) / 2 - frame[0] / 2) / (frame[0] / 2) * metres[0]
+    north = -((F.col("y1") + F.col("y2")) / 2 - frame[1] / 2) / (frame[1] / 2) * metres[1]
+    out = boxes.withColumns({"_e": east, "_n": north})
+    lat, lon = to_gps(F.col("_e"), F.col("_n"), lat0, lon0)
+    return out.withColumns({"latitude": lat, "longitude": lon}).drop("_e", "_n")
+
+
+def check_position(df: DataFrame, lat0: float, lon0: float, km: float = 1.0) -> DataFrame:
+    """df (latitude, longitude) with the distance from a camera in km and whether it is within the threshold."""
+    far = haversine_ft(F.col("latitude"), F.col("longitude"), F.lit(lat0), F.lit(lon0)) * METRES / 1000
+    return df.withColumns({"distance_km": far, "valid": far <= km})
+
+
+def project_plane(df: DataFrame, camera: dict, z: float = 0.0) -> DataFrame:
+    """df (px, py) with the world point (wx, wy) where the pixel's ray meets the plane of height z; a parallel ray gives null.
+
+    camera: K and R (3 x 3) and t (3) without lens distortion; the matrices become literals of the expressions.
+    """
+    import numpy as np
+
+    k, r, t = (np.array(camera[c], float) for c in ("K", "R", "t"))
+    back, centre = r.T @ np.linalg.inv(k), -r.T @ t.reshape(3)
+    ray = [float(m[0]) * F.col("px") + float(m[1]) * F.col("py") + float(m[2]) for m in back]
+    s = (z - float(centre[2])) / F.when(F.abs(ray[2]) > 1e-9, ray[2])
+    return df.withColumns({"wx": float(centre[0]) + s * ray[0], "wy": float(centre[1]) + s * ray[1]})
+
+
+def project_pixel(df: DataFrame, camera: dict, z: float = 0.0) -> DataFrame:
+    """df (wx, wy) with the pixel of the world point at height z; (-1, -1) behind the camera."""
+    k, r, t = camera["K"], camera["R"], camera["t"]
+    seen = [r[i][0] * F.col("wx") + r[i][1] * F.col("wy") + (r[i][2] * z + t[i]) for i in range(3)]
+    image = [sum((k[i][j] * seen[j] for j in range(3)), F.lit(0.0)) for i in range(2)]
+    front = seen[2] > 0
+    return df.withColumns({"px": F.when(front, image[0] / seen[2]).otherwise(-1.0), "py": F.when(front, image[1] / seen[2]).otherwise(-1.0)})

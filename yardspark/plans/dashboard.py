@@ -51,7 +51,17 @@ def _period_sql(per_period: bool) -> str:
     return " union all ".join(rows)
 
 
+def _raw_scans(s, d):
+    """Scans as a device sends them: times as text, blanks, missing values."""
+    v = _scans(s, d)
+    stamp = F.col("created_on").cast("string")
+    return v.select("id", F.concat(F.lit(" "), "plate", F.lit("\t")).alias("licence_plate_trailer"), F.when(F.col("k") % 4 > 0, stamp).otherwise("not a time").alias("timestamp"), F.when(F.col("k") % 2 == 0, stamp).alias("created_on"), F.when(F.col("k") % 3 > 0, F.col("conf")).alias("confidence"), F.when(F.col("k") % 5 > 0, F.col("is_processed")).alias("is_processed"))
+
+
+_RAW = f"""select id, nullif(plate, '') as licence_plate_trailer, case when k % 4 > 0 or k % 2 = 0 then created_on else timestamp '{NOW}' end as timestamp,
+  case when k % 4 > 0 or k % 2 = 0 then created_on else timestamp '{NOW}' end as created_on, case when k % 3 > 0 then conf else 0 end as confidence, case when k % 5 > 0 then is_processed else true end as is_processed, 0 as frame_number from scans"""
 QUERIES = {
+    "normalise_scans": (lambda s, d: D.normalise_scans(_raw_scans(s, d), NOW).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("timestamp", "created_on")}), sql(_RAW, "scans")),
     "scan_stats": (lambda s, d: D.scan_stats(_scans(s, d)), sql("select count(*) as total, sum(case when is_processed then 0 else 1 end) as unprocessed, sum(case when is_processed then 1 else 0 end) as processed from scans", "scans")),
     "filter_by_date": (lambda s, d: D.filter_by_date(_scans(s, d), DAY).select("id", "created_on", "plate"), sql(f"select id, created_on, plate from scans where {_DAY}", "scans")),
     "kpis": (lambda s, d: D.kpis(_scans(s, d)), sql(_KPIS, "scans")),

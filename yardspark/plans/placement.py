@@ -158,7 +158,25 @@ def _to_local(s, d):
     return _scans(s, d).select("id", F.round(e, 4).alias("east"), F.round(n, 4).alias("north"))
 
 
+_CAMERA = {"K": [[800.0, 0.0, 640.0], [0.0, 800.0, 360.0], [0.0, 0.0, 1.0]], "R": [[1.0, 0.0, 0.0], [0.0, -0.6, -0.8], [0.0, 0.8, -0.6]], "t": [0.5, 2.0, 6.0]}
+# the same camera, worked out: the ray's parts and the camera's centre
+_RAY = ["((px - 640) / 800)", "(-0.6 * ((py - 360) / 800) + 0.8)", "(-0.8 * ((py - 360) / 800) - 0.6)"]
+_CENTRE = (-0.5, 0.6 * 2.0 - 0.8 * 6.0, 0.8 * 2.0 + 0.6 * 6.0)
+
+
+def _sides(s, d):
+    """Positions that are given, in world coordinates, or swapped there."""
+    f = view(s, d, "fixes")
+    swap = F.when(F.col("k") % 3 == 0, F.array("lat", "lon")).when(F.col("k") % 3 == 1, F.array(F.col("lon") - 30, F.col("lat"))).otherwise(F.array(F.lit(500.0), F.col("lat")))
+    return f.select("event_id", swap.alias("world_coords"), F.when(F.col("k") % 5 == 0, F.col("lat")).alias("lat"), F.when(F.col("k") % 5 == 0, F.col("lon")).alias("lon"))
+
+
 QUERIES = {
+    "resolve_position": (lambda s, d: _rounded(G.resolve_position(_sides(s, d)).select("event_id", "latitude", "longitude"), 7, "latitude", "longitude"), sql("select event_id, case when k % 5 = 0 or k % 3 < 2 then round(lat, 7) end as latitude, case when k % 5 = 0 or k % 3 = 0 then round(lon, 7) when k % 3 = 1 then round(lon - 30, 7) end as longitude from fixes", "fixes")),
+    "check_position": (lambda s, d: _rounded(G.check_position(_scans(s, d), LAT0, LON0, 0.01).select("id", "distance_km", "valid"), 6, "distance_km"), sql(f"with f as (select id, {_feet('latitude', 'longitude', LAT0, LON0)} / 3.28084 / 1000 as km from scans) select id, round(km, 6) as distance_km, km <= 0.01 as valid from f", "scans")),
+    "offset_position": (lambda s, d: G.offset_position(view(s, d, "boxes"), LAT0, LON0, (1280, 720), (50.0, 30.0)).withColumn("north_m", F.round((F.col("latitude") - LAT0) * 1e3, 3)).groupBy("north_m").agg(F.count("*").alias("n")), None),
+    "project_plane": (lambda s, d: _rounded(G.project_plane(_pixels(s, d), _CAMERA).select("name", "wx", "wy"), 6, "wx", "wy"), sql(f"with {_PIXELS} select name, round({_CENTRE[0]} + (0 - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[0]}, 6) as wx, round({_CENTRE[1]} + (0 - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[1]}, 6) as wy from pix", "boxes")),
+    "project_pixel": (lambda s, d: _rounded(G.project_pixel(G.project_plane(_pixels(s, d), _CAMERA).select("name", "wx", "wy"), _CAMERA), 3, "px", "py").select("name", "px", "py"), sql(f"with {_PIXELS} select name, round(px, 3) as px, round(py, 3) as py from pix", "boxes")),
     "valid_scan": (lambda s, d: A.valid_scan(_scans(s, d), 5, 60).select("id", "plate"), sql("select id, plate from scans where nullif(trim(plate), '') is not null and speed between 5 and 60", "scans")),
     "latest_per_plate": (lambda s, d: A.latest_per_plate(_scans(s, d)).select("id", "plate", "created_on"), sql("select id, plate, created_on from (select *, row_number() over (partition by plate order by created_on desc, id) as rn from scans where nullif(trim(plate), '') is not null) where rn = 1", "scans")),
     "latest_per_tag_mark_rest": (lambda s, d: A.latest_per_tag_mark_rest(_scans(s, d)).select("id", "chosen", "is_processed", "comment"), sql("with r as (select *, row_number() over (partition by plate order by created_on desc, id) as rn from scans), t as (select id from r where rn = 1 order by id limit 50) select id, id in (select id from t) as chosen, is_processed or id not in (select id from t) as is_processed, case when id not in (select id from t) then 'Ignored duplicated RFID' end as comment from scans", "scans")),

@@ -115,6 +115,12 @@ def _event_csv(s, d):
     return rows.groupBy("date").agg(F.count("*").alias("n"), F.countDistinct("plate").alias("plates"))
 
 
+def _drain(s, d):
+    root = shared_folder(s, "drain")
+    T.drain(_stream(s, d, "scans"), lambda b, n: b.write.mode("overwrite").parquet(f"{root}/rows/batch={n}"), f"{root}/state", 20)
+    return s.read.parquet(f"{root}/rows").select("id", "drain_group")
+
+
 def _clusters(s, d):
     """Position clusters of the scans: rounded places of each camera."""
     places = view(s, d, "scans").groupBy(F.col("camera_id").alias("video"), F.col("k").alias("id"), "x_world", "y_world").agg(F.count("*").alias("n"), F.max("spot_name").alias("spot"))
@@ -136,6 +142,7 @@ QUERIES = {
     "stream_liveness": (_liveness, sql(_LIVE, "scans")),
     "stream_fan_out": (_fan_out, sql("select id, camera_id from scans", "scans")),
     "stream_event_csv": (_event_csv, sql("select cast(created_on as date) as date, count(*) as n, count(distinct nullif(plate, '')) as plates from scans group by 1", "scans")),
+    "stream_drain": (_drain, sql("select id, cast(floor((row_number() over (partition by cast(created_on as date), camera_id order by created_on desc, id) - 1) / 20) as bigint) as drain_group from scans where is_processed", "scans")),
     "link_detections": (_link, None),
     "merge_clusters": (lambda s, d: K.merge_clusters(_clusters(s, d)), None),
     "filter_clusters": (lambda s, d: K.filter_clusters(_clusters(s, d), bound=12.0).select("video", "id", "reason"), sql("select camera_id as video, k as id, case when count(*) % 25 < 2 then 'too_few' when abs(x_world) > 12 or abs(y_world) > 12 then 'out_of_bounds' end as reason from scans group by camera_id, k, x_world, y_world", "scans")),

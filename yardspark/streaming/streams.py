@@ -190,3 +190,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most: int = 200, every: str | None = None) -> None:
+    """Gives the processed rows of each batch to the sink in groups of at most `most`, newest first; a group that fails
+    stops the stream, which goes on from its last batch. every: a processing time such as "60 seconds", else what there is."""
+    from pyspark.sql import Window
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("is_processed")
+        # groups by day and camera keep the ranking within keyed partitions
+        rank = F.row_number().over(Window.partitionBy(F.to_date("created_on"), "camera_id").orderBy(F.col("created_on").desc(), "id"))
+        sink(rows.withColumn("drain_group", F.floor((rank - 1) / most)), number)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    query = writer.start()
+    if not every:
+        query.awaitTermination()
