@@ -103,7 +103,7 @@ class Model:
         for t, (e, v) in self.lists.items():
             self.bound[t] = np.zeros(self.blocks)
             np.maximum.at(self.bound[t], e // BLOCK, v)
-        self.counts = []
+        self.counts, self.examples = [], []  # the texts are not sent to the workers
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of length one."""
