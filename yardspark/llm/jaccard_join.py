@@ -4,9 +4,9 @@ Prefix index: every distinct set is listed under the first tokens of one global
 heavily used hash buckets come last), so that two sets that reach the threshold share a listed token. Relations of
 sets save work in two ways:
 
-* Answers are derived from a similar set's. Equal sets are one class. Every list first proposes its members to one
-  leader; a member that is linked with its leader takes over the leader's component, and two sets that are in one
-  component already are not compared any more. A group of near copies thus costs one comparison for each member.
+* Answers are derived from a similar set's. Equal sets are one class. Every list first proposes its members to two
+  leaders; a member that is linked with a leader takes over the leader's component, and two sets that are in one
+  component already are not compared any more. A group of near copies thus costs two comparisons for each member and list at most.
 * Index lists are skipped by blocks. Lists whose sets are all in one component are dropped by an aggregate. In the
   others, blocks of sets are skipped by size and by position: a block whose sets stand too far down the list's order
   to reach the needed overlap is not opened.
@@ -234,16 +234,18 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sketches = classes_.select("rep", "n", "bits")
     index = classes_.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
     lists = index.groupBy("tok").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter(F.col("lead") < F.col("last"))
-    shared = stage.put(index.join(lists.select("tok", "lead"), "tok"), "shared")
+    shared = stage.put(index.join(lists, "tok"), "shared")
 
-    led = shared.filter(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    # two leaders, the least and the greatest set of the list: who misses one is mostly linked with the other
+    proposed = F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("last").alias("b"))))
+    led = shared.select(proposed.alias("p")).select("p.a", "p.b").filter("a < b").distinct()
     maybe = stage.put(may_link(led, sketches, num, den), "led")
     known_sets = stage.put(full_sets(docs, _ends(maybe), k, doc_id, text), "led_sets")
     links = stage.put(verified(maybe, known_sets, num, den), "led_links")
     stage.drop("led_sets")
     first = stage.put(components(links, stage, "first"), "first")
 
-    rows = shared.drop("lead").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rows = shared.drop("lead", "last").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter(F.col("x") < F.col("y"))
     open_rows = rows.join(mixed.select("tok", F.ceil(F.col("m") / CHUNK).alias("part")), "tok").join(sketches.drop("n"), "rep")
     pairs = stage.put(list_pairs(open_rows, num, den), "pairs")
