@@ -296,3 +296,42 @@ def test_best_fit_decreasing_equals_plain_search():
         rows = packing.best_fit_decreasing(sizes, 50)
         assert sorted(i for r in rows for i in r) == list(range(len(sizes))) and all(sum(sizes[i] for i in r) <= 50 for r in rows)
         assert sorted(50 - sum(sizes[i] for i in r) for r in rows) == sorted(free)
+
+
+def edited(rng, words, share, new):
+    """The words with about the given share of them changed, dropped or followed by a new one."""
+    out = []
+    for w in words:
+        kind = rng.choice("ccda") if rng.random() < share else ""
+        out += {"": [w], "c": [new()], "d": [], "a": [w, new()]}[kind]
+    return out
+
+
+def test_leaks_equal_plain_alignment(spark):
+    """Copies with 20 to 35% edited words, some without any intact seed: what aligning each item with each text finds."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(12)]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (6, 8, 12, 20, 38, 38, 59)]
+    texts = []
+    for d in range(140):
+        copy = edited(rng, items[d % 7], rng.choice([0.2, 0.25, 0.3, 0.35]), word)
+        texts.append([word() for _ in range(rng.randrange(40))] + copy + [word() for _ in range(40)])
+    texts.append([w if i % 6 else "changed" for i, w in enumerate(items[4])])  # one in six breaks half of the seeds
+    texts.append([w if i % 3 else "changed" for i, w in enumerate(items[6])])  # no seed is left
+    texts.append([x for w in items[5] for x in (w, "added")])  # not even two words stand together
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            if (s := smith_waterman(item, text) / (2 * len(item))) >= 0.5:
+                want[d, i] = s
+    assert len(want) > 90 and {(140, 4), (141, 6), (142, 5)} <= set(want)
+    bench = table(spark, [(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_leaks(table(spark, [(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+
+
+def test_leaks_fold_case_beyond_ascii(spark):
+    bench = table(spark, [(1, "ÉTÉ ÜBER ÑANDÚ ΣΟΦΟΣ ЖИЗНЬ ÅR ØL")], "item_id long, text string")
+    docs = table(spark, [(1, "été über ñandú σοφος жизнь år øl")], "doc_id long, text string")
+    assert [r.score for r in decontaminate.find_leaks(docs, bench).collect()] == [1.0]

@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds find test items in documents, Smith-Waterman alignment scores them.
 
-Seeds are word n-grams of the items (of SEED words; a shorter item is one seed). Their document frequencies are counted
-over all texts, and each item is searched by its rarest half (at least LEAST of them, never fewer than it has). A
-document's seed hits of one item become windows of the text, and every window is aligned with the item word by word;
-the score is the alignment's share of the item's perfect score. Copies with words changed, dropped or added keep most
-of it.
-
-Words are runs outside space and 0x09-0x0D, lower-cased in A-Z, so equal words may stand in other punctuation only if
-the punctuation is theirs; punctuation at both ends of a word is taken off first. Null or empty texts and items match
+Seeds are word n-grams of the items (of SEED words; a shorter item is one seed), and every seed is searched. Where a
+document has enough seed hits of one item, they become windows of the text that hold every alignment through them.
+Edits can break every seed of a copy that still scores high, so single words are searched too: an alignment with fewer
+hits that reaches the threshold matches at least `least_matched` of the item's words, hence some of its rarer ones
+(document frequencies are counted over all texts), and texts that hold enough of these are windows where enough of the
+item's words stand together. Every window is aligned with the item word by word; the score is the alignment's share of
+the item's perfect score. What is passed over cannot reach the threshold, so the findings are those of aligning each
+item with each whole text.
+
+Words are runs outside space and 0x09-0x0D, with case folded; ASCII punctuation counts as space. Null or empty texts and items match
 nothing. Rows are judged alone: a repeated document or item gives repeated findings, which are merged by id.
 An item with fewer than MIN_WORDS words is too short to be evidence and is not searched.
 
@@ -26,15 +28,15 @@ from pyspark.sql import functions as F
 
 from yardspark.llm._words import shingles, slices, words
 
-SEED, LEAST, MIN_WORDS = 3, 8, 6
+SEED, MIN_WORDS = 3, 6
 BROADCAST_WORDS = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = bytes(b if chr(b).isalnum() or b >= 128 or b in b"\t\n\x0b\x0c\r " else 32 for b in range(256))
 
 
 def bare(raw: bytes) -> bytes:
-    """The text with ASCII punctuation as spaces, so that words compare without it."""
-    return raw.translate(_PUNCTUATION)
+    """The text with ASCII punctuation as spaces and case folded beyond A-Z, which `words` lowers."""
+    return (raw if raw.isascii() else raw.decode(errors="replace").casefold().encode()).translate(_PUNCTUATION)
 
 
 def item_words(items: list[tuple[int, str | None]]) -> dict[int, np.ndarray]:
@@ -56,34 +58,52 @@ class Seeds:
             code, at = shingles(items[key], np.zeros(len(items[key]), np.int64), n)
             places.append((code, np.full(len(code), key), at))
         self.code, self.item, self.at = (np.concatenate(x) if places else np.empty(0, np.int64) for x in (zip(*places, strict=True) if places else ((), (), ())))
-        self.code = self.code.astype(np.uint64)
-        order = np.lexsort((self.at, self.item, self.code))
-        self.code, self.item, self.at = self.code[order], self.item[order], self.at[order]
+        self.n, self.code = n, self.code.astype(np.uint64)
+        self._index(np.lexsort((self.at, self.item, self.code)))
+
+    def _index(self, take: np.ndarray) -> None:
+        self.code, self.item, self.at = self.code[take], self.item[take], self.at[take]
         self.unique, self.first, self.count = np.unique(self.code, return_index=True, return_counts=True)
         self.quick = np.zeros(1 << 20, bool)
         self.quick[(self.unique >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, raw: list[bytes], n: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, index of the word in all texts, number of the seed) of each hit, then the words and their owners."""
-        code, owner, _, _ = words([bare(t) for t in raw])
-        hashed, first = shingles(code, owner, n)
+    def places(self, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the hit, place) of every place of the hit seeds."""
+        spread = np.repeat(np.arange(len(seed)), self.count[seed])
+        return spread, self.first[seed][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(self.count[seed]) - self.count[seed], self.count[seed])
+
+    def hits(self, code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, index of the word in all texts, number of the seed) of each hit in the words of some texts."""
+        hashed, first = shingles(code, owner, self.n)
         some = np.flatnonzero(self.quick[(hashed >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.unique, hashed[some])
         good = at < len(self.unique)
         good[good] = self.unique[at[good]] == hashed[some][good]
         word = first[some[good]]
-        return owner[word], word, at[good], code, owner
+        return owner[word], word, at[good]
 
-    def rarest(self, frequency: np.ndarray, least: int = LEAST) -> np.ndarray:
-        """Whether each place (item, offset) is searched: the rarer half of its item's seeds, ties by offset."""
-        df = np.repeat(frequency, self.count)
-        order = np.lexsort((self.at, df, self.item))
+    def keep_rarest(self, frequency: np.ndarray, keep: dict[int, int]) -> None:
+        """Leaves the keep[item] rarest places of each item, ties by offset."""
+        order = np.lexsort((self.at, np.repeat(frequency, self.count), self.item))
         rank = np.empty(len(order), np.int64)
-        start = np.searchsorted(self.item[order], self.item[order], "left")
-        rank[order] = np.arange(len(order)) - start
-        size = np.bincount(np.searchsorted(np.unique(self.item), self.item)) if len(self.item) else np.empty(0, int)
-        half = np.maximum(least, -(-size // 2))
-        return rank < half[np.searchsorted(np.unique(self.item), self.item)] if len(self.item) else np.empty(0, bool)
+        rank[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order], "left")
+        self._index(np.flatnonzero(rank < np.array([keep[i] for i in self.item.tolist()], np.int64)))
+
+
+def least_matched(length: int, threshold: float, min_hits: int) -> int:
+    """The fewest words of an item that an alignment at the threshold with under min_hits intact seeds matches.
+
+    m matched words in r runs hold at least m - (SEED - 1) r seeds, and there is an edit between two runs, so the score
+    is at most MATCH m + GAP (r - 1).
+    """
+    full = threshold * MATCH * length
+    r = lambda m: max(1, -(-(m - max(0, min_hits - 1)) // (SEED - 1)))
+    return next((m for m in range(1, length + 1) if MATCH * m + GAP * (r(m) - 1) >= full - 1e-9), length + 1)
+
+
+def reach(length: int, threshold: float) -> int:
+    """The most words of a text that an alignment at the threshold covers: its words and as many added as its score bears."""
+    return length + int(max(0.0, 1 - threshold) * MATCH * length) // -GAP
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -109,11 +129,10 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def windows(at: np.ndarray, length: int, last: int) -> list[tuple[int, int]]:
-    """Disjoint spans of words around hits whose estimated item starts are close to each other."""
+def windows(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint spans of words that cover all the given ones."""
     spans: list[list[int]] = []
-    for s in np.sort(at).tolist():
-        low, high = max(0, s - length // 2), min(last, s + length + length // 2)
+    for low, high in sorted(zip(begin.tolist(), end.tolist(), strict=True)):
         if spans and low <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], high)
         else:
@@ -121,10 +140,36 @@ def windows(at: np.ndarray, length: int, last: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def best_alignment(query: np.ndarray, distinct: np.ndarray, times: np.ndarray, text: np.ndarray, starts: np.ndarray, matched: int, threshold: float) -> tuple[float, int, int]:
+    """(score, first word, word after) of the item's best alignment at the threshold, else a score of 0.
+
+    distinct, times: the item's words in ascending order and how often it has each.
+    starts: where the item begins by each seed hit. matched: the words that an alignment elsewhere matches at least.
+    """
+    far, which = reach(len(query), threshold), np.minimum(np.searchsorted(distinct, text), len(distinct) - 1)
+    inside = np.flatnonzero(distinct[which] == text)
+    dense = inside[: max(0, len(inside) - matched + 1)]
+    dense = dense[inside[matched - 1 :] - dense < far]
+    if not len(starts) and not len(dense):
+        return 0.0, 0, 0
+    begin, end = np.concatenate((starts - (far - len(query)), dense)), np.concatenate((starts, dense)) + far
+    best = (0.0, 0, 0)
+    for low, high in windows(np.maximum(begin, 0), np.minimum(end, len(text))):
+        first, last = np.searchsorted(inside, [low, high])
+        shared = np.minimum(np.bincount(which[inside[first:last]], minlength=len(distinct)), times).sum()
+        if shared < threshold * len(query) - 1e-9:
+            continue
+        got, a, b = align(query, text[low:high])
+        if (share := got / (MATCH * len(query))) > best[0]:
+            best = (share, low + a, low + b)
+    return best if best[0] >= threshold else (0.0, 0, 0)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_hits: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each leaked item: the best window at or above the threshold.
 
-    min_hits: seed hits of an item that a document needs before it is aligned (one where the item has one seed only).
+    min_hits: seed hits of an item from which a document is aligned around them; with fewer it is aligned where enough
+    single words of the item stand together, so that no leak is lost.
     """
     size = benchmark.agg(F.count("*"), F.sum(F.size(F.split(F.coalesce(item_text, F.lit("")), r"\s+")))).first()
     parts = max(1, -(-(size[1] or 0) // BROADCAST_WORDS))
@@ -139,53 +184,65 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, mi
 def _leaks_of(docs, benchmark, threshold, min_hits, doc_id, text, item_id, item_text) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     items = item_words([(r[0], r[1]) for r in benchmark.select(item_id, item_text).toLocalIterator()])
-    seeds = Seeds(items)
-    sent = sc.broadcast((items, seeds))
+    seeds, single = Seeds(items), Seeds(items, 1)
+    sent = sc.broadcast((items, seeds, single))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value[1]
+        table = sent.value[2]
         total = np.zeros(len(table.unique), np.int64)
         for batch in batches:
             for _, raw in slices(batch.column(1)):
-                doc, _, seed, _, _ = table.hits(raw)
+                code, owner, _, _ = words([bare(t) for t in raw])
+                doc, _, seed = table.hits(code, owner)
                 pairs = np.unique(doc * np.int64(len(table.unique) + 1) + seed)
                 total += np.bincount(pairs % (len(table.unique) + 1), minlength=len(total))[: len(total)]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["seed", "n"])
 
     counted = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(len(seeds.unique), np.int64)
+    frequency = np.zeros(len(single.unique), np.int64)
     frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
-    searched = sc.broadcast(seeds.rarest(frequency))
+    # of the rarer words an alignment misses at most as many as of all words
+    matched = {key: least_matched(len(x), threshold, min_hits) for key, x in items.items()}
+    keep = {key: max(-(-len(x) // 2), len(x) - matched[key] + 1) for key, x in items.items()}
+    single.keep_rarest(frequency, keep)
+    names = np.array(sorted(items), np.int64)
+    needed = np.array([matched[k] - (len(items[k]) - keep[k]) for k in sorted(items)], np.int64)
+    distinct = {key: np.unique(x, return_counts=True) for key, x in items.items()}
+    rare = sc.broadcast((single, matched, names, needed, distinct))
+
+    def pairs_of(code: np.ndarray, owner: np.ndarray, table: Seeds) -> tuple[dict[tuple[int, int], np.ndarray], set[tuple[int, int]]]:
+        """The item's starts by seed hits for each (text, item) with enough of them; those with enough of the rarer words."""
+        doc, word, seed = table.hits(code, owner)
+        spread, place = table.places(seed)
+        d, item, start = doc[spread], table.item[place], word[spread] - np.searchsorted(owner, doc)[spread] - table.at[place]
+        order = np.lexsort((start, item, d))
+        d, item, start = d[order], item[order], start[order]
+        edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])))) if len(d) else np.empty(0, int)
+        near = {(int(d[s]), int(item[s])): start[s:e] for s, e in zip(edge, np.append(edge, len(d))[1:], strict=True) if e - s >= min_hits}
+        few, _, names, needed, _ = rare.value
+        doc, _, seed = few.hits(code, owner)
+        doc, seed = np.divmod(np.unique(doc * np.int64(len(few.unique) + 1) + seed), len(few.unique) + 1)
+        spread, place = few.places(seed)
+        pair, n = np.unique(doc[spread] * np.int64(len(names) + 1) + np.searchsorted(names, few.item[place]), return_counts=True)
+        d, item = np.divmod(pair, len(names) + 1)
+        some = n >= needed[item]
+        return near, set(zip(d[some].tolist(), names[item[some]].tolist(), strict=True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, table), use = sent.value, searched.value
-        chosen = {key: int(use[table.item == key].sum()) for key in known} if len(use) else {}
+        known, table, _ = sent.value
+        none = np.empty(0, np.int64)
         for batch in batches:
             out: list[tuple] = []
             for first, raw in slices(batch.column(1)):
-                doc, word, seed, code, owner = table.hits(raw)
+                code, owner, _, _ = words([bare(t) for t in raw])
                 begin = np.searchsorted(owner, np.arange(len(raw) + 1))
-                spread = np.repeat(np.arange(len(doc)), table.count[seed])
-                place = table.first[seed][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(table.count[seed]) - table.count[seed], table.count[seed])
-                keep = use[place]
-                spread, place = spread[keep], place[keep]
-                d, item, start = doc[spread], table.item[place], word[spread] - begin[doc[spread]] - table.at[place]
-                order = np.lexsort((start, item, d))
-                d, item, start = d[order], item[order], start[order]
-                edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])))) if len(d) else np.empty(0, int)
-                for s, e in zip(edge, np.append(edge, len(d))[1:], strict=True):
-                    key, i = int(item[s]), int(d[s])
-                    if e - s < min(min_hits, chosen[key]):
-                        continue
-                    text_words, query = code[begin[i] : begin[i + 1]], known[key]
-                    best = (0.0, 0, 0)
-                    for low, high in windows(start[s:e], len(query), len(text_words)):
-                        got, a, b = align(query, text_words[low:high])
-                        if (share := got / (MATCH * len(query))) > best[0]:
-                            best = (share, low + a, low + b)
-                    if best[0] >= threshold:
+                near, more = pairs_of(code, owner, table)
+                for i, key in sorted(near.keys() | more):
+                    least = rare.value[1][key] if (i, key) in more else len(known[key]) + len(code)
+                    best = best_alignment(known[key], *rare.value[4][key], code[begin[i] : begin[i + 1]], near.get((i, key), none), least, threshold)
+                    if best[0]:
                         out.append((first + i, key, *best))
             take = pa.array([x[0] for x in out], pa.int64())
             columns = [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
