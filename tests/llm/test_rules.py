@@ -335,3 +335,23 @@ def test_leaks_fold_case_beyond_ascii(spark):
     bench = table(spark, [(1, "ÉTÉ ÜBER ÑANDÚ ΣΟΦΟΣ ЖИЗНЬ ÅR ØL")], "item_id long, text string")
     docs = table(spark, [(1, "été über ñandú σοφος жизнь år øl")], "doc_id long, text string")
     assert [r.score for r in decontaminate.find_leaks(docs, bench).collect()] == [1.0]
+
+
+KNOWN = {
+    "spdx": "SPDX License Identifier MIT", "apacheVer2": "Licensed under the Apache License, Version 2.0", "apacheMayNotUse": "you may not use this file except in compliance with the License",
+    "apacheObtain": "You may obtain a copy of the License at", "asIsBasis": "distributed under the License is distributed on an AS IS basis", "seeLicense": "See the License for the specific language governing permissions and limitations",
+    "mitName": "Released under the MIT License", "mitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy", "mitNotice": "The above copyright notice and this permission notice shall be included",
+    "asIsMit": "The software is provided as is, without warranty of any kind", "bsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "bsdSource": "Redistributions of source code must retain the above copyright notice",
+    "bsdBinary": "Redistributions in binary form must reproduce the above copyright notice", "bsdEndorse": "may be used to endorse or promote products x without specific prior written permission", "bsdName": "Released under the BSD License",
+    "agpl3": "Licensed under the GNU Affero General Public License, version 3", "lgpl21": "Licensed under the GNU Lesser General Public License, version 2.1", "lgpl3": "Licensed under the GNU Lesser General Public License, version 3",
+    "gpl2": "Licensed under the GNU General Public License, version 2", "gpl3": "Licensed under the GNU General Public License, version 3", "gplRedistribute": "You can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "gplWarranty": "without even the implied warranty of merchantability or fitness", "ccByNcNd": "Licensed under CC BY-NC-ND", "ccByNcSa": "Licensed under CC BY-NC-SA", "ccByNc": "Licensed under CC BY-NC", "ccBySa": "Licensed under CC BY-SA", "ccBy": "Licensed under CC BY",
+    "cc0": "Released under CC0 1.0", "mozilla2": "subject to the terms of the Mozilla Public License, version 2.0", "allRights": "All rights  reserved", "copyright": "Copyright 2024 Foo",
+}
+
+
+def test_every_known_sentence_passes_the_cues(spark):
+    names = [n for n, _ in license_scan.SENTENCES]
+    got = license_scan.scan_licences(table(spark, [(i, KNOWN[n] + ".") for i, n in enumerate(names)] + [(-1, "token acc0f")], "doc_id long, text string")).collect()
+    assert {names[r.doc_id]: r.sentence_ids for r in got if r.doc_id >= 0} == {n: n for n in names}
+    assert {names[r.doc_id]: r.licences for r in got if names[r.doc_id] in ("allRights", "cc0")} | {r.text: r.licences for r in got if r.licences and r.doc_id < 0} == {"allRights": "Proprietary", "cc0": "CC0"}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings of which every known licence sentence holds at least one.
-CUES = r"licen[sc]e|licensed|copyright|warrant|permission|redistribut|public domain|spdx"
+CUES = r"licen[sc]e|licensed|copyright|warrant|permission|redistribut|public[^a-z0-9.]+domain|spdx|rights[^a-z0-9.]+reserved|\bcc0\b"
 
 #: Identifiers of licence sentences and the patterns of their normalised forms, in order of trial.
 SENTENCES = [
@@ -45,7 +45,7 @@ SENTENCES = [
     ("ccByNc", r"licensed under (a )?(cc by nc|creative commons attribution noncommercial)"),
     ("ccBySa", r"licensed under (a )?(cc by sa|creative commons attribution sharealike)"),
     ("ccBy", r"licensed under (a )?(cc by|creative commons attribution)"),
-    ("cc0", r"(cc0|dedicated to the public domain|released into the public domain)"),
+    ("cc0", r"(\bcc0\b|dedicated to the public domain|released into the public domain)"),
     ("mozilla2", r"subject to the terms of the mozilla public license,? (version |v )?2\.0"),
     ("allRights", r"^(copyright .*)?all rights reserved$"),
     ("copyright", r"^copyright (c )?[0-9]{4}"),
