@@ -355,3 +355,71 @@ def test_every_known_sentence_passes_the_cues(spark):
     got = license_scan.scan_licences(table(spark, [(i, KNOWN[n] + ".") for i, n in enumerate(names)] + [(-1, "token acc0f")], "doc_id long, text string")).collect()
     assert {names[r.doc_id]: r.sentence_ids for r in got if r.doc_id >= 0} == {n: n for n in names}
     assert {names[r.doc_id]: r.licences for r in got if names[r.doc_id] in ("allRights", "cc0")} | {r.text: r.licences for r in got if r.licences and r.doc_id < 0} == {"allRights": "Proprietary", "cc0": "CC0"}
+
+
+MIT = """Copyright (c) 2024 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD = """Copyright (c) 2024, Foo
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_wrapped_licences(spark):
+    mark = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
+    texts = {
+        "MIT": [MIT, mark(MIT, " * ")], "Proprietary,BSD-2-Clause": [BSD, mark(BSD, "// ")], "Apache-2.0": [APACHE, mark(APACHE, "# "), "// SPDX-License-Identifier: Apache-2.0\nint x;", "/* spdx-license-identifier: apache-2.0 */"],
+        "GPL": [GPL, mark(GPL, "# ")], "GPL-2.0-only WITH Classpath-exception-2.0": ["# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n"], "MIT,CC-BY-SA": ["Released under the MIT license\nlicensed under Creative Commons Attribution\nShareAlike 4.0"],
+        "Apache-2.0,MIT": ["Copyright 2020 Foo\nLicensed under the Apache License,\nVersion 2.0\n\nfoo licence\n\nreleased under the mit license"],
+    }
+    rows = [(k, t) for k, v in texts.items() for t in v]
+    got = {(r.want, r.text): (r.licences, r.sentence_ids) for r in license_scan.scan_licences(table(spark, rows, "want string, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: k[0] for k in got} and len(got) == len(rows)
+    assert got["MIT", MIT][1] == "copyright,mitGrant,mitNotice,asIsMit"
+    assert got["Apache-2.0,MIT", rows[-1][1]][1] == "copyright,apacheVer2,unknown,mitName"
+
+
+def test_many_lines_without_sentence_ends(spark):
+    text = "\n".join(f"row {i} of a licence list" for i in range(3000)) + "\nReleased under the\nMIT license"
+    r = license_scan.scan_licences(table(spark, [(1, text)], "doc_id long, text string")).first()
+    assert r.licences == "MIT"

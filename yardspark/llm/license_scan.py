@@ -1,6 +1,7 @@
 """Licence recognition from sentences, with DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised and mapped to the identifier of the known licence sentence it
+A text is cut into sentences at sentence ends, and a sentence at its line breaks unless lines together are a known
+sentence; each sentence is normalised and mapped to the identifier of the known licence sentence it
 matches, and the sequence of identifiers is matched against ordered rules: a rule whose identifiers stand next to each
 other is replaced by its licence, the longest and most specific rules first, and what is left is reported as unmatched.
 
@@ -81,12 +82,67 @@ RULES = [
 ]
 
 
+#: Normalised characters of unfinished lines that are kept while lines are joined; every known sentence is shorter.
+HELD = 1000
+
+
+def plain(s: Column) -> Column:
+    """Lower case, other signs than letters, digits and full stops as single blanks."""
+    return F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9.]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, other signs than letters, digits and full stops as single blanks."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"[.!?;:]+([ \t\r\n]|$)|\n", "\u0001"), "\u0001", -1)
-    plain = lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9.]+", " "))
-    cue = lambda s: s.rlike(CUES)
-    return F.transform(F.filter(cut, cue), plain)
+    """Sentences that hold a cue, each as the array of its lines; an SPDX tag is a sentence of its own."""
+    tagged = F.regexp_replace(text, r"(?i)(spdx-license-identifier):[ \t]*([^\r\n]*)", "\u0001$1 $2\u0001")
+    cut = F.split(F.regexp_replace(tagged, r"[.!?;:]+([ \t\r\n]|$)", "\u0001"), "\u0001", -1)
+    return F.transform(F.filter(cut, lambda s: F.lower(s).rlike(CUES)), lambda s: F.split(s, "\n", -1))
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) within a lambda, with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def line_id(line: Column, known=None) -> Column:
+    """The identifier of a line by itself, with what an SPDX tag names behind `spdx=`; without a known sentence null."""
+    named = F.regexp_extract(line, r"(?i)spdx-license-identifier:?[ \t]*(.*?)[^a-z0-9.+)]*$", 1)
+    return _let(sentence_id(plain(line), known), lambda x: F.when(x == "spdx", F.concat(F.lit("spdx="), F.regexp_replace(named, "[|,]", " "))).otherwise(x))
+
+
+def join_lines(lines: Column, known=None) -> Column:
+    """Identifiers of a sentence's lines, where lines that only together are a known sentence get its identifier.
+
+    A line that is known by itself begins anew. Others continue the lines before them: as long as these stay known (or
+    become so) they are one, and no line of theirs counts as unknown. An empty line ends what stands before it.
+    """
+    none = F.lit(None).cast("string")
+    state = lambda out, text, tail, name, cues: F.struct(out.alias("out"), text.alias("text"), tail.alias("tail"), name.alias("id"), cues.alias("cues"))
+    begin = state(F.array().cast("array<string>"), F.lit(""), F.lit(""), none, F.lit(0))
+    emit = lambda s: F.concat(s["out"], F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(F.array_repeat(F.lit("unknown"), s["cues"])))
+    add = lambda a, b: F.trim(F.right(F.concat_ws(" ", a, b), F.lit(HELD)))
+
+    def step(s: Column, x: Column) -> Column:
+        def joined(j: Column) -> Column:
+            grown, cues = add(s["text"], x["text"]), F.when(j["id"].isNull(), s["cues"] + x["cue"]).otherwise(0)
+            on = state(s["out"], grown, F.when(j["id"] == s["id"], add(s["tail"], x["text"])).otherwise(F.lit("")), j["id"], cues)
+            new = state(emit(s), add(s["tail"], x["text"]), F.lit(""), j["tail"], F.lit(0))
+            alone = state(emit(s), x["text"], F.lit(""), none, x["cue"])
+            return F.when(s["id"].isNotNull() & j["tail"].isNotNull(), new).when(s["id"].isNotNull() & j["id"].isNull(), alone).otherwise(on)
+
+        both = F.struct(sentence_id(add(s["text"], x["text"]), known).alias("id"), sentence_id(add(s["tail"], x["text"]), known).alias("tail"))
+        own = state(emit(s), x["text"], F.lit(""), x["id"], x["cue"])
+        return F.when((x["text"] == "") | x["id"].isNotNull() | (s["text"] == ""), own).otherwise(_let(both, joined))
+
+    parts = F.transform(lines, lambda x: F.struct(plain(x).alias("text"), line_id(x, known).alias("id"), F.lower(x).rlike(CUES).cast("int").alias("cue")))
+    return F.aggregate(parts, begin, step, emit)
+
+
+def sentence_ids(text: Column, known=None) -> Column:
+    """Identifiers of all sentences in text order. Lines are joined only where the whole sentence holds a known one."""
+    anywhere = "|".join(p.removeprefix("^").removesuffix("$") for _, p in known or SENTENCES)
+    apart = lambda s: F.transform(F.filter(s, lambda x: F.lower(x).rlike(CUES)), lambda x: F.coalesce(line_id(x, known), F.lit("unknown")))
+    wrapped = lambda s: (F.size(s) > 1) & plain(F.array_join(s, " ")).rlike(anywhere)
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(wrapped(s), join_lines(s, known)).otherwise(apart(s))))
 
 
 def sentence_id(sentence: Column, known=None) -> Column:
@@ -103,6 +159,15 @@ def apply_rules(sequence: Column, rules=None) -> Column:
     return sequence
 
 
+def spdx_licence(name: Column, rules=None) -> Column:
+    """`#licence` of an SPDX tag, written as the rules write it where they know it; other identifiers as they are."""
+    tag = F.substr(name, F.lit(6))
+    out = F.concat(F.lit("#"), tag)
+    for licence in dict.fromkeys(x for x, _ in rules or RULES):
+        out = F.when(F.lower(tag) == licence.lower(), F.lit(f"#{licence}")).otherwise(out)
+    return F.when(name.startswith("spdx="), out).otherwise(name)
+
+
 def scan_licences(docs: DataFrame, text: str = "text", known=None, rules=None) -> DataFrame:
     """docs with sentence_ids (in text order), licences (in text order, comma-separated) and n_unmatched.
 
@@ -110,13 +175,13 @@ def scan_licences(docs: DataFrame, text: str = "text", known=None, rules=None) -
     and are not counted there but in n_unknown.
     """
     docs = docs.drop("sentence_ids", "licences", "n_unmatched", "n_unknown", "_ids", "_seq")
-    ids = F.transform(sentences(F.col(text)), lambda s: F.coalesce(sentence_id(s, known), F.lit("unknown")))
+    ids = sentence_ids(F.col(text), known)
     found = docs.withColumn("_ids", F.when(F.lower(text).rlike(CUES), ids).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_seq", apply_rules(F.concat_ws("", F.transform("_ids", lambda x: F.concat(F.lit("|"), x, F.lit("|")))), rules))
+    found = found.withColumn("_seq", apply_rules(F.concat_ws("", F.transform("_ids", lambda x: F.concat(F.lit("|"), spdx_licence(x, rules), F.lit("|")))), rules))
     parts = F.filter(F.split("_seq", r"\|"), lambda x: x != "")
     licences = F.array_join(F.transform(F.filter(parts, lambda x: x.startswith("#")), lambda x: F.substr(x, F.lit(2))), ",")
     return found.withColumns({
-        "sentence_ids": F.array_join("_ids", ","),
+        "sentence_ids": F.array_join(F.transform("_ids", lambda x: F.regexp_replace(x, "^spdx=.*", "spdx")), ","),
         "licences": licences,
         "n_unmatched": F.size(F.filter(parts, lambda x: ~x.startswith("#") & (x != "unknown"))).cast("long"),
         "n_unknown": F.size(F.filter(F.col("_ids"), lambda x: x == "unknown")).cast("long"),
