@@ -99,3 +99,32 @@ def test_sql_functions(spark):
     register_sql(spark)
     r = spark.sql("select haversine_ft(0D, 0D, 0D, 1D) as d, iou(0D, 0D, 2D, 2D, 1D, 0D, 3D, 2D) as i").first()
     assert abs(r.d - 364813.0) < 200 and abs(r.i - 1 / 3) < 1e-12
+
+
+def test_gps_logs_of_a_hot_camera(spark):
+    """The ladder by brute force on a few rows; one camera's day of 40,000 videos and logs makes no pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from yardspark.operators.timejoin import match_gps_log
+
+    rng, kind = random.Random(4), "name string, camera string, date string, time_s int, stem string"
+    row = lambda i: (f"n{i}", rng.choice(["a", "b", None]), rng.choice(["d", "e"]), rng.choice([None, *[rng.randrange(3000) for _ in range(5)]]), rng.choice(["s", "t", "u", None]))
+    for n in (0, 3, 12):
+        videos, logs = [row(i) for i in range(60)], [row(i) for i in range(n)]
+        want = {}
+        for v in videos:
+            found = [(4, 0, x[0]) for x in logs if v[4] and v[4] == x[4]]
+            for x in (x for x in logs if v[1] and v[1:3] == x[1:3]):
+                gap = None if v[3] is None or x[3] is None else abs(v[3] - x[3])
+                found.append((3, 0, x[0]) if gap is None else (1 if gap == 0 else 2 if gap <= 300 else 5, gap, x[0]))
+            if found:
+                want[v[0]] = min(found)
+        got = match_gps_log(spark.createDataFrame(videos, kind), spark.createDataFrame(logs, kind)).collect()
+        assert {r.name: (r.step, r.gap, r.log) for r in got} == want
+    hot = spark.range(40000).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("c").alias("camera"), F.lit("d").alias("date"), (F.col("id") * 2).cast("int").alias("time_s"), F.lit("s").alias("stem"))
+    logs = hot.withColumn("time_s", F.col("time_s") + 1)
+    out = match_gps_log(hot, logs)
+    assert out.filter("gap = 1 and step = 2").count() == 40000
+    assert "match_gps_log_all" in QUERIES

@@ -56,12 +56,31 @@ def match_gps_log(videos: DataFrame, logs: DataFrame, near_s: int = 300) -> Data
     and date without time; same stem; last the nearest time beyond near_s.
 
     videos, logs: name, camera, date, time_s (null: none), stem.
+
+    Rows of one camera and date are not paired: their distinct times are sorted once, which gives each video's time the
+    logs next before and after it, and for the other steps the first log of each camera, date and stem is enough.
     """
-    right = logs.select(F.col("name").alias("log"), F.col("camera").alias("lc"), F.col("date").alias("ld"), F.col("time_s").alias("lt"), F.col("stem").alias("ls"))
-    same_day = videos.join(right, (F.col("camera") == F.col("lc")) & (F.col("date") == F.col("ld")))
-    same_stem = videos.join(right, F.col("stem") == F.col("ls"))
-    gap = F.abs(F.col("time_s") - F.col("lt"))
-    step = F.when(gap == 0, 1).when(gap <= near_s, 2).when(F.col("lt").isNull() | F.col("time_s").isNull(), 3).otherwise(5)
-    found = same_day.select("name", "log", step.alias("step"), F.coalesce(gap, F.lit(0)).alias("gap")).unionByName(same_stem.select("name", "log", F.lit(4).alias("step"), F.lit(0).alias("gap")))
-    best = found.groupBy("name").agg(F.min(F.struct("step", "gap", "log")).alias("b"))
-    return best.select("name", "b.log", "b.step", "b.gap")
+    key = ["camera", "date"]
+    right = logs.select(*key, "time_s", "stem", F.struct(F.col("name").alias("log")).alias("_l"))
+    timed = F.col("camera").isNotNull() & F.col("date").isNotNull() & F.col("time_s").isNotNull()
+    times = right.filter(timed).select(*key, "time_s", "_l", F.lit(0).alias("_k"))
+    times = times.unionByName(videos.filter(timed).select(*key, "time_s", F.lit(1).alias("_k")), allowMissingColumns=True)
+    times = times.groupBy(*key, "time_s").agg(F.min("_l").alias("_l"), F.max("_k").alias("_k"))
+    held, w = F.when(F.col("_l").isNotNull(), F.struct("time_s", "_l")), Window.partitionBy(*key)
+    first, last = Window.unboundedPreceding, Window.currentRow
+    times = times.withColumns({
+        "_p": F.last(held, ignorenulls=True).over(w.orderBy("time_s").rowsBetween(first, last)),
+        "_n": F.last(held, ignorenulls=True).over(w.orderBy(F.col("time_s").desc()).rowsBetween(first, last)),
+    }).filter("_k = 1")
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("time_s") - F.col(f"{c}.time_s")).alias("gap"), F.col(f"{c}._l.log").alias("log")))
+    near = times.select(*key, "time_s", F.array_min(F.array(gap("_p"), gap("_n"))).alias("_near"))
+    day = right.groupBy(*key).agg(F.min("_l").alias("_any"), F.min(F.when(F.col("time_s").isNull(), F.col("_l"))).alias("_untimed"))
+    stems = right.groupBy("stem").agg(F.min("_l").alias("_stem"))
+    found = videos.join(near, [*key, "time_s"], "left").join(day, key, "left").join(stems, "stem", "left")
+    g = F.col("_near.gap")
+    step = F.when(g == 0, 1).when(g <= near_s, 2).otherwise(5)
+    choice = lambda l, step, gap: F.when(l.isNotNull(), F.struct(step.alias("step"), gap.alias("gap"), l["log"].alias("log")))
+    untimed = F.when(F.col("time_s").isNull(), F.col("_any")).otherwise(F.col("_untimed"))
+    best = F.array_min(F.array(choice(F.col("_near"), step, g), choice(untimed, F.lit(3), F.lit(0)), choice(F.col("_stem"), F.lit(4), F.lit(0))))
+    out = found.select("name", best.alias("b")).filter("b is not null").groupBy("name").agg(F.min("b").alias("b"))
+    return out.select("name", "b.log", "b.step", "b.gap")

@@ -98,6 +98,11 @@ def _logs(s, d, part):
     return rows.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), F.col("camera_id").alias("camera"), F.to_date("created_on").alias("date"), F.when(F.col("k") % 10 > 0, F.hour("created_on") * 3600 + F.minute("created_on") * 60 + F.floor(F.second("created_on"))).cast("int").alias("time_s"), F.concat(F.lit("s"), F.floor(F.col("id") / 200).cast("string")).alias("stem"))
 
 
+def _all_logs(s, d, table, number, camera, ts):
+    """Every row of a table as a video or a log; a tenth is without time."""
+    return view(s, d, table).select(F.concat(F.lit("v"), F.col(number).cast("string")).alias("name"), F.col(camera).alias("camera"), F.to_date(ts).alias("date"), F.when(F.col("k") % 10 > 0, F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))).cast("int").alias("time_s"), F.concat(F.lit("s"), F.floor(F.col(number) / 200).cast("string")).alias("stem"))
+
+
 def _logs_sql(name, part):
     return f"{name} as (select 'v' || id as name, camera_id as camera, cast(created_on as date) as date, case when k % 10 > 0 then cast(hour(created_on) * 3600 + minute(created_on) * 60 + second(created_on) as int) end as time_s, 's' || cast(floor(id / 200) as bigint) as stem from scans where id % 40 = {part})"
 
@@ -195,6 +200,7 @@ QUERIES = {
     "gps_nearest": (lambda s, d: _rounded(T.gps_nearest(view(s, d, "frames"), view(s, d, "fixes")), 3, "gap_s"), sql("with p as (select a.event_id, b.event_id as fix_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) as g, row_number() over (partition by a.event_id order by abs(epoch_us(a.ts) - epoch_us(b.ts)), b.ts, b.event_id) as rn from frames a join fixes b using (device)) select event_id, fix_id, round(g / 1e6, 3) as gap_s from p where rn = 1", "frames", "fixes")),
     "frame_time": (lambda s, d: T.frame_time(view(s, d, "frames").select(F.col("device").alias("video"), F.col("event_id").alias("frame"), F.lit(20000).alias("total")), view(s, d, "fixes").select(F.col("device").alias("video"), "ts")), sql("with sp as (select device, epoch_us(min(ts)) as a, epoch_us(max(ts)) as z from fixes group by 1) select device as video, event_id as frame, 20000 as total, a + cast(floor(event_id / 20000 * (z - a)) as bigint) as micros from frames join sp using (device)", "frames", "fixes")),
     "match_gps_log": (lambda s, d: T.match_gps_log(_logs(s, d, 0), _logs(s, d, 7)), sql(_MATCH, "scans")),
+    "match_gps_log_all": (lambda s, d: T.match_gps_log(_all_logs(s, d, "scans", "id", "camera_id", "created_on"), _all_logs(s, d, "fixes", "event_id", "device", "ts")), None),
     "average_position": (lambda s, d: _rounded(G.average_position(view(s, d, "fixes")), 8, "lat", "lon"), sql(_AVG, "fixes")),
     "position_accuracy": (lambda s, d: _rounded(G.position_accuracy(view(s, d, "fixes"), LAT0, LON0).select("event_id", "error_m", "band"), 3, "error_m"), sql(f"with e as (select event_id, {_feet('lat', 'lon', LAT0, LON0)} / 3.28084 as e from fixes) select event_id, round(e, 3) as error_m, case when e < 5 then 'excellent' when e < 10 then 'good' when e < 20 then 'fair' when e < 50 then 'poor' else 'bad' end as band from e", "fixes")),
     "to_local": (_to_local, sql(_LOCAL, "scans")),
