@@ -67,3 +67,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame.limit(8), str(tmp_path)).columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated and null ids are judged by their texts, further columns are left out, an empty table gives an empty one."""
+    words = "the and of to in is that for it with was on are as".split()
+    rng = random.Random(5)
+    body = lambda: " ".join(rng.choice(words) + rng.choice(["", "ab", "or", "en"]) for _ in range(50))
+    one, two, item = body(), body(), body()
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, body()), (9, f"{body()} {item}"), (9, body())] + [(20 + i, body()) for i in range(10)]
+    docs = [(i, t, "aa", "s", len(t), "more") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
+    for name, part in (("some", docs), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0, 1, 1, 9, *range(20, 30)]
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

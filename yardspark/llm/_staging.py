@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where it is unset (a local session), one own temporary folder."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a local session gets one own temporary folder."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="yardspark-"))
     return _own[0]
@@ -37,3 +39,19 @@ class Staging:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over the session's cores where its files have fewer splits than that (a small table in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -60,6 +60,14 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run raw[start:end] of bytes."""
+    up, back = _powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, first byte, byte after) of each word; bytes count from the start of all texts, each followed by one byte."""
     raw = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
@@ -68,10 +76,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     gap[1:] = _SPACE[raw]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edges[0::2], edges[1::2]
-    up, back = _powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    code = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    code = codes(raw, start, end)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     return code, np.searchsorted(begin, start, "right") - 1, start, end
 

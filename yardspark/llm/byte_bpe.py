@@ -14,59 +14,37 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardspark.llm._pretokens import chunks, splitter
+from yardspark.llm._pretokens import Chunks, Table, gather, letters, segments, splitter
 from yardspark.llm._staging import Staging
+from yardspark.llm._words import pieces, slices
 
 #: Most words whose ids are broadcast.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Bytes of a word beyond which it is merged with a heap, as a fold takes time with the square of the length.
 LONG = 128
-#: About so many texts are sampled by a hash for the frequent words.
-SAMPLE = 1 << 15
-#: Chunks that a task remembers, in each half of its memory; texts that it handles at once.
-MEMORY, ROWS = 200_000, 256
+#: About so many texts, and no more than this part of them, are sampled by a hash for the frequent words.
+SAMPLE, PART = 1 << 15, 1 / 8
+#: Tasks that fold the frequent words: these are few bytes, which would else be one task.
+FOLDING = 32
+#: Chunks that a task remembers.
+MEMORY = 200_000
 #: Distinct chunks that a task counts before it passes the counts on.
 FLUSH = 200_000
 #: Ids from here on stand for the words of a document that are still to be folded.
 _OPEN = 1 << 31
-#: Bits of an id within a table entry.
+#: Bits of an id within a table entry, and all of them set.
 _BITS = 20
-#: Slots of the table of merges for each entry, about.
-_ROOM = 2.6
-
-
-class Looked(dict):
-    """Ids by chunk in a task's memory. Chunks with open words are held for one run of texts only; when the memory is
-    full, what the last runs used moves on and the rest is dropped."""
-
-    def __init__(self, resolve: Callable[[str], tuple[bytes, bool]], most: int):
-        super().__init__()
-        self.resolve, self.most, self.old, self.open = resolve, most, {}, []
-
-    def start(self) -> None:
-        for chunk in self.open:
-            del self[chunk]
-        self.open = []
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (got := self.old.get(chunk)) is None:
-            got, closed = self.resolve(chunk)
-            if not closed or len(chunk) >= 64:
-                self.open.append(chunk)
-        self[chunk] = got
-        return got
+_MASK = (1 << _BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,28 +92,34 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _slots(a, b, size: int):
-    return ((a * (1 << _BITS) + b) % size, (a * 7919 + b * 104729 + 13) % size)
-
-
-def merge_table(pairs: dict[tuple[int, int], int]) -> list[int]:
-    """A table where each pair stands in one of its two slots: pair and id in one number, 0 where empty."""
-    size = int(len(pairs) * _ROOM) | 1
-    while True:
-        table: list[tuple[int, int, int] | None] = [None] * size
-        for (a, b), rank in pairs.items():
-            item, at = (a, b, rank), _slots(a, b, size)[0]
-            for _ in range(200):
-                item, table[at] = table[at], item
-                if item is None:
-                    break
-                one, two = _slots(item[0], item[1], size)
-                at = two if at == one else one
-            if item is not None:
+def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(places, entries): the pair (a, b) stands in entries[places[a] + b] as a << 40 | id << 20, if it merges.
+
+    The partners of each left id are laid into one array where they fit first, those with most partners first. An entry
+    names its left id, so a pair that does not merge finds another's entry or an empty one.
+    """
+    partners: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in pairs.items():
+        partners.setdefault(a, []).append((b, rank))
+    ids = 256 + max(map(max, pairs), default=0) + max(pairs.values(), default=0)
+    used = np.zeros(2 * ids + 4 * len(pairs), bool)
+    entries, places, at, before = np.full(len(used), _MASK << (2 * _BITS), np.int64), [0] * ids, 0, 0
+    for a in sorted(partners, key=lambda a: (-len(partners[a]), a)):
+        bs = np.array([b for b, _ in partners[a]])
+        if len(bs) != before:  # as many partners as before do not fit earlier, mostly
+            at, before = 0, len(bs)
+        at = max(at, int(np.argmin(used)) - int(bs.min()))
+        while True:
+            tried = np.arange(at, at + 512)
+            if (at + 512 + int(bs.max())) >= len(used):
+                used, entries = np.append(used, np.zeros(ids, bool)), np.append(entries, np.full(ids, _MASK << (2 * _BITS), np.int64))
+            if len(fits := tried[~used[tried[:, None] + bs].any(1)]):
                 break
-        else:
-            return [0 if x is None else ((x[0] << _BITS | x[1]) << _BITS) | x[2] for x in table]
-        size += 1001
+            at += 512
+        at = places[a] = int(fits[0])
+        used[places[a] + bs] = True
+        entries[places[a] + bs] = (a << 2 * _BITS) | (np.array([r for _, r in partners[a]], np.int64) << _BITS)
+    return places, entries[: max(places) + ids].tolist()
 
 
 def _numbers(values: list[int], kind: str) -> Column:
@@ -148,37 +132,36 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def fold_merges(words: Column, ranks: dict[bytes, int], table: list[int]) -> Column:
+def fold_merges(words: Column, ranks: dict[bytes, int], table: tuple[list[int], list[int]]) -> Column:
     """The ids (array<array<int>>) of words given as arrays of their byte values, by ranked merging.
 
-    The state holds a number for each part: the rank at which it merges with the next part, then its id. The least
-    number is the next merge, the leftmost of equal ones comes first, and only its neighbours get new ranks. The two
-    literal tables are bound once, outside the fold.
+    The state holds a number for each part: the rank at which it merges with the next part, then its id; without such a
+    merge the number is at least `none`. The least number is the next merge, the leftmost of equal ones comes first, and
+    only its neighbours get new ranks. The literal tables are bound once, outside the fold.
     """
-    mask, never = F.lit((1 << _BITS) - 1), F.lit(((1 << _BITS) - 1) << _BITS)
+    mask, none, last = F.lit(_MASK), F.lit(1 << 2 * _BITS), F.lit(1 << 3 * _BITS)
 
-    def fold(word: Column, single: Column, entries: Column) -> Column:
+    def fold(word: Column, single: Column, places: Column, entries: Column) -> Column:
         def part(a: Column, b: Column) -> Column:
-            """A part's number: (rank of the pair, id of a); `never` and the id where the pair has no rank."""
-            one, two = _slots(a, b, len(table))
-            found = lambda x, other: F.when(F.shiftright(x, _BITS) == a * F.lit(1 << _BITS) + b, x.bitwiseAND(mask) * F.lit(1 << _BITS)).otherwise(other)
-            return a + found(F.get(entries, one), found(F.get(entries, two), never))
+            """A part's number; null without a next part b. An entry of another left id leaves bits above its rank."""
+            return F.get(entries, F.get(places, a) + b).bitwiseXOR(a * F.lit((1 << 2 * _BITS) + 1))
 
-        def merged(parts: Column, best: Column, at: Column) -> Column:
-            new = F.shiftright(best, _BITS)
-            before, after = F.get(parts, at - 2).bitwiseAND(mask), F.get(parts, at + 1).bitwiseAND(mask)
-            head = F.when(at > 1, F.concat(F.slice(parts, F.lit(1), at - 2), F.array(part(before, new)))).otherwise(F.slice(parts, F.lit(1), F.lit(0)))
-            return F.concat(head, F.array(F.when(after.isNull(), new + never).otherwise(part(new, after))), F.slice(parts, at + 2, F.size(parts)))
+        def merged(parts: Column, new: Column, at: Column) -> Column:
+            tail = F.coalesce(part(new, F.get(parts, at + 1).bitwiseAND(mask)), new + last)
+            rest = F.slice(parts, at + 2, F.size(parts))
+            head = F.concat(F.slice(parts, F.lit(1), at - 2), F.array(part(F.get(parts, at - 2).bitwiseAND(mask), new), tail), rest)
+            return F.when(at > 1, head).otherwise(F.concat(F.array(tail), rest))
 
         def step(parts: Column, _: Column) -> Column:
-            return _let(F.array_min(parts), lambda best: F.when(best >= never, parts).otherwise(_let(F.array_position(parts, best).cast("int"), lambda at: merged(parts, best, at))))
+            return _let(F.array_min(parts), lambda best: F.when(best >= none, parts).otherwise(_let(F.array_position(parts, best).cast("int"), lambda at: merged(parts, F.shiftright(best, _BITS), at))))
 
         ids = F.transform(word, lambda b: F.get(single, b))
-        start = _let(ids, lambda i: F.transform(i, lambda a, at: F.when(at + 1 < F.size(i), part(a, F.get(i, at + 1))).otherwise(a + never)))
+        start = _let(ids, lambda i: F.transform(i, lambda a, at: F.coalesce(part(a, F.get(i, at + 1)), a + last)))
         return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step), lambda x: x.bitwiseAND(mask).cast("int"))
 
-    bytes_, pairs = _numbers([ranks[bytes([b])] for b in range(256)], "bigint"), _numbers(table, "bigint")
-    return _let(pairs, lambda entries: _let(bytes_, lambda single: F.transform(words, lambda w: fold(w, single, entries))))
+    single, places, entries = ([ranks[bytes([b])] for b in range(256)], *table)
+    bound = lambda values, then: _let(_numbers(values, "bigint"), then)
+    return bound(entries, lambda e: bound(places, lambda p: bound(single, lambda s: F.transform(words, lambda w: fold(w, s, p, e)))))
 
 
 def word_counts(docs: DataFrame, ranks, split_pattern: str, text: str = "text") -> DataFrame:
@@ -190,15 +173,17 @@ def word_counts(docs: DataFrame, ranks, split_pattern: str, text: str = "text")
         def out(seen: Counter) -> pa.RecordBatch:
             words: Counter = Counter()
             for chunk, n in seen.items():
-                for w in split(chunk):
-                    if len(raw := w.encode()) <= LONG and raw not in known:
+                for w in [chunk] if letters(chunk) else [w.encode() for w in split(chunk.decode())]:
+                    if len(w) <= LONG and w not in known:
                         words[w] += n
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
         seen: Counter = Counter()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                seen.update(chunks(x or ""))
+            for _, texts in slices(batch.column(0)):
+                found = Chunks([part for t in texts for part in segments(t)])
+                for chunk, n in zip(found.take(np.arange(len(found.code))), np.bincount(found.number, minlength=len(found.code)).tolist(), strict=True):
+                    seen[chunk] += n
                 if len(seen) > FLUSH:
                     yield out(seen)
                     seen.clear()
@@ -207,9 +192,8 @@ def word_counts(docs: DataFrame, ranks, split_pattern: str, text: str = "text")
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, ranks: dict[bytes, int], table: list[int], most: int = FREQUENT) -> bytes:
-    """The most frequent words, at most `most` of them, with their ids, as one Arrow stream: those above the least count
-    that keeps to the bound."""
+def frequent_words(counts: DataFrame, ranks: dict[bytes, int], table, most: int = FREQUENT) -> pa.Table:
+    """The most frequent words, at most `most` of them, with their ids: those above the least count that keeps to the bound."""
     top = F.least("n", F.lit(10_000))
     least, left = 10_001, most
     for r in sorted(counts.groupBy(top.alias("c")).count().collect(), reverse=True):
@@ -217,22 +201,37 @@ def frequent_words(counts: DataFrame, ranks: dict[bytes, int], table: list[int],
         if left < 0:
             break
         least = r[0]
-    words = counts.filter(F.col("n") >= max(2, least)).select("word", F.get(fold_merges(F.array(byte_values(F.encode("word", "UTF-8"))), ranks, table), F.lit(0)).alias("ids"))
-    got = words.toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as out:
-        out.write_table(got)
-    return sink.getvalue().to_pybytes()
-
-
-def word_ids(stream: bytes) -> dict[str, bytes]:
-    """The words of frequent_words with their ids as little-endian unsigned 32-bit integers."""
-    out: dict[str, bytes] = {}
-    for batch in pa.ipc.open_stream(stream):
-        lists = batch.column(1)
-        ends, flat = lists.offsets.to_numpy() * 4, lists.values.to_numpy().astype("<u4").tobytes()
-        out.update(zip(batch.column(0).to_pylist(), (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True))
-    return out
+    word = F.encode("word", "UTF-8")
+    return counts.filter(F.col("n") >= max(2, least)).repartition(FOLDING).select(word.alias("word"), F.get(fold_merges(F.array(byte_values(word)), ranks, table), F.lit(0)).alias("ids")).toArrow()
+
+
+def known_chunks(words: pa.Table, ranks: dict[bytes, int]) -> Table:
+    """The ids of the vocabulary's entries and of the given words, where they are runs of letters and so whole chunks."""
+    own = [(t, i) for t, i in ranks.items() if letters(t)]
+    taken = [Chunks.of([t for t, _ in own])]
+    size, flat = [np.ones(len(own), np.int64)], [np.array([i for _, i in own], "<u4")]
+    for batch in words.to_batches(max_chunksize=1 << 14):  # a little at a time, as the driver has other tables too
+        taken.append(Chunks.of(batch.column(0).to_pylist()))
+        size.append(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        flat.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+    return Table(np.concatenate([x.code for x in taken]), np.concatenate([x.check for x in taken]), np.concatenate(size), np.concatenate(flat))
+
+
+class Pieces:
+    """The bytes of every id, in one flat array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        named = {i: t for t, i in ranks.items()}
+        self.size = np.zeros(max(named, default=0) + 1, np.int64)
+        self.size[list(named)] = [len(t) for t in named.values()]
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(named[i] for i in sorted(named)), np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all the ids' pieces, where each piece ends)."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return gather(self.flat, self.start[ids], size), ends
 
 
 def byte_values(word: Column) -> Column:
@@ -240,117 +239,143 @@ def byte_values(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int"))
 
 
-def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE, decoded: bool = False) -> DataFrame:
+def _joined(parts: Column, places: Column, words: Column) -> Column:
+    """The parts (array<binary>) in order, each but the last followed by the word that stands at its place."""
+    each = _let(words, lambda w: F.zip_with(parts, places, lambda p, i: F.when(i.isNull(), p).otherwise(F.concat(p, F.get(w, i)))))
+    return F.array_join(each.cast("array<string>"), "").cast("binary")
+
+
+def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE, part: float = PART, decoded: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with `ids`, the text's token ids as little-endian unsigned 32-bit integers, and n_tokens.
 
-    decoded: also the bytes to which the ids decode, as decode() gives them.
+    decoded: also the bytes to which the ids decode, as decode() gives them. keep_text: whether the text stays.
     """
     spark, ranks = docs.sparkSession, read_ranks(vocabulary)
     table, sent = merge_table(merges(ranks)), spark.sparkContext.broadcast(ranks)
-    share = int(min(1.0, sample / max(1, docs.count())) * (1 << 20))
+    share = int(min(part, sample / max(1, docs.count())) * (1 << 20))
     drawn = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share)
-    counts = Staging(spark, "byte_bpe").put(word_counts(drawn, sent, split_pattern, text), "words")
-    common = spark.sparkContext.broadcast(frequent_words(counts, ranks, table, frequent))
-    docs = docs.drop("ids", "n_tokens", "_open", "_rest")
+    stage = Staging(spark, "byte_bpe")
+    counts = stage.put(word_counts(drawn, sent, split_pattern, text), "words")
+    common = spark.sparkContext.broadcast(known_chunks(frequent_words(counts, ranks, table, frequent), ranks))
+    stage.drop("words")
+    docs = docs.drop("ids", "n_tokens", *["decoded"] * decoded)
     at = docs.columns.index(text)
-    parts = T.StructType([*docs.schema.fields, T.StructField("_open", T.BinaryType()), T.StructField("_rest", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    own = [i for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
+    binaries, one = T.ArrayType(T.BinaryType()), T.ArrayType(T.IntegerType())
+    # the columns of docs travel under names that clash with nothing
+    kept = [T.StructField(f"c{i}", docs.schema.fields[i].dataType) for i in own]
+    parts = T.StructType([*kept, T.StructField("ids", binaries), T.StructField("pieces", binaries), T.StructField("places", one), T.StructField("open", T.ArrayType(one))])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known, more = splitter(split_pattern), sent.value, word_ids(common.value)
-        kind = pa.list_(pa.field("element", pa.list_(pa.field("element", pa.int32()))))
-
-        def resolve(chunk: str) -> tuple[bytes, bool]:
-            """The chunk's ids, words still to be folded as open ids, and whether there are none of these."""
-            out, closed = [], True
-            for w in split(chunk):
-                raw = w.encode()
-                if (i := known.get(raw)) is not None:
-                    out.append(i.to_bytes(4, "little"))
-                elif (ids := more.get(w)) is not None:
-                    out.append(ids)
-                elif len(raw) > LONG:
-                    out.append(np.array(merge_long(raw, known), "<u4").tobytes())
-                else:
-                    closed = False
-                    out.append((_OPEN + opened.setdefault(raw, len(opened))).to_bytes(4, "little"))
-            return b"".join(out), closed
-
-        looked = Looked(resolve, MEMORY)  # of this task alone, so that idle workers hold nothing
-        look = looked.__getitem__
-        for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(first, ROWS)
-                opened: dict[bytes, int] = {}
-                looked.start()
-                ids, rest = [], []
-                for x in rows.column(at).to_pylist():
-                    one = np.frombuffer(b"".join(map(look, chunks(x or ""))), "<u4")
-                    where = np.flatnonzero(one >= _OPEN)
-                    own, place = np.unique(one[where], return_inverse=True)
-                    if len(own):
-                        one = one.copy()
-                        one[where] = place + _OPEN
-                    ids.append(one.tobytes())
-                    rest.append(own - _OPEN)
-                lengths = np.fromiter(map(len, opened), np.int64, len(opened))
-                begins, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(opened), np.uint8)
-                picks = np.concatenate(rest).astype(np.int64) if rest else np.empty(0, np.int64)
-                size = lengths[picks]
-                inner = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                values = flat[np.repeat(begins[picks] - inner[:-1], size) + np.arange(inner[-1])].astype(np.int32)
-                outer = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(values))).cast(kind)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary()), words], names=parts.names)
-
-    found = docs.mapInArrow(look_up, parts).drop(text) if decoded else docs.mapInArrow(look_up, parts)
-    found = found.withColumn("_rest", fold_merges(F.col("_rest"), ranks, table))
-    keep = [f for f in found.schema.fields if f.name not in ("_open", "_rest")]
-    schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.BinaryType())] * decoded])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: t for t, i in sent.value.items()}.__getitem__
-        n = len(keep)
+        split, known, common_ids = splitter(split_pattern), sent.value, common.value
+        piece = Pieces(known) if decoded else None
+        memory = Table.empty()  # what this task has resolved; idle workers hold nothing
+        of = lambda values, ends, kind: pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+        def resolve(new: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray]:
+            """(the chunks' ids, words still to be folded, which open ids stand for, which chunks have none of these)."""
+            ids, opened, closed = [], {}, np.ones(len(new), bool)
+            for k, c in enumerate(new):
+                out = []
+                for w in (c,) if letters(c) else [x.encode() for x in split(c.decode())]:
+                    if (i := known.get(w)) is not None:
+                        out.append(i.to_bytes(4, "little"))
+                    elif len(w) > LONG:
+                        out.append(np.array(merge_long(w, known), "<u4").tobytes())
+                    else:
+                        out.append((_OPEN + opened.setdefault(w, len(opened))).to_bytes(4, "little"))
+                        closed[k] = False
+                ids.append(b"".join(out))
+            return ids, list(opened), closed
+
+        def run(rows: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            nonlocal memory
+            cut = [(i, part) for i, t in enumerate(texts) for part in segments(t)]
+            found = Chunks([part for _, part in cut])
+            if len(memory.code) > MEMORY:
+                memory = Table.empty()
+            size, parts_of = np.zeros(len(found.code), np.int64), []
+            left = np.arange(len(found.code))
+            for source in (common_ids, memory):
+                at = source.find(found.code[left], found.check[left])
+                hit = at >= 0
+                size[left[hit]] = source.size[at[hit]]
+                parts_of.append((left[hit], gather(source.flat, source.start[at[hit]], source.size[at[hit]])))
+                left = left[~hit]
+            each, opened, closed = resolve(found.take(left))
+            size[left] = n = np.array([len(x) >> 2 for x in each], np.int64)
+            fresh_ids = np.frombuffer(b"".join(each), "<u4")
+            parts_of.append((left, fresh_ids))
+            closed &= found.end[left] - found.start[left] < 64
+            kept = left[closed]
+            memory = memory.with_more(found.code[kept], found.check[kept], n[closed], gather(fresh_ids, (np.cumsum(n) - n)[closed], n[closed]))
+            begin = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), "<u4")
+            for which, values in parts_of:
+                flat[np.repeat(begin[which] - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(len(values))] = values
+            number, per_part = found.number, found.per_text
+            n = size[number]
+            ids = gather(flat, begin[number], n)
+            ends = np.cumsum(np.bincount(np.repeat(np.array([i for i, _ in cut]), per_part), n, minlength=len(texts)).astype(np.int64))
+            is_open = ids >= _OPEN
+            where = np.flatnonzero(is_open)
+            # parts end at open words and at the ends of texts, in this order
+            order = np.argsort(np.concatenate((2 * where, 2 * ends - 1)), kind="stable")
+            closed = np.concatenate(([0], np.cumsum(~is_open)))
+            stops = np.concatenate(([0], np.concatenate((closed[where], closed[ends]))[order]))
+            known_ids = ids[~is_open]
+            doc = np.searchsorted(ends, where, "right")
+            per = np.bincount(doc, minlength=len(texts))
+            outer = np.concatenate(([0], np.cumsum(per + 1))).astype(np.int32)
+            columns = [rows.column(i) for i in own]
+            columns.append(pa.ListArray.from_arrays(outer, of(known_ids, 4 * stops, pa.binary())))
+            if decoded:
+                flat, piece_ends = piece.join(known_ids)
+                columns.append(pa.ListArray.from_arrays(outer, of(flat, np.concatenate(([0], piece_ends))[stops], pa.binary())))
+            else:
+                columns.append(pa.nulls(len(texts), pa.list_(pa.binary())))
+            # each text's distinct open words, and which of them stands at each place
+            pair, place = np.unique(doc * np.int64(len(opened) + 1) + (ids[where] - np.uint32(_OPEN)).astype(np.int64), return_inverse=True)
+            home, word = np.divmod(pair, len(opened) + 1)
+            first = np.searchsorted(home, np.arange(len(texts) + 1)).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(per))).astype(np.int32), pa.array((place - first[doc]).astype(np.int32))))
+            size = np.array([len(w) for w in opened], np.int64)
+            start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(opened), np.uint8)
+            inner = np.concatenate(([0], np.cumsum(size[word]))) if len(word) else np.zeros(1, np.int64)
+            values = flat[np.repeat(start[word] - inner[:-1], size[word]) + np.arange(inner[-1])] if len(word) else flat[:0]
+            columns.append(pa.ListArray.from_arrays(first, pa.ListArray.from_arrays(inner.astype(np.int32), pa.array(values.astype(np.int32)))))
+            return pa.RecordBatch.from_arrays(columns, names=parts.names)
+
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(first, ROWS)
-                folded = rows.column(n + 1)
-                outer, inner, flat = folded.offsets.to_numpy(), folded.values.offsets.to_numpy(), folded.values.values.to_numpy().astype("<u4")
-                ids = []
-                for i, x in enumerate(rows.column(n).to_pylist()):
-                    one = np.frombuffer(x, "<u4")
-                    where = np.flatnonzero(one >= _OPEN)
-                    if len(where):
-                        word = outer[i] + (one[where] - _OPEN).astype(np.int64)
-                        size, grown = np.ones(len(one), np.int64), (inner[word + 1] - inner[word]).astype(np.int64)
-                        size[where] = grown
-                        at = np.cumsum(size) - size
-                        out = np.empty(int(at[-1] + size[-1]), "<u4")
-                        closed = np.ones(len(one), bool)
-                        closed[where] = False
-                        out[at[closed]] = one[closed]
-                        step = np.arange(int(grown.sum())) - np.repeat(np.cumsum(grown) - grown, grown)
-                        out[np.repeat(at[where], grown) + step] = flat[np.repeat(inner[word].astype(np.int64), grown) + step]
-                        one = out
-                    ids.append(one)
-                columns = [*rows.columns[:n], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
-                if decoded:
-                    columns.append(pa.array([b"".join(map(piece, i.tolist())) for i in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return found.mapInArrow(assemble, schema)
+            for first, texts in slices(batch.column(at)):
+                yield run(batch.slice(first, len(texts)), texts)
+
+    found = docs.mapInArrow(look_up, parts).withColumn("folded", fold_merges(F.col("open"), ranks, table))
+    little = lambda i: F.lpad(F.hex(i.cast("long").bitwiseAND(F.lit(255)) * F.lit(1 << 24) + F.shiftright(i, 8).cast("long").bitwiseAND(F.lit(255)) * F.lit(1 << 16) + F.shiftright(i, 16).cast("long") * F.lit(1 << 8)), 8, "0")
+    four = F.transform("folded", lambda w: F.unhex(F.array_join(F.transform(w, little), "")))
+    made = {"ids": _joined(F.col("ids"), F.col("places"), four)}
+    if decoded:
+        spelt = [""] * (1 + max(ranks.values(), default=0))
+        for t, i in ranks.items():
+            spelt[i] = t.hex()
+        said = _let(F.split(F.lit(",".join(spelt)), ","), lambda p: F.transform("folded", lambda w: F.unhex(F.array_join(F.transform(w, lambda i: F.get(p, i)), ""))))
+        made["decoded"] = _joined(F.col("pieces"), F.col("places"), said)
+    out = found.select(*[F.col(f"c{i}") for i in own], *[c.alias(k) for k, c in made.items()])
+    renamed = [F.col(f"c{i}").alias(docs.columns[i]) for i in own]
+    return out.select(*renamed, "ids", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"), *["decoded"] * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
-    """encoded with `decoded`: the bytes of its ids' pieces, in order."""
-    pieces = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in read_ranks(vocabulary).items()})
+    """encoded with `decoded`: the bytes of its ids' pieces, in order. Null ids decode to nothing."""
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     encoded = encoded.drop("decoded")
     schema, at = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]), encoded.columns.index(ids)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = pieces.value.__getitem__
+        piece = Pieces(ranks.value)
         for batch in batches:
-            out = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
+            for rows in pieces([batch]):
+                out = [piece.join(np.frombuffer(x or b"", "<u4"))[0].tobytes() for x in rows.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return encoded.mapInArrow(join, schema)
-

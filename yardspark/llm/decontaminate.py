@@ -10,8 +10,10 @@ the item's perfect score. What is passed over cannot reach the threshold, so the
 item with each whole text.
 
 Words are runs outside space and 0x09-0x0D, with case folded; ASCII punctuation counts as space. Null or empty texts and items match
-nothing. Rows are judged alone: a repeated document or item gives repeated findings, which are merged by id.
-An item with fewer than MIN_WORDS words is too short to be evidence and is not searched.
+nothing. Rows are judged alone: a repeated document or item gives repeated findings, which are merged by id, also by a
+null id of documents; items without an id are not searched. Of equal scores the earlier window counts. An empty table
+gives an empty result; columns named like an output are not read. An item with fewer than MIN_WORDS words is too short to
+be evidence and is not searched.
 
 The items' words are broadcast while they keep to BROADCAST_WORDS; beyond that items are dealt into parts that each
 keep to it, and the documents are read once for each part.
@@ -25,8 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from yardspark.llm._words import shingles, slices, words
+from yardspark.llm._staging import Staging
+from yardspark.llm._words import pieces, shingles, slices, words
 
 SEED, MIN_WORDS = 3, 6
 BROADCAST_WORDS = 4_000_000
@@ -39,14 +44,10 @@ def bare(raw: bytes) -> bytes:
     return (raw if raw.isascii() else raw.decode(errors="replace").casefold().encode()).translate(_PUNCTUATION)
 
 
-def item_words(items: list[tuple[int, str | None]]) -> dict[int, np.ndarray]:
-    """Word hashes of each item that is long enough."""
-    out = {}
-    for key, text in items:
-        code = words([bare((text or "").encode())])[0]
-        if key is not None and len(code) >= MIN_WORDS:
-            out[key] = code
-    return out
+def item_words(items: list[tuple]) -> tuple[list, dict[int, np.ndarray]]:
+    """(ids, word hashes by place in the ids) of the items that are long enough and have an id."""
+    kept = [(key, code) for key, text in items if key is not None and len(code := words([bare((text or "").encode())])[0]) >= MIN_WORDS]
+    return [key for key, _ in kept], {i: code for i, (_, code) in enumerate(kept)}
 
 
 class Seeds:
@@ -82,12 +83,12 @@ class Seeds:
         word = first[some[good]]
         return owner[word], word, at[good]
 
-    def keep_rarest(self, frequency: np.ndarray, keep: dict[int, int]) -> None:
+    def keep_rarest(self, frequency: np.ndarray, keep: np.ndarray) -> None:
         """Leaves the keep[item] rarest places of each item, ties by offset."""
         order = np.lexsort((self.at, np.repeat(frequency, self.count), self.item))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order], "left")
-        self._index(np.flatnonzero(rank < np.array([keep[i] for i in self.item.tolist()], np.int64)))
+        self._index(np.flatnonzero(rank < keep[self.item.astype(np.int64)]))
 
 
 def least_matched(length: int, threshold: float, min_hits: int) -> int:
@@ -165,95 +166,145 @@ def best_alignment(query: np.ndarray, distinct: np.ndarray, times: np.ndarray, t
     return best if best[0] >= threshold else (0.0, 0, 0)
 
 
+def _parts(benchmark: DataFrame, item_id: str, item_text: str) -> list[DataFrame]:
+    """The benchmark in parts that each keep to BROADCAST_WORDS words, about."""
+    size = benchmark.agg(F.sum(F.size(F.split(F.coalesce(item_text, F.lit("")), r"\s+")))).first()[0] or 0
+    n = max(1, -(-size // BROADCAST_WORDS))
+    return [benchmark.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(n)) == i) for i in range(n)] if n > 1 else [benchmark]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_hits: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of each leaked item: the best window at or above the threshold.
 
     min_hits: seed hits of an item from which a document is aligned around them; with fewer it is aligned where enough
-    single words of the item stand together, so that no leak is lost.
+    single words of the item stand together, so that no leak is lost. Several parts of a benchmark are searched one
+    after the other, and what one needs on the driver and the workers goes before the next.
     """
-    size = benchmark.agg(F.count("*"), F.sum(F.size(F.split(F.coalesce(item_text, F.lit("")), r"\s+")))).first()
-    parts = max(1, -(-(size[1] or 0) // BROADCAST_WORDS))
-    found = [_leaks_of(docs, benchmark.filter(F.pmod(F.xxhash64(item_id), F.lit(parts)) == p), threshold, min_hits, doc_id, text, item_id, item_text) for p in range(parts)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    parts, out, stage = _parts(benchmark, item_id, item_text), None, Staging(docs.sparkSession, "leaks")
+    for i, part in enumerate(parts):
+        search = Search(rows, part.select(item_id, item_text), threshold, min_hits)
+        found = search.leaks(rows, benchmark.schema[item_id].dataType)
+        if len(parts) > 1:
+            found = stage.put(found, f"part{i}")
+            search.release()
+        out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
 
 
-def _leaks_of(docs, benchmark, threshold, min_hits, doc_id, text, item_id, item_text) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    items = item_words([(r[0], r[1]) for r in benchmark.select(item_id, item_text).toLocalIterator()])
-    seeds, single = Seeds(items), Seeds(items, 1)
-    sent = sc.broadcast((items, seeds, single))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value[2]
-        total = np.zeros(len(table.unique), np.int64)
-        for batch in batches:
-            for _, raw in slices(batch.column(1)):
-                code, owner, _, _ = words([bare(t) for t in raw])
-                doc, _, seed = table.hits(code, owner)
-                pairs = np.unique(doc * np.int64(len(table.unique) + 1) + seed)
-                total += np.bincount(pairs % (len(table.unique) + 1), minlength=len(total))[: len(total)]
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["seed", "n"])
-
-    counted = rows.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(len(single.unique), np.int64)
-    frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
-    # of the rarer words an alignment misses at most as many as of all words
-    matched = {key: least_matched(len(x), threshold, min_hits) for key, x in items.items()}
-    keep = {key: max(-(-len(x) // 2), len(x) - matched[key] + 1) for key, x in items.items()}
-    single.keep_rarest(frequency, keep)
-    names = np.array(sorted(items), np.int64)
-    needed = np.array([matched[k] - (len(items[k]) - keep[k]) for k in sorted(items)], np.int64)
-    distinct = {key: np.unique(x, return_counts=True) for key, x in items.items()}
-    rare = sc.broadcast((single, matched, names, needed, distinct))
-
-    def pairs_of(code: np.ndarray, owner: np.ndarray, table: Seeds) -> tuple[dict[tuple[int, int], np.ndarray], set[tuple[int, int]]]:
-        """The item's starts by seed hits for each (text, item) with enough of them; those with enough of the rarer words."""
-        doc, word, seed = table.hits(code, owner)
-        spread, place = table.places(seed)
-        d, item, start = doc[spread], table.item[place], word[spread] - np.searchsorted(owner, doc)[spread] - table.at[place]
-        order = np.lexsort((start, item, d))
-        d, item, start = d[order], item[order], start[order]
-        edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])))) if len(d) else np.empty(0, int)
-        near = {(int(d[s]), int(item[s])): start[s:e] for s, e in zip(edge, np.append(edge, len(d))[1:], strict=True) if e - s >= min_hits}
-        few, _, names, needed, _ = rare.value
-        doc, _, seed = few.hits(code, owner)
-        doc, seed = np.divmod(np.unique(doc * np.int64(len(few.unique) + 1) + seed), len(few.unique) + 1)
-        spread, place = few.places(seed)
-        pair, n = np.unique(doc[spread] * np.int64(len(names) + 1) + np.searchsorted(names, few.item[place]), return_counts=True)
-        d, item = np.divmod(pair, len(names) + 1)
-        some = n >= needed[item]
-        return near, set(zip(d[some].tolist(), names[item[some]].tolist(), strict=True))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, _ = sent.value
-        none = np.empty(0, np.int64)
-        for batch in batches:
-            out: list[tuple] = []
-            for first, raw in slices(batch.column(1)):
-                code, owner, _, _ = words([bare(t) for t in raw])
-                begin = np.searchsorted(owner, np.arange(len(raw) + 1))
-                near, more = pairs_of(code, owner, table)
-                for i, key in sorted(near.keys() | more):
-                    least = rare.value[1][key] if (i, key) in more else len(known[key]) + len(code)
-                    best = best_alignment(known[key], *rare.value[4][key], code[begin[i] : begin[i + 1]], near.get((i, key), none), least, threshold)
-                    if best[0]:
-                        out.append((first + i, key, *best))
-            take = pa.array([x[0] for x in out], pa.int64())
-            columns = [pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns], names=["doc_id", "item_id", "score", "first_word", "last_word"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(score, f"doc_id {kind}, item_id long, score double, first_word long, last_word long")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a leaked item. The leaks are as few rows as documents that leak."""
-    key = options.get("doc_id", "doc_id")
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaked, key, "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_hits: int = 2, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that hold a leaked item. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    parts, stage = _parts(benchmark, item_id, item_text), Staging(docs.sparkSession, "clean")
+    for i, part in enumerate(parts):
+        search = Search(docs.select(F.col(text).alias("text")), part.select(item_id, item_text), threshold, min_hits)
+        docs = search.without_leaks(docs, text)
+        if len(parts) > 1:
+            docs = stage.put(docs, f"part{i}")
+            search.release()
+    return docs
+
+
+class Search:
+    """Seeds of some items with what the texts' word frequencies make of them, as broadcasts, and the steps that use them."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, threshold: float, min_hits: int):
+        sc, self.threshold, self.min_hits = docs.sparkSession.sparkContext, threshold, min_hits
+        self.keys, codes = item_words([(r[0], r[1]) for r in items.toLocalIterator()])
+        single = Seeds(codes, 1)
+        counting = sc.broadcast(single)
+        frequency = self._frequencies(docs, counting, len(single.unique))
+        counting.unpersist()
+        # of the rarer words an alignment misses at most as many as of all words
+        matched = np.array([least_matched(len(x), threshold, min_hits) for x in codes.values()], np.int64)
+        length = np.array([len(x) for x in codes.values()], np.int64)
+        keep = np.maximum(-(-length // 2), length - matched + 1)
+        single.keep_rarest(frequency, keep)
+        distinct = {i: np.unique(x, return_counts=True) for i, x in codes.items()}
+        self.sent = sc.broadcast((codes, Seeds(codes), single, matched, matched - (length - keep), distinct))
+
+    def release(self) -> None:
+        self.sent.unpersist()
+
+    @staticmethod
+    def _frequencies(docs: DataFrame, sent, n: int) -> np.ndarray:
+        """In how many texts each distinct word of the items stands."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = sent.value
+            total = np.zeros(len(table.unique), np.int64)
+            for batch in batches:
+                for _, raw in slices(batch.column(0)):
+                    code, owner, _, _ = words([bare(t) for t in raw])
+                    doc, _, seed = table.hits(code, owner)
+                    pairs = np.unique(doc * np.int64(len(table.unique) + 1) + seed)
+                    total += np.bincount(pairs % (len(table.unique) + 1), minlength=len(total))[: len(total)]
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["seed", "n"])
+
+        counted = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(n, np.int64)
+        frequency[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        return frequency
+
+    def _finder(self):
+        """The function that gives (text number, item, score, first word, word after) of every leak in some texts."""
+        sent, min_hits, threshold = self.sent, self.min_hits, self.threshold
+
+        def pairs_of(code: np.ndarray, owner: np.ndarray) -> tuple[dict[tuple[int, int], np.ndarray], set[tuple[int, int]]]:
+            """The item's starts by seed hits for each (text, item) with enough of them; those with enough of the rarer words."""
+            items, table, few, _, needed, _ = sent.value
+            doc, word, seed = table.hits(code, owner)
+            spread, place = table.places(seed)
+            d, item, start = doc[spread], table.item[place], word[spread] - np.searchsorted(owner, doc)[spread] - table.at[place]
+            order = np.lexsort((start, item, d))
+            d, item, start = d[order], item[order], start[order]
+            edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (item[1:] != item[:-1])))) if len(d) else np.empty(0, int)
+            near = {(int(d[s]), int(item[s])): start[s:e] for s, e in zip(edge, np.append(edge, len(d))[1:], strict=True) if e - s >= min_hits}
+            doc, _, seed = few.hits(code, owner)
+            doc, seed = np.divmod(np.unique(doc * np.int64(len(few.unique) + 1) + seed), len(few.unique) + 1)
+            spread, place = few.places(seed)
+            pair, n = np.unique(doc[spread] * np.int64(len(items) + 1) + few.item[place], return_counts=True)
+            d, item = np.divmod(pair, len(items) + 1)
+            some = n >= needed[item]
+            return near, set(zip(d[some].tolist(), item[some].tolist(), strict=True))
+
+        def find(raw: list[bytes]) -> Iterator[tuple]:
+            items, _, _, matched, _, distinct = sent.value
+            none = np.empty(0, np.int64)
+            code, owner, _, _ = words([bare(t) for t in raw])
+            begin = np.searchsorted(owner, np.arange(len(raw) + 1))
+            near, more = pairs_of(code, owner)
+            for i, k in sorted(near.keys() | more):
+                least = int(matched[k]) if (i, k) in more else len(items[k]) + len(code)
+                best = best_alignment(items[k], *distinct[k], code[begin[i] : begin[i + 1]], near.get((i, k), none), least, threshold)
+                if best[0]:
+                    yield (i, k, *best)
+
+        return find
+
+    def leaks(self, rows: DataFrame, item_kind: T.DataType) -> DataFrame:
+        """rows: doc_id, text."""
+        find, keys = self._finder(), self.keys
+        schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("item_id", item_kind), *[T.StructField(c, k()) for c, k in (("score", T.DoubleType), ("first_word", T.LongType), ("last_word", T.LongType))]])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(first + i, *x) for first, raw in slices(batch.column(1)) for i, *x in find(raw)]
+                columns = [pa.array([x[c] for x in out], t) for c, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in out], pa.int64())), pa.array([keys[x[1]] for x in out], item_type), *columns], names=schema.names)
+
+        item_type = to_arrow_type(schema["item_id"].dataType)
+        return rows.mapInArrow(score, schema)
+
+    def without_leaks(self, docs: DataFrame, text: str) -> DataFrame:
+        find, at = self._finder(), docs.columns.index(text)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                keep = np.ones(batch.num_rows, bool)
+                for first, raw in slices(batch.column(at)):
+                    keep[[first + x[0] for x in find(raw)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(clean, docs.schema)

@@ -4,7 +4,8 @@ A profile is the list of the most frequent n-grams (one to three letters, blanks
 gets the language whose profile has the least out-of-place distance: the sum over the text's own n-grams of the
 difference of ranks, and of the profile's length where an n-gram is absent. Ties go to the alphabetically first
 language. A null text or one without a letter gets `und` and score 0. Any id, also null or repeated, is kept; each row
-is judged alone. Without training rows every text gets `und`.
+is judged alone. Without training rows every text gets `und`, and an empty table gives an empty one. Columns named like
+an output are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -24,43 +25,48 @@ UNKNOWN = "und"
 PROFILE = 400
 #: About so many training documents of each language are read; the bound of the fitted sample.
 SAMPLE = 3000
-#: Letters are folded to so many codes, so that three fit 32 bits.
-_FOLD = 1021
+#: Bits of a letter's code point in the number of an n-gram; no letter needs more.
+_BITS = 20
 _tables: list[np.ndarray] = []
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
+    """Whether an id is not learnt from; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def _letter_codes() -> np.ndarray:
+    """The code point of each letter, 0 for other signs."""
     if not _tables:
-        table = np.zeros(0x110000, np.uint32)
+        table = np.zeros(0x110000, np.int64)
         letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-        table[letters] = letters % _FOLD + 1
+        table[letters] = letters
         _tables.append(table)
     return _tables[0]
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text and their counts; none without a letter."""
+    """The n-grams of a text as ascending numbers, and their counts; none without a letter."""
     code = _letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    code = np.concatenate((np.zeros(1, np.uint32), code, np.zeros(1, np.uint32)))
+    code = np.concatenate((np.zeros(1, np.int64), code, np.zeros(1, np.int64)))
     code = code[np.concatenate((code[:-1] + code[1:] > 0, code[-1:] >= 0))]
     if len(code) < 2:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
-    a, b, c = code[:-2], code[1:-1], code[2:]
-    one, two, three = code[code > 0], (code[:-1] << 10) | code[1:], ((a << 10 | b) << 10) | c | np.uint32(1 << 31)
-    return np.unique(np.concatenate((one, two | np.uint32(1 << 30), three[b > 0])), return_counts=True)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    two = code[:-1] << _BITS | code[1:]
+    three = two[:-1] << _BITS | code[2:]
+    return np.unique(np.concatenate((code[code > 0], two | 1 << (3 * _BITS), three[code[1:-1] > 0] | 1 << (3 * _BITS + 1))), return_counts=True)
 
 
 def top_ngrams(text: str, size: int = PROFILE) -> np.ndarray:
-    """A text's most frequent n-grams by descending count, ties by code."""
+    """A text's most frequent n-grams by descending count, ties by number."""
     gram, n = ngram_counts(text)
-    order = (n.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - gram.astype(np.uint64))
-    if len(order) > size:
-        order = np.partition(order, len(order) - size)[-size:]
-    return (np.uint64(0xFFFFFFFF) - (np.sort(order)[::-1] & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+    if len(gram) > size:  # counts above the last one that gets in, and as many of the last as there is room for
+        least = np.partition(n, len(n) - size)[len(n) - size]
+        last = np.flatnonzero(n == least)[: size - int((n > least).sum())]
+        keep = n > least
+        keep[last] = True
+        gram, n = gram[keep], n[keep]
+    return gram[np.argsort(-n, kind="stable")]
 
 
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
@@ -94,10 +100,10 @@ class Judge:
 
     def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
         self.names, self.size = sorted(profiles), size
-        self.grams = np.unique(np.array([g for v in profiles.values() for g in v], np.uint32))
+        self.grams = np.unique(np.array([g for v in profiles.values() for g in v], np.int64))
         self.ranks = np.full((len(self.grams) + 1, len(self.names)), -1, np.int64)
         for j, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.grams, np.array(profiles[name], np.uint32)), j] = np.arange(len(profiles[name]))
+            self.ranks[np.searchsorted(self.grams, np.array(profiles[name], np.int64)), j] = np.arange(len(profiles[name]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         gram = top_ngrams(text or "", self.size)

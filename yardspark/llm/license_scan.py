@@ -6,7 +6,8 @@ matches, and the sequence of identifiers is matched against ordered rules: a rul
 other is replaced by its licence, the longest and most specific rules first, and what is left is reported as unmatched.
 
 A null or empty text has no sentences. Every known sentence holds one of CUES, so other texts need no cutting. Rows
-are judged alone. The first pattern that matches a sentence names it, so ties cannot occur.
+are judged alone, also where their ids repeat or are null. The first pattern that matches a sentence names it, so ties
+cannot occur. An empty table gives an empty one; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +42,17 @@ SENTENCES = [
     ("gpl3", r"licensed under (the )?(terms of the )?gnu general public license,? version 3"),
     ("gplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gplWarranty", r"without even the implied warranty of merchantability or fitness"),
+    ("iscGrant", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("asIsIsc", r"the software is provided as is and the author disclaims all warranties"),
+    ("zlibAsIs", r"this software is provided as is without any express or implied warranty"),
+    ("zlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("boostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("asIsBsd", r"this software is provided by (the )?(copyright holders?|regents|author)( and contributors)? as is"),
+    ("lgplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("agplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gfdlGrant", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("oflGrant", r"this font software is licensed under the sil open font license"),
     ("ccByNcNd", r"licensed under (a )?(cc by nc nd|creative commons attribution noncommercial noderivatives)"),
     ("ccByNcSa", r"licensed under (a )?(cc by nc sa|creative commons attribution noncommercial sharealike)"),
     ("ccByNc", r"licensed under (a )?(cc by nc|creative commons attribution noncommercial)"),
@@ -51,6 +63,20 @@ SENTENCES = [
     ("allRights", r"^(copyright .*)?all rights reserved$"),
     ("copyright", r"^copyright (c )?[0-9]{4}"),
 ]
+#: Licences that texts name, by SPDX identifier, as their normalised names.
+NAMES = {
+    "0BSD": r"(zero clause bsd|bsd zero clause|0bsd) license", "AFL-3.0": r"academic free license( version| v)? ?3\.0", "Apache-1.1": r"apache (software )?license( version| v)? ?1\.1", "APSL-2.0": r"apple public source license( version| v)? ?2\.0",
+    "Artistic-1.0": r"artistic license( version| v)? ?1\.0", "Artistic-2.0": r"artistic license( version| v)? ?2\.0", "BlueOak-1.0.0": r"blue oak model license", "BSL-1.0": r"boost software license", "BUSL-1.1": r"business source license", "CDDL-1.0": r"common development and distribution license( version| v)? ?1\.0",
+    "CECILL-2.1": r"cecill( free software)? license( version| v)? ?2\.1", "CPAL-1.0": r"common public attribution license", "CPL-1.0": r"common public license", "curl": r"curl license", "ECL-2.0": r"educational community license", "EFL-2.0": r"eiffel forum license",
+    "Elastic-2.0": r"elastic license( version| v)? ?2\.0", "EPL-1.0": r"eclipse public license( version| v)? ?1\.0", "EPL-2.0": r"eclipse public license( version| v)? ?2\.0", "EUPL-1.1": r"european union public licen[cs]e( version| v)? ?1\.1", "EUPL-1.2": r"european union public licen[cs]e( version| v)? ?1\.2",
+    "GFDL-1.3": r"gnu free documentation license( version| v)? ?1\.3", "HPND": r"historical permission notice and disclaimer license", "IPL-1.0": r"ibm public license", "ISC": r"isc license", "LPPL-1.3c": r"latex project public license", "MIT-0": r"mit no attribution license",
+    "MPL-1.1": r"mozilla public license( version| v)? ?1\.1", "MPL-2.0": r"mozilla public license( version| v\.?)? ?2\.0", "MS-PL": r"microsoft public license", "MS-RL": r"microsoft reciprocal license", "MulanPSL-2.0": r"mulan permissive software license", "NCSA": r"(university of illinois )?ncsa open source license",
+    "NPL-1.1": r"netscape public license", "ODbL-1.0": r"(odc )?open database license", "ODC-By-1.0": r"open data commons attribution license", "OFL-1.1": r"(sil )?open font license", "OpenSSL": r"openssl license", "OSL-3.0": r"open software license( version| v)? ?3\.0", "PHP-3.01": r"php license",
+    "PostgreSQL": r"postgresql license", "Python-2.0": r"python( software foundation)? license", "QPL-1.0": r"q public license", "Ruby": r"ruby license", "Sleepycat": r"sleepycat license", "SSPL-1.0": r"server side public license", "Unlicense": r"unlicense( license)?", "UPL-1.0": r"universal permissive license",
+    "Vim": r"vim license", "W3C": r"w3c software( notice and)? license", "WTFPL": r"(do what the fuck you want to public license|wtfpl license)", "X11": r"x11 license", "Zlib": r"zlib license", "ZPL-2.1": r"zope public license",
+}
+#: The sentences that name a licence: under its terms, or its name alone as a heading.
+SENTENCES += [(f"is{spdx}", rf"(released|licensed|distributed|published|available|provided|covered|governed|subject) (under|by|to) (the )?(terms (and conditions )?of )?(the )?{name}|^(the )?{name}( version [0-9.]+)?$") for spdx, name in NAMES.items()]
 #: Rules as a licence and the identifiers that stand next to each other, tried in this order.
 RULES = [
     ("Apache-2.0", ["apacheVer2", "apacheMayNotUse", "apacheObtain", "asIsBasis", "seeLicense"]),
@@ -59,6 +85,10 @@ RULES = [
     ("MIT", ["mitName", "mitGrant"]),
     ("BSD-3-Clause", ["bsdGrant", "bsdSource", "bsdBinary", "bsdEndorse"]),
     ("BSD-2-Clause", ["bsdGrant", "bsdSource", "bsdBinary"]),
+    ("ISC", ["iscGrant", "asIsIsc"]),
+    ("Zlib", ["zlibAsIs", "zlibGrant"]),
+    ("LGPL", ["lgplRedistribute", "gplWarranty"]),
+    ("AGPL", ["agplRedistribute", "gplWarranty"]),
     ("GPL-3.0", ["gpl3", "gplWarranty"]),
     ("GPL-2.0", ["gpl2", "gplWarranty"]),
     ("GPL", ["gplRedistribute", "gplWarranty"]),
@@ -78,8 +108,18 @@ RULES = [
     ("CC-BY", ["ccBy"]),
     ("CC0", ["cc0"]),
     ("MPL-2.0", ["mozilla2"]),
+    ("ISC", ["iscGrant"]),
+    ("Zlib", ["zlibGrant"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boostGrant"]),
+    ("LGPL", ["lgplRedistribute"]),
+    ("AGPL", ["agplRedistribute"]),
+    ("GFDL", ["gfdlGrant"]),
+    ("OFL-1.1", ["oflGrant"]),
     ("Proprietary", ["allRights"]),
 ]
+#: A sentence that names a licence is enough for it.
+RULES += [(spdx, [f"is{spdx}"]) for spdx in NAMES]
 
 
 #: Normalised characters of unfinished lines that are kept while lines are joined; every known sentence is shorter.

@@ -13,7 +13,10 @@ visit the remaining subtrees whose covering balls can hold a better vector, in b
 integers; distances only order and exclude, with a margin for rounding.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors count as filled with 0.
-Ties go to the smaller id. Rows with a null id take no part. Repeated ids count as rows of their own.
+Ties go to the smaller id. Rows with a null id take no part. Rows of one id are no candidates of each other; as candidates
+of other queries each is a row of its own, and each of their distinct vectors is a query of its own. An empty table
+gives an empty result; other columns are not read. Inner products of 2^53 and more are not exact in floating point, so
+vectors that long raise an error.
 """
 
 from __future__ import annotations
@@ -110,11 +113,11 @@ class Tree:
                 vectors, ids = vectors[at], ids[at]
             if leaf:
                 score = vectors @ query
-                good = np.flatnonzero(score >= worst[0])
+                good = np.flatnonzero((score >= worst[0]) & (ids != skip))
                 if len(good) > 4 * k:  # only the best of the page can matter
-                    good = good[np.lexsort((ids[good], -score[good]))[: k + 1]]
+                    good = good[np.lexsort((ids[good], -score[good]))[:k]]
                 for s, i in zip(score[good].tolist(), ids[good].tolist(), strict=True):
-                    if i != skip and (s, -i) > worst:
+                    if (s, -i) >= worst:
                         heapq.heappush(best, (s, -i))
                         if len(best) > k:
                             heapq.heappop(best)
@@ -138,6 +141,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     n, most, width = rows.agg(F.count("*"), F.sqrt(F.max(square)), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if most * most >= 1 << 53:
+        raise ValueError("inner products of these vectors pass 2^53: take a smaller scale")
     sc, most = spark.sparkContext, float(most) * (1 + 1e-12)
     wanted = max(1, min(PIVOTS, n // (SUBTREE // 2)))
     pivots = _matrix([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").collect()], width)
@@ -169,9 +174,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
     salted = dealt.withColumn("salt", F.pmod(F.xxhash64("vec_id"), shares).cast("int"))
     trees = stage.put(salted.select("vec_id", "v", "pivot", "salt").groupBy("pivot", "salt").applyInPandas(build, "pivot int, salt int, tree binary"), "trees")
 
-    asked = dealt.filter("ask").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "pivot")
+    asked = dealt.filter("ask").select(F.struct(F.col("vec_id").alias("id"), F.sha2("v", 256).alias("v")).alias("query_id"), F.col("v").alias("q"), "pivot").dropDuplicates(["query_id"])
+    key_type = pa.struct([pa.field("id", pa.int64()), pa.field("v", pa.string())])
     blocks = max(1, -(-asked.count() // BLOCK))
-    found = "query_id long, vec_id long, score long"
+    asked_as = "query_id struct<id: long, v: string>"
+    found = f"{asked_as}, vec_id long, score long"
 
     def search(pairs: DataFrame) -> DataFrame:
         """pairs: pivot, salt, query_id, q, and the floor (score, id), null without one."""
@@ -184,9 +191,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
                     tree = pickle.loads(batch.column(4)[i].as_py())
                     out = []
                     for key, q, floor, at in zip(*(batch.column(c)[i].as_py() for c in range(4)), strict=True):
-                        got = tree.search(np.frombuffer(q, "<i8").astype(float), k, key, (floor, at) if at >= 0 else None, most)
+                        got = tree.search(np.frombuffer(q, "<i8").astype(float), k, key["id"], (floor, at) if floor > -(1 << 62) else None, most)
                         out += [(key, v, s) for s, v in got]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((key_type, pa.int64(), pa.int64()))], names=["query_id", "vec_id", "score"])
 
         return held.join(trees, ["pivot", "salt"]).select("ids", "qs", "floors", "floor_ids", "tree").mapInArrow(run, found)
 
@@ -205,10 +212,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
                 hope = (norm - near * near) / 2 + _MARGIN * (1 + most)
                 goes = [(i, s) for i in np.flatnonzero((hope >= (-np.inf if floor is None else floor)) & (salts > 0)).tolist() for s in range(salts[i]) if (i, s) != (home, 0)]
                 m = len(goes)
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in goes], pa.int32()), pa.array([g[1] for g in goes], pa.int32()), pa.array([key] * m, pa.int64()), pa.array([q] * m, pa.binary()), pa.array([floor] * m, pa.int64()), pa.array([at] * m, pa.int64())], names=["pivot", "salt", "query_id", "q", "floor", "floor_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in goes], pa.int32()), pa.array([g[1] for g in goes], pa.int32()), pa.array([key] * m, key_type), pa.array([q] * m, pa.binary()), pa.array([floor] * m, pa.int64()), pa.array([at] * m, pa.int64())], names=["pivot", "salt", "query_id", "q", "floor", "floor_id"])
 
     bounded = asked.join(floors, "query_id", "left").select("query_id", "q", "pivot", "floor", "floor_id")
-    second = search(bounded.mapInArrow(route, "pivot int, salt int, query_id long, q binary, floor long, floor_id long"))
+    second = search(bounded.mapInArrow(route, f"pivot int, salt int, {asked_as}, q binary, floor long, floor_id long"))
     # each search gives at most k rows, so a query's rows are few
     ranked = first.unionByName(second).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    return ranked.select("query_id", F.posexplode("best").alias("rank", "b")).select(F.col("query_id.id").alias("query_id"), (F.col("rank") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))

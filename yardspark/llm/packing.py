@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardspark.llm._pretokens import Memory, chunks
+from yardspark.llm._pretokens import Chunks, Table, gather, segments
+from yardspark.llm._words import slices
 from yardspark.llm.byte_bpe import read_ranks
 
+#: Tokens of a row; tokens after which a task packs what it holds; distinct chunks that it remembers.
 CAPACITY, WINDOW, MEMORY = 2048, 4_000_000, 300_000
 SCHEMA = "pack long, n_tokens long, n_segments int, doc_ids array<long>, pieces array<int>, offsets array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -89,15 +91,25 @@ def pack_documents(docs: DataFrame, vocabulary: str, split_pattern: str, capacit
         import tiktoken
 
         coder = tiktoken.Encoding("ranks", pat_str=split_pattern, mergeable_ranks=sent.value, special_tokens={})
-        memory = Memory(MEMORY)
-
-        def ids_of(chunk: str) -> bytes:
-            got = memory.get(chunk)
-            if got is None:
-                got = np.array(coder.encode_ordinary(chunk), "<u4").tobytes()
-                if len(chunk) < 64:
-                    memory.put(chunk, got)
-            return got
+        memory = Table.empty()
+
+        def encoded(texts: list[bytes]) -> list[np.ndarray]:
+            """The ids of some texts: distinct chunks are encoded once and remembered."""
+            nonlocal memory
+            cut = [(i, part) for i, t in enumerate(texts) for part in segments(t)]
+            found = Chunks([part for _, part in cut])
+            if len(memory.code) > MEMORY:
+                memory = Table.empty()
+            at = memory.find(found.code, found.check)
+            new = np.flatnonzero(at < 0)
+            each = [coder.encode_ordinary(c.decode()) for c in found.take(new)]
+            n, ids = np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], "<u4")
+            start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            start[at >= 0], size[at >= 0] = memory.start[at[at >= 0]], memory.size[at[at >= 0]]
+            start[new], size[new] = len(memory.flat) + np.cumsum(n) - n, n
+            memory = memory.with_more(found.code[new], found.check[new], n, ids)
+            ends = np.cumsum(np.bincount(np.repeat(np.array([i for i, _ in cut], np.int64), found.per_text), size[found.number], minlength=len(texts)).astype(np.int64))
+            return np.split(gather(memory.flat, start[found.number], size[found.number]), ends[:-1])
 
         def packed(held: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
             rows = best_fit_decreasing([len(h[3]) // 4 for h in held], capacity)
@@ -116,16 +128,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, split_pattern: str, capacit
         held: list[tuple] = []
         size = number = 0
         for batch in batches:
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = memory.new
-                ids = b"".join([got if (got := new.get(c)) is not None else ids_of(c) for c in chunks(x or "")])
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    held.append((key, piece, at // 4, ids[at : at + 4 * capacity]))
-                size += len(ids) // 4
-                if size >= WINDOW:
-                    out, number = packed(held, number)
-                    yield out
-                    held, size = [], 0
+            for first, texts in slices(batch.column(1)):
+                keys = batch.column(0).slice(first, len(texts)).to_pylist()
+                for key, own in zip(keys, encoded(texts), strict=True):
+                    for piece, at in enumerate(range(0, len(own), capacity)):
+                        held.append((key, piece, at, own[at : at + capacity].tobytes()))
+                    size += len(own)
+                    if size >= WINDOW:
+                        out, number = packed(held, number)
+                        yield out
+                        held, size = [], 0
         if held:
             yield packed(held, number)[0]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, token_count, toxicity
+from yardspark.llm._staging import spread
 
 
 def _vocabulary(name: str) -> str:
@@ -20,8 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The whole table, dealt over the cores for operators that work row by row."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return license_scan.scan_licences(docs).select("doc_id", "sentence_ids", "licences", "n_unmatched", "n_unknown")
 
 
@@ -48,11 +54,11 @@ FROM rows_ LEFT JOIN parts USING (r)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return jaccard_join.near_components(_documents(spark, sf_dir, "doc_id", "text"), k=4, num=85, den=100)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +79,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     profiles = language_id.learn_profiles(docs.filter(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return token_count.count_tokens(docs, _vocabulary("word_bpe_49k.json"), limit=2048).drop("text")
 
 
@@ -109,13 +115,13 @@ FROM marked GROUP BY r, doc_id
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs, vocabulary = _table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs, vocabulary = _documents(spark, sf_dir, "doc_id", "text"), _vocabulary("byte_bpe_multi_50k.tiktoken")
     both = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
@@ -124,7 +130,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return packing.pack_documents(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
 
 

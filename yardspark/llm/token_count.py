@@ -5,7 +5,8 @@ of the prefix before it, so one table per word gives the exact count at each pre
 other, so a text's count at each word's end is a running sum, which answers truncation and budget questions without
 encoding again. Vocabulary files are read on the driver from the given path and sent as they are (a few MB).
 
-A null or empty text has 0 tokens. Special strings inside a text count as one token each. Each row is counted alone.
+A null or empty text has 0 tokens. Special strings inside a text count as one token each. Each row is counted alone,
+also where its id repeats or is null. An empty table gives an empty one; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,14 +21,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from yardspark.llm._pretokens import Memory
 from yardspark.llm._words import pieces
 
-#: Entries in each half of a worker's memory of words.
-MEMORY = 400_000
+#: Entries in each half of a task's memory of words.
+MEMORY = 200_000
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
-_ready: dict[str, PrefixCounter] = {}
+
+
+class Memory:
+    """A bounded dictionary: when the new half is full it becomes the old one, whose entries move up when used."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        if (found := self.new.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            old, self.old = self.old, dict(self.new)
+            old.clear()
+            self.new.clear()
+        self.new[key] = value
 
 
 def byte_letters() -> list[str]:
@@ -186,13 +204,6 @@ class PrefixCounter:
         return [n if (n := known.get(x)) is not None else self.word(x) for x in runs]
 
 
-def counter(text: str) -> PrefixCounter:
-    """One counter for each worker process and vocabulary."""
-    if text not in _ready:
-        _ready[text] = PrefixCounter(text)
-    return _ready[text]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens, over_limit and n_fit (runs without white space, from the start, that fit the limit)."""
     with open(vocabulary, encoding="utf-8") as f:
@@ -203,7 +214,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(sent.value)
+        count = PrefixCounter(sent.value)  # of this task alone, so that idle workers hold nothing
         for batch in pieces(batches):
             size, total, fit = [], [], []
             for x in batch.column(at).to_pylist():

@@ -37,7 +37,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
+    """Whether an id's label is not learnt from; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, float]]:
@@ -49,7 +50,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     wanted = F.lit(False)
     for k, s in share.items():
         wanted = wanted | ((F.col("label") == k) & (draw < int(s * (1 << 20))))
-    drawn = known.filter(wanted).dropDuplicates(["doc_id", "label"]).limit(2 * sample * max(1, len(share)))  # a bound also on an uneven draw
+    # the draw has about `sample` rows of each label; the bound holds on an uneven one too, and the same rows come again on a retry
+    drawn = known.filter(wanted).dropDuplicates(["doc_id", "label"]).orderBy(draw, "doc_id", "label").limit(2 * sample * max(1, len(share)))
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), {k: 1 / s for k, s in share.items()}
 
 
