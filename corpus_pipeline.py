@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: language, common lines, near copies, benchmark leaks, tokens.
 
 STAGES holds (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents (COLUMNS);
+further columns are left out. Null and empty texts and texts without a letter go in the first stage. Rows with null or
+repeated ids are judged by their texts: of equal rows one stays. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,15 +34,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8 stays: the one with the smallest id."""
-    found = jaccard_join.near_components(docs, k=5, num=80, den=100)
-    copies = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group linked by five-word shingles at 0.8 stays: the one with the smallest id, null last.
+
+    Rows are told apart by their place in the stage's files, so that a repeated or null id does not matter.
+    """
+    rows = docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    found = jaccard_join.near_components(rows, k=5, num=80, den=100, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    member = rows.select("row", "doc_id").join(found, "row")
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    groups = member.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1").select("component_id", "first")
+    copies = member.join(groups, "component_id").filter(F.col("row") != F.col("first")).select("row")
+    return rows.join(copies, "row", "left_anti").select(COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, whole or edited, go."""
-    return decontaminate.clean_documents(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    """Documents that hold a benchmark item, whole or edited, go; each row is judged by its own text."""
+    return decontaminate.clean_documents(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN, keep_text=False)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
