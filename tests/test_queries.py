@@ -128,3 +128,54 @@ def test_gps_logs_of_a_hot_camera(spark):
     out = match_gps_log(hot, logs)
     assert out.filter("gap = 1 and step = 2").count() == 40000
     assert "match_gps_log_all" in QUERIES
+
+
+def test_lists_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Searches by widening cells find what the fold over a short list finds, also far away and over the date line."""
+    import random
+
+    from yardspark.operators import assign
+
+    rng = random.Random(8)
+    spots = spark.createDataFrame([(f"s{i}", rng.uniform(-60, 60), rng.choice([rng.uniform(-180, 180), rng.uniform(-89.1, -89.0)]), i) for i in range(60)] + [("w", 10.0, -179.9999, 99), ("n", None, 1.0, 98)], "spot string, spot_lat double, spot_lon double, ord int")
+    scans = spark.createDataFrame([(i, rng.uniform(-60, 60), rng.uniform(-180, 180)) for i in range(40)] + [(100, 10.0, 179.9999), (101, None, 1.0)], "id long, latitude double, longitude double")
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    rings = spark.createDataFrame([(f"p{i}", i, square(rng.uniform(0, 200), rng.uniform(0, 200), rng.uniform(1, 9))) for i in range(80)], "name string, ord int, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(i, rng.uniform(-50, 250), rng.uniform(-50, 250)) for i in range(300)] + [(900, 1e5, -1e5)], "id long, x double, y double")
+    shown = lambda: ({(r.id, r.spot, round(r.distance, 3)) for r in assign.nearest_any(scans, spots).collect()}, {tuple(r) for r in assign.resolve_spot(points, rings).collect()})
+    few = shown()
+    monkeypatch.setattr(assign, "BROADCAST_ROWS", 1)
+    assert shown() == few and len(few[0]) == 41 and len(few[1]) == 301 and {r[4] for r in few[1]} == {"point-in-polygon", "nearest-centroid"}
+
+
+def test_scans_settle_and_plates_are_placed_once(spark, tmp_path):
+    """Over several batches: a row waits until newer ones have come, and a placed plate is not placed again."""
+    from yardspark.streaming import streams
+
+    kind = "id long, plate string, ts timestamp_ntz"
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    for rows in ([(1, "a", at(0)), (2, "b", at(20))], [(3, "a", at(25)), (4, "c", at(29))], [(5, "d", at(60))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.assign(stream, lambda batch: batch.select("id", "plate"), settle_s=10)
+    assert {r.id for r in out.collect()} == {1, 2, 4}  # 3 repeats a placed plate, 5 has not settled
+
+
+def test_keyed_state_over_batches(spark, tmp_path):
+    """Silence for good is reported once the watermark is past it; observations add up over batches and expire."""
+    import datetime as dt
+
+    from yardspark.streaming import streams
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    t0 = int(at(0).replace(tzinfo=dt.UTC).timestamp())
+    kind = "camera_id string, tag string, ts timestamp"
+    for rows in ([("a", "x", at(0)), ("b", "y", at(5))], [("b", "x", at(40)), ("b", "y", at(41))], [("b", "x", at(300)), ("b", "z", at(301))], [("b", "x", at(310)), ("b", "z", at(900))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = {(r.camera_id, r.online, r["at"] - t0) for r in streams.run_available(streams.liveness(read(), 60, "1 second")).collect()}
+    assert live >= {("a", True, 0), ("a", False, 60), ("b", True, 5), ("b", False, 101), ("b", True, 300), ("b", False, 370), ("b", True, 900)} and len(live) == 7
+    seen = {(r.tag, r["at"] - t0, r.n) for r in streams.run_available(streams.observations(read(), 60, 2, "1 second")).collect()}
+    assert seen == {("x", 40, 2), ("y", 41, 2)}

@@ -97,7 +97,7 @@ def homography(x: Column, y: Column, h: list[list[float]]) -> tuple[Column, Colu
 
 
 def register_sql(spark) -> None:
-    """haversine_ft, iou and in_box as SQL functions that Catalyst inlines."""
+    """haversine_ft, iou, ground_point and point_in_polygon as SQL functions that Catalyst inlines."""
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION haversine_ft(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE
       RETURN 2 * {EARTH_M}D * {FEET}D * asin(sqrt(least(1D, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION overlap(a1 DOUBLE, a2 DOUBLE, b1 DOUBLE, b2 DOUBLE) RETURNS DOUBLE
@@ -107,3 +107,10 @@ def register_sql(spark) -> None:
         / nullif((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - overlap(ax1, ax2, bx1, bx2) * overlap(ay1, ay2, by1, by2), 0D), 0D)""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION ground_point(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS ARRAY<DOUBLE>
       RETURN array((x1 + x2) / 2, y2)""")
+    # edges from each point to the next one: crossings of the ray to the right, and edges that hold the point
+    side = "(e.bx - e.ax) * (py - e.ay) - (e.by - e.ay) * (px - e.ax)"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION point_in_polygon(px DOUBLE, py DOUBLE, ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>) RETURNS BOOLEAN
+      RETURN size(filter(zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)), (a, b) -> named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y)),
+        e -> (e.ay > py) != (e.by > py) AND (({side}) > 0) = (e.by > e.ay) AND ({side}) != 0)) % 2 = 1
+      AND NOT exists(zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)), (a, b) -> named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y)),
+        e -> ({side}) = 0 AND px BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND py BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by))""")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from yardspark.functions.geo import haversine_ft, homography, in_ring, ring_centroid
 from yardspark.functions.text import nz
 
-#: Spot tables up to so many rows are broadcast whole; larger ones are joined by cells.
+#: Lists up to so many rows are folded in each row from one broadcast row; larger ones are searched by cells.
 BROADCAST_ROWS = 20_000
+#: Half the way around the sphere in feet, rounded up.
+_HALF_WAY = 66_000_000.0
 #: Feet in a degree of latitude, rounded down so that a cell is never smaller than the limit.
 _FEET_A_DEGREE = 364_000.0
 
@@ -25,29 +27,26 @@ def latest_per_plate(scans: DataFrame) -> DataFrame:
 
 
 def latest_per_tag_mark_rest(scans: DataFrame, most: int = 50) -> DataFrame:
-    """The newest of each tag, the first `most` by id; every other row is processed as a duplicate."""
-    first = F.row_number().over(Window.partitionBy("plate").orderBy(F.col("created_on").desc(), "id")) == 1
-    marked = scans.withColumn("_first", first)
-    top = marked.filter("_first").orderBy("id").limit(most).select("id", F.lit(True).alias("chosen"))
-    out = marked.join(F.broadcast(top), "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).drop("_first")
+    """The newest of each tag, the first `most` by id; every other row is processed as a duplicate. A blank tag is one too."""
+    newest = F.max_by("id", F.struct("created_on", -F.col("id"))).alias("id")  # combined before the shuffle, so hot tags do not matter
+    top = scans.groupBy("plate").agg(newest).orderBy("id").limit(most).select("id", F.lit(True).alias("chosen"))
+    out = scans.join(F.broadcast(top), "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     return out.withColumns({"is_processed": F.col("is_processed") | ~F.col("chosen"), "comment": F.when(~F.col("chosen"), "Ignored duplicated RFID")})
 
 
 def _near(scans: DataFrame, spots: DataFrame, limit_ft: float) -> DataFrame:
     """Pairs of scans and spots nearer than the limit (strictly), with `distance`.
 
-    Few spots are broadcast. Many are repeated in the cells around their own (cells are as wide as the limit), so that
-    an equi-join by cell leaves only neighbours to measure.
+    Spots are repeated in the cells around their own (cells are as wide as the limit), so that an equi-join by cell
+    leaves only neighbours to measure; Spark broadcasts the spots where they are few.
     """
     placed = scans.filter("latitude is not null and longitude is not null")
     held = spots.filter("spot_lat is not null and spot_lon is not null")
     distance = haversine_ft(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon"))
-    if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return placed.join(F.broadcast(held), distance < limit_ft).withColumn("distance", distance)
-    high = held.agg(F.max(F.abs("spot_lat"))).first()[0]
+    high = held.agg(F.max(F.abs("spot_lat"))).first()[0] or 0.0
     size = limit_ft / _FEET_A_DEGREE
     wide = F.lit(size) / F.greatest(F.lit(0.01), F.cos(F.radians(F.lit(min(89.0, high + 2 * size)))))
-    turns = F.floor(F.lit(360.0) / wide)
+    turns = F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1))
     cell = lambda lat, lon: (F.floor(F.col(lat) / size), F.pmod(F.floor((F.col(lon) + 180) / (360.0 / turns)), turns))
     y, x = cell("spot_lat", "spot_lon")
     around = held.withColumns({"_y": F.explode(F.sequence(y - 1, y + 1)), "_x0": x}).withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_x0") + d, turns))))).drop("_x0")
@@ -55,6 +54,10 @@ def _near(scans: DataFrame, spots: DataFrame, limit_ft: float) -> DataFrame:
     return placed.withColumns({"_y": y, "_x": x}).join(around, ["_y", "_x"]).drop("_y", "_x").withColumn("distance", distance).filter(F.col("distance") < limit_ft)
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def nearest_spots(scans: DataFrame, spots: DataFrame, limit_ft: float = 100.0, k: int = 5) -> DataFrame:
     """The k nearest spots of each scan nearer than the limit, with their rank; ties by the spots' order.
 
@@ -64,28 +67,51 @@ def nearest_spots(scans: DataFrame, spots: DataFrame, limit_ft: float = 100.0, k
     return _near(scans, spots, limit_ft).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_any(scans: DataFrame, spots: DataFrame) -> DataFrame:
-    """The nearest spot of each placed scan without a limit; spots is a bounded map that is folded in each row."""
-    held = spots.filter("spot_lat is not null and spot_lon is not null").agg(F.array_sort(F.collect_list(F.struct("ord", "spot", "spot_lat", "spot_lon"))).alias("_all"))
-    measured = F.transform("_all", lambda s: F.struct(haversine_ft(F.col("latitude"), F.col("longitude"), s["spot_lat"], s["spot_lon"]).alias("distance"), s["ord"].alias("ord"), s["spot"].alias("spot")))
-    out = scans.filter("latitude is not null and longitude is not null").join(F.broadcast(held)).withColumn("_best", F.array_min(measured))
-    return out.select(*scans.columns, F.col("_best.spot").alias("spot"), F.col("_best.distance").alias("distance"))
+def nearest_any(scans: DataFrame, spots: DataFrame, start_ft: float = 100.0) -> DataFrame:
+    """The nearest spot of each placed scan (by its id and place) without a limit.
+
+    Few spots are folded in each scan's row. Many are searched by cells in widening rounds: a round finds the nearest
+    spot of every scan that has one within its limit, and only the others go on to the next.
+    """
+    held = spots.filter("spot_lat is not null and spot_lon is not null")
+    placed = scans.filter("latitude is not null and longitude is not null")
+    if _few(held):
+        row = held.agg(F.array_sort(F.collect_list(F.struct("ord", "spot", "spot_lat", "spot_lon"))).alias("_all"))
+        measured = F.transform("_all", lambda s: F.struct(haversine_ft(F.col("latitude"), F.col("longitude"), s["spot_lat"], s["spot_lon"]).alias("distance"), s["ord"].alias("ord"), s["spot"].alias("spot")))
+        out = placed.join(F.broadcast(row)).withColumn("_best", F.array_min(measured))
+        return out.select(*scans.columns, F.col("_best.spot").alias("spot"), F.col("_best.distance").alias("distance"))
+    keys = ["id", "latitude", "longitude"]
+    rest, found, limit = placed.select(keys).distinct(), None, start_ft
+    while True:
+        near = _near(rest, held.select("spot", "spot_lat", "spot_lon", "ord"), limit)
+        best = near.groupBy(keys).agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select(*keys, "b.spot", "b.distance")
+        found = best if found is None else found.unionByName(best)
+        if limit > _HALF_WAY:
+            break
+        rest, limit = rest.join(best, keys, "left_anti"), limit * 32
+    return placed.join(found, keys).select(*scans.columns, "spot", "distance")
 
 
 def assign_spots(scans: DataFrame, spots: DataFrame, min_speed: float = 0.0, max_speed: float = 60.0, limit_ft: float = 100.0) -> DataFrame:
     """The newest valid scan of each plate with its nearest spot; scans without one are left out and stay unprocessed."""
     waiting = latest_per_plate(valid_scan(scans.filter(~F.col("is_processed")), min_speed, max_speed))
     near = _near(waiting, spots, limit_ft)
-    best = near.groupBy("id").agg(F.min_by(F.struct("plate", "spot", "distance"), F.struct("distance", "ord")).alias("b"))
-    return best.select("id", "b.plate", "b.spot", "b.distance")
+    own = ["spot_id"] if "spot_id" in spots.columns else []
+    best = near.groupBy("id").agg(F.min_by(F.struct("plate", "spot", *own, "distance"), F.struct("distance", "ord")).alias("b"))
+    return best.select("id", "b.plate", "b.spot", *[f"b.{c}" for c in own], "b.distance")
 
 
-def mark_assigned(scans: DataFrame, assignments: DataFrame) -> DataFrame:
-    """scans with the assigned spot, its distance and a comment; processed where assigned."""
-    found = assignments.select("id", F.col("spot").alias("assigned_spot_name"), F.col("distance").alias("assigned_distance_ft"))
-    out = scans.drop("assigned_spot_name", "assigned_distance_ft").join(found, "id", "left")
+def mark_assigned(scans: DataFrame, assignments: DataFrame, now: Column | None = None) -> DataFrame:
+    """scans with the assigned spot (id, name, distance) and a comment; processed and updated (at `now`) where assigned."""
+    spot_id = F.col("spot_id").cast("string") if "spot_id" in assignments.columns else F.lit(None).cast("string")
+    found = assignments.select("id", spot_id.alias("assigned_spot_id"), F.col("spot").alias("assigned_spot_name"), F.col("distance").alias("assigned_distance_ft"))
+    updated = F.col("updated_on") if "updated_on" in scans.columns else F.lit(None).cast("timestamp_ntz")
+    out = scans.withColumn("updated_on", updated).drop("assigned_spot_id", "assigned_spot_name", "assigned_distance_ft").join(found, "id", "left")
     hit = F.col("assigned_spot_name").isNotNull()
-    return out.withColumns({"is_processed": F.col("is_processed") | hit, "processed_comment": F.when(hit, F.concat(F.lit("Location Updated: "), "assigned_spot_name"))})
+    return out.withColumns({
+        "is_processed": F.col("is_processed") | hit, "processed_comment": F.when(hit, F.concat(F.lit("Location Updated: "), "assigned_spot_name")),
+        "updated_on": F.when(hit, F.localtimestamp() if now is None else now).otherwise(F.col("updated_on")),
+    })
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -136,44 +162,93 @@ def scan_verdict(min_speed: Column, max_speed: Column, moved: Column, spot: Colu
     return F.when(tag <= least_tag, INVALID_TAG).when(~valid, INVALID_SPEED).when(moved, ALREADY_MOVED).when(spot.isNull(), NO_LOCATION).otherwise(F.concat(F.lit("Location Updated: "), spot))
 
 
-def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame, least_tag: int = 20, tolerance: float = 90.0) -> DataFrame:
+def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame, moved: DataFrame | None = None, least_tag: int = 20, tolerance: float = 90.0) -> DataFrame:
     """Every scan's verdict by its site's settings.
 
-    spots: site_id, spot, spot_lat, spot_lon, ord; settings: site_id, min_speed, max_speed, max_slot_distance. Scans of
-    sites without settings are left out. Of spots at equal distance the first counts.
+    spots: site_id, spot, spot_lat, spot_lon, ord; settings: site_id, min_speed, max_speed, max_slot_distance and perhaps
+    max_slots (how many spots are considered; none with 0); moved: tags (plate) that were moved before. Scans of sites
+    without settings are left out. Of spots at equal distance the first counts.
     """
-    with_site = scans.join(F.broadcast(settings), "site_id")
+    with_site = scans.join(settings, "site_id")
+    if moved is not None:
+        with_site = with_site.join(moved.select("plate", F.lit(True).alias("_moved")).distinct(), "plate", "left")
     far = haversine_ft(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon"))
     pairs = with_site.select("id", "site_id", "latitude", "longitude", "heading", "max_slot_distance").join(spots, "site_id")
     pairs = pairs.withColumn("distance", far).filter(F.col("distance") < F.col("max_slot_distance"))
     pairs = pairs.filter(heading_valid(F.col("heading"), bearing(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon")), tolerance))
-    best = pairs.groupBy("id").agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select("id", "b.*")
-    verdict = scan_verdict(F.col("min_speed"), F.col("max_speed"), F.lit(False), F.col("spot"), least_tag)
-    return with_site.join(best, "id", "left").select("id", "site_id", "plate", "spot", "distance", verdict.alias("verdict"))
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b"))
+    out = with_site.join(best, "id", "left")
+    some = F.col("max_slots") > 0 if "max_slots" in settings.columns else F.lit(True)
+    out = out.withColumn("b", F.when(F.coalesce(some, F.lit(True)), F.col("b"))).withColumns({"spot": F.col("b.spot"), "distance": F.col("b.distance")})
+    before = F.coalesce("_moved", F.lit(False)) if moved is not None else F.lit(False)
+    verdict = scan_verdict(F.col("min_speed"), F.col("max_speed"), before, F.col("spot"), least_tag)
+    return out.select("id", "site_id", "plate", "spot", "distance", verdict.alias("verdict"))
+
+
+def _nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFrame:
+    """(id, x, y, name, d): the centre (ord, name, sx, sy) at the least distance of each point, by cells that widen from
+    `size`: a round settles the points whose nearest centre in the cells around theirs is within a cell's width."""
+    low = lambda c: F.min(c)
+    spans = [df.agg(low(x).alias("x0"), F.max(x).alias("x1"), low(y).alias("y0"), F.max(y).alias("y1")).first() for df, x, y in ((points, "x", "y"), (centres, "sx", "sy"))]
+    if any(r["x0"] is None for r in spans):
+        return points.select("id", "x", "y").limit(0).withColumns({"name": F.lit(""), "d": F.lit(0.0)})
+    far = max(max(r["x1"] for r in spans) - min(r["x0"] for r in spans), max(r["y1"] for r in spans) - min(r["y0"] for r in spans))
+    keys = ["id", "x", "y"]
+    rest, found = points.select(keys).distinct(), None
+    while True:
+        near_by = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        around = centres.withColumn("o", F.explode(near_by)).select("ord", "name", "sx", "sy", (F.floor(F.col("sx") / size) + F.col("o.i")).alias("_x"), (F.floor(F.col("sy") / size) + F.col("o.j")).alias("_y"))
+        pairs = rest.withColumns({"_x": F.floor(F.col("x") / size), "_y": F.floor(F.col("y") / size)}).join(around, ["_x", "_y"])
+        pairs = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)))
+        last = size > far  # then every centre stands in the cells around a point
+        best = pairs.groupBy(keys).agg(F.min_by(F.struct("name", "d"), F.struct("d", "ord")).alias("b")).select(*keys, "b.name", "b.d")
+        best = best if last else best.filter(F.col("d") <= size)
+        found = best if found is None else found.unionByName(best)
+        if last:
+            return found
+        rest, size = rest.join(best, keys, "left_anti"), size * 8
 
 
 def resolve_spot(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (id, x, y, ...) with `spot` and `method`: the first polygon that contains the point strictly, else the nearest centroid.
 
-    polygons (name, ord, ring) is a bounded map held in one row and folded in each point's row, without a shuffle.
+    Polygons (name, ord, ring) stand in the cells that their boxes touch; cells are as large as the largest box, so a
+    point meets the few polygons of its own cell in one equi-join. Only points outside all of them are measured against
+    the centroids: a bounded list is folded in the point's row, a longer one is searched by cells.
     """
     cx, cy = ring_centroid(F.col("ring"))
-    held = polygons.select(F.struct("ord", "name", "ring", cx.alias("cx"), cy.alias("cy")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("_all"))
-
-    def judged(s: Column) -> Column:
-        inside = in_ring(F.col("x"), F.col("y"), s["ring"])
-        apart = F.pow(F.col("x") - s["cx"], 2) + F.pow(F.col("y") - s["cy"], 2)
-        return F.struct((~inside).alias("out"), F.when(inside, F.lit(0.0)).otherwise(apart).alias("d"), s["ord"].alias("ord"), s["name"].alias("name"))
-
-    best = points.join(F.broadcast(held)).withColumn("_b", F.array_min(F.transform("_all", judged)))
-    method = F.when(F.col("_b").isNull(), "no-spots").when(F.col("_b.out"), "nearest-centroid").otherwise("point-in-polygon")
-    return best.select(*points.columns, F.coalesce("_b.name", F.lit("unknown")).alias("spot"), method.alias("method"))
+    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    held = polygons.select("ord", "name", "ring", cx.alias("sx"), cy.alias("sy"), *[edge(f, c).alias(f"{c}{n}") for c in ("x", "y") for n, f in ((0, F.array_min), (1, F.array_max))])
+    sizes = held.agg(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0"))).first()
+    w, h = (max(float(v or 0.0), 1e-9) for v in sizes)
+    span = lambda a, b, s: F.sequence(F.floor(F.col(a) / s), F.floor(F.col(b) / s))
+    cells = held.withColumn("_x", F.explode(span("x0", "x1", w))).withColumn("_y", F.explode(span("y0", "y1", h)))
+    cells = cells.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "ring"))).alias("_near"))
+    inside = F.get(F.filter("_near", lambda s: in_ring(F.col("x"), F.col("y"), s["ring"])), F.lit(0))["name"]
+    out = points.withColumns({"_x": F.floor(F.col("x") / w), "_y": F.floor(F.col("y") / h)}).join(cells, ["_x", "_y"], "left").withColumn("_in", inside).drop("_x", "_y", "_near")
+    centres = held.select("ord", "name", "sx", "sy").filter("sx is not null and sy is not null")
+    if _few(held):
+        row = centres.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_all"))
+        apart = F.array_min(F.transform("_all", lambda s: F.struct((F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name"))))["name"]
+        out = out.join(F.broadcast(row)).withColumn("_c", F.when(F.col("_in").isNull(), apart))
+    else:
+        near = _nearest_centre(out.filter("_in is null"), centres, max(w, h)).select("id", "x", "y", F.col("name").alias("_c"))
+        out = out.join(near, ["id", "x", "y"], "left")
+    method = F.when(F.col("_in").isNotNull(), "point-in-polygon").when(F.col("_c").isNotNull(), "nearest-centroid").otherwise("no-spots")
+    return out.select(*points.columns, F.coalesce("_in", "_c", F.lit("unknown")).alias("spot"), method.alias("method"))
 
 
 def closest_projected_spot(points: DataFrame, coords: DataFrame, h: list[list[float]], limit: float = 10.0) -> DataFrame:
-    """points with the nearest spot among pixels projected by a homography, where nearer than the limit (strictly)."""
+    """points with the nearest spot among pixels projected by a homography, where nearer than the limit (strictly).
+
+    Spots stand in the cells around their own; cells are as wide as the limit, so one equi-join finds all that count.
+    """
     x, y = homography(F.col("px"), F.col("py"), h)
-    held = coords.select(F.struct("ord", "name", x.alias("sx"), y.alias("sy")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("_all"))
-    measured = F.transform("_all", lambda s: F.struct(F.sqrt(F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name")))
-    best = points.join(F.broadcast(held)).withColumn("_b", F.array_min(measured)).filter(F.col("_b.d") < limit)
+    near_by = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cell = lambda c: F.floor(F.col(c) / limit)
+    held = coords.select("ord", "name", x.alias("sx"), y.alias("sy")).filter("sx is not null and sy is not null").withColumn("o", F.explode(near_by))
+    held = held.select("ord", "name", "sx", "sy", (cell("sx") + F.col("o.i")).alias("_x"), (cell("sy") + F.col("o.j")).alias("_y"))
+    held = held.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_near"))
+    measured = F.transform("_near", lambda s: F.struct(F.sqrt(F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name")))
+    best = points.withColumns({"_x": cell("x"), "_y": cell("y")}).join(held, ["_x", "_y"]).withColumn("_b", F.array_min(measured)).filter(F.col("_b.d") < limit)
     return best.select(*points.columns, F.col("_b.name").alias("spot"), F.col("_b.d").alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardspark.functions.geo import area, corners, iou
+from yardspark.operators.timejoin import carried
 
 #: Fixed values by mode: least confidence of a detection; least width, height, area and aspect range of a track.
 DETECTION = {"car": 0.40, "trailer": 0.10}
@@ -211,14 +212,29 @@ def video_summary(events: DataFrame, video: str = "camera_id") -> DataFrame:
     return events.groupBy(video).agg(F.count("*").alias("detections"), F.countDistinct("track_id").alias("tracks"), F.countDistinct(F.when(text, F.col("track_id"))).alias("tracks_with_text"), F.countDistinct("created_on").alias("frames"))
 
 
+def video_events(events: DataFrame, video: str = "camera_id", top: int = 100) -> DataFrame:
+    """Per video its latest events, one for each track and the newest first: as many as a page shows."""
+    newest = events.groupBy(video, "track_id").agg(F.max_by(F.struct("id", "created_on", "plate"), F.struct("created_on", F.col("id"))).alias("e")).select(video, "track_id", "e.*")
+    rank = F.row_number().over(Window.partitionBy(video).orderBy(F.desc("created_on"), F.desc("id")))
+    return newest.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
+def _with_context(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows in buckets as wide as a window, each also as context (`_own` false) of the next bucket: a window of that width
+    within a bucket then sees all its rows, and no key's whole history meets in one task."""
+    b = F.floor(F.col("ts_s") / seconds)
+    return rows.withColumn("_in", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own"))))).withColumns({"_b": F.col("_in.b"), "_own": F.col("_in.own")}).drop("_in")
+
+
 def counter_rate(metrics: DataFrame, seconds: int = 300) -> DataFrame:
     """metrics (camera_id, ts_s, value) with the per-second increase of the counter over the window before; a fall counts as a restart."""
-    w = Window.partitionBy("camera_id").orderBy("ts_s", "value")
-    before = F.lag("value").over(w)
+    last = F.struct(F.col("ts_s").alias("t"), F.col("value").cast("double").alias("v"))
+    rows = carried(metrics.withColumn("_b", F.floor(F.col("ts_s") / seconds)), "camera_id", "_b", last, last, "struct<t:bigint,v:double>")
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("camera_id", "_b").orderBy("ts_s", "value")), F.col("_prev.v"))
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    rows = metrics.withColumn("_up", step)
-    span = Window.partitionBy("camera_id").orderBy("ts_s").rangeBetween(-seconds, 0)
-    return rows.withColumn("rate", F.sum("_up").over(span) / seconds).drop("_up")
+    rows = _with_context(rows.withColumn("_up", step).drop("_b", "_prev", "_next"), seconds)
+    span = Window.partitionBy("camera_id", "_b").orderBy("ts_s").rangeBetween(-seconds, 0)
+    return rows.withColumn("rate", F.sum("_up").over(span) / seconds).filter("_own").drop("_up", "_b", "_own")
 
 
 def ema(metrics: DataFrame, alpha: float = 0.1) -> DataFrame:
@@ -230,5 +246,6 @@ def ema(metrics: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 def observation_count(observations: DataFrame, cutoff_s: int, least: int) -> DataFrame:
     """observations (tag, ts_s, id) with how many the tag had in the window up to each, and whether the location moves."""
-    w = Window.partitionBy("tag").orderBy("ts_s").rangeBetween(-cutoff_s, 0)
-    return observations.withColumn("n", F.count("*").over(w)).withColumn("moves", F.col("n") >= least)
+    w = Window.partitionBy("tag", "_b").orderBy("ts_s").rangeBetween(-cutoff_s, 0)
+    rows = _with_context(observations, cutoff_s).withColumn("n", F.count("*").over(w)).filter("_own").drop("_b", "_own")
+    return rows.withColumn("moves", F.col("n") >= least)

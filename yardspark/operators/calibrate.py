@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from yardspark.operators.boxes import METHODS, ground_point, size
 
-#: Features of the linear model, in the order of its weights.
-FEATURES = ["center_x", "right_x", "left_x", "width", "height", "aspect", "one"]
+#: Features of the linear model, in the order of its weights.
+FEATURES = ["bias", "center_x", "right_x", "left_x", "width", "height", "area"]
 
 
 def _error(point: tuple[Column, Column]) -> Column:
@@ -35,26 +35,39 @@ def grid_search_offsets(boxes: DataFrame, xs: range = range(-30, 31, 10), ys: ra
 
 def features() -> list[Column]:
     w, h = size()
-    return [(F.col("x1") + F.col("x2")) / 2, F.col("x2").cast("double"), F.col("x1").cast("double"), w, h, F.when(h > 0, w / h).otherwise(1.0), F.lit(1.0)]
+    return [F.lit(1.0), (F.col("x1") + F.col("x2")) / 2, F.col("x2").cast("double"), F.col("x1").cast("double"), w.cast("double"), h.cast("double"), (w * h).cast("double")]
 
 
 def fit_linear_model(boxes: DataFrame) -> dict[str, list[float]]:
     """Least-squares weights of x and y on FEATURES. The features depend on each other, so predictions are what compares.
 
-    The 7 x 7 normal equations are summed by Spark; only they reach the driver, where they are solved.
+    The 7 x 7 normal equations are summed by Spark; only they reach the driver, where they are solved with the features
+    scaled to one size, as an area is far greater than a bias.
     """
     import numpy as np
 
-    f = features()
-    sums = {f"a{i}_{j}": F.sum(f[i] * f[j]) for i in range(7) for j in range(i, 7)} | {f"{t}{i}": F.sum(f[i] * F.col(t)) for t in ("ex", "ey") for i in range(7)}
+    f, n = features(), len(FEATURES)
+    sums = {f"a{i}_{j}": F.sum(f[i] * f[j]) for i in range(n) for j in range(i, n)} | {f"{t}{i}": F.sum(f[i] * F.col(t)) for t in ("ex", "ey") for i in range(n)}
     row = boxes.agg(*[c.alias(k) for k, c in sums.items()]).first()
-    a = np.array([[float(row[f"a{min(i, j)}_{max(i, j)}"] or 0) for j in range(7)] for i in range(7)])
-    return {t: (np.linalg.pinv(a, rcond=1e-12) @ np.array([float(row[f"{t}{i}"] or 0) for i in range(7)])).tolist() for t in ("ex", "ey")}
+    a = np.array([[float(row[f"a{min(i, j)}_{max(i, j)}"] or 0) for j in range(n)] for i in range(n)])
+    scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    inverse = np.linalg.pinv(a * np.outer(scale, scale), rcond=1e-13, hermitian=True)
+    return {t: (scale * (inverse @ (scale * np.array([float(row[f"{t}{i}"] or 0) for i in range(n)])))).tolist() for t in ("ex", "ey")}
 
 
-def apply_linear_model(boxes: DataFrame, weights: dict[str, list[float]] | None, fallback: str = "bottom_center") -> DataFrame:
+def _weighted(weights: list[float]) -> Column:
+    return sum((F.lit(float(w)) * c for w, c in zip(weights, features(), strict=True)), F.lit(0.0))
+
+
+def linear_model_error(boxes: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
+    """(error_x, error_y, total_error): mean absolute errors of the model's points, and the root of their squares' sum."""
+    x, y = (F.avg(F.abs(_weighted(weights[t]) - F.col(t))) for t in ("ex", "ey"))
+    return boxes.agg(x.alias("error_x"), y.alias("error_y")).withColumn("total_error", F.sqrt(F.col("error_x") * F.col("error_x") + F.col("error_y") * F.col("error_y")))
+
+
+def apply_linear_model(boxes: DataFrame, weights: dict[str, list[float]] | None, fallback: str = "adaptive_percentage") -> DataFrame:
     """boxes with the predicted (gx, gy), by the fallback method where there is no model."""
-    x, y = (sum((w * c for w, c in zip(weights[t], features(), strict=True)), F.lit(0.0)) for t in ("ex", "ey")) if weights else ground_point(fallback)
+    x, y = (_weighted(weights["ex"]), _weighted(weights["ey"])) if weights else ground_point(fallback)
     return boxes.withColumns({"gx": x, "gy": y})
 
 

@@ -26,15 +26,19 @@ def scan_stats(scans: DataFrame) -> DataFrame:
     return scans.agg(F.count("*").alias("total"), (F.count("*") - done).alias("unprocessed"), done.alias("processed"))
 
 
-def filter_by_date(df: DataFrame, date: str | None, stamp: str = "created_on", today: dt.date | None = None) -> DataFrame:
-    """Rows of one UTC day: today if no date is given; all rows if the date cannot be read; rows without a stamp go."""
+def filter_by_date(df: DataFrame, date: str | None, stamp: str = "created_on", today: dt.date | None = None, other: str = "timestamp") -> DataFrame:
+    """Rows of one UTC day: today if no date is given; all rows if the date cannot be read; rows without a stamp go.
+
+    Where the stamp is missing, the column `other` counts if the table has it.
+    """
     try:
         day = dt.date.fromisoformat(date) if date else today or dt.datetime.now(dt.UTC).date()
     except ValueError:
         return df
     end = day + dt.timedelta(days=1)
-    c = F.col(stamp)  # a range on the bare column reaches the scan
-    return df.filter((c >= F.lit(day).cast("timestamp_ntz")) & (c < F.lit(end).cast("timestamp_ntz")))
+    within = lambda c: (F.col(c) >= F.lit(day).cast("timestamp_ntz")) & (F.col(c) < F.lit(end).cast("timestamp_ntz"))
+    rows = within(stamp)  # ranges on bare columns reach the scan
+    return df.filter(rows | F.col(stamp).isNull() & within(other) if other in df.columns else rows)
 
 
 def kpis(scans: DataFrame) -> DataFrame:
@@ -177,6 +181,21 @@ def position_quality(conf: Column, method: Column) -> Column:
     return F.when(good, F.least(F.lit(0.99), conf + 0.1)).otherwise(conf)
 
 
+def scan_view(scans: DataFrame) -> DataFrame:
+    """The row that clients get: numbers as doubles, confidence and frame number 0 and processed false where missing,
+    times as ISO text, the timestamp by created_on where missing. Columns that the table lacks are null."""
+    have = lambda c, kind: F.col(c).cast(kind) if c in scans.columns else F.lit(None).cast(kind)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    created = have("created_on", "timestamp_ntz")
+    strings = {c: have(c, "string") for c in ("licence_plate_trailer", "image_path", "camera_id", "video_path", "assigned_spot_id", "assigned_spot_name", "processed_comment", "image_url")}
+    numbers = {c: have(c, "double") for c in ("latitude", "longitude", "speed", "barrier", "assigned_distance_ft")}
+    out = {"id": have("id", "long")} | strings | numbers | {
+        "confidence": F.coalesce(have("confidence", "double"), F.lit(0.0)), "frame_number": F.coalesce(have("frame_number", "int"), F.lit(0)), "track_id": have("track_id", "int"),
+        "is_processed": F.coalesce(have("is_processed", "boolean"), F.lit(False)), "created_on": iso(created), "timestamp": iso(F.coalesce(have("timestamp", "timestamp_ntz"), created)),
+    }
+    return scans.select(*[c.alias(k) for k, c in out.items()])
+
+
 def filter_scans(scans: DataFrame, is_processed: bool | None = None, camera_id: str | None = None) -> DataFrame:
     if is_processed is not None:
         scans = scans.filter(F.col("is_processed") == is_processed)

@@ -174,6 +174,22 @@ def project_plane(df: DataFrame, camera: dict, z: float = 0.0) -> DataFrame:
     return df.withColumns({"wx": float(centre[0]) + s * ray[0], "wy": float(centre[1]) + s * ray[1]})
 
 
+#: Fixed value: metres from the ground to the middle of a trailer's back.
+BACK_HEIGHT = 2.6
+
+
+def ground_of_boxes(boxes: DataFrame, camera: dict, method: str = "bottom_center", height: float = BACK_HEIGHT, frame: tuple[int, int] | None = None) -> DataFrame:
+    """boxes with the ground point (wx, wy): of the bottom centre on the plane 0, or (`backside_projection`) below the
+    centre on the plane of the back's height. frame: the boxes' frame size, where it differs from the camera's `size`."""
+    if method not in ("bottom_center", "backside_projection"):
+        raise ValueError(f"no such method: {method}")
+    (w, h), (cw, ch) = frame or (1, 1), camera.get("size", frame or (1, 1)) if frame else (1, 1)
+    back = method == "backside_projection"
+    y = (F.col("y1") + F.col("y2")) / 2 if back else F.col("y2").cast("double")
+    rows = boxes.withColumns({"px": (F.col("x1") + F.col("x2")) / 2 * (cw / w), "py": y * (ch / h)})
+    return project_plane(rows, camera, height if back else 0.0).drop("px", "py")
+
+
 def project_pixel(df: DataFrame, camera: dict, z: float = 0.0) -> DataFrame:
     """df (wx, wy) with the pixel of the world point at height z; (-1, -1) behind the camera."""
     k, r, t = camera["K"], camera["R"], camera["t"]

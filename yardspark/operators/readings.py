@@ -10,6 +10,14 @@ from yardspark.functions.text import nz
 #: Strings that make a reading garbage where contained, and where equal.
 GARBAGE_IN = ["JBHUNT", "JBHUN", "JBHUNTAD", "BHUNT", "APPS", "APPST", "APPSI", "WVAN", "ZIES", "NH8T", "IBUNF", "JSDV"]
 GARBAGE_IS = ["WI", "PR", "IL", "QT", "LOU", "MME", "PZ", "F1", "L1"]
+#: More strings that make a detector's candidate garbage where contained: misread signs, and fragments of names.
+MISREAD = ["360BX", "36CBOX", "36CBX", "36COX", "36C6X", "36C60X", "36CB0X"]
+FRAGMENTS = ["ZAYLAN", "ZAY", "AYLAN", "ZANZ", "ZIAZ", "IAZIA"]
+#: What text models put in front of an answer, tried in this order, roles that stand on lines of their own,
+#: and separators of which the first found ends an explanation in answers of more than LONG_ANSWER signs.
+ANSWERS = ["The text in the image is:", "The text is:", "Text:", "Content:", "The image contains:", "The image shows:", "I can see:"]
+ROLES = ["assistant", "user"]
+SEPARATORS, LONG_ANSWER = ["\n\n", "\n", ". ", "。", "："], 500
 #: A known invented answer, and company names from the first tried.
 HALLUCINATION = "JBHU342345"
 COMPANIES = ["J.B.HUNT", "JBHUNT", "JBHU", "J.B.HUNTA"]
@@ -83,10 +91,15 @@ def pattern_confidence(t: Column) -> Column:
     return F.when(letters(t) & digits(t), 0.85).when(t.rlike("^[0-9]+$"), 0.80).when(letters(t), 0.70).otherwise(0.50)
 
 
+def holds(t: Column, listed: list[str]) -> Column:
+    """Whether the upper-case text contains one of the strings."""
+    up = F.upper(t)
+    return F.exists(F.array(*map(F.lit, listed)), lambda g: up.contains(g))
+
+
 def is_garbage(t: Column) -> Column:
     """Whether a reading holds one of the garbage strings or is one of the short ones."""
-    up = F.upper(t)
-    return F.exists(F.array(*map(F.lit, GARBAGE_IN)), lambda g: up.contains(g)) | up.isin(*GARBAGE_IS)
+    return holds(t, GARBAGE_IN) | F.upper(t).isin(*GARBAGE_IS)
 
 
 def dedupe_phrases(text: Column) -> Column:
@@ -125,7 +138,7 @@ def candidate_score(text: Column, conf: Column, relative_area: Column, centre_di
     """The score of a candidate by area, length, kinds of signs and place; null where it is rejected."""
     t = alnum(text)
     n = F.char_length(t)
-    bad = ~n.between(least, most) | is_garbage(t) | (n == 2) & ~(t.rlike("^[0-9]+$") & (conf > 0.8)) | (n <= 3) & t.rlike(r"^\p{L}+$") & (conf < 0.9)
+    bad = ~n.between(least, most) | holds(t, GARBAGE_IN + GARBAGE_IS + MISREAD + FRAGMENTS) | (n == 2) & ~(t.rlike("^[0-9]+$") & (conf > 0.8)) | (n <= 3) & t.rlike(r"^\p{L}+$") & (conf < 0.9)
     by_area = F.when(relative_area.between(0.01, 0.5), 1.2).when(relative_area < 0.01, 0.7).otherwise(0.5)
     by_length = F.when(n.between(3, 12), 1.3).when((n == 2) | n.between(13, 15), 1.1).otherwise(1.0)
     by_signs = F.when(letters(t) & digits(t), 1.2).when(digits(t), 1.1).otherwise(1.0)
@@ -133,9 +146,24 @@ def candidate_score(text: Column, conf: Column, relative_area: Column, centre_di
 
 
 def strip_preamble(text: Column) -> Column:
-    """A reading without the answer prefixes and role lines that text models put in front."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike(r"^(?i)(system|user|assistant)\s*:?\s*$"))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"^(?i)\s*((the )?text( (in|on) the image)?( is| reads|:)+|answer:|output:|assistant:)\s*", ""))
+    """An answer without what stands up to the first known prefix, role lines and empty lines; other lines joined by blanks.
+
+    Of a long answer the part behind the last separator of the first kind found counts. A text of a role alone is blank.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cut = text
+    for prefix in reversed(ANSWERS):
+        at = F.instr(F.lower(text), prefix.lower())
+        cut = F.when(at > 0, bare(F.substr(text, at + len(prefix)))).otherwise(cut)
+    last = cut
+    for sign in reversed(SEPARATORS):
+        last = F.when(cut.contains(sign), bare(F.substring_index(cut, sign, -1))).otherwise(last)
+    body = F.when(F.char_length(cut) > LONG_ANSWER, last).otherwise(cut)
+    lines = F.filter(F.transform(F.split(body, "\n"), bare), lambda x: (x != "") & ~F.lower(x).isin(*ROLES))
+    alone = body
+    for role in reversed(ROLES):
+        alone = F.when(F.lower(body).startswith(role), F.regexp_replace(F.substr(body, F.lit(len(role) + 1)), r"^[:\n\r\t ]+", "")).otherwise(alone)
+    return bare(F.when(F.size(lines) > 0, F.array_join(lines, " ")).otherwise(alone))
 
 
 def match_readings(crops: DataFrame, readings: DataFrame) -> DataFrame:
@@ -217,23 +245,43 @@ def merge_readings(attempts: DataFrame, key: str, order: str) -> DataFrame:
     return first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["_w"]), " ").alias("text"), F.avg("f.conf").alias("conf"))
 
 
-def distinct_ids(candidates: DataFrame, key: str, order: str, most: int = 10) -> DataFrame:
-    """Per image its ids from the best score on, without parts of kept ones; a fold over the image's own candidates."""
-    good = ~is_garbage(F.col("text")) & valid_id(F.col("text"), F.col("conf")) & (F.col("score") > 0.5) & (F.col("conf") > 0.6)
-    held = candidates.filter(good).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), order, "text"))).alias("_all"))
-    none = F.array().cast("array<string>")
-    kept = F.aggregate("_all", none, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: y.contains(x["text"])), acc).otherwise(F.concat(acc, F.array(x["text"]))))
-    return held.select(key, F.array_join(kept, ", ").alias("ids"))
+def _ranked(candidates: DataFrame, key: str, order: str) -> DataFrame:
+    """Per image its candidates (t, c, s) from the best score on; they are as few as an image has texts."""
+    item = F.struct((-F.col("score")).alias("n"), F.col(order).alias("o"), F.col("text").alias("t"), F.col("conf").alias("c"), F.col("score").alias("s"))
+    return candidates.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+
+
+def _apart(items: Column, most: int) -> Column:
+    """Of items in order the first `most` whose texts neither hold a kept text nor are held by one."""
+    none = F.filter(items, lambda x: F.lit(False))
+    held = lambda acc, x: F.exists(acc, lambda y: y["t"].contains(x["t"]) | x["t"].contains(y["t"]))
+    return F.aggregate(items, none, lambda acc, x: F.when((F.size(acc) >= most) | held(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def _mean(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + x["c"]) / F.size(items)
+
+
+def distinct_ids(candidates: DataFrame, key: str, order: str, least: int = 2, most: int = 15, top: int = 10) -> DataFrame:
+    """Per image its distinct ids (ids, conf) from the best score on: 3 to 8 digits, or 4 to 12 letters and digits,
+    without garbage, sure enough, and neither holding nor held by an id that is kept already."""
+
+    def good(x: Column) -> Column:
+        n, mixed = F.char_length(x["t"]), letters(x["t"]) & digits(x["t"])
+        shape = x["t"].rlike("^[0-9]+$") & n.between(3, 8) | mixed & n.between(4, 12)
+        return shape & n.between(least, most) & ~holds(x["t"], GARBAGE_IN + GARBAGE_IS + MISREAD) & (x["s"] > 0.5) & (x["c"] > 0.6)
+
+    held = _ranked(candidates, key, order).withColumn("_k", _apart(F.filter("_all", good), top)).filter(F.size("_k") > 0)
+    return held.select(key, F.array_join(F.transform("_k", lambda x: x["t"]), ", ").alias("ids"), _mean(F.col("_k")).alias("conf"))
 
 
 def combine_fragments(candidates: DataFrame, key: str, order: str, most: int = 15, top: int = 5) -> DataFrame:
-    """Per image the best fragments joined, or the best alone where they are too long together."""
-    held = candidates.filter(F.col("score") > 0.3).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), order, "text"))), 1, top).alias("_all"))
-    none = F.array().cast("array<string>")
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda y: y.contains(x["text"])), acc).otherwise(F.concat(acc, F.array(x["text"]))))
-    held = held.withColumn("_k", kept)
-    joined = F.array_join("_k", "")
-    return held.select(key, F.when(F.char_length(joined) <= most, joined).otherwise(F.get("_k", F.lit(0))).alias("text"))
+    """Per image (text, conf) its best fragments joined, or the best alone where they are too long together or too weak."""
+    held = _ranked(candidates, key, order)
+    held = held.withColumn("_k", _apart(F.filter(F.slice("_all", 1, top), lambda x: x["s"] > 0.3), top))
+    joined, best = F.array_join(F.transform("_k", lambda x: x["t"]), ""), F.get("_all", F.lit(0))
+    fits = (F.size("_k") > 0) & (F.char_length(joined) <= most)
+    return held.select(key, F.when(fits, joined).otherwise(best["t"]).alias("text"), F.when(fits, _mean(F.col("_k"))).otherwise(best["c"]).alias("conf"))
 
 
 def reading_summary(readings: DataFrame) -> DataFrame:

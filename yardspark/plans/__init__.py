@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _registered() -> dict[str, tuple[Callable, str | None]]:
-    from yardspark.plans import boxes, dashboard, placement, readings, streams
+    from yardspark.plans import boxes, dashboard, files, placement, readings, streams
 
-    return {**dashboard.QUERIES, **placement.QUERIES, **boxes.QUERIES, **readings.QUERIES, **streams.QUERIES}
+    return {**dashboard.QUERIES, **placement.QUERIES, **boxes.QUERIES, **readings.QUERIES, **streams.QUERIES, **files.QUERIES}
 
 
 def queries() -> dict[str, Callable]:

@@ -58,6 +58,25 @@ def _expected(s, d):
     return _boxes(s, d).withColumns({"ex": F.col("x2") + F.col("l_partkey") % 50, "ey": F.col("y1") + F.col("l_suppkey") % 90})
 
 
+#: Published weights of the linear model for x and y, on the features in their order.
+WEIGHTS_X = [3148.9156599833327, -0.08731209524505641, -1.20860201891938, 1.0339790344477215, -2.2425810639480455, 0.5927818912862506, 0.00048089777048848236]
+WEIGHTS_Y = [719.7714909558778, -0.002032391489059302, -0.00719517551286619, 0.003130668203440871, -0.010325846134873232, 0.06980402090902021, -6.044961722364233e-05]
+
+
+def _dot(w):
+    return f"round({w[0]}::double + {w[1]}::double * ((x1 + x2) / 2) + {w[2]}::double * x2 + {w[3]}::double * x1 + {w[4]}::double * w + {w[5]}::double * h + {w[6]}::double * (w * h), 4)"
+
+
+def _fit(s, d):
+    """How far the residuals of the fitted model are from standing upright on each feature: least squares leave nothing."""
+    boxes = _expected(s, d)
+    w = C.fit_linear_model(boxes)
+    rows = C.apply_linear_model(boxes, w)
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(t).alias("target"), (f * (F.col(t) - F.col(g))).alias("r"), F.abs(f * F.col(t)).alias("size")) for n, f in zip(C.FEATURES, C.features(), strict=True) for t, g in (("ex", "gx"), ("ey", "gy"))])
+    sums = rows.select(F.explode(each).alias("x")).select("x.*").groupBy("feature", "target").agg(F.sum("r").alias("r"), F.sum("size").alias("s"), F.count("*").alias("n"))
+    return sums.select("feature", "target", F.abs(F.round(F.col("r") / F.col("s"), 6)).alias("residual"), "n")
+
+
 _EX = f"{_BX}, ex as (select *, x2 - x1 as w, y2 - y1 as h, x2 + l_partkey % 50 as ex, y1 + l_suppkey % 90 as ey from bx)"
 _ERRORS = " union all ".join(f"select '{m}' as method, sqrt(pow({x} - ex, 2) + pow({y} - ey, 2)) as e from ex" for m, (x, y) in _GROUND.items())
 _GRID = """, g as (select x.range * 10 as x_pct, y.range * 10 as y_pct, r.r as reference from range(-3, 4) x, range(3, 8) y, (values ('left_edge'), ('right_edge'), ('center')) r(r)),
@@ -118,13 +137,15 @@ QUERIES = {
     "first_and_latest": (lambda s, d: B.first_and_latest(view(s, d, "scans")), sql("select track_id, arg_min(id, {'c': created_on, 'i': id}) as first_id, arg_max(id, {'c': created_on, 'i': -id}) as latest_id, count(*) as events from scans where track_id is not null group by 1", "scans")),
     "tracks_without_crop": (lambda s, d: B.tracks_without_crop(view(s, d, "scans"), view(s, d, "scans").filter("k = 7")), sql("select distinct track_id from scans where track_id is not null and track_id not in (select track_id from scans where k = 7 and track_id is not null)", "scans")),
     "video_summary": (lambda s, d: B.video_summary(view(s, d, "scans")), sql("select camera_id, count(*) as detections, count(distinct track_id) as tracks, count(distinct case when nullif(trim(plate), '') is not null then track_id end) as tracks_with_text, count(distinct created_on) as frames from scans group by 1", "scans")),
+    "video_events": (lambda s, d: B.video_events(view(s, d, "scans")).select("camera_id", "track_id", "id", "rank"), sql("with n as (select camera_id, track_id, max_by(id, {'c': created_on, 'i': id}) as id, max(created_on) as c from scans group by 1, 2) select camera_id, track_id, id, cast(row_number() over (partition by camera_id order by c desc, id desc) as int) as rank from n qualify rank <= 100", "scans")),
     "counter_rate": (lambda s, d: _rounded(B.counter_rate(_metrics(s, d).withColumn("value", F.col("counter")), 3600).select("id", "rate"), 6, "rate"), sql(_RATE, "scans")),
     "ema": (lambda s, d: _rounded(B.ema(_metrics(s, d)), 6, "ema"), sql(_EMA, "scans")),
     "observation_count": (lambda s, d: B.observation_count(_metrics(s, d).withColumn("tag", F.col("camera_id")), 1800, 10).select("id", "n", "moves"), sql("with m as (select id, camera_id, cast(floor(epoch(created_on)) as bigint) as t from scans), c as (select id, count(*) over (partition by camera_id order by t range between 1800 preceding and current row) as n from m) select id, n, n >= 10 as moves from c", "scans")),
     "method_errors": (lambda s, d: _rounded(C.method_errors(_expected(s, d)), 4, "mean", "max", "min", "std"), sql(f"with {_EX}, e as ({_ERRORS}) select method, round(avg(e), 4) as mean, round(max(e), 4) as max, round(min(e), 4) as min, round(stddev_pop(e), 4) as std from e group by 1", "boxes")),
     "grid_search_offsets": (lambda s, d: _rounded(C.grid_search_offsets(_expected(s, d)), 4, "mean", "max", "min"), sql(f"with {_EX}{_GRID}", "boxes")),
-    "apply_linear_model": (lambda s, d: _rounded(C.apply_linear_model(_expected(s, d), C.fit_linear_model(_expected(s, d))).select("frame", *KEY, "gx", "gy"), 4, "gx", "gy"), None),
+    "apply_linear_model": (lambda s, d: _rounded(C.apply_linear_model(_expected(s, d), {"ex": WEIGHTS_X, "ey": WEIGHTS_Y}).select("frame", *KEY, "gx", "gy"), 4, "gx", "gy"), sql(f"with {_EX} select frame, {_K}, {_dot(WEIGHTS_X)} as gx, {_dot(WEIGHTS_Y)} as gy from ex", "boxes")),
+    "fit_linear_model": (_fit, sql(f"with {_EX}, f as (select unnest([" + ", ".join(f"'{f}'" for f in C.FEATURES) + "]) as feature) select feature, target, 0.0::double as residual, (select count(*) from ex) as n from f, (values ('ex'), ('ey')) t(target)", "boxes")),
     "lookup_or_bottom_center": (lambda s, d: C.lookup_or_bottom_center(_boxes(s, d).withColumn("spot", F.col("l_suppkey") % 30), s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey < 20").select(F.col("s_suppkey").alias("spot"), (F.col("s_suppkey") * 10.0).alias("px"), (F.col("s_suppkey") * 5.0).alias("py"))).select("frame", *KEY, "gx", "gy"), sql(f"with {_BX} select frame, {_K}, coalesce(s_suppkey * 10.0::double, (x1 + x2) / 2) as gx, coalesce(s_suppkey * 5.0::double, y2) as gy from bx left join (select * from supplier where s_suppkey < 20) on s_suppkey = l_suppkey % 30", "boxes")),
-    "match_calibration": (lambda s, d: C.match_calibration(_boxes(s, d).withColumn("track_id", F.col("l_partkey")).select("frame", *KEY, "track_id", "x1", "y1", "x2", "y2"), s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey <= 40").select(F.col("s_name").alias("spot"), (F.col("s_suppkey") * 17 % 600).cast("double").alias("ex"), (F.col("s_suppkey") * 31 % 300).cast("double").alias("ey")), s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("track_id"), F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("spot"))).select("frame", *KEY, "spot", "how"),
-        sql(f"with {_BX}, e as (select s_name as spot, cast(s_suppkey * 17 % 600 as double) as ex, cast(s_suppkey * 31 % 300 as double) as ey from supplier where s_suppkey <= 40), n as (select frame, {_K}, spot, sqrt(pow((x1 + x2) / 2 - ex, 2) + pow(y2 - ey, 2)) as dd from bx, e), b as (select * from (select *, row_number() over (partition by frame, {_K} order by dd, spot) as rn from n) where rn = 1) select frame, {_K}, case when l_partkey % 10 = 0 and l_partkey in (select p_partkey from part) then 'M' || l_partkey else spot end as spot, case when l_partkey % 10 = 0 and l_partkey in (select p_partkey from part) then 'manual' else 'nearest' end as how from b where dd < 500 or (l_partkey % 10 = 0 and l_partkey in (select p_partkey from part))", "boxes")),
+    "match_calibration": (lambda s, d: C.match_calibration(_boxes(s, d).withColumn("track_id", F.col("l_partkey")).select("frame", *KEY, "track_id", "x1", "y1", "x2", "y2"), s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("spot"), (F.col("n_nationkey") * 170 % 600).cast("double").alias("ex"), (F.col("n_nationkey") * 31 % 300).cast("double").alias("ey")), s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("track_id"), F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("spot"))).select("frame", *KEY, "spot", "how"),
+        sql(f"with {_BX}, e as (select n_name as spot, cast(n_nationkey * 170 % 600 as double) as ex, cast(n_nationkey * 31 % 300 as double) as ey from nation), n as (select frame, {_K}, spot, sqrt(pow((x1 + x2) / 2 - ex, 2) + pow(y2 - ey, 2)) as dd from bx, e), b as (select * from (select *, row_number() over (partition by frame, {_K} order by dd, spot) as rn from n) where rn = 1) select frame, {_K}, case when l_partkey % 10 = 0 and l_partkey in (select p_partkey from part) then 'M' || l_partkey else spot end as spot, case when l_partkey % 10 = 0 and l_partkey in (select p_partkey from part) then 'manual' else 'nearest' end as how from b where dd < 500 or (l_partkey % 10 = 0 and l_partkey in (select p_partkey from part))", "boxes")),
 }

@@ -63,21 +63,22 @@ _SITE_SETTINGS = f"{_SETTINGS}, ss as (select n_nationkey as site_id, n_name as
 def _by_site(s, d):
     scans = _scans(s, d).withColumn("site_id", F.col("k") % 25).withColumn("plate", F.when(F.col("k") % 9 == 0, F.col("plate")).otherwise(F.concat("plate", F.lit("-0123456789-ABCDEFGHI"))))
     points = _spot_points(s, d).crossJoin(F.broadcast(_sites(s, d).select("site_id"))).filter((F.col("ord") + F.col("site_id")) % 3 != 0)
-    settings = A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d)).select("site_id", "min_speed", "max_speed", "max_slot_distance")
-    return A.assign_spots_by_site(scans, points, settings).select("id", "site_id", "spot", F.round("distance", 4).alias("distance"), "verdict")
+    settings = A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d)).select("site_id", "min_speed", "max_speed", "max_slot_distance", (F.col("site_id") % 6).alias("max_slots"))
+    moved = scans.filter("k % 13 = 0 and is_processed").select("plate")
+    return A.assign_spots_by_site(scans, points, settings, moved).select("id", "site_id", "spot", F.round("distance", 4).alias("distance"), "verdict")
 
 
 _BEARING = "((degrees(atan2(sin(radians(spot_lon - longitude)) * cos(radians(spot_lat)), cos(radians(latitude)) * sin(radians(spot_lat)) - sin(radians(latitude)) * cos(radians(spot_lat)) * cos(radians(spot_lon - longitude)))) + 360) % 360)"
 _BY_SITE = f"""with {_SPOT_POINTS}, {_SITE_SETTINGS},
 sc as (select * replace (case when k % 9 = 0 then plate else plate || '-0123456789-ABCDEFGHI' end as plate), k % 25 as site_id from scans),
 w as (select sc.*, min_speed, max_speed, max_slot_distance from sc join ss using (site_id)),
-p as (select w.id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance, max_slot_distance,
+p as (select w.id, w.site_id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance, max_slot_distance,
         abs((({_BEARING} - (heading + 90) + 180 + 720) % 360) - 180) as off
       from w join (select sp.*, n_nationkey as site_id from sp, nation where (ord + n_nationkey) % 3 <> 0) q using (site_id)),
-b as (select id, spot, distance from (select *, row_number() over (partition by id order by distance, ord) as rn from p where distance < max_slot_distance and off <= 90) where rn = 1)
+b as (select id, spot, distance from (select *, row_number() over (partition by id order by distance, ord) as rn from p where distance < max_slot_distance and off <= 90 and site_id % 6 > 0) where rn = 1)
 select w.id, site_id, spot, round(distance, 4) as distance,
   case when length(coalesce(plate, '')) <= 20 then 'Ignore Inventory - Invalid Tag' when not coalesce(speed between min_speed and max_speed, false) then 'Ignore Inventory - Speed is not valid'
-       when spot is null then 'Ignore Inventory - Unable to pick the location' else 'Location Updated: ' || spot end as verdict
+       when plate in (select plate from sc where k % 13 = 0 and is_processed) then 'Ignore Inventory - Already Moved' when spot is null then 'Ignore Inventory - Unable to pick the location' else 'Location Updated: ' || spot end as verdict
 from w left join b using (id)"""
 
 _H = [[0.002, 0.0001, -0.4], [0.0002, 0.01, -0.2], [0.00001, 0.00002, 1.0]]
@@ -93,21 +94,20 @@ def _pixels(s, d):
 _PIXELS = "pix as (select l_suppkey as ord, avg(x2) as px, avg(y2) as py, 'S' || l_suppkey as name from boxes group by 1)"
 
 
-def _logs(s, d, part):
-    rows = view(s, d, "scans").filter(F.col("id") % 40 == part)
-    return rows.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), F.col("camera_id").alias("camera"), F.to_date("created_on").alias("date"), F.when(F.col("k") % 10 > 0, F.hour("created_on") * 3600 + F.minute("created_on") * 60 + F.floor(F.second("created_on"))).cast("int").alias("time_s"), F.concat(F.lit("s"), F.floor(F.col("id") / 200).cast("string")).alias("stem"))
-
-
-def _all_logs(s, d, table, number, camera, ts):
+def _logs(s, d, table, number, camera, ts):
     """Every row of a table as a video or a log; a tenth is without time."""
     return view(s, d, table).select(F.concat(F.lit("v"), F.col(number).cast("string")).alias("name"), F.col(camera).alias("camera"), F.to_date(ts).alias("date"), F.when(F.col("k") % 10 > 0, F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))).cast("int").alias("time_s"), F.concat(F.lit("s"), F.floor(F.col(number) / 200).cast("string")).alias("stem"))
 
 
-def _logs_sql(name, part):
-    return f"{name} as (select 'v' || id as name, camera_id as camera, cast(created_on as date) as date, case when k % 10 > 0 then cast(hour(created_on) * 3600 + minute(created_on) * 60 + second(created_on) as int) end as time_s, 's' || cast(floor(id / 200) as bigint) as stem from scans where id % 40 = {part})"
+def _match(s, d):
+    return T.match_gps_log(_logs(s, d, "scans", "id", "camera_id", "created_on"), _logs(s, d, "fixes", "event_id", "device", "ts"))
+
 
+def _logs_sql(name, table, number, camera, ts):
+    return f"{name} as (select 'v' || {number} as name, {camera} as camera, cast({ts} as date) as date, case when k % 10 > 0 then cast(hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}) as int) end as time_s, 's' || cast(floor({number} / 200) as bigint) as stem from {table})"
 
-_MATCH = f"""with {_logs_sql('v', 0)}, {_logs_sql('l', 7)},
+
+_MATCH = f"""with {_logs_sql('v', 'scans', 'id', 'camera_id', 'created_on')}, {_logs_sql('l', 'fixes', 'event_id', 'device', 'ts')},
 f as (select v.name, l.name as log, abs(v.time_s - l.time_s) as gap, l.time_s is null or v.time_s is null as untimed from v join l using (camera, date)),
 u as (select name, log, case when gap = 0 then 1 when gap <= 300 then 2 when untimed then 3 else 5 end as step, coalesce(gap, 0) as gap from f
       union all select v.name, l.name, 4, 0 from v join l using (stem))
@@ -138,18 +138,18 @@ select id, round(sum(weight * lat) filter (ok) / sum(weight) filter (ok), 8) as
 
 
 def _calib(s, d):
-    return s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey <= 40").select((F.col("s_suppkey") % 7).cast("double").alias("x"), (F.col("s_suppkey") % 11).cast("double").alias("y"))
+    return s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") % 7).cast("double").alias("x"), (F.col("n_nationkey") % 11).cast("double").alias("y"))
 
 
-_CALIB = "cal as (select cast(s_suppkey % 7 as double) as x, cast(s_suppkey % 11 as double) as y, s_suppkey as n from supplier where s_suppkey <= 40)"
+_CALIB = "cal as (select cast(n_nationkey % 7 as double) as x, cast(n_nationkey % 11 as double) as y, n_nationkey as n from nation)"
 _REGION = f"{_CALIB}, reg as (select (select min(x) from cal) as x1, (select max(x) from cal) as x2, (select min(y) from cal) as y1, (select max(y) from cal) as y2, coalesce(avg(d), 10) as mean_distance, coalesce(max(d), 20) as max_distance, 1.5 * coalesce(max(d), 20) as trusted_radius from (select sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from cal a join cal b on a.n < b.n))"
 
 
 def _landmarks(s, d):
-    return s.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey <= 25").select(F.col("s_suppkey").alias("ord"), (F.col("s_suppkey") % 5).cast("double").alias("lx"), (F.col("s_suppkey") % 19).cast("double").alias("ly"), (LAT0 + F.col("s_suppkey") / 1e4).alias("lat"), (LON0 - F.col("s_suppkey") / 1e4).alias("lon"))
+    return s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") % 5).cast("double").alias("lx"), (F.col("n_nationkey") % 19).cast("double").alias("ly"), (LAT0 + F.col("n_nationkey") / 1e4).alias("lat"), (LON0 - F.col("n_nationkey") / 1e4).alias("lon"))
 
 
-_LAND = f"lm as (select s_suppkey as ord, cast(s_suppkey % 5 as double) as lx, cast(s_suppkey % 19 as double) as ly, {LAT0} + s_suppkey / 1e4 as lat, {LON0} - s_suppkey / 1e4 as lon from supplier where s_suppkey <= 25)"
+_LAND = f"lm as (select n_nationkey as ord, cast(n_nationkey % 5 as double) as lx, cast(n_nationkey % 19 as double) as ly, {LAT0} + n_nationkey / 1e4 as lat, {LON0} - n_nationkey / 1e4 as lon from nation)"
 _LPAIR = f"with {_LAND}, p as (select id, lm.*, sqrt(pow(x_world - lx, 2) + pow(y_world - ly, 2)) as d from scans, lm)"
 _E2, _A = 0.0066943799901413165, 6378137.0
 _MID = f"radians((latitude + {LAT0}) / 2)"
@@ -176,11 +176,29 @@ def _sides(s, d):
     return f.select("event_id", swap.alias("world_coords"), F.when(F.col("k") % 5 == 0, F.col("lat")).alias("lat"), F.when(F.col("k") % 5 == 0, F.col("lon")).alias("lon"))
 
 
+def _offsets(s, d):
+    """The positions, carried back into metres from the camera, which SQL knows without the ellipsoid."""
+    found = G.offset_position(view(s, d, "boxes"), LAT0, LON0, (1280, 720), (50.0, 30.0))
+    east, north = to_local(F.col("latitude"), F.col("longitude"), LAT0, LON0)
+    return found.select("frame", "box_id", "l_partkey", "l_suppkey", F.round(east + 1e-5, 3).alias("east_m"), F.round(north + 1e-5, 3).alias("north_m"))
+
+
+def _grounds(s, d):
+    """Both methods; rounded a little above, as many points lie halfway between two roundings."""
+    boxes, camera = view(s, d, "boxes"), {**_CAMERA, "size": (1280, 720)}
+    ways = [G.ground_of_boxes(boxes, camera, m, frame=(640, 360)).select("frame", "box_id", "l_partkey", "l_suppkey", F.lit(m).alias("method"), F.round(F.col("wx") + 1e-7, 5).alias("wx"), F.round(F.col("wy") + 1e-7, 5).alias("wy")) for m in ("bottom_center", "backside_projection")]
+    return ways[0].unionByName(ways[1])
+
+
+_GROUNDS = " union all ".join(f"select frame, box_id, l_partkey, l_suppkey, '{m}' as method, round({_CENTRE[0]} + ({z} - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[0]} + 1e-7, 5) as wx, round({_CENTRE[1]} + ({z} - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[1]} + 1e-7, 5) as wy from (select *, (x1 + x2) / 2 * 2 as px, {y} * 2 as py from boxes)" for m, z, y in (("bottom_center", "0.0::double", "y2"), ("backside_projection", "2.6::double", "(y1 + y2) / 2")))
+
+
 QUERIES = {
     "resolve_position": (lambda s, d: _rounded(G.resolve_position(_sides(s, d)).select("event_id", "latitude", "longitude"), 7, "latitude", "longitude"), sql("select event_id, case when k % 5 = 0 or k % 3 < 2 then round(lat, 7) end as latitude, case when k % 5 = 0 or k % 3 = 0 then round(lon, 7) when k % 3 = 1 then round(lon - 30, 7) end as longitude from fixes", "fixes")),
     "check_position": (lambda s, d: _rounded(G.check_position(_scans(s, d), LAT0, LON0, 0.01).select("id", "distance_km", "valid"), 6, "distance_km"), sql(f"with f as (select id, {_feet('latitude', 'longitude', LAT0, LON0)} / 3.28084 / 1000 as km from scans) select id, round(km, 6) as distance_km, km <= 0.01 as valid from f", "scans")),
-    "offset_position": (lambda s, d: G.offset_position(view(s, d, "boxes"), LAT0, LON0, (1280, 720), (50.0, 30.0)).withColumn("north_m", F.round((F.col("latitude") - LAT0) * 1e3, 3)).groupBy("north_m").agg(F.count("*").alias("n")), None),
+    "offset_position": (_offsets, sql("select frame, box_id, l_partkey, l_suppkey, round(((x1 + x2) / 2 - 640) / 640 * 50 + 1e-5, 3) as east_m, round(-((y1 + y2) / 2 - 360) / 360 * 30 + 1e-5, 3) as north_m from boxes", "boxes")),
     "project_plane": (lambda s, d: _rounded(G.project_plane(_pixels(s, d), _CAMERA).select("name", "wx", "wy"), 6, "wx", "wy"), sql(f"with {_PIXELS} select name, round({_CENTRE[0]} + (0 - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[0]}, 6) as wx, round({_CENTRE[1]} + (0 - {_CENTRE[2]}) / {_RAY[2]} * {_RAY[1]}, 6) as wy from pix", "boxes")),
+    "ground_of_boxes": (_grounds, sql(_GROUNDS, "boxes")),
     "project_pixel": (lambda s, d: _rounded(G.project_pixel(G.project_plane(_pixels(s, d), _CAMERA).select("name", "wx", "wy"), _CAMERA), 3, "px", "py").select("name", "px", "py"), sql(f"with {_PIXELS} select name, round(px, 3) as px, round(py, 3) as py from pix", "boxes")),
     "valid_scan": (lambda s, d: A.valid_scan(_scans(s, d), 5, 60).select("id", "plate"), sql("select id, plate from scans where nullif(trim(plate), '') is not null and speed between 5 and 60", "scans")),
     "latest_per_plate": (lambda s, d: A.latest_per_plate(_scans(s, d)).select("id", "plate", "created_on"), sql("select id, plate, created_on from (select *, row_number() over (partition by plate order by created_on desc, id) as rn from scans where nullif(trim(plate), '') is not null) where rn = 1", "scans")),
@@ -188,7 +206,7 @@ QUERIES = {
     "nearest_spots": (lambda s, d: A.nearest_spots(_scans(s, d), _spot_points(s, d), _LIMIT).select("id", "spot", "rank", F.round("distance", 4).alias("distance")), sql(f"with {_PAIRS} select id, spot, rank, round(distance, 4) as distance from (select *, cast(row_number() over (partition by id order by distance, ord) as int) as rank from pairs) where rank <= 5", "scans")),
     "nearest_any": (lambda s, d: A.nearest_any(_scans(s, d), _spot_points(s, d)).select("id", "spot", F.round("distance", 4).alias("distance")), sql(f"with {_SPOT_POINTS}, q as (select id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from scans, sp) select id, spot, round(distance, 4) as distance from (select *, row_number() over (partition by id order by distance, ord) as rn from q) where rn = 1", "scans")),
     "assign_spots": (lambda s, d: A.assign_spots(_scans(s, d), _spot_points(s, d), limit_ft=_LIMIT).withColumn("distance", F.round("distance", 4)), sql(f"with {_SPOT_POINTS}, {_WAITING}, q as (select id, plate, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp) select id, plate, spot, round(distance, 4) as distance from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1", "scans")),
-    "mark_assigned": (lambda s, d: A.mark_assigned(_scans(s, d), A.assign_spots(_scans(s, d), _spot_points(s, d), limit_ft=_LIMIT)).select("id", "is_processed", "assigned_spot_name", "processed_comment"), sql(f"with {_SPOT_POINTS}, {_WAITING}, q as (select id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp), b as (select id, spot from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1) select scans.id, is_processed or spot is not null as is_processed, spot as assigned_spot_name, 'Location Updated: ' || spot as processed_comment from scans left join b using (id)", "scans")),
+    "mark_assigned": (lambda s, d: A.mark_assigned(_scans(s, d), A.assign_spots(_scans(s, d), _spot_points(s, d).withColumn("spot_id", F.concat(F.lit("S"), F.col("ord").cast("string"))), limit_ft=_LIMIT), F.lit("2024-03-01").cast("timestamp_ntz")).select("id", "is_processed", "assigned_spot_id", "assigned_spot_name", "processed_comment", "updated_on"), sql(f"with {_SPOT_POINTS}, {_WAITING}, q as (select id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp), b as (select id, spot, ord from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1) select scans.id, is_processed or spot is not null as is_processed, 'S' || ord as assigned_spot_id, spot as assigned_spot_name, 'Location Updated: ' || spot as processed_comment, case when spot is not null then timestamp '2024-03-01' end as updated_on from scans left join b using (id)", "scans")),
     "site_settings": (lambda s, d: A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d)), f"with {_SITE_SETTINGS} select * from ss"),
     "assign_spots_by_site": (_by_site, sql(_BY_SITE, "scans")),
     "latest_coordinate": (lambda s, d: A.latest_coordinate(view(s, d, "coordinates")).select("location_id", "id"), sql("select location_id, max(id) as id from coordinates where not is_deleted group by 1", "coordinates")),
@@ -199,8 +217,8 @@ QUERIES = {
     "gps_at": (lambda s, d: T.gps_at(view(s, d, "frames"), view(s, d, "fixes"), 600).select("event_id", "fix_id"), sql("select frames.event_id, f.event_id as fix_id from frames left join (select a.event_id as fr, max_by(b.event_id, {'t': b.ts, 'e': b.event_id}) as event_id from frames a join fixes b on a.device = b.device and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000 group by 1) f on fr = frames.event_id", "frames", "fixes")),
     "gps_nearest": (lambda s, d: _rounded(T.gps_nearest(view(s, d, "frames"), view(s, d, "fixes")), 3, "gap_s"), sql("with p as (select a.event_id, b.event_id as fix_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) as g, row_number() over (partition by a.event_id order by abs(epoch_us(a.ts) - epoch_us(b.ts)), b.ts, b.event_id) as rn from frames a join fixes b using (device)) select event_id, fix_id, round(g / 1e6, 3) as gap_s from p where rn = 1", "frames", "fixes")),
     "frame_time": (lambda s, d: T.frame_time(view(s, d, "frames").select(F.col("device").alias("video"), F.col("event_id").alias("frame"), F.lit(20000).alias("total")), view(s, d, "fixes").select(F.col("device").alias("video"), "ts")), sql("with sp as (select device, epoch_us(min(ts)) as a, epoch_us(max(ts)) as z from fixes group by 1) select device as video, event_id as frame, 20000 as total, a + cast(floor(event_id / 20000 * (z - a)) as bigint) as micros from frames join sp using (device)", "frames", "fixes")),
-    "match_gps_log": (lambda s, d: T.match_gps_log(_logs(s, d, 0), _logs(s, d, 7)), sql(_MATCH, "scans")),
-    "match_gps_log_all": (lambda s, d: T.match_gps_log(_all_logs(s, d, "scans", "id", "camera_id", "created_on"), _all_logs(s, d, "fixes", "event_id", "device", "ts")), None),
+    "match_gps_log": (_match, sql(_MATCH, "scans", "fixes")),
+    "match_gps_log_all": (_match, sql(_MATCH, "scans", "fixes")),
     "average_position": (lambda s, d: _rounded(G.average_position(view(s, d, "fixes")), 8, "lat", "lon"), sql(_AVG, "fixes")),
     "position_accuracy": (lambda s, d: _rounded(G.position_accuracy(view(s, d, "fixes"), LAT0, LON0).select("event_id", "error_m", "band"), 3, "error_m"), sql(f"with e as (select event_id, {_feet('lat', 'lon', LAT0, LON0)} / 3.28084 as e from fixes) select event_id, round(e, 3) as error_m, case when e < 5 then 'excellent' when e < 10 then 'good' when e < 20 then 'fair' when e < 50 then 'poor' else 'bad' end as band from e", "fixes")),
     "to_local": (_to_local, sql(_LOCAL, "scans")),

@@ -51,6 +51,8 @@ def _n(x):
 
 
 _GARBAGE = "(" + " or ".join(f"contains(upper({{0}}), '{g}')" for g in R.GARBAGE_IN) + " or upper({0}) in (" + ", ".join(f"'{g}'" for g in R.GARBAGE_IS) + "))"
+_ANY = "(" + " or ".join(f"contains(upper({{0}}), '{g}')" for g in R.GARBAGE_IN + R.GARBAGE_IS + R.MISREAD + R.FRAGMENTS) + ")"
+_IDS = "(" + " or ".join(f"contains(upper({{0}}), '{g}')" for g in R.GARBAGE_IN + R.GARBAGE_IS + R.MISREAD) + ")"
 _NOISE = f"""with {_NOISY}, c as (select event_id, coalesce({_TRIM}, '') as t from nz), b as (select *, {_al('t')} as body from c),
 k as (select *, string_split(body, '') as ch, length(t) as n from b), m as (select *, list_distinct(list_filter(ch, lambda x: x <> '')) as kinds from k),
 f as (select *, case when len(kinds) = 0 then null else list_max(list_transform(kinds, lambda c: len(list_filter(ch, lambda x: x = c)))) end as most, len(kinds) as few from m)
@@ -69,7 +71,7 @@ b as (select event_id, cand, row_number() over (partition by event_id order by -
 select nz.event_id, coalesce(cand, text) as text from nz left join (select * from b where rn = 1) q using (event_id)"""
 _PCONF = f"case when {_l('text')} and {_d('text')} then 0.85 when {_n('text')} then 0.80 when {_l('text')} then 0.70 else 0.50 end"
 _SCORE = f"""with {_NOISY}, s as (select event_id, conf, {_al('text')} as t, cast(track % 60 as double) / 100 as ra, cast(track % 10 as double) / 10 as cd from nz),
-b as (select *, not (length(t) between 2 and 15) or {_GARBAGE.format('t')} or (length(t) = 2 and not ({_n('t')} and conf > 0.8)) or (length(t) <= 3 and regexp_matches(t, '^\\p{{L}}+$') and conf < 0.9) as bad from s)
+b as (select *, not (length(t) between 2 and 15) or {_ANY.format('t')} or (length(t) = 2 and not ({_n('t')} and conf > 0.8)) or (length(t) <= 3 and regexp_matches(t, '^\\p{{L}}+$') and conf < 0.9) as bad from s)
 select event_id, round(case when not bad then conf * case when ra between 0.01 and 0.5 then 1.2 when ra < 0.01 then 0.7 else 0.5 end * case when length(t) between 3 and 12 then 1.3 when length(t) = 2 or length(t) between 13 and 15 then 1.1 else 1.0 end
   * case when {_l('t')} and {_d('t')} then 1.2 when {_d('t')} then 1.1 else 1.0 end * case when cd < 0.3 then 1.1 else 1.0 end end, 6) as score from b"""
 _QUALITY = f"(least(length({{0}}), 20) * 0.1::double + case when {_l('{0}')} and {_d('{0}')} then 5.0 when {_l('{0}')} then 2.0 when {_d('{0}')} then 1.0 else 0.0 end - length(regexp_replace({{0}}, '[\\p{{L}}\\p{{N}} .-]', '', 'g')) * 0.5::double)".replace("{{L}}", "{L}").replace("{{N}}", "{N}")
@@ -107,6 +109,47 @@ k as (select *, upper({_al('w')}) as k from w), f as (select *, row_number() ove
 select image, string_agg(w, ' ' order by event_id, i) as text, round(avg(conf), 9) as conf from f where rn = 1 group by 1"""
 
 
+def _preambles(s, d):
+    """Answers with the prefixes and role lines that text models put around a reading."""
+    k, t = F.col("event_id") % 8, F.coalesce("text", F.lit(""))
+    texts = [F.concat(F.lit("Content: "), t), F.concat(F.lit("I can see: "), t), F.concat(F.lit("assistant\n\n"), t), F.concat(F.lit("THE IMAGE CONTAINS: a\nuser\n"), t), F.concat(F.lit("x The text is: "), t, F.lit("\n\n  b")), F.lit("Assistant"), F.concat(F.repeat(F.lit("long. "), 100), t)]
+    shaped = t
+    for i, c in enumerate(texts):
+        shaped = F.when(k == i, c).otherwise(shaped)
+    return _noisy(s, d).select("event_id", R.strip_preamble(shaped).alias("text"))
+
+
+# by hand: what each shape leaves of the reading
+_PREAMBLE = f"""with {_NOISY}, t as (select event_id, event_id % 8 as k, coalesce(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') as t from nz)
+select event_id, case k when 3 then trim('a ' || t) when 4 then trim(t || ' b') when 5 then '' else t end as text from t"""
+
+
+def _candidates(s, d):
+    """Scored candidates of five readings each, with ids that hold each other, misread signs and short ones."""
+    k, n = F.col("event_id") % 5, (F.col("track") % 900 + 100).cast("string")
+    t = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("12"))).when(k == 2, F.when(F.col("track") % 2 == 0, "36CBX").otherwise(F.concat(F.lit("A9"), n))).when(k == 3, F.concat(F.lit("MARJON"), F.substring(n, 1, 1))).otherwise("12")
+    rows = _readings(s, d).select("event_id", F.floor(F.col("event_id") / 5).alias("image"), t.alias("text"), "conf", "track")
+    score = R.candidate_score(F.col("text"), F.col("conf"), (F.col("track") % 60).cast("double") / 100, (F.col("track") % 10).cast("double") / 10)
+    return rows.withColumn("score", F.round(score, 6)).filter("score is not null")
+
+
+_CANDIDATES = f"""r as (select event_id, cast(floor(event_id / 5) as bigint) as image, conf, track, cast(track % 900 + 100 as varchar) as n from readings),
+t as (select *, case event_id % 5 when 0 then n when 1 then n || '12' when 2 then case when track % 2 = 0 then '36CBX' else 'A9' || n end when 3 then 'MARJON' || n[1] else '12' end as t, cast(track % 60 as double) / 100 as ra, cast(track % 10 as double) / 10 as cd from r),
+b as (select *, not (length(t) between 2 and 15) or {_ANY.format('t')} or (length(t) = 2 and not (conf > 0.8)) as bad from t),
+q as (select event_id, image, t, conf, round(conf * case when ra between 0.01 and 0.5 then 1.2 when ra < 0.01 then 0.7 else 0.5 end * case when length(t) between 3 and 12 then 1.3 else 1.1 end
+  * case when {_l('t')} then 1.2 else 1.1 end * case when cd < 0.3 then 1.1 else 1.0 end, 6) as score from b where not bad)"""
+_FOLD = "list_reduce(list_transform({0}, lambda x: [x]), lambda acc, x: case when len(acc) >= {1} or len(list_filter(acc, lambda y: contains(y.t, x[1].t) or contains(x[1].t, y.t))) > 0 then acc else list_concat(acc, x) end)"
+_DISTINCT = f"""with {_CANDIDATES}, l as (select image, list({{'t': t, 'c': conf}} order by score desc, event_id) as l from q
+  where (({_n('t')} and length(t) between 3 and 8) or ({_l('t')} and {_d('t')} and length(t) between 4 and 12)) and not {_IDS.format('t')} and score > 0.5 and conf > 0.6 group by 1),
+k as (select image, {_FOLD.format('l', 10)} as k from l)
+select image, array_to_string(list_transform(k, lambda x: x.t), ', ') as ids, round(list_avg(list_transform(k, lambda x: x.c)), 6) as conf from k"""
+_COMBINE = f"""with {_CANDIDATES}, l as (select image, list({{'t': t, 'c': conf, 's': score}} order by score desc, event_id) as l from q group by 1),
+f as (select image, l[1] as best, list_filter(l[:5], lambda x: x.s > 0.3) as l from l),
+k as (select image, best, case when len(l) = 0 then l else {_FOLD.format('l', 5)} end as k from f),
+j as (select *, len(k) > 0 and length(array_to_string(list_transform(k, lambda x: x.t), '')) <= 15 as fits from k)
+select image, case when fits then array_to_string(list_transform(k, lambda x: x.t), '') else best.t end as text, round(case when fits then list_avg(list_transform(k, lambda x: x.c)) else best.c end, 6) as conf from j"""
+
+
 def _crops(s, d):
     return view(s, d, "scans").select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("crop_filename"), F.col("spot_name").alias("spot"), "k")
 
@@ -149,13 +192,13 @@ QUERIES = {
     "valid_id": (lambda s, d: _noisy(s, d).select("event_id", R.valid_id(F.col("text"), F.col("conf")).alias("valid")), sql(f"with {_NOISY} select event_id, length(text) between 2 and 15 and ({_n('text')} or ({_l('text')} and {_d('text')}) or ({_l('text')} and not {_d('text')} and conf >= 0.7)) as valid from nz", "readings")),
     "reject_short": (lambda s, d: _noisy(s, d).select("event_id", R.reject_short(F.substring("text", 1, 2), F.col("conf")).alias("text")), sql(f"with {_NOISY}, c as (select event_id, conf, coalesce(nullif(regexp_replace(substr(text, 1, 2), '^\\s+|\\s+$', '', 'g'), ''), '') as s from nz) select event_id, case when conf >= 0.15 and (length(s) >= 2 or (regexp_matches(s, '^[0-9]$') and conf >= 0.25)) then s else '' end as text from c", "readings")),
     "score_candidates": (lambda s, d: _noisy(s, d).select("event_id", F.round(R.candidate_score(F.col("text"), F.col("conf"), (F.col("track") % 60).cast("double") / 100, (F.col("track") % 10).cast("double") / 10), 6).alias("score")), sql(_SCORE, "readings")),
-    "strip_preamble": (lambda s, d: _noisy(s, d).select("event_id", R.strip_preamble(F.concat(F.lit("user:\nThe text in the image reads: "), F.col("text"))).alias("text")), sql(f"with {_NOISY} select event_id, trim(text) as text from nz", "readings")),
+    "strip_preamble": (_preambles, sql(_PREAMBLE, "readings")),
     "match_readings": (lambda s, d: R.match_readings(_crops(s, d), _texts(s, d)), sql("select 'c' || id as crop_filename, coalesce(spot_name, 'unknown') as spot, k, case when id % 3 > 0 then r.text else '' end as ocr_text, case when id % 3 > 0 then r.conf else 0 end as ocr_conf, case when id % 3 > 0 then 'engine' else 'not_found' end as ocr_method from scans join readings r on r.event_id = id", "scans", "readings")),
     "consolidate_readings": (lambda s, d: _rounded(R.consolidate_readings(_readings(s, d)), 6, "conf"), sql(_CONSOLIDATE, "readings")),
     "best_reading": (lambda s, d: R.best_reading(_attempts(s, d), "image", "event_id"), sql(_BEST, "readings")),
     "merge_readings": (lambda s, d: _rounded(R.merge_readings(_attempts(s, d), "image", "event_id"), 9, "conf"), sql(_MERGE, "readings")),
-    "distinct_ids": (lambda s, d: R.distinct_ids(_attempts(s, d).withColumn("score", F.col("conf") * 1.1), "image", "event_id"), None),
-    "combine_fragments": (lambda s, d: R.combine_fragments(_attempts(s, d).withColumn("score", F.col("conf") * 1.1), "image", "event_id"), None),
+    "distinct_ids": (lambda s, d: _rounded(R.distinct_ids(_candidates(s, d), "image", "event_id"), 6, "conf"), sql(f"with {_DISTINCT[5:]}", "readings")),
+    "combine_fragments": (lambda s, d: _rounded(R.combine_fragments(_candidates(s, d), "image", "event_id"), 6, "conf"), sql(f"with {_COMBINE[5:]}", "readings")),
     "reading_summary": (lambda s, d: R.reading_summary(_attempts(s, d)), sql(f"with {_ATT} select method, count(*) as processed, 0 as failed, count(*) filter ({_TRIM} is not null) as successful from att group by 1", "readings")),
     "engine_comparison": (lambda s, d: R.engine_comparison(_engines(s, d), _truth(s, d), "image"), sql("with e as (select cast(floor(event_id / 4) as bigint) as image, cast(event_id % 4 as varchar) as engine, text, conf from readings), x as (select cast(floor(event_id / 4) as bigint) as image, substr(text, 3, 6) as expected from readings where event_id % 4 = 0), h as (select e.*, coalesce(nullif(trim(text), '') is not null and (contains(upper(trim(text)), upper(expected)) or contains(upper(expected), upper(trim(text)))), false) as hit from e join x using (image)) select image, count(*) filter (hit) as matches, case when count(*) filter (hit) > 0 then 'match' else 'no_match' end as status, arg_min(engine, {'c': -conf, 'e': engine}) filter (hit) as best_engine from h group by 1", "readings")),
     "latency_summary": (lambda s, d: _rounded(R.latency_summary(view(s, d, "scans"), "camera_id", "speed"), 6, "mean_ms", "min_ms", "max_ms", "per_second"), sql("select camera_id, round(avg(speed), 6) as mean_ms, round(min(speed), 6) as min_ms, round(max(speed), 6) as max_ms, round(1000 / avg(speed), 6) as per_second from scans group by 1", "scans")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from yardspark.operators import assign as A
 from yardspark.operators import tracking as K
-from yardspark.plans.placement import _LIMIT, _spot_points
+from yardspark.plans.placement import _LIMIT, _SPOT_POINTS, _WAITING, _feet, _spot_points
 from yardspark.plans.views import derive, source, sql, view
 from yardspark.sources.folders import shared_folder
 from yardspark.streaming import streams as T
@@ -60,10 +60,15 @@ def _ingest(s, d):
 
 def _assign(s, d):
     points = _spot_points(s, d)
-    out = T.assign(_stream(s, d, "scans"), lambda batch: A.assign_spots(batch, points, limit_ft=_LIMIT))
+    out = T.assign(_stream(s, d, "scans"), lambda batch: A.assign_spots(batch, points, limit_ft=_LIMIT), settle_s=86400)
     return out.select("id", "plate", "spot")
 
 
+_SETTLED = f"""with {_SPOT_POINTS}, settled as (select * from scans where created_on <= (select max(created_on) from scans) - interval 86400 second), {_WAITING.replace("from scans", "from settled")},
+q as (select id, plate, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp)
+select id, plate, spot from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1"""
+
+
 def _observe(s, d):
     return T.run_available(T.observations(_stream(s, d, "scans").withColumn("tag", F.concat_ws("-", "camera_id", F.col("k").cast("string"))), 86400 * 3, 4))
 
@@ -94,11 +99,13 @@ def _cache(s, d):
 
 
 def _liveness(s, d):
-    return T.run_available(T.liveness(_stream(s, d, "scans"), 3600))
+    return T.run_available(T.liveness(_stream(s, d, "scans"), 600))
 
 
-_LIVE = """with o as (select camera_id, cast(floor(epoch(created_on)) as bigint) as t, id from scans), g as (select camera_id, t, lag(t) over (partition by camera_id order by t, id) as b from o)
-select camera_id, true as online, t as at from g where b is null or t - b > 3600 union all select camera_id, false, b + 3600 from g where t - b > 3600"""
+_LIVE = """with o as (select camera_id, created_on, cast(floor(epoch(created_on)) as bigint) as t, id from scans), g as (select camera_id, t, lag(t) over (partition by camera_id order by t, id) as b from o),
+e as (select camera_id, max(t) as t from o group by 1), w as (select (epoch_ms(max(created_on)) - 60000) / 1000.0 as w from o)
+select camera_id, true as online, t as at from g where b is null or t - b > 600 union all select camera_id, false, b + 600 from g where t - b > 600
+union all select camera_id, false, t + 600 from e, w where t + 600 < w"""
 
 
 def _fan_out(s, d):
@@ -130,7 +137,7 @@ def _clusters(s, d):
 QUERIES = {
     "stream_hourly_rollup": (_rollup, sql("select date_trunc('hour', created_on) as hour, camera_id, spot_name, count(*) as event_count, round(avg(conf), 6) as avg_confidence from scans group by 1, 2, 3", "scans")),
     "stream_ingest": (_ingest, sql("select id, camera_id, plate from scans where k >= 0", "scans")),
-    "stream_assign": (_assign, None),
+    "stream_assign": (_assign, sql(_SETTLED, "scans")),
     "stream_observations": (_observe, sql(_OBSERVE, "scans")),
     "stream_dedupe": (_dedupe, sql("select distinct plate from scans where plate <> ''", "scans")),
     "stream_tracks": (_tracks, None),

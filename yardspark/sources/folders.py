@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (a local session), under one own temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a local session gets one under an own temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="yardspark-"))
         root = _own[0]

@@ -119,10 +119,14 @@ def read_cameras(rows: DataFrame) -> DataFrame:
 
 
 def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(file, cls, cx, cy, w, h) of label lines; shorter lines and the list of classes are left out."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), r"\s+").alias("p"))
+    """(file, split, cls, cx, cy, w, h) of label lines; shorter lines and the list of classes are left out.
+
+    The split is the folder that holds the folder `labels`, or else the file's own folder.
+    """
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/(?:labels/)?[^/]+$", 1)
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), folder.alias("split"), F.split(F.trim("value"), r"\s+").alias("p"))
     rows = rows.filter((F.col("file") != "classes.txt") & (F.size("p") >= 5))
-    return rows.select("file", F.expr("try_cast(p[0] as int)").alias("cls"), *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 1)])
+    return rows.select("file", "split", F.expr("try_cast(p[0] as int)").alias("cls"), *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 1)])
 
 
 def read_ocr_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -170,8 +174,10 @@ def read_expected_coords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(calibration, pairs): the matrix and rmse, and image points with their world points."""
-    schema = "struct<H: array<array<double>>, rmse: double, image_points: array<array<double>>, world_points: array<array<double>>, gps_reference: struct<lat: double, lon: double>, image_size: array<int>>"
+    """(calibration, pairs): each file's plane matrix and error or camera matrices, and image points with their world points."""
+    matrix, size = "array<array<double>>", "struct<width: int, height: int>"
+    camera = f"intrinsic_matrix: {matrix}, rotation_matrix: {matrix}, translation_vector: array<double>, distortion_coefficients: array<double>"
+    schema = f"struct<H: {matrix}, rmse: double, image_points: {matrix}, world_points: {matrix}, gps_reference: struct<lat: double, lon: double>, image_size: {size}, {camera}>"
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c")).select("c.*")
     pairs = rows.select(F.posexplode(F.arrays_zip("image_points", "world_points")).alias("n", "p"))
     return rows, pairs.select("n", F.col("p.image_points")[0].alias("px"), F.col("p.image_points")[1].alias("py"), F.col("p.world_points")[0].alias("x"), F.col("p.world_points")[1].alias("y"))

@@ -48,8 +48,13 @@ def export_dated(df: DataFrame, root: str, kind: str, stamp: str = "ts") -> None
 
 
 def drain_processed(scans: DataFrame, sink: Callable[[DataFrame], None], most: int = 100) -> DataFrame:
-    """Gives the newest processed rows to the sink and returns the rows that stay; if the sink fails nothing is removed."""
-    out = scans.filter("is_processed").orderBy(F.col("created_on").desc(), "id").limit(min(most, 200))
+    """Gives the newest processed rows to the sink and returns the rows that stay; if the sink fails nothing is removed.
+
+    The rows (200 at most) are held by the driver, so that exactly those that the sink gets are removed, whatever
+    arrives meanwhile.
+    """
+    taken = scans.filter("is_processed").orderBy(F.col("created_on").desc(), "id").limit(min(most, 200)).collect()
+    out = scans.sparkSession.createDataFrame(taken, scans.schema)
     sink(out)
     return scans.join(F.broadcast(out.select("id")), "id", "left_anti")
 
@@ -59,13 +64,22 @@ def write_readings(readings: DataFrame, path: str) -> None:
     readings.write.mode("overwrite").partitionBy("video").json(path)
 
 
+def write_combined(combined: DataFrame, path: str) -> None:
+    """The combined crop records, one JSON folder a video, blanks and zeros for what was not read."""
+    filled = combined.withColumns({"ocr_text": F.coalesce("ocr_text", F.lit("")), "ocr_conf": F.coalesce("ocr_conf", F.lit(0.0))})
+    filled.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("video").json(path)
+
+
 def readings_to_scans(combined: DataFrame) -> DataFrame:
-    """Rows with text and a position as waiting scans; the heading stands in where barrier is missing."""
+    """Rows with text and a position as waiting scans. A position is one source's pair: lat and lon, else the world
+    coordinates, else x_world and y_world. The heading stands in where barrier is missing or 0."""
     have = lambda c, kind="double": F.col(c) if c in combined.columns else F.lit(None).cast(kind)
     world = have("world_coords", "array<double>")
-    lat, lon = F.coalesce(have("lat"), F.get(world, F.lit(0)), have("x_world")), F.coalesce(have("lon"), F.get(world, F.lit(1)), have("y_world"))
-    rows = combined.withColumns({"latitude": lat, "longitude": lon, "licence_plate_trailer": nz("ocr_text"), "barrier": F.coalesce(have("barrier"), have("heading")), "confidence": have("ocr_conf"), "is_processed": F.lit(False)})
-    return rows.filter("licence_plate_trailer is not null and latitude is not null and longitude is not null")
+    pair = lambda lat, lon: F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")))
+    at = F.coalesce(pair(have("lat"), have("lon")), pair(F.get(world, F.lit(0)), F.get(world, F.lit(1))), pair(have("x_world"), have("y_world")))
+    rows = combined.withColumn("_at", at).filter(F.col("_at").isNotNull() & nz("ocr_text").isNotNull())
+    barrier = F.coalesce(F.nullif(have("barrier"), F.lit(0.0)), have("heading"))
+    return rows.withColumns({"latitude": F.col("_at.lat"), "longitude": F.col("_at.lon"), "licence_plate_trailer": nz("ocr_text"), "barrier": barrier, "confidence": have("ocr_conf"), "is_processed": F.lit(False)}).drop("_at")
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -75,7 +89,7 @@ def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def write_ocr_labels(labels: DataFrame, path: str) -> None:
     """Sorted lines of filename and label, one folder a split."""
-    labels.select("split", F.concat_ws(" ", "filename", "label").alias("value")).repartition("split").sortWithinPartitions("split", "value").write.mode("overwrite").partitionBy("split").text(path)
+    labels.select("split", F.concat_ws(" ", "filename", "label").alias("value")).repartitionByRange("split", "value").sortWithinPartitions("split", "value").write.mode("overwrite").partitionBy("split").text(path)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -78,12 +78,34 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, required: tuple[str,
     sound.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def assign(stream: DataFrame, place: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `place` (a batch operator such as assign_spots) makes of every batch, as a table."""
+def assign(stream: DataFrame, place: Callable[[DataFrame], DataFrame], settle_s: int = 10, stamp: str = "ts", plate: str = "plate") -> DataFrame:
+    """What `place` (a batch operator such as assign_spots, which returns plates) makes of the settled rows, as a table.
+
+    A row settles when it is `settle_s` seconds older than the newest row seen; until then it waits for a later batch.
+    Plates that an earlier batch has placed are not placed again. Every batch reads what the one before left and writes
+    under its own number, so that a repeated batch gives the same.
+    """
     spark, root = stream.sparkSession, shared_folder(stream.sparkSession, "assign")
-    query = stream.writeStream.option("checkpointLocation", f"{root}-state").trigger(availableNow=True).foreachBatch(lambda batch, n: place(batch).write.mode("overwrite").parquet(f"{root}/batch={n}")).start()
-    query.awaitTermination()
-    return spark.read.parquet(root).drop("batch")
+    at = F.col(stamp).cast("timestamp")
+
+    def each(batch: DataFrame, n: int) -> None:
+        before = spark.read.parquet(f"{root}/waiting/batch={n - 1}") if n else None
+        rows = batch.unionByName(before.select(batch.columns)) if n else batch
+        rows = rows.persist()
+        try:
+            newest = rows.agg(F.max(at).alias("t")).first()["t"]
+            settled = at <= F.lit(newest) - F.expr(f"interval {settle_s} seconds")
+            rows.filter(~F.coalesce(settled, F.lit(False))).write.mode("overwrite").parquet(f"{root}/waiting/batch={n}")
+            ready = rows.filter(settled)
+            if n:
+                placed = spark.read.parquet(*[f"{root}/placed/batch={i}" for i in range(n)]).select(plate).distinct()
+                ready = ready.join(placed, plate, "left_anti")
+            place(ready).write.mode("overwrite").parquet(f"{root}/placed/batch={n}")
+        finally:
+            rows.unpersist()
+
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.parquet(f"{root}/placed").drop("batch")
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]]):
@@ -106,13 +128,17 @@ def event_csv(stream: DataFrame, path: str, checkpoint: str) -> None:
     rows.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).partitionBy("date").trigger(availableNow=True).start().awaitTermination()
 
 
-def observations(events: DataFrame, cutoff_s: int, least: int) -> DataFrame:
+def observations(events: DataFrame, cutoff_s: int, least: int, late: str = "1 hour") -> DataFrame:
     """(tag, at, n): for each tag the moment when `least` observations lie within the cutoff; later ones are ignored.
 
-    State holds only the times within the cutoff, so it is as small as the threshold.
+    State holds only the times within the cutoff, and goes when the watermark is past them; what stays of a tag that was
+    reported is one flag.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, done = state.get if state.exists else ([], False)
         times = list(times)
         new = sorted(t for f in frames for t in f["ts_s"].tolist())
@@ -124,8 +150,11 @@ def observations(events: DataFrame, cutoff_s: int, least: int) -> DataFrame:
                 times = []
                 break
         state.update((times, done))
+        if not done:
+            state.setTimeoutTimestamp(max((times[-1] + cutoff_s) * 1000, state.getCurrentWatermarkMs()) + 1000)
 
-    return events.select("tag", F.unix_timestamp("ts").alias("ts_s")).groupBy("tag").applyInPandasWithState(step, "tag string, at long, n long", "times array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("tag", "ts", F.unix_timestamp("ts").alias("ts_s"))
+    return rows.groupBy("tag").applyInPandasWithState(step, "tag string, at long, n long", "times array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tracks(detections: DataFrame) -> DataFrame:
@@ -144,14 +173,17 @@ def tracks(detections: DataFrame) -> DataFrame:
     return rows.groupBy("video").applyInPandasWithState(step, "video string, frame long, box_id long, track_id long", "flat array<double>, next_id long", "append", GroupStateTimeout.NoTimeout)
 
 
-def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5) -> DataFrame:
+def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5, idle_s: int = 3600) -> DataFrame:
     """readings (camera_id, track_id, frame, text, conf) with the text in use and whether it was read anew.
 
     Text that is there is used again; it is read anew when `stale` frames old, or each `often` frames while its
-    confidence is under `low`.
+    confidence is under `low`. A track that is idle for `idle_s` seconds is forgotten, which bounds the cache.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         text, conf, at = state.get if state.exists else ("", 0.0, -(10**9))
         rows = pd.concat(list(frames), ignore_index=True).sort_values("frame", kind="stable")
         used, fresh = [], []
@@ -162,28 +194,41 @@ def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: fl
             used.append(text)
             fresh.append(bool(again))
         state.update((text, conf, at))
+        state.setTimeoutDuration(idle_s * 1000)
         yield pd.DataFrame({"camera_id": key[0], "track_id": key[1], "frame": rows["frame"], "text": used, "fresh": fresh})
 
     cols = readings.select("camera_id", "track_id", "frame", "text", "conf")
-    return cols.groupBy("camera_id", "track_id").applyInPandasWithState(step, "camera_id string, track_id long, frame long, text string, fresh boolean", "text string, conf double, at long", "append", GroupStateTimeout.NoTimeout)
+    return cols.groupBy("camera_id", "track_id").applyInPandasWithState(step, "camera_id string, track_id long, frame long, text string, fresh boolean", "text string, conf double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def liveness(events: DataFrame, silent_s: int = 30) -> DataFrame:
-    """(camera_id, online, at): a row when a camera is first seen or comes back after silence in event time, and one when it went silent."""
+def liveness(events: DataFrame, silent_s: int = 30, late: str = "1 minute") -> DataFrame:
+    """(camera_id, online, at): a row when a camera is first seen or comes back after silence in event time, and one when
+    it went silent: as soon as the watermark is past its last event and the silence, also if it never comes back."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, online = state.get if state.exists else (None, False)
         out = []
-        for t in sorted(t for f in frames for t in f["ts_s"].tolist()):
-            if last is None:
-                out.append((key[0], True, t))
-            elif t - last > silent_s:
-                out += [(key[0], False, last + silent_s), (key[0], True, t)]
-            last = t
-        state.update((last,))
+        if state.hasTimedOut:
+            out, online = [(key[0], False, last + silent_s)], False
+        else:
+            for t in sorted(t for f in frames for t in f["ts_s"].tolist()):
+                if last is not None and online and t - last > silent_s:
+                    out.append((key[0], False, last + silent_s))
+                    online = False
+                if not online:
+                    out.append((key[0], True, t))
+                last, online = t if last is None else max(last, t), True
+        due = (last + silent_s) * 1000
+        if online and due < state.getCurrentWatermarkMs():
+            out.append((key[0], False, last + silent_s))
+            online = False
+        state.update((last, online))
+        if online:
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["camera_id", "online", "at"])
 
-    return events.select("camera_id", F.unix_timestamp("ts").alias("ts_s")).groupBy("camera_id").applyInPandasWithState(step, "camera_id string, online boolean, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("camera_id", "ts", F.unix_timestamp("ts").alias("ts_s"))
+    return rows.groupBy("camera_id").applyInPandasWithState(step, "camera_id string, online boolean, at long", "last long, online boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
