@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yardspark.functions.geo import haversine_ft, homography, in_ring, ring_centroid
 from yardspark.functions.text import nz
+from yardspark.sources.folders import shared_folder
 
 #: Lists up to so many rows are folded in each row from one broadcast row; larger ones are searched by cells.
 BROADCAST_ROWS = 20_000
@@ -54,6 +55,13 @@ def _near(scans: DataFrame, spots: DataFrame, limit_ft: float) -> DataFrame:
     return placed.withColumns({"_y": y, "_x": x}).join(around, ["_y", "_x"]).drop("_y", "_x").withColumn("distance", distance).filter(F.col("distance") < limit_ft)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that rounds do not compute those before them again."""
+    path = shared_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
@@ -81,10 +89,10 @@ def nearest_any(scans: DataFrame, spots: DataFrame, start_ft: float = 100.0) ->
         out = placed.join(F.broadcast(row)).withColumn("_best", F.array_min(measured))
         return out.select(*scans.columns, F.col("_best.spot").alias("spot"), F.col("_best.distance").alias("distance"))
     keys = ["id", "latitude", "longitude"]
-    rest, found, limit = placed.select(keys).distinct(), None, start_ft
+    rest, found, limit = _written(placed.select(keys).distinct()), None, start_ft
     while True:
         near = _near(rest, held.select("spot", "spot_lat", "spot_lon", "ord"), limit)
-        best = near.groupBy(keys).agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select(*keys, "b.spot", "b.distance")
+        best = _written(near.groupBy(keys).agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select(*keys, "b.spot", "b.distance"))
         found = best if found is None else found.unionByName(best)
         if limit > _HALF_WAY:
             break
@@ -194,7 +202,7 @@ def _nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataF
         return points.select("id", "x", "y").limit(0).withColumns({"name": F.lit(""), "d": F.lit(0.0)})
     far = max(max(r["x1"] for r in spans) - min(r["x0"] for r in spans), max(r["y1"] for r in spans) - min(r["y0"] for r in spans))
     keys = ["id", "x", "y"]
-    rest, found = points.select(keys).distinct(), None
+    rest, found = _written(points.select(keys).distinct()), None
     while True:
         near_by = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         around = centres.withColumn("o", F.explode(near_by)).select("ord", "name", "sx", "sy", (F.floor(F.col("sx") / size) + F.col("o.i")).alias("_x"), (F.floor(F.col("sy") / size) + F.col("o.j")).alias("_y"))
@@ -202,7 +210,7 @@ def _nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataF
         pairs = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)))
         last = size > far  # then every centre stands in the cells around a point
         best = pairs.groupBy(keys).agg(F.min_by(F.struct("name", "d"), F.struct("d", "ord")).alias("b")).select(*keys, "b.name", "b.d")
-        best = best if last else best.filter(F.col("d") <= size)
+        best = _written(best if last else best.filter(F.col("d") <= size))
         found = best if found is None else found.unionByName(best)
         if last:
             return found
