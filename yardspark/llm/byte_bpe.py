@@ -34,7 +34,7 @@ FREQUENT = 1 << 18
 LONG = 128
 #: About so many texts, and no more than this part of them, are sampled by a hash for the frequent words.
 SAMPLE, PART = 1 << 15, 1 / 8
-#: Tasks that fold the frequent words: these are few bytes, which would else be one task.
+#: Files of the sample's words: these are few bytes, which would else be folded in one task.
 FOLDING = 32
 #: Chunks that a task remembers.
 MEMORY = 200_000
@@ -93,17 +93,17 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """(places, entries): the pair (a, b) stands in entries[places[a] + b] as a << 40 | id << 20, if it merges.
+    """(places, entries): the pair (a, b) stands in entries[places[a] + b] as a + 1 << 40 | id << 20, if it merges.
 
     The partners of each left id are laid into one array where they fit first, those with most partners first. An entry
-    names its left id, so a pair that does not merge finds another's entry or an empty one.
+    names its left id, so a pair that does not merge finds another's entry or an empty one, 0.
     """
     partners: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in pairs.items():
         partners.setdefault(a, []).append((b, rank))
     ids = 256 + max(map(max, pairs), default=0) + max(pairs.values(), default=0)
     used = np.zeros(2 * ids + 4 * len(pairs), bool)
-    entries, places, at, before = np.full(len(used), _MASK << (2 * _BITS), np.int64), [0] * ids, 0, 0
+    entries, places, at, before = np.zeros(len(used), np.int64), [0] * ids, 0, 0
     for a in sorted(partners, key=lambda a: (-len(partners[a]), a)):
         bs = np.array([b for b, _ in partners[a]])
         if len(bs) != before:  # as many partners as before do not fit earlier, mostly
@@ -112,13 +112,13 @@ def merge_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]
         while True:
             tried = np.arange(at, at + 512)
             if (at + 512 + int(bs.max())) >= len(used):
-                used, entries = np.append(used, np.zeros(ids, bool)), np.append(entries, np.full(ids, _MASK << (2 * _BITS), np.int64))
+                used, entries = np.append(used, np.zeros(ids, bool)), np.append(entries, np.zeros(ids, np.int64))
             if len(fits := tried[~used[tried[:, None] + bs].any(1)]):
                 break
             at += 512
         at = places[a] = int(fits[0])
         used[places[a] + bs] = True
-        entries[places[a] + bs] = (a << 2 * _BITS) | (np.array([r for _, r in partners[a]], np.int64) << _BITS)
+        entries[places[a] + bs] = ((a + 1) << 2 * _BITS) | (np.array([r for _, r in partners[a]], np.int64) << _BITS)
     return places, entries[: max(places) + ids].tolist()
 
 
@@ -144,7 +144,7 @@ def fold_merges(words: Column, ranks: dict[bytes, int], table: tuple[list[int],
     def fold(word: Column, single: Column, places: Column, entries: Column) -> Column:
         def part(a: Column, b: Column) -> Column:
             """A part's number; null without a next part b. An entry of another left id leaves bits above its rank."""
-            return F.get(entries, F.get(places, a) + b).bitwiseXOR(a * F.lit((1 << 2 * _BITS) + 1))
+            return F.get(entries, F.get(places, a) + b).bitwiseXOR(a * F.lit((1 << 2 * _BITS) + 1) + F.lit(1 << 2 * _BITS))
 
         def merged(parts: Column, new: Column, at: Column) -> Column:
             tail = F.coalesce(part(new, F.get(parts, at + 1).bitwiseAND(mask)), new + last)
@@ -202,7 +202,7 @@ def frequent_words(counts: DataFrame, ranks: dict[bytes, int], table, most: int
             break
         least = r[0]
     word = F.encode("word", "UTF-8")
-    return counts.filter(F.col("n") >= max(2, least)).repartition(FOLDING).select(word.alias("word"), F.get(fold_merges(F.array(byte_values(word)), ranks, table), F.lit(0)).alias("ids")).toArrow()
+    return counts.filter(F.col("n") >= max(2, least)).select(word.alias("word"), F.get(fold_merges(F.array(byte_values(word)), ranks, table), F.lit(0)).alias("ids")).toArrow()
 
 
 def known_chunks(words: pa.Table, ranks: dict[bytes, int]) -> Table:
@@ -255,7 +255,8 @@ def encode(docs: DataFrame, vocabulary: str, split_pattern: str, text: str = "te
     share = int(min(part, sample / max(1, docs.count())) * (1 << 20))
     drawn = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share)
     stage = Staging(spark, "byte_bpe")
-    counts = stage.put(word_counts(drawn, sent, split_pattern, text), "words")
+    # written in many files, so that folding them is many tasks, without an exchange in a plan that holds the tables
+    counts = stage.put(word_counts(drawn, sent, split_pattern, text).repartition(FOLDING), "words")
     common = spark.sparkContext.broadcast(known_chunks(frequent_words(counts, ranks, table, frequent), ranks))
     stage.drop("words")
     docs = docs.drop("ids", "n_tokens", *["decoded"] * decoded)
