@@ -90,6 +90,10 @@ def link_detections(detections: DataFrame, key: str = "video", order: str = "box
     return rows.groupBy(key).applyInPandas(run, f"{kinds}, track_id long")
 
 
+#: Fixed value: metres of the widest merge rule.
+WIDEST = 15.0
+
+
 def merge_clusters(clusters: DataFrame) -> DataFrame:
     """clusters (video, id, x, y, n, spot) merged by spot, size and distance: (video, id, root, x, y, n of the root).
 
@@ -99,26 +103,29 @@ def merge_clusters(clusters: DataFrame) -> DataFrame:
     keeps its last pair in id order, and chains are followed.
     """
     spark = clusters.sparkSession
-    a = clusters.select("video", *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "n", "spot")])
-    b = clusters.select("video", *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "n", "spot")])
+    # cells as wide as the widest rule: a cluster meets those of its own cell and of the cells around it
+    cell = lambda c: F.floor(F.col(c) / WIDEST)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = clusters.select("video", *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "n", "spot")], cell("x").alias("_x"), cell("y").alias("_y"))
+    b = clusters.withColumn("_o", around).select("video", *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "n", "spot")], (cell("x") + F.col("_o.i")).alias("_x"), (cell("y") + F.col("_o.j")).alias("_y"))
     far = F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2))
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     same = F.col("a_spot").eqNullSafe(F.col("b_spot")) & F.coalesce(F.col("a_spot") != "unknown", F.lit(True))
     limit = F.when(same, F.when(low < 5, 10.0).when((low < 10) & (high >= 15), 8.0).when(high >= 15, 15.0).otherwise(3.0)).otherwise(F.when(low < 5, 3.0))
-    pairs = a.join(b, "video").filter(F.col("a_id") < F.col("b_id")).filter(far <= limit)
+    pairs = a.join(b, ["video", "_x", "_y"]).filter(F.col("a_id") < F.col("b_id")).filter(far <= limit)
     smaller, larger = F.when(F.col("a_n") >= F.col("b_n"), F.col("b_id")).otherwise(F.col("a_id")), F.when(F.col("a_n") >= F.col("b_n"), F.col("a_id")).otherwise(F.col("b_id"))
     last = pairs.select("video", smaller.alias("id"), larger.alias("to"), "a_id", "b_id").groupBy("video", "id").agg(F.max_by("to", F.struct("a_id", "b_id")).alias("to"))
     path = shared_folder(spark, "clusters")
     last.write.parquet(f"{path}/0")
     parents, turn = spark.read.parquet(f"{path}/0"), 0
-    while True:  # pointer jumping: chains halve, so rounds grow with the logarithm of the longest chain
+    while True:  # pointer jumping: chains lead to larger or earlier clusters and halve, so rounds grow with the logarithm of the longest
         up = parents.select("video", F.col("id").alias("to"), F.col("to").alias("up"))
         new = parents.join(up, ["video", "to"], "left").select("video", "id", F.coalesce("up", "to").alias("to"), (F.col("up").isNotNull()).alias("moved"))
         turn += 1
         new.write.parquet(f"{path}/{turn}")
         new = spark.read.parquet(f"{path}/{turn}")
         parents = new.select("video", "id", "to")
-        if turn > 40 or new.filter("moved").isEmpty():
+        if new.filter("moved").isEmpty():
             break
     rooted = clusters.join(parents, ["video", "id"], "left").withColumn("root", F.coalesce("to", "id")).drop("to")
     whole = rooted.groupBy("video", "root").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("root_x"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("root_y"), F.sum("n").alias("root_n"))
