@@ -35,6 +35,8 @@ from yardspark.llm._words import shingle_sets, slices
 _BUCKET_BITS = 16
 #: Sets in one chunk of a list.
 CHUNK = 1024
+#: Pairs that a task remembers to have given.
+SEEN = 200_000
 
 
 def bucket_classes(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -198,6 +200,15 @@ def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def unseen(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+            """The pairs that this task has not given lately: near copies meet in many lists."""
+            new = set(zip(a.tolist(), b.tolist(), strict=True)) - seen
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(new)
+            return sorted(new)
 
         def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -209,7 +220,8 @@ def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataF
             for s, e in zip(key, ends, strict=True):
                 if e - s > 1 and (last or e < table.num_rows):
                     for a, b in pairs_of([x[s:e] for x in columns[1:]], bits[s:e]):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        if new := unseen(a, b):
+                            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
