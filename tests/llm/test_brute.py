@@ -167,7 +167,7 @@ def test_byte_bpe_odd_rows(spark):
     import tiktoken
 
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
-    rows = [(None, "nulls have texts too", 1), (3, "repeated", 2), (3, "repeated", 2), (4, None, 3), (5, "zqxjkvbp " * 3 + " x  　y", 4), (6, "ab " * 300_000 + "tail", 5)]
+    rows = [(None, "nulls have texts too", 1), (3, "repeated", 2), (3, "repeated", 2), (4, None, 3), (5, "zqxjkvbp " * 3 + " x  　y", 4), (6, "ab " * 300_000 + "tail", 5), (7, "a \0b \0c\xa0d", 6), (8, "x　y \0one z \0two", 7)]
     docs = table(spark, rows, "doc_id long, text string, open long").withColumns({"folded": F.lit("f"), "c0": F.lit("c"), "places": F.lit("p")})
     got = byte_bpe.encode(docs, RANKS, P.PATTERN, part=1.0).collect()
     assert len(got) == len(rows) and {(r.folded, r.c0, r.places) for r in got} == {("f", "c", "p")}
@@ -177,7 +177,13 @@ def test_byte_bpe_odd_rows(spark):
 
 
 def test_packing_of_one_long_and_repeated_rows(spark):
-    rows = [(7, "same words here")] * 3 + [(None, "no id"), (8, "x y " * 2000)]
+    import tiktoken
+
+    nul = "a \0b \0c\xa0d x　y \0one z \0two"
+    rows = [(7, "same words here")] * 3 + [(None, "no id"), (8, "x y " * 2000), (9, nul)]
     out = packing.pack_documents(table(spark, rows, "doc_id long, text string"), RANKS, P.PATTERN, capacity=64).collect()
     held = Counter((d, p) for r in out for d, p in zip(r.doc_ids, r.pieces, strict=True))
     assert held[7, 0] == 3 and held[None, 0] == 1 and all(n == 1 for (d, _), n in held.items() if d == 8)
+    got = [r.input_ids[4 * a : 4 * b] for r in out for d, a, b in zip(r.doc_ids, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True) if d == 9]
+    ids = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={}).encode_ordinary(nul)
+    assert [bytes(x) for x in got] == [struct.pack(f"<{len(ids)}I", *ids)]

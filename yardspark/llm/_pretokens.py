@@ -63,7 +63,8 @@ class Chunks:
         joined = b"".join(texts)
         if _ODD(joined):
             cut = [chunks(t.decode()) for t in texts]
-            self.number, found = pd.factorize(np.array([c for x in cut for c in x], object)) if any(cut) else (np.empty(0, np.int64), [])
+            found: dict[str, int] = {}  # a dict, as pandas takes strings as equal that differ behind a NUL
+            self.number = np.array([found.setdefault(c, len(found)) for x in cut for c in x], np.int64)
             self.per_text = np.array([len(x) for x in cut], np.int64)
             self._set(b"".join(e := [c.encode() for c in found]), np.cumsum([0] + [len(c) for c in e]))
             return
