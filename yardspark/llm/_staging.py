@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -55,3 +56,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, on: list[str], times: str, total: int, most: int = 1 << 16) -> DataFrame:
+    """rows with the columns of facts, which has each key once, with the number of rows that hold it.
+
+    Keys that more than one in `most` of all `total` rows hold, so fewer than `most` keys, are broadcast; so no key of
+    the shuffled rest has more rows than that share.
+    """
+    bound = total // most
+    if total <= most:
+        return rows.join(F.broadcast(facts), on)
+    often, rest = facts.filter(F.col(times) > bound), facts.filter(F.col(times) <= bound)
+    return rows.join(F.broadcast(often), on).unionByName(rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(rest.hint("merge"), on))

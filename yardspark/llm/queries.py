@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, token_count, toxicity
+from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, token_count, toxicity, whitening
 from yardspark.llm._staging import spread
 
 
@@ -134,6 +134,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, most=16)
+    parts = F.posexplode(F.arrays_zip(F.col("z").alias("whitened"), F.col("explained").alias("explained"))).alias("at", "c")
+    rows = white.select("vec_id", "n", "deviation", "identity_error", parts)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -152,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "pipeline": pipeline,
     }
 
