@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, token_count, toxicity, whitening
+from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, resample, token_count, toxicity, whitening
 from yardspark.llm._staging import spread
 
 
@@ -134,6 +134,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, capacity=2048)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    drawn = resample.resample(docs, _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+    return drawn.drop("n_words")
+
+
+# crc32 by its table of 256 entries, which SQL derives from the polynomial, once for each distinct word
+OP11_SQL = r"""
+WITH t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+rows_ AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+dw AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM rows_),
+bw AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+b AS (SELECT w, list_transform(range(len(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS b FROM x),
+k AS (SELECT w, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM b, t),
+s AS (SELECT k, count(*) AS s FROM dw JOIN k USING (w) GROUP BY k), tt AS (SELECT k, count(*) AS t FROM bw JOIN k USING (w) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+g AS (SELECT i AS k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM range(10000) r(i) CROSS JOIN n LEFT JOIN s ON s.k = i LEFT JOIN tt ON tt.k = i),
+d AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN k USING (w) JOIN g USING (k) GROUP BY r),
+h AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', sha256('2024:' || doc_id)[i]) - 1), lambda a, v: 16 * a + v, 0::BIGINT) AS h
+      FROM rows_ LEFT JOIN d USING (r)),
+c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM o
+"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, most=16)
     parts = F.posexplode(F.arrays_zip(F.col("z").alias("whitened"), F.col("explained").alias("explained"))).alias("at", "c")
@@ -159,10 +188,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_importance_resampling": op11_importance_resampling,
         "op12_embedding_whitening": op12_embedding_whitening,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op4_topk_search": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_license_scan": _op1_sql(), "op4_topk_search": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_importance_resampling": OP11_SQL}
