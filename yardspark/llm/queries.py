@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardspark.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, resample, token_count, toxicity, whitening
+from yardspark.llm import byte_bpe, decontaminate, html_text, jaccard_join, language_id, license_scan, line_dedup, mtree, packing, resample, token_count, toxicity, whitening
 from yardspark.llm._staging import spread
 
 
@@ -170,6 +170,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -190,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_importance_resampling": op11_importance_resampling,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_html_extraction": op13_html_extraction,
         "pipeline": pipeline,
     }
 
