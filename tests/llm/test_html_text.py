@@ -11,7 +11,7 @@ import pytest
 from yardspark.llm import html_text
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_PAGES_DIR", "/root/testdata/sf0.1")
 
 
 def texts(spark, rows, **how):
