@@ -18,28 +18,6 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-def test_stream_tracks_equal_batch_linking(spark, tmp_path):
-    """The keyed state of the stream gives what the batch operator gives."""
-    from pyspark.sql import functions as F
-
-    from yardspark.operators.tracking import link_detections
-    from yardspark.plans.views import view
-    from yardspark.streaming.streams import run_available, tracks
-
-    b = view(spark, DATA, "boxes").groupBy("frame", "box_id").agg(F.min(F.struct("conf", "x1", "y1", "x2", "y2")).alias("m")).select("frame", "box_id", "m.*")
-    b = b.select((F.col("frame") % 40).alias("video"), F.floor(F.col("frame") / 40).alias("frame"), F.col("box_id").cast("long").alias("box_id"), "x1", "y1", "x2", "y2", (0.2 + F.col("conf") * 0.8).alias("conf"))
-    b.coalesce(1).write.parquet(str(tmp_path / "b"))
-    b = spark.read.parquet(str(tmp_path / "b"))
-    batch = {tuple(map(int, r)) for r in link_detections(b).select("video", "frame", "box_id", "track_id").collect()}
-    source = spark.readStream.schema(b.schema).parquet(str(tmp_path / "b"))
-    stream = {tuple(map(int, r)) for r in run_available(tracks(source)).select("video", "frame", "box_id", "track_id").collect()}
-    assert batch == stream
-    per_frame = {}
-    for v, f, _, t in batch:
-        assert (v, f, t) not in per_frame  # a track takes one detection of a frame at most
-        per_frame[v, f, t] = 1
-
-
 def test_merge_clusters_follows_rules(spark):
     from yardspark.operators.tracking import merge_clusters
 
@@ -146,36 +124,3 @@ def test_lists_beyond_the_broadcast_bound(spark, monkeypatch):
     few = shown()
     monkeypatch.setattr(assign, "BROADCAST_ROWS", 1)
     assert shown() == few and len(few[0]) == 41 and len(few[1]) == 301 and {r[4] for r in few[1]} == {"point-in-polygon", "nearest-centroid"}
-
-
-def test_scans_settle_and_plates_are_placed_once(spark, tmp_path):
-    """Over several batches: a row waits until newer ones have come, and a placed plate is not placed again."""
-    from yardspark.streaming import streams
-
-    kind = "id long, plate string, ts timestamp_ntz"
-    import datetime as dt
-
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    for rows in ([(1, "a", at(0)), (2, "b", at(20))], [(3, "a", at(25)), (4, "c", at(29))], [(5, "d", at(60))]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = streams.assign(stream, lambda batch: batch.select("id", "plate"), settle_s=10)
-    assert {r.id for r in out.collect()} == {1, 2, 4}  # 3 repeats a placed plate, 5 has not settled
-
-
-def test_keyed_state_over_batches(spark, tmp_path):
-    """Silence for good is reported once the watermark is past it; observations add up over batches and expire."""
-    import datetime as dt
-
-    from yardspark.streaming import streams
-
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    t0 = int(at(0).replace(tzinfo=dt.UTC).timestamp())
-    kind = "camera_id string, tag string, ts timestamp"
-    for rows in ([("a", "x", at(0)), ("b", "y", at(5))], [("b", "x", at(40)), ("b", "y", at(41))], [("b", "x", at(300)), ("b", "z", at(301))], [("b", "x", at(310)), ("b", "z", at(900))]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    read = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live = {(r.camera_id, r.online, r["at"] - t0) for r in streams.run_available(streams.liveness(read(), 60, "1 second")).collect()}
-    assert live >= {("a", True, 0), ("a", False, 60), ("b", True, 5), ("b", False, 101), ("b", True, 300), ("b", False, 370), ("b", True, 900)} and len(live) == 7
-    seen = {(r.tag, r["at"] - t0, r.n) for r in streams.run_available(streams.observations(read(), 60, 2, "1 second")).collect()}
-    assert seen == {("x", 40, 2), ("y", 41, 2)}

@@ -103,7 +103,12 @@ def nearest_any(scans: DataFrame, spots: DataFrame, start_ft: float = 100.0) ->
 def assign_spots(scans: DataFrame, spots: DataFrame, min_speed: float = 0.0, max_speed: float = 60.0, limit_ft: float = 100.0) -> DataFrame:
     """The newest valid scan of each plate with its nearest spot; scans without one are left out and stay unprocessed."""
     waiting = latest_per_plate(valid_scan(scans.filter(~F.col("is_processed")), min_speed, max_speed))
-    near = _near(waiting, spots, limit_ft)
+    return place_scans(waiting, spots, limit_ft)
+
+
+def place_scans(scans: DataFrame, spots: DataFrame, limit_ft: float = 100.0) -> DataFrame:
+    """Each scan (by its id) with its nearest spot nearer than the limit; scans without one are left out."""
+    near = _near(scans, spots, limit_ft)
     own = ["spot_id"] if "spot_id" in spots.columns else []
     best = near.groupBy("id").agg(F.min_by(F.struct("plate", "spot", *own, "distance"), F.struct("distance", "ord")).alias("b"))
     return best.select("id", "b.plate", "b.spot", *[f"b.{c}" for c in own], "b.distance")

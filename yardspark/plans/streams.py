@@ -19,27 +19,83 @@ def _stream(s, d, name):
     return rows.withColumn("ts", F.col(_STAMP[name]).cast("timestamp")) if name in _STAMP else rows
 
 
+#: How rows come in: by eighths of a month, one in 17 a part later, and some of the first two parts three parts later.
+_PART = "least(3, floor(({day}(created_on) - 1) / 8.0))"
+_ARRIVAL = f"cast({_PART} + case when id % 17 = 0 then 1 when id % 53 = 0 and {_PART} <= 1 then 3 else 0 end as int)"
+#: Rows of a part that go into one of its files.
+_FILE_ROWS = 1_000_000
+
+
+def _arriving(s, d, clock=False):
+    """The scans as a stream of several batches, out of order over their borders; with a clock's row at the end."""
+    rows = view(s, d, "scans").withColumns({"ts": F.col("created_on").cast("timestamp"), "batch": F.expr(_ARRIVAL.replace("{day}", "dayofmonth"))})
+    root, parts = shared_folder(s, "arriving"), sorted(rows.groupBy("batch").count().collect())
+    files = 1 + max(r["count"] for r in parts) // _FILE_ROWS
+    rows = rows.repartition(files, "batch", "id") if files > 1 else rows
+    for r in parts:
+        rows.filter(F.col("batch") == r["batch"]).drop("batch").repartition(files).write.parquet(f"{root}/batch={r['batch']}")
+    if clock:
+        rows.agg(F.max("ts").alias("m")).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.drop("batch", "ts").schema.fields], (F.col("m") + F.expr("interval 400 days")).alias("ts")).write.parquet(f"{root}/batch=999")
+    schema = s.read.parquet(f"{root}/batch={parts[0]['batch']}").schema
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/*")
+
+
+def _arrived(late, when):
+    """SQL: the scans that are not late by the rule of windows whose end is `when`, and the last watermark (f)."""
+    return f"""a as (select *, {_ARRIVAL.replace("{day}", "dayofmonth")} as b from scans), mx as (select b, max(created_on) as m from a group by 1),
+wm as (select x.b, max(mx.m) - interval {late} as w from (select distinct b from a) x left join mx on mx.b <= x.b - 2 group by 1), fin as (select max(m) - interval {late} as f from mx),
+kept as (select a.* from a join wm using (b) where w is null or {when} > w)"""
+
+
+def _ordered(late, more=""):
+    """SQL: the scans that keyed state takes: those beyond the watermark of their batch, which only earlier ones moved."""
+    return f"""a as (select *, {_ARRIVAL.replace("{day}", "dayofmonth")} as b from scans), mx as (select b, max(created_on) as m from a group by 1),
+wm as (select x.b, date_trunc('millisecond', max(mx.m)) - interval {late} as w from (select distinct b from a) x left join mx on mx.b < x.b group by 1), fin as (select date_trunc('millisecond', max(m)) - interval {late} as f from mx),
+kept as (select a.*, cast(floor(epoch(created_on)) as bigint) as t from a join wm using (b), fin where (w is null or created_on > w){more})"""
+
+
 def _ntz(df, *names):
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
 
 
 def _rollup(s, d):
-    out = T.run_available(T.hourly_rollup(_stream(s, d, "scans")), "complete")
-    return _ntz(out, "hour").withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return _ntz(T.run_available(T.hourly_rollup(_arriving(s, d))), "hour").withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+_ROLLUP = f"""with {_arrived('3 hour', "date_trunc('hour', created_on) + interval 1 hour")}
+select date_trunc('hour', created_on) as hour, camera_id, spot_name, count(*) as event_count, round(avg(conf), 6) as avg_confidence from kept, fin where date_trunc('hour', created_on) + interval 1 hour <= f group by 1, 2, 3"""
 
 
 def _chunks(s, d):
-    rows = _stream(s, d, "scans").withColumn("ts", F.col("ts"))
-    return _ntz(T.run_available(T.chunks(rows), "complete"), "start")
+    return _ntz(T.run_available(T.chunks(_arriving(s, d))), "start")
+
+
+_BUCKET = "time_bucket(interval 45 second, created_on, timestamp '1970-01-01')"
+_CHUNKS = f"""with {_arrived('1 minute', f"{_BUCKET} + interval 45 second")}
+select {_BUCKET} as start, camera_id, count(*) as n from kept, fin where {_BUCKET} + interval 45 second <= f group by 1, 2"""
 
 
 def _sessions(s, d):
-    return _ntz(T.run_available(T.sessions(_stream(s, d, "scans"), "6 hours"), "complete"), "start", "end")
+    return _ntz(T.run_available(T.sessions(_arriving(s, d), "6 hours")), "start", "end")
+
+
+_SESSIONS = f"""with {_arrived('1 hour', "created_on + interval 6 hour")},
+o as (select track_id, created_on as t, case when created_on - lag(created_on) over w < interval 6 hour then 0 else 1 end as new from kept where track_id is not null window w as (partition by track_id order by created_on, id)),
+g as (select *, sum(new) over (partition by track_id order by t rows unbounded preceding) as g from o)
+select track_id, min(t) as start, max(t) + interval 6 hour as end, count(*) as n from g, fin group by track_id, g, f having max(t) + interval 6 hour <= f"""
 
 
 def _rates(s, d):
-    out = T.run_available(T.rates(_stream(s, d, "scans").withColumn("value", F.col("speed")), "1 hour", "30 minutes"), "complete")
-    return _ntz(out, "start").withColumns({"rate": F.round("rate", 8), "last_value": F.round("last_value", 6)})
+    rows = _arriving(s, d).withColumn("value", (F.col("id") % 500).cast("double"))
+    out = T.run_available(T.rates(rows, 3600, 1800))
+    return _ntz(out, "start").withColumn("rate", F.round("rate", 8))
+
+
+_RATES = f"""with {_ordered('10 minute', ' and created_on <= f')},
+u as (select *, cast(id % 500 as double) as v, lag(cast(id % 500 as double)) over (partition by camera_id order by created_on, id) as before from kept),
+w as (select camera_id, unnest([time_bucket(interval 30 minute, created_on, timestamp '1970-01-01'), time_bucket(interval 30 minute, created_on, timestamp '1970-01-01') - interval 30 minute]) as start, created_on, id, v,
+  case when before is null then 0 when v < before then v else v - before end as up from u)
+select start, camera_id, round(sum(up) / 3600, 8) as rate, max_by(v, {{'c': created_on, 'i': id}}) as last_value from w, fin group by 1, 2, f having start + interval 1 hour <= f"""
 
 
 def _gps(s, d):
@@ -60,22 +116,29 @@ def _ingest(s, d):
 
 def _assign(s, d):
     points = _spot_points(s, d)
-    out = T.assign(_stream(s, d, "scans"), lambda batch: A.assign_spots(batch, points, limit_ft=_LIMIT), settle_s=86400)
+    sound = ~F.col("is_processed") & F.col("speed").between(0, 60)
+    out = T.assign(_arriving(s, d, clock=True), lambda batch: A.place_scans(batch, points, _LIMIT), settle_s=600, keep_s=86400 * 3, late="1 hour", only=sound)
     return out.select("id", "plate", "spot")
 
 
-_SETTLED = f"""with {_SPOT_POINTS}, settled as (select * from scans where created_on <= (select max(created_on) from scans) - interval 86400 second), {_WAITING.replace("from scans", "from settled")},
-q as (select id, plate, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp)
+_SETTLED = f"""with recursive {_SPOT_POINTS}, {_ordered('1 hour').replace('(w is null', "not is_processed and nullif(trim(plate), '') is not null and speed between 0 and 60 and (w is null")},
+o as (select plate, min(created_on) as opened from kept group by 1
+  union all select o.plate, (select min(k.created_on) from kept k where k.plate = o.plate and k.created_on > o.opened + interval 259800 second) from o where o.opened is not null),
+c as (select o.plate, max_by(k.id, {{'t': k.created_on, 'i': -k.id}}) as id from o join kept k on k.plate = o.plate and k.created_on between o.opened and o.opened + interval 600 second where o.opened is not null group by o.plate, o.opened),
+q as (select scans.id, scans.plate, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from c join scans using (id), sp)
 select id, plate, spot from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1"""
 
 
 def _observe(s, d):
-    return T.run_available(T.observations(_stream(s, d, "scans").withColumn("tag", F.concat_ws("-", "camera_id", F.col("k").cast("string"))), 86400 * 3, 4))
+    rows = _arriving(s, d).withColumn("tag", F.concat_ws("-", "camera_id", F.col("k").cast("string")))
+    return T.run_available(T.observations(rows, 86400 * 3, 4, keep_s=86400 * 5))
 
 
-_OBSERVE = """with o as (select concat_ws('-', camera_id, k) as tag, cast(floor(epoch(created_on)) as bigint) as t, id from scans),
-c as (select tag, t, lag(t, 3) over (partition by tag order by t, id) as before from o)
-select tag, min(t) as at, 4::bigint as n from c where before >= t - 259200 group by 1"""
+_OBSERVE = f"""with recursive {_ordered('1 hour', ' and created_on <= f')}, o as (select concat_ws('-', camera_id, k) as tag, t, id from kept),
+c as (select tag, t, lag(t, 3) over (partition by tag order by t, id) as before from o),
+r as (select tag, min(t) as seen from c where before >= t - 259200 group by 1
+  union all select r.tag, (select min(c.t) from c where c.tag = r.tag and c.before >= c.t - 259200 and c.before > r.seen + 432000) from r where r.seen is not null)
+select tag, seen as at, 4::bigint as n from r where seen is not null"""
 
 
 def _boxes(s, d):
@@ -90,12 +153,22 @@ def _link(s, d):
 def _tracks(s, d):
     rows = derive(T.read_table(s, d, "lineitem"), "boxes")
     rows = rows.select((F.col("frame") % 40).alias("video"), F.floor(F.col("frame") / 40).alias("frame"), (F.col("box_id") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("box_id"), "x1", "y1", "x2", "y2", (0.2 + F.col("conf") * 0.8).alias("conf"))
-    return T.run_available(T.tracks(rows))
+    return T.run_available(T.tracks(rows.withColumn("ts", F.timestamp_millis(1000 + F.col("frame") * 40))))
 
 
 def _cache(s, d):
-    rows = _stream(s, d, "scans").filter("track_id is not null")
-    return T.run_available(T.reading_cache(rows.select("camera_id", "track_id", F.col("id").alias("frame"), F.col("plate").alias("text"), "conf"), stale=3000, often=1000))
+    rows = _arriving(s, d).select("camera_id", "track_id", F.col("id").alias("frame"), F.col("plate").alias("text"), "conf", "ts")
+    return T.run_available(T.reading_cache(rows, stale=3000, often=1000, idle_s=86400 * 2, late="1 hour"))
+
+
+_CACHE = f"""with recursive {_ordered('1 hour', ' and track_id is not null and created_on <= f')},
+o as (select camera_id, track_id, id as frame, plate, conf, created_on as c, row_number() over (partition by camera_id, track_id order by created_on, id) as rn from kept),
+z as (select camera_id, track_id, frame, c, rn, plate as text, conf, frame as since, true as fresh from o where rn = 1
+  union all select camera_id, track_id, frame, c, rn, case when again then plate else text end, case when again then new_conf else conf end, case when again then frame else since end, again
+  from (select o.camera_id, o.track_id, o.frame, o.c, o.rn, o.plate, o.conf as new_conf, z.text, z.conf, z.since,
+          o.c > z.c + interval 172800 second or z.text = '' or o.frame - z.since >= 3000 or (z.conf < 0.5 and o.frame - z.since >= 1000) as again
+        from z join o on o.camera_id = z.camera_id and o.track_id = z.track_id and o.rn = z.rn + 1))
+select camera_id, track_id, frame, text, fresh from z"""
 
 
 def _liveness(s, d):
@@ -128,28 +201,42 @@ def _drain(s, d):
     return s.read.parquet(f"{root}/rows").select("id", "drain_group")
 
 
+def _drain_rest(s, d):
+    """What stays of the scans when each batch's sent rows have been removed."""
+    root = shared_folder(s, "drain")
+    gone = lambda b, n: b.write.mode("overwrite").parquet(f"{root}/gone/batch={n}")
+    T.drain(_arriving(s, d), lambda b, n: b.write.mode("overwrite").parquet(f"{root}/rows/batch={n}"), f"{root}/state", 20, remove=gone)
+    return view(s, d, "scans").join(s.read.parquet(f"{root}/gone").select("id"), "id", "left_anti").select("id", "plate")
+
+
 def _clusters(s, d):
     """Position clusters of the scans: rounded places of each camera."""
     places = view(s, d, "scans").groupBy(F.col("camera_id").alias("video"), F.col("k").alias("id"), "x_world", "y_world").agg(F.count("*").alias("n"), F.max("spot_name").alias("spot"))
     return places.select("video", "id", F.col("x_world").alias("x"), F.col("y_world").alias("y"), (F.col("n") % 25).alias("n"), "spot")
 
 
+def _recursive(text):
+    """SQL whose own tables are recursive, behind derived ones."""
+    return text.replace("with ", "with recursive ", 1).replace(",\nrecursive ", ",\n").replace(",\n recursive ", ",\n")
+
+
 QUERIES = {
-    "stream_hourly_rollup": (_rollup, sql("select date_trunc('hour', created_on) as hour, camera_id, spot_name, count(*) as event_count, round(avg(conf), 6) as avg_confidence from scans group by 1, 2, 3", "scans")),
+    "stream_hourly_rollup": (_rollup, sql(_ROLLUP, "scans")),
     "stream_ingest": (_ingest, sql("select id, camera_id, plate from scans where k >= 0", "scans")),
-    "stream_assign": (_assign, sql(_SETTLED, "scans")),
-    "stream_observations": (_observe, sql(_OBSERVE, "scans")),
+    "stream_assign": (_assign, _recursive(sql(_SETTLED, "scans"))),
+    "stream_observations": (_observe, _recursive(sql(_OBSERVE, "scans"))),
     "stream_dedupe": (_dedupe, sql("select distinct plate from scans where plate <> ''", "scans")),
     "stream_tracks": (_tracks, None),
-    "stream_reading_cache": (_cache, None),
+    "stream_reading_cache": (_cache, _recursive(sql(_CACHE, "scans"))),
     "stream_gps_join": (_gps, sql("select a.event_id, max_by(b.event_id, {'t': b.ts, 'e': b.event_id}) as fix_id from frames a join fixes b on a.device = b.device and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000 group by 1", "frames", "fixes")),
-    "stream_chunks": (_chunks, sql("select time_bucket(interval 45 second, created_on, timestamp '1970-01-01') as start, camera_id, count(*) as n from scans group by 1, 2", "scans")),
-    "stream_sessions": (_sessions, sql("with o as (select track_id, created_on as t, case when created_on - lag(created_on) over w < interval 6 hour then 0 else 1 end as new from scans where track_id is not null window w as (partition by track_id order by created_on, id)), g as (select *, sum(new) over (partition by track_id order by t rows unbounded preceding) as g from o) select track_id, min(t) as start, max(t) + interval 6 hour as end, count(*) as n from g group by track_id, g", "scans")),
-    "stream_rates": (_rates, sql("with w as (select camera_id, unnest([time_bucket(interval 30 minute, created_on, timestamp '1970-01-01'), time_bucket(interval 30 minute, created_on, timestamp '1970-01-01') - interval 30 minute]) as start, created_on, id, speed from scans) select start, camera_id, round(count(*) / 3600, 8) as rate, round(max_by(speed, {'c': created_on, 'i': id}), 6) as last_value from w group by 1, 2", "scans")),
+    "stream_chunks": (_chunks, sql(_CHUNKS, "scans")),
+    "stream_sessions": (_sessions, sql(_SESSIONS, "scans")),
+    "stream_rates": (_rates, sql(_RATES, "scans")),
     "stream_liveness": (_liveness, sql(_LIVE, "scans")),
     "stream_fan_out": (_fan_out, sql("select id, camera_id from scans", "scans")),
     "stream_event_csv": (_event_csv, sql("select cast(created_on as date) as date, count(*) as n, count(distinct nullif(plate, '')) as plates from scans group by 1", "scans")),
     "stream_drain": (_drain, sql("select id, cast(floor((row_number() over (partition by cast(created_on as date), camera_id order by created_on desc, id) - 1) / 20) as bigint) as drain_group from scans where is_processed", "scans")),
+    "stream_drain_rest": (_drain_rest, sql("select id, plate from scans where not is_processed", "scans")),
     "link_detections": (_link, None),
     "merge_clusters": (lambda s, d: K.merge_clusters(_clusters(s, d)), None),
     "filter_clusters": (lambda s, d: K.filter_clusters(_clusters(s, d), bound=12.0).select("video", "id", "reason"), sql("select camera_id as video, k as id, case when count(*) % 25 < 2 then 'too_few' when abs(x_world) > 12 or abs(y_world) > 12 then 'out_of_bounds' end as reason from scans group by camera_id, k, x_world, y_world", "scans")),

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from yardspark.functions.text import nz
 from yardspark.operators.tracking import LEAST_CONF, Linker
 from yardspark.sources.folders import shared_folder
+from yardspark.streaming.keyed import in_order
 
 
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -54,11 +57,45 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "track_id").agg(F.count("*").alias("n")).select("track_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def rates(events: DataFrame, length: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Events per second of each camera over sliding windows, and the last value in each."""
-    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "camera_id").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "id")).alias("last_value"))
-    return rows.select(F.col("w.start").alias("start"), "camera_id", (F.col("n") / seconds).alias("rate"), "last_value")
+def rates(metrics: DataFrame, seconds: int = 300, step_s: int = 60, late: str = "10 minutes", key: str = "camera_id", order: str = "id") -> DataFrame:
+    """(key, start, rate, last_value): per-second increase of each key's counter (value) over sliding windows.
+
+    The counter's last value is state, so increases are those between neighbours in time, of whatever window; a fall
+    counts as a restart. Each step's increase is kept until the last window that holds it is over.
+    """
+    step, length = step_s * 1_000_000, seconds * 1_000_000
+
+    def on(key, state, t: int, rows: list[tuple]):
+        last, at, ups, values, shown = state or (None, [], [], [], 0)
+        at, ups, values = list(at), list(ups), list(values)
+        for _, v in rows:
+            up = 0.0 if last is None else v if v < last else v - last
+            last = float(v)
+            if not at or at[-1] != t // step * step:
+                at.append(t // step * step)
+                ups.append(0.0)
+                values.append(0.0)
+            ups[-1] += up
+            values[-1] = last
+        state = (last, at, ups, values, shown)
+        return state, [], next_end(state)
+
+    def next_end(state) -> int | None:
+        """The end of the next window to show, of those that hold a step and are not shown yet."""
+        _, at, _, _, shown = state
+        ends = [max(a + step, shown + step) for a in at if shown < a + length]
+        return min(ends, default=None)
+
+    def end_of(key, state, until: int):
+        last, at, ups, values, _ = state
+        held = [i for i, a in enumerate(at) if until - length <= a < until]
+        out = [(until - length, sum(ups[i] for i in held) / seconds, values[held[-1]])] if held else []
+        keep = [i for i, a in enumerate(at) if a + length > until]
+        state = (last, [at[i] for i in keep], [ups[i] for i in keep], [values[i] for i in keep], until)
+        return state, out, next_end(state)
+
+    rows = metrics.withColumn("value", F.col("value").cast("double"))
+    return in_order(rows, [key], order, ["value"], "last double, steps array<long>, ups array<double>, values array<double>, shown long", "start timestamp, rate double, last_value double", on, end_of, late)
 
 
 def gps_join(frames: DataFrame, fixes: DataFrame, tolerance_s: int, late: str = "1 hour") -> DataFrame:
@@ -78,33 +115,36 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, required: tuple[str,
     sound.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def assign(stream: DataFrame, place: Callable[[DataFrame], DataFrame], settle_s: int = 10, stamp: str = "ts", plate: str = "plate") -> DataFrame:
-    """What `place` (a batch operator such as assign_spots, which returns plates) makes of the settled rows, as a table.
+def assign(stream: DataFrame, place: Callable[[DataFrame], DataFrame], settle_s: int = 10, keep_s: int = 3600, late: str = "1 minute", stamp: str = "ts", plate: str = "plate", order: str = "id", only: Column | None = None) -> DataFrame:
+    """What `place` (such as place_scans) makes of each plate's settled row, as a table.
 
-    A row settles when it is `settle_s` seconds older than the newest row seen; until then it waits for a later batch.
-    Plates that an earlier batch has placed are not placed again. Every batch reads what the one before left and writes
-    under its own number, so that a repeated batch gives the same.
+    A plate's first row opens a wait of `settle_s` seconds; the newest row within it (of equal times the one that comes
+    first) is placed when the watermark is past the wait. For `keep_s` seconds more the plate is handled and its rows are
+    left out; then it is forgotten. Blank plates only move the watermark, as do rows that are not `only`. State is one
+    row a plate that was seen lately; nothing that was written is read again, and a repeated batch overwrites itself.
     """
     spark, root = stream.sparkSession, shared_folder(stream.sparkSession, "assign")
-    at = F.col(stamp).cast("timestamp")
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    settle, keep = settle_s * 1_000_000, keep_s * 1_000_000
+
+    def on(key, state, t: int, rows: list[tuple]):
+        opened, _, handled = state or (t, "", False)
+        if handled:
+            return state, [], opened + settle + keep
+        return (opened, rows[0][1], False), [], opened + settle
+
+    def end_of(key, state, until: int):
+        opened, best, handled = state
+        return (None, [], None) if handled else ((opened, "", True), [(best,)], opened + settle + keep)
+
+    counts = nz(plate).isNotNull() if only is None else nz(plate).isNotNull() & only
+    rows = stream.withColumns({"whole_row": F.to_json(F.struct(*stream.columns), form), "plate_key": F.col(plate)})
+    chosen = in_order(rows, ["plate_key"], order, ["whole_row"], "opened long, best string, handled boolean", "row string", on, end_of, late, stamp, counts)
 
     def each(batch: DataFrame, n: int) -> None:
-        before = spark.read.parquet(f"{root}/waiting/batch={n - 1}") if n else None
-        rows = batch.unionByName(before.select(batch.columns)) if n else batch
-        rows = rows.persist()
-        try:
-            newest = rows.agg(F.max(at).alias("t")).first()["t"]
-            settled = at <= F.lit(newest) - F.expr(f"interval {settle_s} seconds")
-            rows.filter(~F.coalesce(settled, F.lit(False))).write.mode("overwrite").parquet(f"{root}/waiting/batch={n}")
-            ready = rows.filter(settled)
-            if n:
-                placed = spark.read.parquet(*[f"{root}/placed/batch={i}" for i in range(n)]).select(plate).distinct()
-                ready = ready.join(placed, plate, "left_anti")
-            place(ready).write.mode("overwrite").parquet(f"{root}/placed/batch={n}")
-        finally:
-            rows.unpersist()
+        place(batch.select(F.from_json("row", stream.schema, form).alias("r")).select("r.*")).write.mode("overwrite").parquet(f"{root}/placed/batch={n}")
 
-    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    chosen.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
     return spark.read.parquet(f"{root}/placed").drop("batch")
 
 
@@ -128,77 +168,67 @@ def event_csv(stream: DataFrame, path: str, checkpoint: str) -> None:
     rows.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).partitionBy("date").trigger(availableNow=True).start().awaitTermination()
 
 
-def observations(events: DataFrame, cutoff_s: int, least: int, late: str = "1 hour") -> DataFrame:
-    """(tag, at, n): for each tag the moment when `least` observations lie within the cutoff; later ones are ignored.
+def observations(events: DataFrame, cutoff_s: int, least: int, keep_s: int = 86_400, late: str = "1 hour", tag: str = "tag", order: str = "id") -> DataFrame:
+    """(tag, at, n): the moment (in seconds) when `least` observations of a tag lie within the cutoff; then the tag is
+    ignored for `keep_s` seconds and forgotten.
 
-    State holds only the times within the cutoff, and goes when the watermark is past them; what stays of a tag that was
-    reported is one flag.
+    State holds the times within the cutoff, or the mark of a reported tag, and goes when its time is over.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, done = state.get if state.exists else ([], False)
-        times = list(times)
-        new = sorted(t for f in frames for t in f["ts_s"].tolist())
-        for t in [] if done else new:
-            times = [x for x in times if x >= t - cutoff_s] + [t]
+    def on(key, state, t: int, rows: list[tuple]):
+        times, reported = state or ([], 0)
+        times, s = list(times), t // 1_000_000
+        if reported:
+            return state, [], reported * 1_000_000 + keep_s * 1_000_000
+        times = [x for x in times if x >= s - cutoff_s]
+        for _ in rows:
+            times.append(s)
             if len(times) >= least:
-                done, n = True, len(times)
-                yield pd.DataFrame({"tag": [key[0]], "at": [t], "n": [n]})
-                times = []
-                break
-        state.update((times, done))
-        if not done:
-            state.setTimeoutTimestamp(max((times[-1] + cutoff_s) * 1000, state.getCurrentWatermarkMs()) + 1000)
+                return ([], s), [(s, len(times))], (s + keep_s) * 1_000_000
+        return (times, 0), [], (s + cutoff_s + 1) * 1_000_000
 
-    rows = events.withWatermark("ts", late).select("tag", "ts", F.unix_timestamp("ts").alias("ts_s"))
-    return rows.groupBy("tag").applyInPandasWithState(step, "tag string, at long, n long", "times array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(events, [tag], order, [], "times array<long>, reported long", "at long, n long", on, late=late)
 
 
-def tracks(detections: DataFrame) -> DataFrame:
-    """link_detections with keyed state: (video, frame, box_id, track_id); frames arrive in order."""
+def tracks(detections: DataFrame, idle_s: int = 60, late: str = "10 seconds", stamp: str = "ts") -> DataFrame:
+    """link_detections with keyed state: (video, frame, box_id, track_id), each frame once the watermark is past its time.
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flat, next_id = state.get if state.exists else ([], 1)
-        linker = Linker([[int(t[0]), int(t[1]), *t[2:]] for t in np.array(list(flat)).reshape(-1, 8).tolist()], next_id)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["frame", "box_id"], kind="stable")
-        for number, part in rows.groupby("frame", sort=True):
-            ids = linker.frame(int(number), part[["x1", "y1", "x2", "y2"]].to_numpy(float))
-            yield pd.DataFrame({"video": key[0], "frame": part["frame"], "box_id": part["box_id"], "track_id": ids})
-        state.update(([float(x) for t in linker.tracks for x in t], linker.next_id))
+    A video without frames for `idle_s` seconds is over and forgotten; if it comes back its tracks are numbered anew.
+    """
+
+    def on(key, state, t: int, rows: list[tuple]):
+        flat, next_id = state or ([], 1)
+        linker = Linker([[int(x[0]), int(x[1]), *x[2:]] for x in np.array(list(flat), float).reshape(-1, 8).tolist()], next_id)
+        out = []
+        for frame, part in groupby(sorted(rows, key=lambda r: (r[1], r[0])), key=lambda r: r[1]):
+            boxes = list(part)
+            ids = linker.frame(int(frame), np.array([b[2:6] for b in boxes], float))
+            out += [(int(frame), int(b[0]), i) for b, i in zip(boxes, ids, strict=True)]
+        return ([float(x) for x in sum(linker.tracks, [])], linker.next_id), out, t + idle_s * 1_000_000
 
-    rows = detections.filter(F.col("conf") >= LEAST_CONF).select(F.col("video").cast("string").alias("video"), F.col("frame").cast("long").alias("frame"), F.col("box_id").cast("long").alias("box_id"), "x1", "y1", "x2", "y2")
-    return rows.groupBy("video").applyInPandasWithState(step, "video string, frame long, box_id long, track_id long", "flat array<double>, next_id long", "append", GroupStateTimeout.NoTimeout)
+    rows = detections.withColumns({"video": F.col("video").cast("string"), "frame": F.col("frame").cast("long"), "box_id": F.col("box_id").cast("long")})
+    return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF)
 
 
-def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5, idle_s: int = 3600) -> DataFrame:
-    """readings (camera_id, track_id, frame, text, conf) with the text in use and whether it was read anew.
+def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5, idle_s: int = 3600, late: str = "1 minute") -> DataFrame:
+    """readings (camera_id, track_id, frame, text, conf, ts) with the text in use and whether it was read anew.
 
     Text that is there is used again; it is read anew when `stale` frames old, or each `often` frames while its
-    confidence is under `low`. A track that is idle for `idle_s` seconds is forgotten, which bounds the cache.
+    confidence is under `low`. A track without readings for more than `idle_s` seconds of event time is forgotten, which
+    bounds the cache.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        text, conf, at = state.get if state.exists else ("", 0.0, -(10**9))
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("frame", kind="stable")
-        used, fresh = [], []
-        for frame, new, c in zip(rows["frame"], rows["text"], rows["conf"], strict=True):
+    def on(key, state, t: int, rows: list[tuple]):
+        text, conf, at = state or ("", 0.0, None)
+        out = []
+        for frame, new, c in rows:
             again = not text or frame - at >= stale or (conf < low and frame - at >= often)
             if again:
-                text, conf, at = new or "", float(c), int(frame)
-            used.append(text)
-            fresh.append(bool(again))
-        state.update((text, conf, at))
-        state.setTimeoutDuration(idle_s * 1000)
-        yield pd.DataFrame({"camera_id": key[0], "track_id": key[1], "frame": rows["frame"], "text": used, "fresh": fresh})
+                text, conf, at = new or "", float(c or 0.0), int(frame)
+            out.append((int(frame), text, again))
+        return (text, conf, at), out, t + idle_s * 1_000_000
 
-    cols = readings.select("camera_id", "track_id", "frame", "text", "conf")
-    return cols.groupBy("camera_id", "track_id").applyInPandasWithState(step, "camera_id string, track_id long, frame long, text string, fresh boolean", "text string, conf double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return in_order(readings, ["camera_id", "track_id"], "frame", ["text", "conf"], "text string, conf double, at long", "frame long, text string, fresh boolean", on, late=late)
 
 
 def liveness(events: DataFrame, silent_s: int = 30, late: str = "1 minute") -> DataFrame:
@@ -237,19 +267,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most: int = 200, every: str | None = None) -> None:
-    """Gives the processed rows of each batch to the sink in groups of at most `most`, newest first; a group that fails
-    stops the stream, which goes on from its last batch. every: a processing time such as "60 seconds", else what there is."""
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most: int = 200, every: str | None = None, remove: Callable[[DataFrame, int], None] | None = None, key: str = "id") -> None:
+    """Gives the processed rows of each batch to the sink in groups of at most `most`, newest first, and then their keys
+    to `remove`; a group that fails stops the stream, which goes on from its last batch.
+
+    What is to be sent is written first, under the batch's number, and read by both, so that a repeated batch removes
+    exactly what was sent; a batch whose sink ended well is marked, and only removed when it is repeated. every: a
+    processing time such as "60 seconds", else what there is.
+    """
     from pyspark.sql import Window
 
+    spark = stream.sparkSession
+    sent = lambda number: f"{checkpoint}-sent/batch={number}"
+
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.filter("is_processed")
-        # groups by day and camera keep the ranking within keyed partitions
-        rank = F.row_number().over(Window.partitionBy(F.to_date("created_on"), "camera_id").orderBy(F.col("created_on").desc(), "id"))
-        sink(rows.withColumn("drain_group", F.floor((rank - 1) / most)), number)
+        if not _there(spark, f"{sent(number)}/rows/_SUCCESS"):
+            rows = batch.filter("is_processed")
+            # groups by day and camera keep the ranking within keyed partitions
+            rank = F.row_number().over(Window.partitionBy(F.to_date("created_on"), "camera_id").orderBy(F.col("created_on").desc(), "id"))
+            rows.withColumn("drain_group", F.floor((rank - 1) / most)).write.mode("overwrite").parquet(f"{sent(number)}/rows")
+        rows = spark.read.parquet(f"{sent(number)}/rows")
+        if not _there(spark, f"{sent(number)}/done"):
+            sink(rows, number)
+            _path(spark, f"{sent(number)}/done")[0].create(_path(spark, f"{sent(number)}/done")[1]).close()
+        if remove is not None:
+            remove(rows.select(key), number)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     query = writer.start()
     if not every:
         query.awaitTermination()
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _there(spark: SparkSession, name: str) -> bool:
+    system, path = _path(spark, name)
+    return system.exists(path)
