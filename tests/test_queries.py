@@ -124,3 +124,26 @@ def test_lists_beyond_the_broadcast_bound(spark, monkeypatch):
     few = shown()
     monkeypatch.setattr(assign, "BROADCAST_ROWS", 1)
     assert shown() == few and len(few[0]) == 41 and len(few[1]) == 301 and {r[4] for r in few[1]} == {"point-in-polygon", "nearest-centroid"}
+
+
+def test_sites_have_cells_of_their_own_width(spark):
+    """Verdicts by brute force where limits differ by site, one has none, and one is far beyond a spot's own cell."""
+    import random
+
+    from yardspark.operators import assign
+
+    rng = random.Random(11)
+    limits = {1: 20.0, 2: 400.0, 3: 0.0, 4: 60_000.0}
+    place = lambda: (41.9 + rng.uniform(0, 0.002), -89.0 + rng.uniform(0, 0.002))
+    spots = [(site, f"s{site}-{i}", *place(), i) for site in limits for i in range(40)]
+    scans = [(i, rng.choice([1, 2, 3, 4, 5]), "T" * 25, *place(), rng.choice([None, 10.0, 200.0]), 5.0) for i in range(200)] + [(900, 2, "T" * 25, None, 1.0, 10.0, 5.0)]
+    table = spark.createDataFrame(scans, "id long, site_id int, plate string, latitude double, longitude double, heading double, speed double")
+    held = spark.createDataFrame(spots, "site_id int, spot string, spot_lat double, spot_lon double, ord int")
+    settings = spark.createDataFrame([(k, 0.0, 60.0, v) for k, v in limits.items()], "site_id int, min_speed double, max_speed double, max_slot_distance double")
+    far, to = assign.haversine_ft(assign.F.col("latitude"), assign.F.col("longitude"), assign.F.col("spot_lat"), assign.F.col("spot_lon")), assign.bearing(assign.F.col("latitude"), assign.F.col("longitude"), assign.F.col("spot_lat"), assign.F.col("spot_lon"))
+    pairs = table.join(held, "site_id").join(settings, "site_id").withColumn("d", far).filter("d < max_slot_distance").filter(assign.heading_valid(assign.F.col("heading"), to))
+    want = {r.id: r.spot for r in pairs.groupBy("id").agg(assign.F.min_by("spot", assign.F.struct("d", "ord")).alias("spot")).collect()}
+    out = assign.assign_spots_by_site(table, held, settings)
+    assert {r.id: r.spot for r in out.filter("spot is not null").collect()} == want and len(want) > 60
+    assert {r.id for r in out.collect()} == {r[0] for r in scans if r[1] != 5}
+    assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "_x" in plan

@@ -35,24 +35,28 @@ def latest_per_tag_mark_rest(scans: DataFrame, most: int = 50) -> DataFrame:
     return out.withColumns({"is_processed": F.col("is_processed") | ~F.col("chosen"), "comment": F.when(~F.col("chosen"), "Ignored duplicated RFID")})
 
 
-def _near(scans: DataFrame, spots: DataFrame, limit_ft: float) -> DataFrame:
-    """Pairs of scans and spots nearer than the limit (strictly), with `distance`.
+def _near(scans: DataFrame, spots: DataFrame, limit_ft: float | str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of scans and spots nearer than the limit (strictly), with `distance`; equal in the columns `on`.
 
     Spots are repeated in the cells around their own (cells are as wide as the limit), so that an equi-join by cell
-    leaves only neighbours to measure; Spark broadcasts the spots where they are few.
+    leaves only neighbours to measure; Spark broadcasts the spots where they are few. The limit may be a column of both
+    sides that is equal where they meet: then each group has cells of its own width. Without a positive limit no pair is.
     """
-    placed = scans.filter("latitude is not null and longitude is not null")
-    held = spots.filter("spot_lat is not null and spot_lon is not null")
+    limit = F.col(limit_ft) if isinstance(limit_ft, str) else F.lit(float(limit_ft))
+    placed = scans.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (limit > 0))
+    held = spots.filter(F.col("spot_lat").isNotNull() & F.col("spot_lon").isNotNull() & (limit > 0))
     distance = haversine_ft(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon"))
     high = held.agg(F.max(F.abs("spot_lat"))).first()[0] or 0.0
-    size = limit_ft / _FEET_A_DEGREE
-    wide = F.lit(size) / F.greatest(F.lit(0.01), F.cos(F.radians(F.lit(min(89.0, high + 2 * size)))))
+    size = limit / _FEET_A_DEGREE
+    wide = size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), high + 2 * size))))
     turns = F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1))
     cell = lambda lat, lon: (F.floor(F.col(lat) / size), F.pmod(F.floor((F.col(lon) + 180) / (360.0 / turns)), turns))
     y, x = cell("spot_lat", "spot_lon")
-    around = held.withColumns({"_y": F.explode(F.sequence(y - 1, y + 1)), "_x0": x}).withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_x0") + d, turns))))).drop("_x0")
+    around = held.withColumns({"_y": F.explode(F.sequence(y - 1, y + 1)), "_x0": x, "_n": turns})
+    around = around.withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_x0") + d, F.col("_n")))))).drop("_x0", "_n")
+    around = around.drop(limit_ft) if isinstance(limit_ft, str) else around
     y, x = cell("latitude", "longitude")
-    return placed.withColumns({"_y": y, "_x": x}).join(around, ["_y", "_x"]).drop("_y", "_x").withColumn("distance", distance).filter(F.col("distance") < limit_ft)
+    return placed.withColumns({"_y": y, "_x": x}).join(around, [*on, "_y", "_x"]).drop("_y", "_x").withColumn("distance", distance).filter(F.col("distance") < limit)
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -180,14 +184,14 @@ def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame
 
     spots: site_id, spot, spot_lat, spot_lon, ord; settings: site_id, min_speed, max_speed, max_slot_distance and perhaps
     max_slots (how many spots are considered; none with 0); moved: tags (plate) that were moved before. Scans of sites
-    without settings are left out. Of spots at equal distance the first counts.
+    without settings are left out. Of spots at equal distance the first counts. A scan meets the spots of its site in the
+    cells around it, which are as wide as the site's distance, so a site of many scans is spread over tasks by place.
     """
     with_site = scans.join(settings, "site_id")
     if moved is not None:
         with_site = with_site.join(moved.select("plate", F.lit(True).alias("_moved")).distinct(), "plate", "left")
-    far = haversine_ft(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon"))
-    pairs = with_site.select("id", "site_id", "latitude", "longitude", "heading", "max_slot_distance").join(spots, "site_id")
-    pairs = pairs.withColumn("distance", far).filter(F.col("distance") < F.col("max_slot_distance"))
+    limited = spots.join(settings.select("site_id", "max_slot_distance"), "site_id")
+    pairs = _near(with_site.select("id", "site_id", "latitude", "longitude", "heading", "max_slot_distance"), limited, "max_slot_distance", ("site_id",))
     pairs = pairs.filter(heading_valid(F.col("heading"), bearing(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon")), tolerance))
     best = pairs.groupBy("id").agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b"))
     out = with_site.join(best, "id", "left")
