@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from yardspark.sources.folders import shared_folder
 
@@ -27,15 +28,20 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Linker:
     """Active tracks of one video: each frame's detections go to tracks at most once each, the best pairs first.
 
-    A track's box moves on with its last velocity. State is plain lists, so that a stream can keep it.
+    A track's box moves on with its last velocity. State is plain lists, so that a stream can keep it. Tracks stand in
+    order of what they hold, not of their ids, so that equal scores are told apart alike wherever linking began.
     """
 
     def __init__(self, state: list | None = None, next_id: int = 1):
         self.tracks: list[list] = state or []  # [id, frame, x1, y1, x2, y2, vx, vy]
         self.next_id = next_id
 
+    def forget(self, number: int) -> None:
+        """Drop the tracks that are lost for good at a frame."""
+        self.tracks = sorted((t for t in self.tracks if number - t[1] <= LOST_FRAMES + 1), key=lambda t: (t[1:], t[0]))
+
     def frame(self, number: int, boxes: np.ndarray) -> list[int]:
-        self.tracks = [t for t in self.tracks if number - t[1] <= LOST_FRAMES + 1]
+        self.forget(number)
         out = [0] * len(boxes)
         if len(boxes) and self.tracks:
             gap = np.array([number - t[1] for t in self.tracks])
@@ -70,24 +76,105 @@ class Linker:
         return out
 
 
-def link_detections(detections: DataFrame, key: str = "video", order: str = "box_id") -> DataFrame:
-    """detections (key, frame, order, x1, y1, x2, y2, conf) with track_id, unique within a video.
-
-    A video is one ordered sequence, so it is the unit of work; Spark deals videos to tasks and a task holds one video's
-    detections. Detections under the least confidence are left out.
+#: Frames of a range that is one task's work, and frames before it from which a task without a given state begins.
+RANGE_FRAMES, WARM_FRAMES = 3000, 120
+_KEYS = ["_v", "_r"]
+
+
+def _link_range(number: int, frame: pd.DataFrame, order: str, size: int, given: list[list[float]] | None) -> tuple[list, Linker, list[list], int]:
+    """(frames with ids, linker, tracks at the start, ids used before it) of the range that begins at number * size."""
+    begin = number * size
+    linker = Linker() if given is None else Linker([[i + 1, int(c[0]), *c[1:]] for i, c in enumerate(given)], len(given) + 1)
+    start, before, out = None, 0, []
+    for at, part in frame.sort_values(["frame", order], kind="stable").groupby("frame", sort=True):
+        if at < begin and given is not None:
+            continue
+        if at >= begin and start is None:
+            linker.forget(begin)
+            start, before = [list(t) for t in linker.tracks], linker.next_id - 1
+        ids = linker.frame(int(at), part[["x1", "y1", "x2", "y2"]].to_numpy(float))
+        if at >= begin:
+            out.append((part, ids))
+    if start is None:
+        linker.forget(begin)
+        start, before = [list(t) for t in linker.tracks], linker.next_id - 1
+    linker.forget(begin + size)
+    return out, linker, start, before
+
+
+def link_detections(detections: DataFrame, key: str = "video", order: str = "box_id", size: int = RANGE_FRAMES, warm: int = WARM_FRAMES) -> DataFrame:
+    """detections (key, frame, order, x1, y1, x2, y2, conf) with track_id, numbered within a video as its tracks begin.
+
+    Detections under the least confidence are left out. A video is cut into ranges of `size` frames (more than a lost
+    track lasts), each of them one task's work. A range first links the `warm` frames before its own, as what a linker
+    holds mostly depends on the last frames alone. Where its tracks at its start are not exactly those at the end of the
+    range before, it is linked again from those, until all ranges fit; so the result is that of one pass over the video.
+    Ids go from range to range by the equal tracks at their borders, by pointer jumping over written tables.
     """
+    if not LOST_FRAMES + 1 < size or warm > size:
+        raise ValueError("a range is longer than a lost track lasts and than the frames before it")
+    spark, root = detections.sparkSession, shared_folder(detections.sparkSession, "links")
     cols = [key, "frame", order, "x1", "y1", "x2", "y2", "conf"]
-    rows = detections.filter(F.col("conf") >= LEAST_CONF).select(*cols)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["frame", order], kind="stable")
-        linker, ids = Linker(), []
-        for number, part in frame.groupby("frame", sort=True):
-            ids += linker.frame(int(number), part[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        return frame.assign(track_id=np.array(ids, np.int64))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(key).applyInPandas(run, f"{kinds}, track_id long")
+    rows = detections.filter(F.col("conf") >= LEAST_CONF).select(*cols).withColumn("_v", F.to_json(F.struct(F.col(key).alias("v"))))
+    own = F.floor(F.col("frame") / size)
+    # without a video name or frames the rows have no sequence; equal names meet, also null ones
+    ranges = rows.withColumn("_r", F.explode(F.when(F.pmod(F.col("frame"), F.lit(size)) >= size - warm, F.array(own, own + 1)).otherwise(F.array(own))))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField("_v", T.StringType()), T.StructField("_r", T.LongType()), T.StructField("_what", T.StringType()), T.StructField("_local", T.LongType()), T.StructField("_c", T.ArrayType(T.DoubleType())), *[T.StructField(c, kinds[c]) for c in cols]])
+
+    def work(v: str, number: int, frame: pd.DataFrame, given: list[list[float]] | None) -> pd.DataFrame:
+        done, linker, start, before = _link_range(number, frame, order, size, given)
+        out = [part[cols].astype(object).assign(_what="box", _local=ids) for part, ids in done]
+        told = [("start", t[0], [float(x) for x in t[1:]]) for t in start] + [("end", t[0], [float(x) for x in t[1:]]) for t in linker.tracks]
+        told.append(("count", before, [float(linker.next_id - 1 - before)]))
+        out.append(pd.DataFrame(told, columns=["_what", "_local", "_c"], dtype=object))
+        return pd.concat(out, ignore_index=True).assign(_v=v, _r=number).reindex(columns=schema.names).astype(object).pipe(lambda f: f.where(f.notna(), None))
+
+    def first(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return work(keys[0], int(keys[1]), frame, None)
+
+    def again(keys: tuple, frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        held = [list(c) for c in state["_c"] if c is not None]
+        return work(keys[0], int(keys[1]), frame, sorted(held))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    linked, turn = written(ranges.groupBy(*_KEYS).applyInPandas(first, schema), "linked-0"), 0
+    while True:
+        held = lambda what, ahead: linked.filter(F.col("_what") == what).groupBy("_v", (F.col("_r") + ahead).alias("_r")).agg(F.array_sort(F.collect_list("_c")).alias(what))  # noqa: E731, B023
+        counted = linked.filter("_what = 'count'").select(*_KEYS)
+        nothing = F.array().cast("array<array<double>>")
+        both = counted.join(held("start", 0), _KEYS, "left").join(held("end", 1), _KEYS, "left").select(*_KEYS, F.coalesce("start", nothing).alias("start"), F.coalesce("end", nothing).alias("end"))
+        # equal tracks in one place cannot be told apart at a border: the range is linked from the given ones
+        misfits = both.filter((F.col("start") != F.col("end")) | ((F.size(F.array_distinct("end")) < F.size("end")) & F.lit(turn == 0)))
+        misfits = written(misfits.select(*_KEYS, F.explode_outer("end").alias("_c")), f"misfits-{turn}")
+        if misfits.isEmpty():
+            break
+        turn += 1
+        wrong = misfits.select(*_KEYS).distinct()
+        redone = ranges.join(wrong, _KEYS, "left_semi").groupBy(*_KEYS).cogroup(misfits.groupBy(*_KEYS)).applyInPandas(again, schema)
+        linked = written(linked.join(wrong, _KEYS, "left_anti").select(*schema.names).unionByName(redone), f"linked-{turn}")
+    counts = linked.filter("_what = 'count'").select(*_KEYS, F.col("_local").alias("_before"), F.get("_c", F.lit(0)).cast("long").alias("_new"))
+    counts = counts.withColumn("_offset", F.sum("_new").over(Window.partitionBy("_v").orderBy("_r")) - F.col("_new"))  # a row for each range
+    # tracks that go over a border, in equal order on both sides
+    place = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("_c", "_local"))
+    side = lambda what, ahead, name: linked.filter(F.col("_what") == what).select("_v", (F.col("_r") + ahead).alias("_r"), "_local", "_c").withColumn("_p", place).select(*_KEYS, "_p", F.col("_local").alias(name))
+    up = side("start", 0, "_local").join(side("end", 1, "_to"), [*_KEYS, "_p"]).select(*_KEYS, "_local", (F.col("_r") - 1).alias("_to_r"), "_to")
+    up = written(up, "up-0")
+    turn = 0
+    while True:
+        step = up.select("_v", F.col("_r").alias("_to_r"), F.col("_local").alias("_to"), F.col("_to_r").alias("_up_r"), F.col("_to").alias("_up"))
+        turn += 1
+        new = written(up.join(step, ["_v", "_to_r", "_to"], "left").select(*_KEYS, "_local", F.coalesce("_up_r", "_to_r").alias("_to_r"), F.coalesce("_up", "_to").alias("_to"), F.col("_up").isNotNull().alias("_moved")), f"up-{turn}")
+        up = new.drop("_moved")
+        if new.filter("_moved").isEmpty():
+            break
+    known = up.join(counts.select("_v", F.col("_r").alias("_to_r"), "_before", "_offset"), ["_v", "_to_r"]).select(*_KEYS, "_local", (F.col("_offset") + F.col("_to") - F.col("_before")).alias("_old"))
+    boxes = linked.filter("_what = 'box'").join(counts, _KEYS).join(known, [*_KEYS, "_local"], "left")
+    born = F.col("_offset") + F.col("_local") - F.col("_before")
+    return boxes.select(*cols, F.when(F.col("_local") > F.col("_before"), born).otherwise(F.col("_old")).alias("track_id"))
 
 
 #: Fixed value: metres of the widest merge rule.
