@@ -35,18 +35,19 @@ def latest_per_tag_mark_rest(scans: DataFrame, most: int = 50) -> DataFrame:
     return out.withColumns({"is_processed": F.col("is_processed") | ~F.col("chosen"), "comment": F.when(~F.col("chosen"), "Ignored duplicated RFID")})
 
 
-def _near(scans: DataFrame, spots: DataFrame, limit_ft: float | str, on: tuple[str, ...] = ()) -> DataFrame:
+def near_pairs(scans: DataFrame, spots: DataFrame, limit_ft: float | str, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of scans and spots nearer than the limit (strictly), with `distance`; equal in the columns `on`.
 
     Spots are repeated in the cells around their own (cells are as wide as the limit), so that an equi-join by cell
-    leaves only neighbours to measure; Spark broadcasts the spots where they are few. The limit may be a column of both
+    leaves only neighbours to measure; few spots, which are counted, are broadcast. The limit may be a column of both
     sides that is equal where they meet: then each group has cells of its own width. Without a positive limit no pair is.
     """
     limit = F.col(limit_ft) if isinstance(limit_ft, str) else F.lit(float(limit_ft))
     placed = scans.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (limit > 0))
     held = spots.filter(F.col("spot_lat").isNotNull() & F.col("spot_lon").isNotNull() & (limit > 0))
     distance = haversine_ft(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon"))
-    high = held.agg(F.max(F.abs("spot_lat"))).first()[0] or 0.0
+    known = held.agg(F.max(F.abs("spot_lat")).alias("high"), F.count("*").alias("n")).first()
+    high = known["high"] or 0.0
     size = limit / _FEET_A_DEGREE
     wide = size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), high + 2 * size))))
     turns = F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1))
@@ -55,18 +56,19 @@ def _near(scans: DataFrame, spots: DataFrame, limit_ft: float | str, on: tuple[s
     around = held.withColumns({"_y": F.explode(F.sequence(y - 1, y + 1)), "_x0": x, "_n": turns})
     around = around.withColumn("_x", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_x0") + d, F.col("_n")))))).drop("_x0", "_n")
     around = around.drop(limit_ft) if isinstance(limit_ft, str) else around
+    around = F.broadcast(around) if known["n"] <= BROADCAST_ROWS else around
     y, x = cell("latitude", "longitude")
     return placed.withColumns({"_y": y, "_x": x}).join(around, [*on, "_y", "_x"]).drop("_y", "_x").withColumn("distance", distance).filter(F.col("distance") < limit)
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, so that rounds do not compute those before them again."""
     path = shared_folder(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _few(df: DataFrame) -> bool:
+def few_rows(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
@@ -76,7 +78,7 @@ def nearest_spots(scans: DataFrame, spots: DataFrame, limit_ft: float = 100.0, k
     spots: spot, spot_lat, spot_lon, ord.
     """
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ord"))
-    return _near(scans, spots, limit_ft).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near_pairs(scans, spots, limit_ft).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def nearest_any(scans: DataFrame, spots: DataFrame, start_ft: float = 100.0) -> DataFrame:
@@ -87,16 +89,16 @@ def nearest_any(scans: DataFrame, spots: DataFrame, start_ft: float = 100.0) ->
     """
     held = spots.filter("spot_lat is not null and spot_lon is not null")
     placed = scans.filter("latitude is not null and longitude is not null")
-    if _few(held):
+    if few_rows(held):
         row = held.agg(F.array_sort(F.collect_list(F.struct("ord", "spot", "spot_lat", "spot_lon"))).alias("_all"))
         measured = F.transform("_all", lambda s: F.struct(haversine_ft(F.col("latitude"), F.col("longitude"), s["spot_lat"], s["spot_lon"]).alias("distance"), s["ord"].alias("ord"), s["spot"].alias("spot")))
         out = placed.join(F.broadcast(row)).withColumn("_best", F.array_min(measured))
         return out.select(*scans.columns, F.col("_best.spot").alias("spot"), F.col("_best.distance").alias("distance"))
     keys = ["id", "latitude", "longitude"]
-    rest, found, limit = _written(placed.select(keys).distinct()), None, start_ft
+    rest, found, limit = written(placed.select(keys).distinct()), None, start_ft
     while True:
-        near = _near(rest, held.select("spot", "spot_lat", "spot_lon", "ord"), limit)
-        best = _written(near.groupBy(keys).agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select(*keys, "b.spot", "b.distance"))
+        near = near_pairs(rest, held.select("spot", "spot_lat", "spot_lon", "ord"), limit)
+        best = written(near.groupBy(keys).agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b")).select(*keys, "b.spot", "b.distance"))
         found = best if found is None else found.unionByName(best)
         if limit > _HALF_WAY:
             break
@@ -112,7 +114,7 @@ def assign_spots(scans: DataFrame, spots: DataFrame, min_speed: float = 0.0, max
 
 def place_scans(scans: DataFrame, spots: DataFrame, limit_ft: float = 100.0) -> DataFrame:
     """Each scan (by its id) with its nearest spot nearer than the limit; scans without one are left out."""
-    near = _near(scans, spots, limit_ft)
+    near = near_pairs(scans, spots, limit_ft)
     own = ["spot_id"] if "spot_id" in spots.columns else []
     best = near.groupBy("id").agg(F.min_by(F.struct("plate", "spot", *own, "distance"), F.struct("distance", "ord")).alias("b"))
     return best.select("id", "b.plate", "b.spot", *[f"b.{c}" for c in own], "b.distance")
@@ -170,17 +172,18 @@ INVALID_TAG = "Ignore Inventory - Invalid Tag"
 INVALID_SPEED = "Ignore Inventory - Speed is not valid"
 ALREADY_MOVED = "Ignore Inventory - Already Moved"
 NO_LOCATION = "Ignore Inventory - Unable to pick the location"
+UPDATED = "Location Updated: "
 
 
 def scan_verdict(min_speed: Column, max_speed: Column, moved: Column, spot: Column, least_tag: int = 20) -> Column:
     """The first reason that applies, else the spot. Tags of `least_tag` signs or fewer are invalid."""
     tag = F.char_length(F.coalesce("plate", F.lit("")))
     valid = F.coalesce(F.col("speed").between(min_speed, max_speed), F.lit(False))
-    return F.when(tag <= least_tag, INVALID_TAG).when(~valid, INVALID_SPEED).when(moved, ALREADY_MOVED).when(spot.isNull(), NO_LOCATION).otherwise(F.concat(F.lit("Location Updated: "), spot))
+    return F.when(tag <= least_tag, INVALID_TAG).when(~valid, INVALID_SPEED).when(moved, ALREADY_MOVED).when(spot.isNull(), NO_LOCATION).otherwise(F.concat(F.lit(UPDATED), spot))
 
 
-def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame, moved: DataFrame | None = None, least_tag: int = 20, tolerance: float = 90.0) -> DataFrame:
-    """Every scan's verdict by its site's settings.
+def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame, moved: DataFrame | None = None, least_tag: int = 20, tolerance: float = 90.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every scan's verdict by its site's settings, with the scan's columns `keep`.
 
     spots: site_id, spot, spot_lat, spot_lon, ord; settings: site_id, min_speed, max_speed, max_slot_distance and perhaps
     max_slots (how many spots are considered; none with 0); moved: tags (plate) that were moved before. Scans of sites
@@ -191,7 +194,7 @@ def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame
     if moved is not None:
         with_site = with_site.join(moved.select("plate", F.lit(True).alias("_moved")).distinct(), "plate", "left")
     limited = spots.join(settings.select("site_id", "max_slot_distance"), "site_id")
-    pairs = _near(with_site.select("id", "site_id", "latitude", "longitude", "heading", "max_slot_distance"), limited, "max_slot_distance", ("site_id",))
+    pairs = near_pairs(with_site.select("id", "site_id", "latitude", "longitude", "heading", "max_slot_distance"), limited, "max_slot_distance", ("site_id",))
     pairs = pairs.filter(heading_valid(F.col("heading"), bearing(F.col("latitude"), F.col("longitude"), F.col("spot_lat"), F.col("spot_lon")), tolerance))
     best = pairs.groupBy("id").agg(F.min_by(F.struct("spot", "distance"), F.struct("distance", "ord")).alias("b"))
     out = with_site.join(best, "id", "left")
@@ -199,19 +202,45 @@ def assign_spots_by_site(scans: DataFrame, spots: DataFrame, settings: DataFrame
     out = out.withColumn("b", F.when(F.coalesce(some, F.lit(True)), F.col("b"))).withColumns({"spot": F.col("b.spot"), "distance": F.col("b.distance")})
     before = F.coalesce("_moved", F.lit(False)) if moved is not None else F.lit(False)
     verdict = scan_verdict(F.col("min_speed"), F.col("max_speed"), before, F.col("spot"), least_tag)
-    return out.select("id", "site_id", "plate", "spot", "distance", verdict.alias("verdict"))
+    return out.select("id", "site_id", "plate", "spot", "distance", verdict.alias("verdict"), *keep)
 
 
-def _nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFrame:
+def assign_until_moved(scans: DataFrame, spots: DataFrame, settings: DataFrame, least_tag: int = 20, tolerance: float = 90.0) -> DataFrame:
+    """The scans' verdicts as they come one after another (by created_on, then id): a placed scan is an observation of
+    its tag; the tag moves with the first scan at which its site has seen it observations_count times within
+    observation_cutoff_minutes, and its later scans, of any site, are already moved. Placed scans before that wait: they
+    have a spot and no verdict.
+
+    settings: as in assign_spots_by_site, with these two. Observations are counted in buckets as wide as the site's
+    cutoff, each with the bucket before it, so no tag's whole history meets in one task.
+    """
+    placed = assign_spots_by_site(scans, spots, settings, None, least_tag, tolerance, ("created_on",))
+    placed = placed.withColumn("_t", F.unix_micros(F.col("created_on").cast("timestamp")))
+    rule = settings.select("site_id", F.col("observations_count").cast("int").alias("_least"), (F.col("observation_cutoff_minutes").cast("long") * 60_000_000).alias("_cutoff"))
+    most = rule.agg(F.max("_least")).first()[0] or 1
+    seen = placed.filter(F.col("verdict").startswith(UPDATED)).select("id", "site_id", "plate", "_t").join(rule.filter("_cutoff > 0"), "site_id")
+    bucket = F.floor(F.col("_t") / F.col("_cutoff"))
+    seen = seen.withColumn("_in", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))))
+    last = F.collect_list("_t").over(Window.partitionBy("site_id", "plate", "_in.b").orderBy("_t", "id").rowsBetween(1 - most, 0))
+    first = F.get(last, F.size(last) - F.greatest(F.col("_least"), F.lit(1)))  # the time of the earliest of the `_least` last ones
+    moves = seen.withColumn("_first", first).filter(F.col("_in.own") & (F.col("_first") >= F.col("_t") - F.col("_cutoff")))
+    moved = moves.groupBy("plate").agg(F.min(F.struct("_t", "id")).alias("_moved"))
+    rows = placed.join(moved, "plate", "left").withColumn("_now", F.struct("_t", "id"))
+    verdict = F.when(F.col("verdict").isin(INVALID_TAG, INVALID_SPEED), F.col("verdict")).when(F.col("_now") > F.col("_moved"), ALREADY_MOVED)
+    verdict = verdict.when(F.col("spot").isNull() | (F.col("_now") == F.col("_moved")), F.col("verdict"))
+    return rows.select("id", "site_id", "plate", F.when(F.coalesce(F.col("_now") > F.col("_moved"), F.lit(False)), None).otherwise(F.col("spot")).alias("spot"), verdict.alias("verdict"))
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFrame:
     """(id, x, y, name, d): the centre (ord, name, sx, sy) at the least distance of each point, by cells that widen from
     `size`: a round settles the points whose nearest centre in the cells around theirs is within a cell's width."""
     low = lambda c: F.min(c)
     spans = [df.agg(low(x).alias("x0"), F.max(x).alias("x1"), low(y).alias("y0"), F.max(y).alias("y1")).first() for df, x, y in ((points, "x", "y"), (centres, "sx", "sy"))]
     if any(r["x0"] is None for r in spans):
-        return points.select("id", "x", "y").limit(0).withColumns({"name": F.lit(""), "d": F.lit(0.0)})
+        return points.select("id", "x", "y").limit(0).withColumns({"name": F.lit(None).cast(centres.schema["name"].dataType), "d": F.lit(0.0)})
     far = max(max(r["x1"] for r in spans) - min(r["x0"] for r in spans), max(r["y1"] for r in spans) - min(r["y0"] for r in spans))
     keys = ["id", "x", "y"]
-    rest, found = _written(points.select(keys).distinct()), None
+    rest, found = written(points.select(keys).distinct()), None
     while True:
         near_by = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         around = centres.withColumn("o", F.explode(near_by)).select("ord", "name", "sx", "sy", (F.floor(F.col("sx") / size) + F.col("o.i")).alias("_x"), (F.floor(F.col("sy") / size) + F.col("o.j")).alias("_y"))
@@ -219,7 +248,7 @@ def _nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataF
         pairs = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)))
         last = size > far  # then every centre stands in the cells around a point
         best = pairs.groupBy(keys).agg(F.min_by(F.struct("name", "d"), F.struct("d", "ord")).alias("b")).select(*keys, "b.name", "b.d")
-        best = _written(best if last else best.filter(F.col("d") <= size))
+        best = written(best if last else best.filter(F.col("d") <= size))
         found = best if found is None else found.unionByName(best)
         if last:
             return found
@@ -244,12 +273,12 @@ def resolve_spot(points: DataFrame, polygons: DataFrame) -> DataFrame:
     inside = F.get(F.filter("_near", lambda s: in_ring(F.col("x"), F.col("y"), s["ring"])), F.lit(0))["name"]
     out = points.withColumns({"_x": F.floor(F.col("x") / w), "_y": F.floor(F.col("y") / h)}).join(cells, ["_x", "_y"], "left").withColumn("_in", inside).drop("_x", "_y", "_near")
     centres = held.select("ord", "name", "sx", "sy").filter("sx is not null and sy is not null")
-    if _few(held):
+    if few_rows(held):
         row = centres.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_all"))
         apart = F.array_min(F.transform("_all", lambda s: F.struct((F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name"))))["name"]
         out = out.join(F.broadcast(row)).withColumn("_c", F.when(F.col("_in").isNull(), apart))
     else:
-        near = _nearest_centre(out.filter("_in is null"), centres, max(w, h)).select("id", "x", "y", F.col("name").alias("_c"))
+        near = nearest_centre(out.filter("_in is null"), centres, max(w, h)).select("id", "x", "y", F.col("name").alias("_c"))
         out = out.join(near, ["id", "x", "y"], "left")
     method = F.when(F.col("_in").isNotNull(), "point-in-polygon").when(F.col("_c").isNotNull(), "nearest-centroid").otherwise("no-spots")
     return out.select(*points.columns, F.coalesce("_in", "_c", F.lit("unknown")).alias("spot"), method.alias("method"))

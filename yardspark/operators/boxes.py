@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardspark.functions.geo import area, corners, iou
-from yardspark.operators.timejoin import carried
+from yardspark.operators.numbering import number_rows
+from yardspark.operators.timejoin import bucket_ends
 
 #: Fixed values by mode: least confidence of a detection; least width, height, area and aspect range of a track.
 DETECTION = {"car": 0.40, "trailer": 0.10}
@@ -228,20 +229,39 @@ def _with_context(rows: DataFrame, seconds: int) -> DataFrame:
 
 def counter_rate(metrics: DataFrame, seconds: int = 300) -> DataFrame:
     """metrics (camera_id, ts_s, value) with the per-second increase of the counter over the window before; a fall counts as a restart."""
-    last = F.struct(F.col("ts_s").alias("t"), F.col("value").cast("double").alias("v"))
-    rows = carried(metrics.withColumn("_b", F.floor(F.col("ts_s") / seconds)), "camera_id", "_b", last, last, "struct<t:bigint,v:double>")
-    before = F.coalesce(F.lag("value").over(Window.partitionBy("camera_id", "_b").orderBy("ts_s", "value")), F.col("_prev.v"))
+    last = F.struct(F.col("ts_s").cast("long").alias("t"), F.col("value").cast("double").alias("v"))
+    rows = metrics.withColumns({"_b": F.floor(F.col("ts_s") / seconds), "_own": F.lit(True)})
+    # the last value before a bucket stands in it as a row
+    ends = bucket_ends(rows, "camera_id", "_b", last, last, "struct<t:bigint,v:double>").filter("_prev is not null")
+    carried = {"ts_s": F.col("_prev.t").cast(metrics.schema["ts_s"].dataType), "value": F.col("_prev.v").cast(metrics.schema["value"].dataType), "_own": F.lit(False)}
+    rows = rows.unionByName(ends.withColumns(carried).drop("_prev", "_next"), allowMissingColumns=True)
+    before = F.lag("value").over(Window.partitionBy("camera_id", "_b").orderBy("ts_s", "value"))
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    rows = _with_context(rows.withColumn("_up", step).drop("_b", "_prev", "_next"), seconds)
+    rows = _with_context(rows.withColumn("_up", step).filter("_own").drop("_b", "_own"), seconds)
     span = Window.partitionBy("camera_id", "_b").orderBy("ts_s").rangeBetween(-seconds, 0)
     return rows.withColumn("rate", F.sum("_up").over(span) / seconds).filter("_own").drop("_up", "_b", "_own")
 
 
+#: Values that are folded in one row.
+_FOLD = 4096
+
+
 def ema(metrics: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """The exponential mean of each camera's values in time order, from the first value on; values of one day and camera make one row."""
-    held = metrics.groupBy("camera_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts_s", "id", "value"))).alias("_v"))
-    mean = F.aggregate(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0))["value"], lambda m, x: (1 - alpha) * m + alpha * x["value"])
-    return held.select("camera_id", "day", mean.alias("ema"), F.size("_v").alias("n"))
+    """The exponential mean of each camera's and day's values in order of time and id, from the first value on.
+
+    A run of values turns a mean m into a * m + b; runs of a few thousand values are folded apart, over many tasks, and
+    only their (a, b) meet, a row for each run.
+    """
+    rows = number_rows(metrics.select("camera_id", "day", "ts_s", "id", F.col("value").cast("double").alias("value")), ["camera_id", "day"], [F.col("ts_s"), F.col("id")], "_n")
+    runs = rows.groupBy("camera_id", "day", F.floor((F.col("_n") - 1) / _FOLD).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_v"))
+    first = F.col("_run") == 0  # whose first value is the mean to begin with
+    start = F.struct(F.when(first, 0.0).otherwise(1.0).alias("a"), F.when(first, F.get("_v", F.lit(0))["value"]).otherwise(0.0).alias("b"))
+    values = F.when(first, F.slice("_v", 2, F.size("_v"))).otherwise(F.col("_v"))
+    folded = F.aggregate(values, start, lambda m, x: F.struct(((1 - alpha) * m["a"]).alias("a"), ((1 - alpha) * m["b"] + alpha * x["value"]).alias("b")))
+    runs = runs.select("camera_id", "day", F.struct("_run", folded.alias("f"), F.size("_v").alias("n")).alias("r"))
+    held = runs.groupBy("camera_id", "day").agg(F.array_sort(F.collect_list("r")).alias("_r"), F.sum("r.n").cast("int").alias("n"))
+    mean = F.aggregate("_r", F.lit(0.0), lambda m, r: r["f"]["a"] * m + r["f"]["b"])
+    return held.select("camera_id", "day", mean.alias("ema"), "n")
 
 
 def observation_count(observations: DataFrame, cutoff_s: int, least: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yardspark.operators.boxes import METHODS, ground_point, size
+from yardspark.operators.gps import nearest_in_plane
 
 #: Features of the linear model, in the order of its weights.
 FEATURES = ["bias", "center_x", "right_x", "left_x", "width", "height", "area"]
@@ -80,12 +81,12 @@ def lookup_or_bottom_center(boxes: DataFrame, coords: DataFrame) -> DataFrame:
 def match_calibration(crops: DataFrame, expected: DataFrame, manual: DataFrame, limit: float = 500.0) -> DataFrame:
     """Each crop's spot: by the manual map of tracks, else the nearest expected pixel under the limit.
 
-    expected (spot, ex, ey) is the short calibration list, folded in each crop's row.
+    expected: spot, ex, ey; of equal distances the spot that comes first counts.
     """
     gx, gy = ground_point("bottom_center")
-    held = expected.agg(F.collect_list(F.struct("spot", "ex", "ey")).alias("_e"))
-    rows = crops.join(manual.select("track_id", F.col("spot").alias("_m")), "track_id", "left").join(F.broadcast(held))
-    apart = lambda s: F.sqrt(F.pow(gx - s["ex"], 2) + F.pow(gy - s["ey"], 2))
-    rows = rows.withColumn("_n", F.array_min(F.transform("_e", lambda s: F.struct(apart(s).alias("d"), s["spot"].alias("spot")))))
-    near = F.when(F.col("_n.d") < limit, F.col("_n.spot"))
+    rows = crops.join(manual.select("track_id", F.col("spot").alias("_m")), "track_id", "left").withColumns({"_gx": gx.cast("double"), "_gy": gy.cast("double")})
+    best = nearest_in_plane(rows.select(F.col("_gx").alias("x"), F.col("_gy").alias("y")), expected.select(F.col("spot").alias("ord"), F.col("spot").alias("name"), F.col("ex").alias("sx"), F.col("ey").alias("sy")))
+    best = best.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("name").alias("_near"), F.col("d").alias("_d"))
+    rows = rows.join(best, (F.col("_gx") == F.col("_x")) & (F.col("_gy") == F.col("_y")), "left")
+    near = F.when(F.col("_d") < limit, F.col("_near"))
     return rows.withColumns({"spot": F.coalesce("_m", near), "how": F.when(F.col("_m").isNotNull(), "manual").when(near.isNotNull(), "nearest")}).filter("spot is not null").select(*crops.columns, "spot", "how")

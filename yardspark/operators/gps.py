@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardspark.functions.geo import haversine_ft, homography, to_gps, to_local
+from yardspark.operators.assign import BROADCAST_ROWS, few_rows, near_pairs, nearest_centre, written
+from yardspark.operators.numbering import number_rows
 
 METRES = 1 / 3.28084
 
@@ -60,17 +66,68 @@ def round_trip_report(points: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return out.withColumn("error_m", haversine_ft(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")) * METRES).drop("_lat", "_lon")
 
 
+#: Points of a block; two blocks' distances are one row's work.
+_BLOCK = 1024
+
+
+def _distances(points: DataFrame) -> DataFrame:
+    """(n, total, most) of the distances of all pairs of points (x, y), by pairs of blocks dealt over the tasks."""
+    placed = number_rows(points.select("x", "y"), [], [F.col("x"), F.col("y")], "_n")
+    blocks = written(placed.groupBy(F.floor((F.col("_n") - 1) / _BLOCK).alias("a")).agg(F.collect_list("x").alias("ax"), F.collect_list("y").alias("ay")))
+    count = blocks.count()
+    pairs = blocks.select("a", F.explode(F.sequence(F.col("a"), F.lit(count - 1).cast("long"))).alias("b")).repartition(max(1, min(count * count // 8, 4096)))
+    other = blocks.select(F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, most = 0, 0.0, 0.0
+        for frame in batches:
+            for a, b, ax, ay, bx, by in frame[["a", "b", "ax", "ay", "bx", "by"]].itertuples(index=False):
+                apart = np.hypot(np.subtract.outer(ax, bx), np.subtract.outer(ay, by))
+                inner = apart[np.triu_indices(len(ax), 1)] if a == b else apart
+                n, total, most = n + inner.size, total + float(inner.sum()), max(most, float(inner.max(initial=0.0)))
+        yield pd.DataFrame({"n": [n], "total": [total], "most": [most]})
+
+    rows = pairs.join(blocks, "a").join(other, "b").select("a", "b", "ax", "ay", "bx", "by")
+    return rows.mapInPandas(measure, "n long, total double, most double").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
+
+
 def calibration_region(calib: DataFrame) -> DataFrame:
     """Bounds of the calibration points (x, y), mean and greatest distance of their pairs, and the trusted radius.
 
-    One point alone gets the distances 10 and 20. The pairs come from the points' own short list, within one row.
+    One point alone gets the distances 10 and 20. Points without both coordinates make no pairs. All pairs are measured:
+    those of a short list in one row, those of a longer one by blocks over many tasks.
     """
-    held = calib.agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_list(F.struct("x", "y")).alias("_p"))
-    apart = F.flatten(F.transform("_p", lambda a, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda b: F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2)))))
-    held = held.withColumn("_d", apart)
-    mean = F.when(F.size("_d") > 0, F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")).otherwise(10.0)
-    most = F.when(F.size("_d") > 0, F.array_max("_d")).otherwise(20.0)
-    return held.select("x1", "x2", "y1", "y2", mean.alias("mean_distance"), most.alias("max_distance"), (1.5 * most).alias("trusted_radius"))
+    held = calib.agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"))
+    whole = calib.filter("x is not null and y is not null")
+    if whole.limit(_BLOCK + 1).count() <= _BLOCK:
+        points = whole.agg(F.collect_list(F.struct("x", "y")).alias("_p"))
+        apart = F.flatten(F.transform("_p", lambda a, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda b: F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2)))))
+        points = points.select(apart.alias("_d")).select(F.size("_d").alias("n"), F.aggregate("_d", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("_d").alias("most"))
+    else:
+        points = _distances(whole)
+    mean, most = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(10.0), F.when(F.col("n") > 0, F.col("most")).otherwise(20.0)
+    return held.join(F.broadcast(points)).select("x1", "x2", "y1", "y2", mean.alias("mean_distance"), most.alias("max_distance"), (1.5 * most).alias("trusted_radius"))
+
+
+def nearest_in_plane(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(x, y, name, d) of each place of the points (x, y): the nearest centre (ord, name, sx, sy) and its distance, of
+    equal ones the first. A short list is folded in each row, a longer one searched by cells that widen."""
+    held = centres.filter("sx is not null and sy is not null")
+    places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null").distinct()
+    if few_rows(held):
+        row = held.agg(F.collect_list(F.struct("ord", "name", "sx", "sy")).alias("_c"))
+        apart = F.transform("_c", lambda s: F.struct(F.sqrt(F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name")))
+        best = places.join(F.broadcast(row)).withColumn("_b", F.array_min(apart)).filter("_b is not null")
+        return best.select("x", "y", "_b.name", "_b.d")
+    span = held.agg((F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h"), F.count("*").alias("n")).first()
+    size = max(1e-9, (max(span["w"], 1e-9) * max(span["h"], 1e-9) / span["n"]) ** 0.5)  # about one centre a cell
+    return nearest_centre(places.withColumn("id", F.lit(0)), held, size).select("x", "y", "name", "d")
+
+
+def _by_place(points: DataFrame, best: DataFrame) -> DataFrame:
+    """points (x, y) with the columns of best, null where a place has none."""
+    right = best.withColumnsRenamed({"x": "_x", "y": "_y"})
+    return points.join(right, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_x", "_y")
 
 
 def position_confidence(points: DataFrame, calib: DataFrame) -> DataFrame:
@@ -79,10 +136,8 @@ def position_confidence(points: DataFrame, calib: DataFrame) -> DataFrame:
     The score falls from 1 at a calibration point: 0.8 at the mean distance, 0.5 at the greatest, 0.2 at the trusted radius, 0 beyond.
     """
     region = calibration_region(calib)
-    held = calib.agg(F.collect_list(F.struct("x", "y")).alias("_c"))
-    rows = points.join(F.broadcast(region)).join(F.broadcast(held))
-    near = F.array_min(F.transform("_c", lambda c: F.sqrt(F.pow(F.col("x") - c["x"], 2) + F.pow(F.col("y") - c["y"], 2))))
-    rows = rows.withColumn("distance", near)
+    near = nearest_in_plane(points, calib.select(F.lit(0).alias("ord"), F.lit(0).alias("name"), F.col("x").alias("sx"), F.col("y").alias("sy")))
+    rows = _by_place(points, near.select("x", "y", F.col("d").alias("distance"))).join(F.broadcast(region))
     d, m, g, r = (F.col(c) for c in ("distance", "mean_distance", "max_distance", "trusted_radius"))
     score = F.when(d <= m, 1.0 - 0.2 * d / m).when(d <= g, 0.8 - 0.3 * (d - m) / (g - m)).when(d <= r, 0.5 - 0.3 * (d - g) / (r - g)).otherwise(0.0)
     inside = F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
@@ -104,29 +159,44 @@ def hybrid_position(estimates: DataFrame) -> DataFrame:
 def landmark_position(points: DataFrame, landmarks: DataFrame, how: str = "nearest") -> DataFrame:
     """points (x, y) with the position of the nearest landmark, or the inverse-square mean of all.
 
-    landmarks (ord, lx, ly, lat, lon) is a short list; fewer than three give no nearest position.
+    landmarks: ord, lx, ly, lat, lon; fewer than three give no nearest position. The mean takes every landmark to every
+    point, in parts of a bounded number of landmarks that are folded in each point's row.
     """
-    held = landmarks.agg(F.array_sort(F.collect_list(F.struct("ord", "lx", "ly", "lat", "lon"))).alias("_l"))
-    rows = points.join(F.broadcast(held))
-    apart = lambda s: F.sqrt(F.pow(F.col("x") - s["lx"], 2) + F.pow(F.col("y") - s["ly"], 2))
     if how == "nearest":
-        best = F.array_min(F.transform("_l", lambda s: F.struct(apart(s).alias("d"), s["ord"].alias("ord"), s["lat"].alias("lat"), s["lon"].alias("lon"))))
-        rows = rows.withColumn("_b", F.when(F.size("_l") >= 3, best))
-        return rows.select(*points.columns, F.col("_b.lat").alias("lat"), F.col("_b.lon").alias("lon"))
+        enough = landmarks.limit(3).count() >= 3
+        near = nearest_in_plane(points, landmarks.select("ord", F.struct("lat", "lon").alias("name"), F.col("lx").alias("sx"), F.col("ly").alias("sy")))
+        rows = _by_place(points, near.filter(F.lit(enough)))
+        return rows.select(*points.columns, F.col("name.lat").alias("lat"), F.col("name.lon").alias("lon"))
+    parts = 1 + landmarks.count() // BROADCAST_ROWS
+    rows = points.withColumns({"_w": F.lit(0.0), "_a": F.lit(0.0), "_o": F.lit(0.0)})
+    apart = lambda s: F.sqrt(F.pow(F.col("x") - s["lx"], 2) + F.pow(F.col("y") - s["ly"], 2))
     weight = lambda s: F.when(apart(s) < 1e-6, 1e6).otherwise(1 / F.pow(apart(s), 2))
     total = lambda f: F.aggregate("_l", F.lit(0.0), lambda a, s: a + f(s))
-    rows = rows.withColumns({"_w": total(weight), "_a": total(lambda s: weight(s) * s["lat"]), "_o": total(lambda s: weight(s) * s["lon"])})
+    for i in range(parts):
+        held = landmarks.filter(F.pmod(F.xxhash64("ord"), F.lit(parts)) == i).agg(F.array_sort(F.collect_list(F.struct("ord", "lx", "ly", "lat", "lon"))).alias("_l"))
+        rows = rows.join(F.broadcast(held)).withColumns({"_w": F.col("_w") + total(weight), "_a": F.col("_a") + total(lambda s: weight(s) * s["lat"]), "_o": F.col("_o") + total(lambda s: weight(s) * s["lon"])}).drop("_l")
     return rows.select(*points.columns, (F.col("_a") / F.col("_w")).alias("lat"), (F.col("_o") / F.col("_w")).alias("lon"))
 
 
 def nearest_reference_offset(points: DataFrame, refs: DataFrame, limit_m: float = 50.0) -> DataFrame:
-    """points (lat, lon) moved by the correction of the nearest reference (ord, rlat, rlon, dlat, dlon) within the limit."""
-    held = refs.agg(F.array_sort(F.collect_list(F.struct("ord", "rlat", "rlon", "dlat", "dlon"))).alias("_r"))
-    best = F.array_min(F.transform("_r", lambda s: F.struct((haversine_ft(F.col("lat"), F.col("lon"), s["rlat"], s["rlon"]) * METRES).alias("d"), s["ord"].alias("ord"), s["dlat"].alias("dlat"), s["dlon"].alias("dlon"))))
-    rows = points.join(F.broadcast(held)).withColumn("_b", best)
+    """points (lat, lon) moved by the correction of the nearest reference (ord, rlat, rlon, dlat, dlon) within the limit.
+
+    A short list is folded in each row; of a longer one a point meets those in the cells around it.
+    """
+    keep = [c for c in points.columns if c not in ("lat", "lon")]
+    if few_rows(refs):
+        held = refs.agg(F.array_sort(F.collect_list(F.struct("ord", "rlat", "rlon", "dlat", "dlon"))).alias("_r"))
+        best = F.array_min(F.transform("_r", lambda s: F.struct((haversine_ft(F.col("lat"), F.col("lon"), s["rlat"], s["rlon"]) * METRES).alias("d"), s["ord"].alias("ord"), s["dlat"].alias("dlat"), s["dlon"].alias("dlon"))))
+        rows = points.join(F.broadcast(held)).withColumn("_b", best)
+    else:
+        places = points.select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).distinct()
+        spots = refs.select("ord", F.col("rlat").alias("spot_lat"), F.col("rlon").alias("spot_lon"), "dlat", "dlon")
+        near = near_pairs(places, spots, limit_m / METRES * 1.000001).withColumn("d", F.col("distance") * METRES)
+        best = near.groupBy(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")).agg(F.min(F.struct("d", "ord", "dlat", "dlon")).alias("_b"))
+        rows = points.join(best, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
     hit = F.col("_b.d") <= limit_m
     move = lambda c, d: F.col(c) + F.when(hit, F.coalesce(F.col(f"_b.{d}"), F.lit(0.0))).otherwise(0.0)
-    return rows.select(*[c for c in points.columns if c not in ("lat", "lon")], move("lat", "dlat").alias("lat"), move("lon", "dlon").alias("lon"), F.coalesce(hit, F.lit(False)).alias("corrected"))
+    return rows.select(*keep, move("lat", "dlat").alias("lat"), move("lon", "dlon").alias("lon"), F.coalesce(hit, F.lit(False)).alias("corrected"))
 
 
 def blend_positions(a: DataFrame, b: DataFrame, share: float = 0.7) -> DataFrame:

@@ -24,31 +24,32 @@ def gps_at(frames: DataFrame, fixes: DataFrame, tolerance_s: float = 0.2, key: s
     return frames.join(best, "event_id", "left").select(*frames.columns, "g.fix_id", "g.lat", "g.lon")
 
 
-def carried(rows: DataFrame, key: str, bucket: str, low: Column, high: Column, kind: str) -> DataFrame:
-    """rows with `_prev` and `_next`: the greatest `high` of the key's earlier buckets and the least `low` of its later
-    ones that have any. Only one row for each bucket is ordered along the whole time of a key."""
-    ends = rows.groupBy(F.col(key).alias("_k0"), F.col(bucket).alias("_b0")).agg(F.min(low).cast(kind).alias("_low"), F.max(high).cast(kind).alias("_high"))
-    along = Window.partitionBy("_k0").orderBy("_b0").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy("_k0").orderBy(F.desc("_b0")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumns({"_prev": F.last("_high", ignorenulls=True).over(along), "_next": F.last("_low", ignorenulls=True).over(back)}).drop("_low", "_high")
-    return rows.join(ends, F.col(key).eqNullSafe(F.col("_k0")) & (F.col(bucket) == F.col("_b0"))).drop("_k0", "_b0")
+def bucket_ends(rows: DataFrame, key: str, bucket: str, low: Column, high: Column, kind: str) -> DataFrame:
+    """(key, bucket, _prev, _next) of each bucket: the greatest `high` of the key's earlier buckets and the least `low` of
+    its later ones that have any. Only one row for each bucket is ordered along the whole time of a key."""
+    ends = rows.groupBy(key, bucket).agg(F.min(low).cast(kind).alias("_low"), F.max(high).cast(kind).alias("_high"))
+    along = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(key).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(key, bucket, F.last("_high", ignorenulls=True).over(along).alias("_prev"), F.last("_low", ignorenulls=True).over(back).alias("_next"))
 
 
 def gps_nearest(frames: DataFrame, fixes: DataFrame, key: str = "device", bucket_s: int = 3600) -> DataFrame:
     """frames with the fix nearest in time, without tolerance; of equal gaps the earlier fix.
 
-    One sort for each key and bucket of time gives each frame the last fix before it and the first one after it; where a
-    bucket has none, those of the nearest buckets that have are carried in.
+    Sorting each key's bucket of time gives each frame the last fix before it and the first one after it; the nearest
+    fixes of other buckets stand in each bucket as rows of their own.
     """
     kind = "struct<t:bigint,fix_id:bigint>"
     fix = F.struct(_micros("ts").alias("t"), F.col("event_id").alias("fix_id"))
+    none = F.lit(None).cast("long").alias("event_id")
     both = frames.select(key, "event_id", _micros("ts").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kind).alias("_f"))
-    both = both.unionByName(fixes.select(key, F.lit(None).cast("long").alias("event_id"), _micros("ts").alias("_t"), F.lit(0).alias("_k"), fix.alias("_f")))
-    both = carried(both.withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1_000_000))), key, "_b", F.col("_f"), F.col("_f"), kind)
+    both = both.unionByName(fixes.select(key, none, _micros("ts").alias("_t"), F.lit(0).alias("_k"), fix.alias("_f"))).withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1_000_000)))
+    ends = bucket_ends(both, key, "_b", F.col("_f"), F.col("_f"), kind).withColumn("_f", F.explode(F.array_compact(F.array("_prev", "_next"))))
+    both = both.unionByName(ends.select(key, none, F.col("_f.t").alias("_t"), F.lit(0).alias("_k"), "_f", "_b"))
     w = Window.partitionBy(key, "_b").orderBy("_t", "_k", "_f.fix_id")
     before = F.last("_f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.last("_f", ignorenulls=True).over(Window.partitionBy(key, "_b").orderBy(F.col("_t").desc(), F.col("_k").desc(), F.col("_f.fix_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumns({"_p": F.coalesce(before, "_prev"), "_n": F.coalesce(after, "_next")}).filter("_k = 1")
+    rows = both.withColumns({"_p": before, "_n": after}).filter("_k = 1")
     closer = F.when(F.col("_n").isNull() | (F.col("_t") - F.col("_p.t") <= F.col("_n.t") - F.col("_t")), F.col("_p")).otherwise(F.col("_n"))
     rows = rows.withColumn("_c", F.coalesce(closer, F.col("_n")))
     return rows.select("event_id", F.col("_c.fix_id").alias("fix_id"), (F.abs(F.col("_t") - F.col("_c.t")) / 1e6).alias("gap_s"))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from yardspark.operators import dashboard as D
+from yardspark.operators import dataset as S
 from yardspark.plans.views import sql, view
 
 DAY, NOW = "2024-01-15", dt.datetime(2024, 1, 20, 12)
@@ -91,5 +92,5 @@ QUERIES = {
     "first_non_empty": (lambda s, d: D.first_non_empty(D.filter_by_date(_scans(s, d), "2030-01-01"), D.page(_scans(s, d), 500)).select("id"), sql("select id from scans order by created_on desc nulls last, id limit 500", "scans")),
     "remove_ids": (lambda s, d: D.remove_ids(_scans(s, d), _scans(s, d).filter("is_processed")).groupBy("camera_id").agg(F.count("*").alias("n")), sql("select camera_id, count(*) as n from scans where not is_processed group by 1", "scans")),
     "keep_last": (lambda s, d: D.keep_last(_scans(s, d), 200).select("id", "kept"), sql("select id, row_number() over (partition by camera_id order by created_on desc, id) <= 200 as kept from scans", "scans")),
-    "union_results": (lambda s, d: _scans(s, d).filter("camera_id = 'cam-01'").select("id", "plate").unionByName(_scans(s, d).filter("camera_id = 'cam-02'").select("id", "speed"), allowMissingColumns=True).withColumn("speed", F.round("speed", 4)), sql("select id, plate, null::double as speed from scans where camera_id = 'cam-01' union all select id, null, round(speed, 4) from scans where camera_id = 'cam-02'", "scans")),
+    "union_results": (lambda s, d: S.union_results(_scans(s, d).filter("camera_id = 'cam-01'").select("id", "plate"), _scans(s, d).filter("camera_id = 'cam-02'").select("id", "speed")).withColumn("speed", F.round("speed", 4)), sql("select id, plate, null::double as speed from scans where camera_id = 'cam-01' union all select id, null, round(speed, 4) from scans where camera_id = 'cam-02'", "scans")),
 }

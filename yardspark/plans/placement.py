@@ -62,12 +62,20 @@ _SITE_SETTINGS = f"{_SETTINGS}, ss as (select n_nationkey as site_id, n_name as
 
 def _by_site(s, d):
     scans = _scans(s, d).withColumn("site_id", F.col("k") % 25).withColumn("plate", F.when(F.col("k") % 9 == 0, F.col("plate")).otherwise(F.concat("plate", F.lit("-0123456789-ABCDEFGHI"))))
-    points = _spot_points(s, d).crossJoin(F.broadcast(_sites(s, d).select("site_id"))).filter((F.col("ord") + F.col("site_id")) % 3 != 0)
+    points = _spot_points(s, d).withColumn("site_id", F.explode(F.sequence(F.lit(0), F.lit(24)))).filter((F.col("ord") + F.col("site_id")) % 3 != 0)
     settings = A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d)).select("site_id", "min_speed", "max_speed", "max_slot_distance", (F.col("site_id") % 6).alias("max_slots"))
     moved = scans.filter("k % 13 = 0 and is_processed").select("plate")
     return A.assign_spots_by_site(scans, points, settings, moved).select("id", "site_id", "spot", F.round("distance", 4).alias("distance"), "verdict")
 
 
+def _until_moved(s, d):
+    scans = _scans(s, d).withColumn("site_id", F.col("k") % 25).withColumn("plate", F.when(F.col("k") % 9 == 0, F.col("plate")).otherwise(F.concat("plate", F.lit("-0123456789-ABCDEFGHI"))))
+    points = _spot_points(s, d).withColumn("site_id", F.explode(F.sequence(F.lit(0), F.lit(24)))).filter((F.col("ord") + F.col("site_id")) % 3 != 0)
+    settings = A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d))
+    settings = settings.select("site_id", "min_speed", "max_speed", "max_slot_distance", (F.col("site_id") % 6).alias("max_slots"), (F.col("site_id") % 3 + 1).alias("observations_count"), ((F.col("site_id") % 5) * 2880).alias("observation_cutoff_minutes"))
+    return A.assign_until_moved(scans, points, settings).select("id", "site_id", "spot", "verdict")
+
+
 _BEARING = "((degrees(atan2(sin(radians(spot_lon - longitude)) * cos(radians(spot_lat)), cos(radians(latitude)) * sin(radians(spot_lat)) - sin(radians(latitude)) * cos(radians(spot_lat)) * cos(radians(spot_lon - longitude)))) + 360) % 360)"
 _BY_SITE = f"""with {_SPOT_POINTS}, {_SITE_SETTINGS},
 sc as (select * replace (case when k % 9 = 0 then plate else plate || '-0123456789-ABCDEFGHI' end as plate), k % 25 as site_id from scans),
@@ -81,6 +89,15 @@ select w.id, site_id, spot, round(distance, 4) as distance,
        when plate in (select plate from sc where k % 13 = 0 and is_processed) then 'Ignore Inventory - Already Moved' when spot is null then 'Ignore Inventory - Unable to pick the location' else 'Location Updated: ' || spot end as verdict
 from w left join b using (id)"""
 
+_UNTIL_MOVED = f"""with base as ({_BY_SITE.replace("plate in (select plate from sc where k % 13 = 0 and is_processed)", "false").replace("select w.id, site_id, spot,", "select w.id, site_id, w.plate, w.created_on, spot,")}),
+o as (select *, site_id % 3 + 1 as least_, to_minutes((site_id % 5) * 2880) as cutoff from base where verdict like 'Location Updated: %' and site_id % 5 > 0),
+n as (select a.id, a.plate, a.created_on from o a join o b on a.site_id = b.site_id and a.plate = b.plate and b.created_on >= a.created_on - a.cutoff and (b.created_on, b.id) <= (a.created_on, a.id) group by a.id, a.plate, a.created_on, a.least_ having count(*) >= a.least_),
+m as (select plate, min({{'t': created_on, 'i': id}}) as moved from n group by 1),
+z as (select base.*, moved, {{'t': created_on, 'i': id}} as now_ from base left join m using (plate))
+select id, site_id, case when now_ > moved then null else spot end as spot,
+  case when verdict in ('Ignore Inventory - Invalid Tag', 'Ignore Inventory - Speed is not valid') then verdict when now_ > moved then 'Ignore Inventory - Already Moved' when spot is null or now_ = moved then verdict end as verdict from z"""
+
+
 _H = [[0.002, 0.0001, -0.4], [0.0002, 0.01, -0.2], [0.00001, 0.00002, 1.0]]
 _HX, _HY = ("(({0} * px + {1} * py + {2}) / ({3} * px + {4} * py + {5}))".format(*_H[r], *_H[2]) for r in (0, 1))
 
@@ -208,6 +225,7 @@ QUERIES = {
     "assign_spots": (lambda s, d: A.assign_spots(_scans(s, d), _spot_points(s, d), limit_ft=_LIMIT).withColumn("distance", F.round("distance", 4)), sql(f"with {_SPOT_POINTS}, {_WAITING}, q as (select id, plate, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp) select id, plate, spot, round(distance, 4) as distance from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1", "scans")),
     "mark_assigned": (lambda s, d: A.mark_assigned(_scans(s, d), A.assign_spots(_scans(s, d), _spot_points(s, d).withColumn("spot_id", F.concat(F.lit("S"), F.col("ord").cast("string"))), limit_ft=_LIMIT), F.lit("2024-03-01").cast("timestamp_ntz")).select("id", "is_processed", "assigned_spot_id", "assigned_spot_name", "processed_comment", "updated_on"), sql(f"with {_SPOT_POINTS}, {_WAITING}, q as (select id, spot, ord, {_feet('latitude', 'longitude', 'spot_lat', 'spot_lon')} as distance from waiting, sp), b as (select id, spot, ord from (select *, row_number() over (partition by id order by distance, ord) as rn from q where distance < {_LIMIT}) where rn = 1) select scans.id, is_processed or spot is not null as is_processed, 'S' || ord as assigned_spot_id, spot as assigned_spot_name, 'Location Updated: ' || spot as processed_comment, case when spot is not null then timestamp '2024-03-01' end as updated_on from scans left join b using (id)", "scans")),
     "site_settings": (lambda s, d: A.site_settings(_sites(s, d), _flags(s, d), _settings(s, d)), f"with {_SITE_SETTINGS} select * from ss"),
+    "assign_until_moved": (_until_moved, sql(_UNTIL_MOVED, "scans")),
     "assign_spots_by_site": (_by_site, sql(_BY_SITE, "scans")),
     "latest_coordinate": (lambda s, d: A.latest_coordinate(view(s, d, "coordinates")).select("location_id", "id"), sql("select location_id, max(id) as id from coordinates where not is_deleted group by 1", "coordinates")),
     "parking_spots": (lambda s, d: A.parking_spots(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("location_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("site_id")), view(s, d, "coordinates")).select("location_id", "name", "site_id", "id"), sql("select s_suppkey as location_id, s_name as name, s_nationkey as site_id, id from supplier join (select location_id, max(id) as id from coordinates where not is_deleted group by 1) on s_suppkey = location_id", "coordinates")),
@@ -222,7 +240,7 @@ QUERIES = {
     "average_position": (lambda s, d: _rounded(G.average_position(view(s, d, "fixes")), 8, "lat", "lon"), sql(_AVG, "fixes")),
     "position_accuracy": (lambda s, d: _rounded(G.position_accuracy(view(s, d, "fixes"), LAT0, LON0).select("event_id", "error_m", "band"), 3, "error_m"), sql(f"with e as (select event_id, {_feet('lat', 'lon', LAT0, LON0)} / 3.28084 as e from fixes) select event_id, round(e, 3) as error_m, case when e < 5 then 'excellent' when e < 10 then 'good' when e < 20 then 'fair' when e < 50 then 'poor' else 'bad' end as band from e", "fixes")),
     "to_local": (_to_local, sql(_LOCAL, "scans")),
-    "round_trip_report": (lambda s, d: G.round_trip_report(_scans(s, d), LAT0, LON0).agg(F.count("*").alias("n"), (F.max("error_m") < 0.001).alias("below_a_millimetre")), sql("select count(*) as n, true as below_a_millimetre from scans", "scans")),
+    "round_trip_report": (lambda s, d: _rounded(G.round_trip_report(_scans(s, d), LAT0, LON0).select("id", "east", "north", (F.col("error_m") < 0.001).alias("back")), 4, "east", "north"), sql(_LOCAL.replace("as north from h", "as north, true as back from h"), "scans")),
     "reprojection_report": (lambda s, d: _rounded(G.reprojection_report(_pixels(s, d).withColumns({"x": F.col("px") / 500, "y": F.col("py") / 100}), _H), 6, "rmse", "max", "min", "mean"), sql(f"with {_PIXELS}, e as (select sqrt(pow({_HX} - px / 500, 2) + pow({_HY} - py / 100, 2)) as e from pix) select count(*) as n, round(sqrt(avg(e * e)), 6) as rmse, round(max(e), 6) as max, round(min(e), 6) as min, round(avg(e), 6) as mean from e", "boxes")),
     "calibration_region": (lambda s, d: _rounded(G.calibration_region(_calib(s, d)), 6, "mean_distance", "max_distance", "trusted_radius"), f"with {_REGION} select x1, x2, y1, y2, round(mean_distance, 6) as mean_distance, round(max_distance, 6) as max_distance, round(trusted_radius, 6) as trusted_radius from reg"),
     "position_confidence": (lambda s, d: _rounded(G.position_confidence(_points(s, d).withColumns({"x": F.col("x") * 9, "y": F.col("y") * 3}), _calib(s, d)).select("id", "distance", "score", "trusted", "use"), 6, "distance", "score"), sql(f"""with {_REGION}, q as (select id, x_world * 9 as x, y_world * 3 as y from scans), n as (select id, min(q.x) as x, min(q.y) as y, min(sqrt(pow(q.x - cal.x, 2) + pow(q.y - cal.y, 2))) as d from q, cal group by 1),

@@ -166,6 +166,14 @@ def _truth(s, d):
     return _readings(s, d).filter("event_id % 4 = 0").select(F.floor(F.col("event_id") / 4).alias("image"), F.substring("text", 3, 6).alias("expected"))
 
 
+_PHRASES = sql(f"""with recursive {_NOISY}, p as (select event_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from nz),
+o as (select event_id, list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]) as w from p),
+f as (select event_id, w, 1 as i, []::varchar[] as kept, []::varchar[] as seen from o
+  union all select event_id, w, case when again then i + 2 else i + 1 end, case when again then kept else list_append(kept, w[i]) end, case when again or len(kept) = 0 then seen else list_append(seen, kept[-1] || ' ' || w[i]) end
+  from (select *, len(kept) > 0 and i < len(w) and list_contains(seen, w[i] || ' ' || w[i + 1]) as again from f where i <= len(w)))
+select event_id, array_to_string(kept, ' ') as text from f where i > len(w)""", "readings")
+
+
 def _labels(s, d):
     return s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("cls"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 50).cast("string")).alias("file"))
 
@@ -188,7 +196,7 @@ QUERIES = {
     "reorder_digits": (lambda s, d: _noisy(s, d).select("event_id", R.reorder_digits(F.col("text")).alias("text")), sql(_REORDER, "readings")),
     "pattern_confidence": (lambda s, d: _noisy(s, d).select("event_id", R.pattern_confidence(F.col("text")).alias("conf")), sql(f"with {_NOISY} select event_id, {_PCONF}::double as conf from nz", "readings")),
     "reject_garbage": (lambda s, d: _noisy(s, d).select("event_id", R.is_garbage(F.col("text")).alias("garbage")), sql(f"with {_NOISY} select event_id, {_GARBAGE.format('text')} as garbage from nz", "readings")),
-    "dedupe_phrases": (lambda s, d: _noisy(s, d).select("event_id", R.dedupe_phrases(F.col("text")).alias("text")), None),
+    "dedupe_phrases": (lambda s, d: _noisy(s, d).select("event_id", R.dedupe_phrases(F.col("text")).alias("text")), _PHRASES),
     "valid_id": (lambda s, d: _noisy(s, d).select("event_id", R.valid_id(F.col("text"), F.col("conf")).alias("valid")), sql(f"with {_NOISY} select event_id, length(text) between 2 and 15 and ({_n('text')} or ({_l('text')} and {_d('text')}) or ({_l('text')} and not {_d('text')} and conf >= 0.7)) as valid from nz", "readings")),
     "reject_short": (lambda s, d: _noisy(s, d).select("event_id", R.reject_short(F.substring("text", 1, 2), F.col("conf")).alias("text")), sql(f"with {_NOISY}, c as (select event_id, conf, coalesce(nullif(regexp_replace(substr(text, 1, 2), '^\\s+|\\s+$', '', 'g'), ''), '') as s from nz) select event_id, case when conf >= 0.15 and (length(s) >= 2 or (regexp_matches(s, '^[0-9]$') and conf >= 0.25)) then s else '' end as text from c", "readings")),
     "score_candidates": (lambda s, d: _noisy(s, d).select("event_id", F.round(R.candidate_score(F.col("text"), F.col("conf"), (F.col("track") % 60).cast("double") / 100, (F.col("track") % 10).cast("double") / 10), 6).alias("score")), sql(_SCORE, "readings")),
@@ -202,7 +210,7 @@ QUERIES = {
     "reading_summary": (lambda s, d: R.reading_summary(_attempts(s, d)), sql(f"with {_ATT} select method, count(*) as processed, 0 as failed, count(*) filter ({_TRIM} is not null) as successful from att group by 1", "readings")),
     "engine_comparison": (lambda s, d: R.engine_comparison(_engines(s, d), _truth(s, d), "image"), sql("with e as (select cast(floor(event_id / 4) as bigint) as image, cast(event_id % 4 as varchar) as engine, text, conf from readings), x as (select cast(floor(event_id / 4) as bigint) as image, substr(text, 3, 6) as expected from readings where event_id % 4 = 0), h as (select e.*, coalesce(nullif(trim(text), '') is not null and (contains(upper(trim(text)), upper(expected)) or contains(upper(expected), upper(trim(text)))), false) as hit from e join x using (image)) select image, count(*) filter (hit) as matches, case when count(*) filter (hit) > 0 then 'match' else 'no_match' end as status, arg_min(engine, {'c': -conf, 'e': engine}) filter (hit) as best_engine from h group by 1", "readings")),
     "latency_summary": (lambda s, d: _rounded(R.latency_summary(view(s, d, "scans"), "camera_id", "speed"), 6, "mean_ms", "min_ms", "max_ms", "per_second"), sql("select camera_id, round(avg(speed), 6) as mean_ms, round(min(speed), 6) as min_ms, round(max(speed), 6) as max_ms, round(1000 / avg(speed), 6) as per_second from scans group by 1", "scans")),
-    "split_dataset": (lambda s, d: _split(s, d).groupBy("split").agg(F.count("*").alias("n")), "select 'val' as split, cast(floor(count(*) * 0.2) as bigint) as n from documents union all select 'train', count(*) - cast(floor(count(*) * 0.2) as bigint) from documents"),
+    "split_dataset": (lambda s, d: _split(s, d).select("doc_id", "split"), "select doc_id, case when row_number() over (order by md5(doc_id || '-7'), doc_id) <= floor(count(*) over () * 0.2) then 'val' else 'train' end as split from documents"),
     "split_summary": (lambda s, d: S.split_summary(_split(s, d).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train"))), "select case when doc_id % 5 = 0 then 'val' else 'train' end as split, count(*) as images, count(*) filter (doc_id in (select doc_id from labels)) as labels, round(count(*) filter (doc_id in (select doc_id from labels)) / count(*), 6) as ratio from documents group by 1"),
     "remap_classes": (lambda s, d: S.remap_classes(_labels(s, d), 1, 0).select("doc_id", "cls"), "select doc_id, 0 as cls from labels where quality = 1"),
     "relabel_summary": (lambda s, d: S.relabel_summary(_labels(s, d), 1), "select 'f' || cast(floor(doc_id / 50) as bigint) as file, count(*) filter (quality = 1) as converted, count(*) filter (quality <> 1) as removed from labels group by 1"),

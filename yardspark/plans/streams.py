@@ -215,19 +215,25 @@ def _clusters(s, d):
     return places.select("video", "id", F.col("x_world").alias("x"), F.col("y_world").alias("y"), (F.col("n") % 25).alias("n"), "spot")
 
 
-def _recursive(text):
-    """SQL whose own tables are recursive, behind derived ones."""
-    return text.replace("with ", "with recursive ", 1).replace(",\nrecursive ", ",\n").replace(",\n recursive ", ",\n")
+_MERGED = """with recursive cl as (select camera_id as video, k as id, x_world as x, y_world as y, count(*) % 25 as n, max(spot_name) as spot from scans group by camera_id, k, x_world, y_world),
+p as (select a.video, a.id as a_id, b.id as b_id, case when a.n >= b.n then b.id else a.id end as id, case when a.n >= b.n then a.id else b.id end as into_ from cl a join cl b on a.video = b.video and a.id < b.id
+  where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= case when a.spot is not distinct from b.spot and coalesce(a.spot <> 'unknown', true)
+    then case when least(a.n, b.n) < 5 then 10 when least(a.n, b.n) < 10 and greatest(a.n, b.n) >= 15 then 8 when greatest(a.n, b.n) >= 15 then 15 else 3 end when least(a.n, b.n) < 5 then 3 end),
+l as (select video, id, max_by(into_, {'a': a_id, 'b': b_id}) as into_ from p group by 1, 2),
+r as (select video, id, id as root from cl union all select r.video, r.id, l.into_ from r join l on l.video = r.video and l.id = r.root),
+e as (select r.* from r left join l on l.video = r.video and l.id = r.root where l.id is null),
+t as (select e.video, root, sum(x * n) / sum(n) as root_x, sum(y * n) / sum(n) as root_y, sum(n)::bigint as root_n from e join cl on cl.video = e.video and cl.id = e.id group by 1, 2)
+select video, id, root, round(root_x, 6) as root_x, round(root_y, 6) as root_y, root_n from e join t using (video, root)"""
 
 
 QUERIES = {
     "stream_hourly_rollup": (_rollup, sql(_ROLLUP, "scans")),
     "stream_ingest": (_ingest, sql("select id, camera_id, plate from scans where k >= 0", "scans")),
-    "stream_assign": (_assign, _recursive(sql(_SETTLED, "scans"))),
-    "stream_observations": (_observe, _recursive(sql(_OBSERVE, "scans"))),
+    "stream_assign": (_assign, sql(_SETTLED, "scans")),
+    "stream_observations": (_observe, sql(_OBSERVE, "scans")),
     "stream_dedupe": (_dedupe, sql("select distinct plate from scans where plate <> ''", "scans")),
     "stream_tracks": (_tracks, None),
-    "stream_reading_cache": (_cache, _recursive(sql(_CACHE, "scans"))),
+    "stream_reading_cache": (_cache, sql(_CACHE, "scans")),
     "stream_gps_join": (_gps, sql("select a.event_id, max_by(b.event_id, {'t': b.ts, 'e': b.event_id}) as fix_id from frames a join fixes b on a.device = b.device and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000 group by 1", "frames", "fixes")),
     "stream_chunks": (_chunks, sql(_CHUNKS, "scans")),
     "stream_sessions": (_sessions, sql(_SESSIONS, "scans")),
@@ -238,6 +244,6 @@ QUERIES = {
     "stream_drain": (_drain, sql("select id, cast(floor((row_number() over (partition by cast(created_on as date), camera_id order by created_on desc, id) - 1) / 20) as bigint) as drain_group from scans where is_processed", "scans")),
     "stream_drain_rest": (_drain_rest, sql("select id, plate from scans where not is_processed", "scans")),
     "link_detections": (_link, None),
-    "merge_clusters": (lambda s, d: K.merge_clusters(_clusters(s, d)), None),
+    "merge_clusters": (lambda s, d: K.merge_clusters(_clusters(s, d)).withColumns({c: F.round(c, 6) for c in ("root_x", "root_y")}), sql(_MERGED, "scans")),
     "filter_clusters": (lambda s, d: K.filter_clusters(_clusters(s, d), bound=12.0).select("video", "id", "reason"), sql("select camera_id as video, k as id, case when count(*) % 25 < 2 then 'too_few' when abs(x_world) > 12 or abs(y_world) > 12 then 'out_of_bounds' end as reason from scans group by camera_id, k, x_world, y_world", "scans")),
 }

@@ -81,4 +81,8 @@ def sql(body: str, *names: str) -> str:
     values = ", ".join(f"('{n}', {x1}::double, {x2}::double, {y1}::double, {y2}::double, {o})" for n, x1, x2, y1, y2, o in SPOTS)
     tables = {n: _text(n, "duck") for n in _BY} | {"spots": f"select * from (values {values}) s(name, x1, x2, y1, y2, ord)"}
     heads = ",\n".join(f"{n} as ({tables[n]})" for n in names)
-    return (f"with {heads}" + (",\n" + body.strip()[5:] if body.strip().lower().startswith("with ") else "\n" + body)) if names else body
+    if not names:
+        return body
+    text = body.strip()
+    start = next((w for w in ("with recursive ", "with ") if text.lower().startswith(w)), "")
+    return f"{start or 'with '}{heads}" + (",\n" + text[len(start) :] if start else "\n" + body)
