@@ -103,3 +103,23 @@ def test_lists_beyond_a_row(spark, monkeypatch):
     monkeypatch.setattr(gps, "BROADCAST_ROWS", 3)
     assert shown() == few and [len(t) for t in few[:5]] == [81, 81, 81, 81, 61] and 5 < len(few[5]) < 40
     assert {r[-1] for r in few[4]} == {True, False}
+
+
+def test_polygons_of_many_sizes(spark, monkeypatch):
+    """Small polygons in large ones: the first by order that holds a point, whatever its size."""
+    rng = random.Random(9)
+    square = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rings = [(f"p{i}", (i * 37) % 101, square(rng.uniform(-200, 200), rng.uniform(-200, 200), w := 2.0 ** rng.uniform(-3, 8), w * rng.choice([1, 1, 0.01]))) for i in range(60)]
+    rings += [("all", 500, square(-300.0, -300.0, 600.0, 600.0)), ("none", 501, [])]
+    points = [(i, rng.uniform(-320, 320), rng.uniform(-320, 320)) for i in range(400)] + [(900, None, 1.0)]
+    table, held = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(rings, "name string, ord int, ring array<struct<x: double, y: double>>")
+
+    def inside(x, y, ring):
+        (x0, y0), (x1, y1) = ring[0], ring[2]
+        return x0 < x < x1 and y0 < y < y1
+
+    want = {i: min(((o, n) for n, o, r in rings if r and inside(x, y, r)), default=(0, None))[1] for i, x, y in points if x is not None}
+    for bound in (20_000, 1):
+        monkeypatch.setattr(assign, "BROADCAST_ROWS", bound)
+        out = {r.id: (r.spot, r.method) for r in assign.resolve_spot(table, held).collect()}
+        assert len(out) == 401 and all(out[i][0] == n and out[i][1] == "point-in-polygon" if n else out[i][1] == "nearest-centroid" for i, n in want.items())

@@ -258,27 +258,37 @@ def nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFr
 def resolve_spot(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (id, x, y, ...) with `spot` and `method`: the first polygon that contains the point strictly, else the nearest centroid.
 
-    Polygons (name, ord, ring) stand in the cells that their boxes touch; cells are as large as the largest box, so a
-    point meets the few polygons of its own cell in one equi-join. Only points outside all of them are measured against
-    the centroids: a bounded list is folded in the point's row, a longer one is searched by cells.
+    Polygons (name, ord, ring) stand in the cells that their boxes touch, four at most: cells are as wide as the box
+    rounded up to a power of two, so polygons of each size have cells of their own, and a point meets the few of its cell
+    in one equi-join for each size there is. Only points outside all of them are measured against the centroids: a
+    bounded list is folded in the point's row, a longer one is searched by cells.
     """
     cx, cy = ring_centroid(F.col("ring"))
     edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    held = polygons.select("ord", "name", "ring", cx.alias("sx"), cy.alias("sy"), *[edge(f, c).alias(f"{c}{n}") for c in ("x", "y") for n, f in ((0, F.array_min), (1, F.array_max))])
-    sizes = held.agg(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0"))).first()
-    w, h = (max(float(v or 0.0), 1e-9) for v in sizes)
-    span = lambda a, b, s: F.sequence(F.floor(F.col(a) / s), F.floor(F.col(b) / s))
-    cells = held.withColumn("_x", F.explode(span("x0", "x1", w))).withColumn("_y", F.explode(span("y0", "y1", h)))
-    cells = cells.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "ring"))).alias("_near"))
-    inside = F.get(F.filter("_near", lambda s: in_ring(F.col("x"), F.col("y"), s["ring"])), F.lit(0))["name"]
-    out = points.withColumns({"_x": F.floor(F.col("x") / w), "_y": F.floor(F.col("y") / h)}).join(cells, ["_x", "_y"], "left").withColumn("_in", inside).drop("_x", "_y", "_near")
+    held = polygons.filter(F.size("ring") > 0).select("ord", "name", "ring", cx.alias("sx"), cy.alias("sy"), *[edge(f, c).alias(f"{c}{n}") for c in ("x", "y") for n, f in ((0, F.array_min), (1, F.array_max))])
+    width = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
+    held = held.withColumn("_level", F.ceil(F.log2(width)).cast("int"))
+    few = few_rows(held)
+    levels = [r[0] for r in held.select("_level").distinct().collect() if r[0] is not None]  # powers of two of widths
+    out, near = points, []
+    for i, level in enumerate(sorted(levels)):
+        w = 2.0**level
+        span = lambda a, b, w=w: F.sequence(F.floor(F.col(a) / w), F.floor(F.col(b) / w))
+        cells = held.filter(F.col("_level") == level).withColumn("_x", F.explode(span("x0", "x1"))).withColumn("_y", F.explode(span("y0", "y1")))
+        cells = cells.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "ring"))).alias(f"_near{i}"))
+        out = out.withColumns({"_x": F.floor(F.col("x") / w), "_y": F.floor(F.col("y") / w)}).join(F.broadcast(cells) if few else cells, ["_x", "_y"], "left").drop("_x", "_y")
+        # of each size the first that holds the point
+        out = out.withColumn(f"_near{i}", F.get(F.filter(f"_near{i}", lambda s: in_ring(F.col("x"), F.col("y"), s["ring"])), F.lit(0)))
+        near.append(F.when(F.col(f"_near{i}").isNotNull(), F.struct(F.col(f"_near{i}.ord").alias("ord"), F.col(f"_near{i}.name").alias("name"))))
+    first = F.array_min(F.array_compact(F.array(*near)))["name"] if near else F.lit(None).cast("string")
+    out = out.withColumn("_in", first).drop(*[f"_near{i}" for i in range(len(near))])
     centres = held.select("ord", "name", "sx", "sy").filter("sx is not null and sy is not null")
-    if few_rows(held):
+    if few:
         row = centres.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_all"))
         apart = F.array_min(F.transform("_all", lambda s: F.struct((F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name"))))["name"]
         out = out.join(F.broadcast(row)).withColumn("_c", F.when(F.col("_in").isNull(), apart))
     else:
-        near = nearest_centre(out.filter("_in is null"), centres, max(w, h)).select("id", "x", "y", F.col("name").alias("_c"))
+        near = nearest_centre(out.filter("_in is null"), centres, 2.0 ** min(levels)).select("id", "x", "y", F.col("name").alias("_c"))
         out = out.join(near, ["id", "x", "y"], "left")
     method = F.when(F.col("_in").isNotNull(), "point-in-polygon").when(F.col("_c").isNotNull(), "nearest-centroid").otherwise("no-spots")
     return out.select(*points.columns, F.coalesce("_in", "_c", F.lit("unknown")).alias("spot"), method.alias("method"))
