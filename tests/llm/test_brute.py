@@ -187,3 +187,13 @@ def test_packing_of_one_long_and_repeated_rows(spark):
     got = [r.input_ids[4 * a : 4 * b] for r in out for d, a, b in zip(r.doc_ids, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True) if d == 9]
     ids = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={}).encode_ordinary(nul)
     assert [bytes(x) for x in got] == [struct.pack(f"<{len(ids)}I", *ids)]
+
+
+def test_toxicity_with_ids_of_other_types(spark):
+    """Evidence holds the ids as they are; of several texts under one id the first by text is learnt from."""
+    rows = [(f"d{i}", "vile words here" if i % 3 == 0 else "kind words here") for i in range(60)] + [("d3", "zz other text")]
+    docs, labels = table(spark, rows, "doc_id string, text string"), table(spark, [(f"d{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    model = toxicity.fit(docs.repartition(5), labels)
+    got = {r.doc_id: r for r in toxicity.score_documents(docs.filter("text not like 'zz%'"), model).collect()}
+    assert len(got) == 60 and all(r.predicted == int(int(i[1:]) % 3 == 0) and set(r.evidence) <= set(got) for i, r in got.items())
+    assert toxicity.fit(docs.repartition(2), labels).lists.keys() == model.lists.keys() and got["d0"].evidence

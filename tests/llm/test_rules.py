@@ -351,6 +351,13 @@ KNOWN = {
     "zlibAsIs": "This software is provided 'as-is', without any express or implied warranty", "zlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications",
     "unlicense": "This is free and unencumbered software released into the public domain", "boostGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "asIsBsd": "This software is provided by the copyright holders and contributors \"as is\" without warranties", "lgplRedistribute": "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "agplRedistribute": "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "lgpl21Redistribute": "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License".replace(";", ","),
+    "lgpl3Redistribute": "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "agpl3Redistribute": "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "gpl2Redistribute": "modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
+    "gpl3Redistribute": "modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "eitherVersion2": "either version 2 of the License, or (at your option) any later version", "eitherVersion21": "either version 2.1 of the License", "eitherVersion3": "either version 3 of the License",
+    "gplHope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gplReceived": "You should have received a copy of the GNU General Public License along with this program", "gplSee": "If not, see <https://www.gnu.org/licenses/>",
     "gfdlGrant": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "oflGrant": "This Font Software is licensed under the SIL Open Font License",
 }
 NAMED = {
@@ -430,7 +437,7 @@ def test_wrapped_licences(spark):
     mark = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
     texts = {
         "MIT": [MIT, mark(MIT, " * ")], "Proprietary,BSD-2-Clause": [BSD, mark(BSD, "// ")], "Apache-2.0": [APACHE, mark(APACHE, "# "), "// SPDX-License-Identifier: Apache-2.0\nint x;", "/* spdx-license-identifier: apache-2.0 */"],
-        "GPL": [GPL, mark(GPL, "# ")], "GPL-2.0-only WITH Classpath-exception-2.0": ["# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n"], "MIT,CC-BY-SA": ["Released under the MIT license\nlicensed under Creative Commons Attribution\nShareAlike 4.0"],
+        "GPL-3.0": [GPL, mark(GPL, "# ")], "GPL-2.0-only WITH Classpath-exception-2.0": ["# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n"], "MIT,CC-BY-SA": ["Released under the MIT license\nlicensed under Creative Commons Attribution\nShareAlike 4.0"],
         "Apache-2.0,MIT": ["Copyright 2020 Foo\nLicensed under the Apache License,\nVersion 2.0\n\nfoo licence\n\nreleased under the mit license"],
     }
     rows = [(k, t) for k, v in texts.items() for t in v]
@@ -444,3 +451,32 @@ def test_many_lines_without_sentence_ends(spark):
     text = "\n".join(f"row {i} of a licence list" for i in range(3000)) + "\nReleased under the\nMIT license"
     r = license_scan.scan_licences(table(spark, [(1, text)], "doc_id long, text string")).first()
     assert r.licences == "MIT"
+
+
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+LGPL = """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+"""
+
+
+def test_what_a_sentence_says_of_a_licence(spark):
+    """Denials, prose on other software, names that are no licence, versions, and SPDX expressions."""
+    texts = [
+        ("", "This project is not licensed under the MIT license."), ("", "It was never released under the Apache License, Version 2.0."), ("", "The code isn't licensed under CC BY-SA 4.0."), ("", "No longer available under the terms of the Elastic License 2.0."),
+        ("", "Most React code is released under the MIT license, whereas ours is closed."), ("", "Some other packages are licensed under the BSD license."), ("", "Unlike Foo, which is licensed under the GNU General Public License, version 3, this costs money."),
+        ("", "The cc0 variable counts columns in the license table."), ("CC0", "CC0 1.0 Universal\n\nfoo"), ("CC0", "Waived under CC0."), ("CC0", "Released under the Creative Commons CC0 license"),
+        ("MIT", "This is licensed under the MIT license, not the GPL."), ("MIT", "Foo is not hard to use.\nFoo is released under the MIT license."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
+        ("GPL-3.0", GPL), ("GPL-2.0", GPL2), ("LGPL-3.0", LGPL), ("GPL", "You can redistribute it and/or modify it under the terms of the GNU General Public License."),
+        ("Apache-2.0,MIT", "// SPDX-License-Identifier: (Apache-2.0 AND MIT)\n"), ("GPL-2.0-only,MIT", "SPDX-License-Identifier: GPL-2.0-only OR MIT"), ("BSD-3-Clause,Apache-2.0,MIT", "# SPDX-License-Identifier: bsd-3-clause and (apache-2.0 or mit)"),
+    ]
+    got = license_scan.scan_licences(table(spark, texts, "want string, text string")).collect()
+    assert [(r.want, r.text, r.licences) for r in got if r.want != r.licences] == []

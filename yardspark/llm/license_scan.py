@@ -40,6 +40,17 @@ SENTENCES = [
     ("lgpl3", r"licensed under (the )?(terms of the )?gnu (lesser|library) general public license,? version 3"),
     ("gpl2", r"licensed under (the )?(terms of the )?gnu general public license,? version 2"),
     ("gpl3", r"licensed under (the )?(terms of the )?gnu general public license,? version 3"),
+    ("lgpl21Redistribute", r"modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation either version 2\.1 of the license"),
+    ("lgpl3Redistribute", r"modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl3Redistribute", r"modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl2Redistribute", r"modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl3Redistribute", r"modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("eitherVersion2", r"^either version 2 of the license"),
+    ("eitherVersion21", r"^either version 2\.1 of the license"),
+    ("eitherVersion3", r"^either version 3 of the license"),
+    ("gplHope", r"distributed in the hope that it will be useful but without any warranty"),
+    ("gplReceived", r"you should have received a copy of the gnu (lesser |library |affero )?general public license along with this"),
+    ("gplSee", r"^if not see (https? )?(www\.)?gnu\.org licenses"),
     ("gplRedistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gplWarranty", r"without even the implied warranty of merchantability or fitness"),
     ("iscGrant", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted"),
@@ -58,7 +69,7 @@ SENTENCES = [
     ("ccByNc", r"licensed under (a )?(cc by nc|creative commons attribution noncommercial)"),
     ("ccBySa", r"licensed under (a )?(cc by sa|creative commons attribution sharealike)"),
     ("ccBy", r"licensed under (a )?(cc by|creative commons attribution)"),
-    ("cc0", r"(\bcc0\b|dedicated to the public domain|released into the public domain)"),
+    ("cc0", r"(released|licensed|distributed|published|available|provided|covered|dedicated|waived) (under|by|to|via|with) (the )?(terms of )?(the )?(creative commons )?cc0\b|^(licen[sc]e |the )?(creative commons )?cc0( 1\.0)?( universal)?( licen[sc]e| public domain dedication)?$|dedicated to the public domain|released into the public domain"),
     ("mozilla2", r"subject to the terms of the mozilla public license,? (version |v )?2\.0"),
     ("allRights", r"^(copyright .*)?all rights reserved$"),
     ("copyright", r"^copyright (c )?[0-9]{4}"),
@@ -77,7 +88,21 @@ NAMES = {
 }
 #: The sentences that name a licence: under its terms, or its name alone as a heading.
 SENTENCES += [(f"is{spdx}", rf"(released|licensed|distributed|published|available|provided|covered|governed|subject) (under|by|to) (the )?(terms (and conditions )?of )?(the )?{name}|^(the )?{name}( version [0-9.]+)?$") for spdx, name in NAMES.items()]
+#: Identifiers of sentences that say under which licence something is, rather than being part of one.
+NAMING = ["apacheVer2", "mitName", "bsdName", "agpl3", "lgpl21", "lgpl3", "gpl2", "gpl3", "ccByNcNd", "ccByNcSa", "ccByNc", "ccBySa", "ccBy", "cc0", "mozilla2", *[f"is{spdx}" for spdx in NAMES]]
+_UNDER = "(released|licensed|distributed|published|available|provided|covered|governed|dedicated)"
+#: Sentences that name a licence to say that it does not hold, or that it holds for something else.
+DENIED = rf"\b(not|never|neither|nor|longer|cannot|isn t|aren t|wasn t|weren t)( [a-z0-9.]+)? {_UNDER}\b|\b(whereas|unlike|in contrast to|as opposed to)\b|\b(most|many|some|several|few|other)( [a-z0-9.]+)? [a-z0-9.]+ (is|are|was|were|has been|have been) {_UNDER}\b"
 #: Rules as a licence and the identifiers that stand next to each other, tried in this order.
+_GNU = [
+    (licence, [*head, *tail])
+    for tail in (["gplHope", "gplWarranty", "gplReceived", "gplSee"], ["gplHope", "gplWarranty", "gplReceived"], ["gplHope", "gplWarranty"], ["gplWarranty"], [])
+    for licence, head in (
+        ("LGPL-2.1", ["lgpl21Redistribute"]), ("LGPL-2.1", ["lgplRedistribute", "eitherVersion21"]), ("LGPL-3.0", ["lgpl3Redistribute"]), ("LGPL-3.0", ["lgplRedistribute", "eitherVersion3"]),
+        ("AGPL-3.0", ["agpl3Redistribute"]), ("AGPL-3.0", ["agplRedistribute", "eitherVersion3"]),
+        ("GPL-2.0", ["gpl2Redistribute"]), ("GPL-2.0", ["gplRedistribute", "eitherVersion2"]), ("GPL-3.0", ["gpl3Redistribute"]), ("GPL-3.0", ["gplRedistribute", "eitherVersion3"]),
+    )
+]
 RULES = [
     ("Apache-2.0", ["apacheVer2", "apacheMayNotUse", "apacheObtain", "asIsBasis", "seeLicense"]),
     ("Apache-2.0", ["apacheVer2", "apacheMayNotUse"]),
@@ -87,6 +112,7 @@ RULES = [
     ("BSD-2-Clause", ["bsdGrant", "bsdSource", "bsdBinary"]),
     ("ISC", ["iscGrant", "asIsIsc"]),
     ("Zlib", ["zlibAsIs", "zlibGrant"]),
+    *_GNU,
     ("LGPL", ["lgplRedistribute", "gplWarranty"]),
     ("AGPL", ["agplRedistribute", "gplWarranty"]),
     ("GPL-3.0", ["gpl3", "gplWarranty"]),
@@ -186,9 +212,11 @@ def sentence_ids(text: Column, known=None) -> Column:
 
 
 def sentence_id(sentence: Column, known=None) -> Column:
-    out = None
+    """The first known sentence that a normalised one is; one that names a licence counts unless it denies it."""
+    out, said = None, ~sentence.rlike(DENIED)
     for name, pattern in known or SENTENCES:
-        out = F.when(sentence.rlike(pattern), F.lit(name)) if out is None else out.when(sentence.rlike(pattern), F.lit(name))
+        fits = sentence.rlike(pattern) & said if name in NAMING else sentence.rlike(pattern)
+        out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
     return out
 
 
@@ -199,13 +227,19 @@ def apply_rules(sequence: Column, rules=None) -> Column:
     return sequence
 
 
-def spdx_licence(name: Column, rules=None) -> Column:
-    """`#licence` of an SPDX tag, written as the rules write it where they know it; other identifiers as they are."""
-    tag = F.substr(name, F.lit(6))
-    out = F.concat(F.lit("#"), tag)
-    for licence in dict.fromkeys(x for x, _ in rules or RULES):
-        out = F.when(F.lower(tag) == licence.lower(), F.lit(f"#{licence}")).otherwise(out)
-    return F.when(name.startswith("spdx="), out).otherwise(name)
+def spdx_licences(name: Column, rules=None) -> Column:
+    """`#a||#b` of an SPDX tag: the licences of its expression, each with its exception, written as the rules write them
+    where they know them; other identifiers as they are."""
+    bare = F.regexp_replace(F.substr(name, F.lit(6)), r"[()]", " ")
+    tags = F.filter(F.transform(F.split(bare, r"(?i)\s+(?:and|or)\s+"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def written(tag: Column) -> Column:
+        out = F.concat(F.lit("#"), tag)
+        for licence in dict.fromkeys(x for x, _ in rules or RULES):
+            out = F.when(F.lower(tag) == licence.lower(), F.lit(f"#{licence}")).otherwise(out)
+        return out
+
+    return F.when(name.startswith("spdx="), F.array_join(F.transform(tags, written), "||")).otherwise(name)
 
 
 def scan_licences(docs: DataFrame, text: str = "text", known=None, rules=None) -> DataFrame:
@@ -217,7 +251,7 @@ def scan_licences(docs: DataFrame, text: str = "text", known=None, rules=None) -
     docs = docs.drop("sentence_ids", "licences", "n_unmatched", "n_unknown", "_ids", "_seq")
     ids = sentence_ids(F.col(text), known)
     found = docs.withColumn("_ids", F.when(F.lower(text).rlike(CUES), ids).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_seq", apply_rules(F.concat_ws("", F.transform("_ids", lambda x: F.concat(F.lit("|"), spdx_licence(x, rules), F.lit("|")))), rules))
+    found = found.withColumn("_seq", apply_rules(F.concat_ws("", F.transform("_ids", lambda x: F.concat(F.lit("|"), spdx_licences(x, rules), F.lit("|")))), rules))
     parts = F.filter(F.split("_seq", r"\|"), lambda x: x != "")
     licences = F.array_join(F.transform(F.filter(parts, lambda x: x.startswith("#")), lambda x: F.substr(x, F.lit(2))), ",")
     return found.withColumns({

@@ -33,7 +33,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_sql() -> str:
     """The same sentences and rules as DuckDB expressions."""
-    cases = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{name}'" for name, p in license_scan.SENTENCES)
+    denied = f" AND NOT regexp_matches(s, '{license_scan.DENIED}')"
+    cases = " ".join(f"WHEN regexp_matches(s, '{p}'){denied if name in license_scan.NAMING else ''} THEN '{name}'" for name, p in license_scan.SENTENCES)
     seq = "coalesce(string_agg('|' || id || '|', '' ORDER BY pos), '')"
     for licence, ids in license_scan.RULES:
         seq = f"replace({seq}, '{''.join(f'|{x}|' for x in ids)}', '|#{licence}|')"

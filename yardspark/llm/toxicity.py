@@ -8,7 +8,8 @@ prior (the weighted share of label 1 among examples without features) votes with
 without evidence gets the prior as its score.
 
 A null or empty text, or one without a feature, gets the prior. Labels other than 0 and 1 and null ids are not learnt
-from. Ties go to the example with the smaller id. Rows are judged alone; repeated ids are kept.
+from. Ties go to the example with the smaller id. Rows are judged alone; repeated ids are kept. Ids may be of any type
+that can be ordered; of several texts under one labelled id the first in order of the texts is learnt from.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from yardspark.llm._words import pieces
 
@@ -58,7 +60,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 class Model:
     """Selected words with their weights, and the examples' block-max index."""
 
-    def __init__(self, examples: list[tuple[int, str, int]], weight: dict[int, float], features: int = FEATURES, k: int = NEIGHBOURS, prior: float = PRIOR):
+    def __init__(self, examples: list[tuple[int, str, int]], weight: dict[int, float], features: int = FEATURES, k: int = NEIGHBOURS, prior: float = PRIOR, kind: T.DataType | None = None):
+        self.kind = kind or T.LongType()
         self.k, self.smooth, self.weight = k, prior, weight
         self.examples = sorted(examples)
         self.label = np.array([e[2] for e in self.examples], np.int64)
@@ -148,7 +151,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of labels, with document frequencies over all of docs."""
     rows, weight = labelled(docs, labels, sample)
-    model = Model([(r[0], r[1] or "", r[2]) for r in rows.dropDuplicates(["doc_id", "label"]).toLocalIterator()], weight)
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # the same again when a task is run anew
+    model = Model([(r["doc_id"], r["text"] or "", r["label"]) for r in rows.toLocalIterator()], weight, kind=docs.schema["doc_id"].dataType)
     sent = docs.sparkSession.sparkContext.broadcast(model.number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +172,13 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     """docs with score (0 to 1), predicted (1 from 0.5) and evidence (ids of up to three nearest examples)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted", "evidence")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
-    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(model.kind))])
+    at, kind = docs.columns.index(text), pa.list_(to_arrow_type(model.kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in pieces(batches):
             said = [judge.score(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in said], pa.float64()), pa.array([int(s >= 0.5) for s, _ in said], pa.int32()), pa.array([e for _, e in said], pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in said], pa.float64()), pa.array([int(s >= 0.5) for s, _ in said], pa.int32()), pa.array([e for _, e in said], kind)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
