@@ -97,6 +97,11 @@ def test_list_pairs_finds_every_link_of_a_list(spark):
     one, three = ({tuple(r) for r in jaccard_join.list_pairs(df.filter(F.col("part") == p), 1, 2).collect()} for p in (1, 3))
     want = {(i, j) for i in range(30) for j in range(i + 1, 30) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
     assert one == three and want <= one
+    # one pair of each two components, of those that may be linked
+    grouped = df.filter("part = 1").withColumn("comp", F.col("rep") % 4)
+    likely = {tuple(r) for r in jaccard_join.list_pairs(grouped, 1, 2, one=True).collect()}
+    every = {tuple(r) for r in jaccard_join.list_pairs(grouped, 1, 2).collect()}
+    assert likely <= every and sorted({tuple(sorted((a % 4, b % 4))) for a, b in every}) == sorted(tuple(sorted((a % 4, b % 4))) for a, b in likely)
 
 
 def smith_waterman(a, b):

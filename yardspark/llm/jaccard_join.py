@@ -6,7 +6,8 @@ sets save work in two ways:
 
 * Answers are derived from a similar set's. Equal sets are one class. Every list first proposes its members to two
   leaders; a member that is linked with a leader takes over the leader's component, and two sets that are in one
-  component already are not compared any more. A group of near copies thus costs two comparisons for each member and list at most.
+  component already are not compared any more. Then, for each two components that still meet in a list, a task compares the
+  likeliest pair of their sets, and only lists in which components are left are searched for all pairs.
 * Index lists are skipped by blocks. Lists whose sets are all in one component are dropped by an aggregate. In the
   others, blocks of sets are skipped by size and by position: a block whose sets stand too far down the list's order
   to reach the needed overlap is not opened.
@@ -149,17 +150,19 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.filter(den * shared >= num * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
 
 
-def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
+def list_pairs(rows: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
     """Pairs (a, b) of one list in different components that sizes, positions and bitmaps allow.
 
-    rows: tok, part (number of chunks of the list), rep, n, pos, comp, bits. Every pair of chunks is a group.
+    rows: tok, part (number of chunks of the list), rep, n, pos, comp, bits. Every pair of chunks is a group. one: of
+    two components a task gives the likeliest pair of the first blocks that have any, instead of all.
     """
     mine = F.pmod(F.xxhash64("rep"), F.col("part"))
     rows = rows.withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("part") - 1)))
     rows = rows.select("tok", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "n", "pos", "comp", "bits")
     dealt = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
 
-    def pairs_of(g: list[np.ndarray], bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(g: list[np.ndarray], bits: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(a, b, the one's component, the other's, how far apart their bitmaps are for their sizes) of each two blocks."""
         i, j, c, rep, n, pos, comp = g
         order = np.lexsort((rep, pos, n))
         c, rep, n, pos, comp = (x[order] for x in (c, rep, n, pos, comp))
@@ -187,7 +190,7 @@ def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataF
                 if not len(p):
                     continue
                 p, q = p + early.start, q + later.start
-                keep = np.empty(len(p), bool)
+                keep, far = np.empty(len(p), bool), np.empty(len(p))
                 widths = np.array([min(len(bits[u]), len(bits[v])) // 8 for u, v in zip(p, q, strict=True)])
                 for w in np.unique(widths):
                     at = np.flatnonzero(widths == w)
@@ -195,19 +198,28 @@ def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataF
                     table = np.concatenate([fold(np.frombuffer(bits[u], np.uint64)[None], w) for u in used])
                     apart = np.bitwise_count(table[np.searchsorted(used, p[at])] ^ table[np.searchsorted(used, q[at])]).sum(1)
                     keep[at] = apart <= most_apart(n[p[at]] + n[q[at]], num, den)
+                    far[at] = apart / (n[p[at]] + n[q[at]])
                 if keep.any():
-                    yield np.minimum(rep[p[keep]], rep[q[keep]]), np.maximum(rep[p[keep]], rep[q[keep]])
+                    p, q, far = p[keep], q[keep], far[keep]
+                    yield np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q]), np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q]), far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         seen: set[tuple[int, int]] = set()
 
-        def unseen(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        def unseen(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> list[tuple[int, int]]:
             """The pairs that this task has not given lately: near copies meet in many lists."""
-            new = set(zip(a.tolist(), b.tolist(), strict=True)) - seen
             if len(seen) > SEEN:
                 seen.clear()
-            seen.update(new)
+            if one:
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for i in np.argsort(far, kind="stable").tolist():
+                    best.setdefault((int(x[i]), int(y[i])), (int(a[i]), int(b[i])))
+                new = {pair for both, pair in best.items() if both not in seen}
+                seen.update(best)
+            else:
+                new = set(zip(a.tolist(), b.tolist(), strict=True)) - seen
+                seen.update(new)
             return sorted(new)
 
         def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
@@ -219,8 +231,8 @@ def list_pairs(rows: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataF
             bits = table.column("bits").to_pylist()
             for s, e in zip(key, ends, strict=True):
                 if e - s > 1 and (last or e < table.num_rows):
-                    for a, b in pairs_of([x[s:e] for x in columns[1:]], bits[s:e]):
-                        if new := unseen(a, b):
+                    for found in pairs_of([x[s:e] for x in columns[1:]], bits[s:e]):
+                        if new := unseen(*found):
                             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -257,15 +269,23 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stage.drop("led_sets")
     first = stage.put(components(links, stage, "first"), "first")
 
-    rows = shared.drop("lead", "last").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter(F.col("x") < F.col("y"))
-    open_rows = rows.join(mixed.select("tok", F.ceil(F.col("m") / CHUNK).alias("part")), "tok").join(sketches.drop("n"), "rep")
-    pairs = stage.put(list_pairs(open_rows, num, den), "pairs")
-    rest_sets = stage.put(full_sets(docs, _ends(pairs), k, doc_id, text), "rest_sets")
-    more = stage.put(verified(pairs, rest_sets, num, den), "links")
-    stage.drop("rest_sets", "shared")
-
-    # a link between two classes joins what the leaders have joined already
+    def compared(known: DataFrame, one: bool, name: str) -> DataFrame:
+        """The links among pairs of the lists in which two of the known components still meet."""
+        rows = shared.drop("lead", "last").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter(F.col("x") < F.col("y"))
+        open_rows = rows.join(mixed.select("tok", F.ceil(F.col("m") / CHUNK).alias("part")), "tok").join(sketches.drop("n"), "rep")
+        pairs = stage.put(list_pairs(open_rows, num, den, one), f"{name}_pairs")
+        rest_sets = stage.put(full_sets(docs, _ends(pairs), k, doc_id, text), f"{name}_sets")
+        found = stage.put(verified(pairs, rest_sets, num, den), f"{name}_links")
+        stage.drop(f"{name}_sets", f"{name}_pairs")
+        return found
+
+    links = links.unionByName(compared(first, True, "likely"))
+    second = stage.put(components(links, stage, "second"), "second")
+    more = compared(second, False, "rest")
+    stage.drop("shared")
+
+    # a link between two components joins what is joined already
     whole = stage.put(components(links.unionByName(more), stage, "whole"), "whole")
     named = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h", "g", F.coalesce("comp", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "h", "g").join(named, ["n", "h", "g"], "left")
