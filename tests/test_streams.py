@@ -140,6 +140,16 @@ def test_stream_tracks_equal_batch_linking(spark, tmp_path):
     assert max(size) > 0 and size[-1] == 0
 
 
+def test_the_stream_query_of_tracks_equals_the_batch_operator(spark):
+    from yardspark.operators.tracking import link_detections
+    from yardspark.plans.streams import QUERIES
+    from yardspark.plans.views import view
+
+    b = view(spark, DATA, "boxes").select((F.col("frame") % 40).alias("video"), F.floor(F.col("frame") / 40).alias("frame"), (F.col("box_id") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("box_id"), "x1", "y1", "x2", "y2", (0.2 + F.col("conf") * 0.8).alias("conf"))
+    rows = lambda df: sorted(tuple(map(int, r)) for r in df.select("video", "frame", "box_id", "track_id").collect())
+    assert rows(QUERIES["stream_tracks"][0](spark, DATA)) == rows(link_detections(b))
+
+
 def test_rollup_drops_late_rows(spark, arriving, tmp_path):
     """Rows up to three hours late are counted, later ones are not, and windows leave the state."""
     hours = lambda h: at(3600 * h)

@@ -26,18 +26,22 @@ _ARRIVAL = f"cast({_PART} + case when id % 17 = 0 then 1 when id % 53 = 0 and {_
 _FILE_ROWS = 1_000_000
 
 
-def _arriving(s, d, clock=False):
-    """The scans as a stream of several batches, out of order over their borders; with a clock's row at the end."""
-    rows = view(s, d, "scans").withColumns({"ts": F.col("created_on").cast("timestamp"), "batch": F.expr(_ARRIVAL.replace("{day}", "dayofmonth"))})
+def _batched(s, rows, clock=False):
+    """rows (ts, batch and others) as a stream of their batches, with a clock's row long after them at the end."""
     root, parts = shared_folder(s, "arriving"), sorted(rows.groupBy("batch").count().collect())
-    files = 1 + max(r["count"] for r in parts) // _FILE_ROWS
-    rows = rows.repartition(files, "batch", "id") if files > 1 else rows
+    files = 1 + max((r["count"] for r in parts), default=0) // _FILE_ROWS
+    held = rows.drop("batch")
     for r in parts:
-        rows.filter(F.col("batch") == r["batch"]).drop("batch").repartition(files).write.parquet(f"{root}/batch={r['batch']}")
+        rows.filter(F.col("batch") == r["batch"]).drop("batch").repartition(files).write.parquet(f"{root}/batch={r['batch']:06d}")
     if clock:
-        rows.agg(F.max("ts").alias("m")).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.drop("batch", "ts").schema.fields], (F.col("m") + F.expr("interval 400 days")).alias("ts")).write.parquet(f"{root}/batch=999")
-    schema = s.read.parquet(f"{root}/batch={parts[0]['batch']}").schema
-    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/*")
+        late = held.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+        late.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields]).write.parquet(f"{root}/batch=999999")
+    return s.readStream.schema(held.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/*")
+
+
+def _arriving(s, d, clock=False):
+    """The scans as a stream of several batches, out of order over their borders; with a clock's row at the end."""
+    return _batched(s, view(s, d, "scans").withColumns({"ts": F.col("created_on").cast("timestamp"), "batch": F.expr(_ARRIVAL.replace("{day}", "dayofmonth"))}), clock)
 
 
 def _arrived(late, when):
@@ -151,9 +155,11 @@ def _link(s, d):
 
 
 def _tracks(s, d):
-    rows = derive(T.read_table(s, d, "lineitem"), "boxes")
+    """Every box of the lines as a detection, 25 frames a second, in batches of 400 frames."""
+    rows = view(s, d, "boxes")
     rows = rows.select((F.col("frame") % 40).alias("video"), F.floor(F.col("frame") / 40).alias("frame"), (F.col("box_id") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("box_id"), "x1", "y1", "x2", "y2", (0.2 + F.col("conf") * 0.8).alias("conf"))
-    return T.run_available(T.tracks(rows.withColumn("ts", F.timestamp_millis(1000 + F.col("frame") * 40))))
+    rows = rows.withColumns({"ts": F.timestamp_millis(1000 + F.col("frame") * 40), "batch": F.floor(F.col("frame") / 400)})
+    return T.run_available(T.tracks(_batched(s, rows, clock=True)))
 
 
 def _cache(s, d):
