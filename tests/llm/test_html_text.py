@@ -77,6 +77,7 @@ def test_parts_that_markup_names():
     assert one('<body><div class="menu">M</div><div itemprop="articleBody">In <i>it</i>.</div><div>Out</div>') == "In it."
     assert one('<form><div class="sidebar"><article><p>All in a form</article></div></form>') == "All in a form"
     assert one('<div class="banner"><p>Nothing but this</div>') == "Nothing but this"
+    assert one('<div class="side-bar">S</div><div id="topBar">T</div><ins class="adsbygoogle">A</ins><p class="lead ad-free">Text<div class="reader_comments">C</div>') == "Text"
     assert one("<body><p>Loose<p hidden>no<p style='display: none'>no<p>end") == "Loose end"
 
 

@@ -65,7 +65,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice"
     " notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist respond responses reply replies discussion"
-    " disqus sidebar sidebars widget widgets rail related recommended recommendations breadcrumb breadcrumbs pagination pager nav navbar navigation menu menus footer toolbar paywall".split()
+    " adsbygoogle aside disqus sidebar sidebars widget widgets rail related recommended recommendations breadcrumb breadcrumbs pagination pager nav navbar navigation menu menus footer toolbar paywall".split()
 )
 _OUTER_MARKS = frozenset("header masthead topbar skip logo branding search copyright".split())
 #: Words that rule out also what holds articles: theirs are not the page's.
@@ -104,7 +104,9 @@ class Element:
         tag, words = self.tag, set()
         for name in self.name.split():
             said = [w.lower() for w in _NAME_WORDS(name)]
-            words.update(w for w, before in zip(said, ["", *said], strict=False) if before not in _ABOUT)
+            for before, w, after in zip(["", *said], said, [*said[1:], ""], strict=False):
+                if before not in _ABOUT and after != "free":
+                    words.update((w, before + w))  # side-bar is a sidebar
         role = attributes.get("role", "").lower()
         self.body = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody" or not _BODIES.isdisjoint(self.name.lower().split())
         if tag in ("html", "body", "main"):
