@@ -11,6 +11,8 @@ from yardspark.sources.folders import shared_folder
 
 #: Lists up to so many rows are folded in each row from one broadcast row; larger ones are searched by cells.
 BROADCAST_ROWS = 20_000
+#: Rows of a list that is folded in one row, about.
+LIST_ROWS = 4096
 #: Half the way around the sphere in feet, rounded up.
 _HALF_WAY = 66_000_000.0
 #: Feet in a degree of latitude, rounded down so that a cell is never smaller than the limit.
@@ -298,13 +300,19 @@ def closest_projected_spot(points: DataFrame, coords: DataFrame, h: list[list[fl
     """points with the nearest spot among pixels projected by a homography, where nearer than the limit (strictly).
 
     Spots stand in the cells around their own; cells are as wide as the limit, so one equi-join finds all that count.
+    Each place is measured once, however many points stand on it, against the lists of its cell, which are cut into parts
+    of a bounded length.
     """
     x, y = homography(F.col("px"), F.col("py"), h)
     near_by = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     cell = lambda c: F.floor(F.col(c) / limit)
-    held = coords.select("ord", "name", x.alias("sx"), y.alias("sy")).filter("sx is not null and sy is not null").withColumn("o", F.explode(near_by))
-    held = held.select("ord", "name", "sx", "sy", (cell("sx") + F.col("o.i")).alias("_x"), (cell("sy") + F.col("o.j")).alias("_y"))
-    held = held.groupBy("_x", "_y").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_near"))
+    spots = written(coords.select("ord", "name", x.alias("sx"), y.alias("sy")).filter("sx is not null and sy is not null"))
+    parts = 1 + spots.count() // LIST_ROWS
+    held = spots.withColumns({"o": F.explode(near_by), "_part": F.pmod(F.hash("ord", "name"), F.lit(parts))})
+    held = held.select("ord", "name", "sx", "sy", "_part", (cell("sx") + F.col("o.i")).alias("_x"), (cell("sy") + F.col("o.j")).alias("_y"))
+    held = held.groupBy("_x", "_y", "_part").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "sx", "sy"))).alias("_near"))
     measured = F.transform("_near", lambda s: F.struct(F.sqrt(F.pow(F.col("x") - s["sx"], 2) + F.pow(F.col("y") - s["sy"], 2)).alias("d"), s["ord"].alias("ord"), s["name"].alias("name")))
-    best = points.withColumns({"_x": cell("x"), "_y": cell("y")}).join(held, ["_x", "_y"]).withColumn("_b", F.array_min(measured)).filter(F.col("_b.d") < limit)
-    return best.select(*points.columns, F.col("_b.name").alias("spot"), F.col("_b.d").alias("distance"))
+    places = points.select("x", "y").distinct().withColumns({"_x": cell("x"), "_y": cell("y")})
+    found = places.join(held, ["_x", "_y"]).select("x", "y", F.array_min(measured).alias("_b"))
+    best = found.groupBy("x", "y").agg(F.min("_b").alias("_b")).filter(F.col("_b.d") < limit)
+    return points.join(best, ["x", "y"]).select(*points.columns, F.col("_b.name").alias("spot"), F.col("_b.d").alias("distance"))

@@ -220,11 +220,22 @@ def video_events(events: DataFrame, video: str = "camera_id", top: int = 100) ->
     return newest.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def _with_context(rows: DataFrame, seconds: int) -> DataFrame:
-    """rows in buckets as wide as a window, each also as context (`_own` false) of the next bucket: a window of that width
-    within a bucket then sees all its rows, and no key's whole history meets in one task."""
+def _within(rows: DataFrame, key: str, seconds: int, value: Column, name: str) -> DataFrame:
+    """rows with `name`: the sum of the value over the key's rows of the last `seconds` seconds, both ends included.
+
+    Rows stand in buckets as wide as the window, each also as context (`_own` false) of the next bucket, so no key's whole
+    history meets in one task. A window is the start of its own bucket, a sum from the bucket's first row on, and the end
+    of the one before, a sum from that bucket's last row back; so no row is added anew for each window that holds it.
+    """
     b = F.floor(F.col("ts_s") / seconds)
-    return rows.withColumn("_in", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own"))))).withColumns({"_b": F.col("_in.b"), "_own": F.col("_in.own")}).drop("_in")
+    both = rows.withColumn("_in", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))))
+    both = both.withColumn("_from", F.when(F.col("_in.own"), F.col("ts_s") - seconds).otherwise(F.col("ts_s")))
+    group = Window.partitionBy(key, "_in.b")
+    first, here = Window.unboundedPreceding, Window.currentRow
+    own = F.sum(F.when(F.col("_in.own"), value)).over(group.orderBy("ts_s").rangeBetween(first, here))
+    before = F.sum(F.when(~F.col("_in.own"), value)).over(group.orderBy(F.col("_from").desc()).rangeBetween(first, here))
+    zero = F.lit(0).cast("double" if name == "rate" else "long")
+    return both.withColumns({"_o": own, "_c": before}).filter("_in.own").withColumn(name, F.coalesce("_o", zero) + F.coalesce("_c", zero)).drop("_in", "_from", "_o", "_c")
 
 
 def counter_rate(metrics: DataFrame, seconds: int = 300) -> DataFrame:
@@ -237,9 +248,8 @@ def counter_rate(metrics: DataFrame, seconds: int = 300) -> DataFrame:
     rows = rows.unionByName(ends.withColumns(carried).drop("_prev", "_next"), allowMissingColumns=True)
     before = F.lag("value").over(Window.partitionBy("camera_id", "_b").orderBy("ts_s", "value"))
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    rows = _with_context(rows.withColumn("_up", step).filter("_own").drop("_b", "_own"), seconds)
-    span = Window.partitionBy("camera_id", "_b").orderBy("ts_s").rangeBetween(-seconds, 0)
-    return rows.withColumn("rate", F.sum("_up").over(span) / seconds).filter("_own").drop("_up", "_b", "_own")
+    rows = rows.withColumn("_up", step).filter("_own").drop("_b", "_own")
+    return _within(rows, "camera_id", seconds, F.col("_up"), "rate").withColumn("rate", F.col("rate") / seconds).drop("_up")
 
 
 #: Values that are folded in one row.
@@ -266,6 +276,5 @@ def ema(metrics: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 def observation_count(observations: DataFrame, cutoff_s: int, least: int) -> DataFrame:
     """observations (tag, ts_s, id) with how many the tag had in the window up to each, and whether the location moves."""
-    w = Window.partitionBy("tag", "_b").orderBy("ts_s").rangeBetween(-cutoff_s, 0)
-    rows = _with_context(observations, cutoff_s).withColumn("n", F.count("*").over(w)).filter("_own").drop("_b", "_own")
+    rows = _within(observations, "tag", cutoff_s, F.lit(1), "n")
     return rows.withColumn("moves", F.col("n") >= least)

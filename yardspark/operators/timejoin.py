@@ -10,18 +10,27 @@ def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def gps_at(frames: DataFrame, fixes: DataFrame, tolerance_s: float = 0.2, key: str = "device") -> DataFrame:
+def gps_at(frames: DataFrame, fixes: DataFrame, tolerance_s: float = 0.2, key: str = "device", bucket_s: int = 3600) -> DataFrame:
     """frames with the latest fix within the tolerance (inclusive), null where there is none.
 
-    Both sides meet in buckets as wide as the tolerance: a frame looks in its own bucket and both neighbours, so the
-    join is an equi-join that any number of executors share. A chosen fix without position gives no position.
+    A frame stands at the end of its tolerance, where the last fix before it is the one, if it is not too old. Sorting
+    each key's bucket of time finds it, without pairs; the last fix of the buckets before stands in a bucket as a row of
+    its own. A chosen fix without position gives no position.
     """
     width = int(tolerance_s * 1_000_000)
-    left = frames.withColumns({"_t": _micros("ts"), "_b": F.explode(F.sequence(F.floor(_micros("ts") / width) - 1, F.floor(_micros("ts") / width) + 1))})
-    right = fixes.select(F.col(key), F.col("event_id").alias("fix_id"), _micros("ts").alias("_f"), "lat", "lon").withColumn("_b", F.floor(F.col("_f") / width))
-    near = left.join(right, [key, "_b"]).filter(F.abs(F.col("_t") - F.col("_f")) <= width)
-    best = near.groupBy("event_id").agg(F.max_by(F.struct("fix_id", "lat", "lon"), F.struct("_f", "fix_id")).alias("g"))
-    return frames.join(best, "event_id", "left").select(*frames.columns, "g.fix_id", "g.lat", "g.lon")
+    kinds = {c: fixes.schema[c].dataType.simpleString() for c in ("event_id", "lat", "lon")}
+    kind = f"struct<t:bigint,fix_id:{kinds['event_id']},lat:{kinds['lat']},lon:{kinds['lon']}>"
+    known = fixes.filter(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    fix = F.struct(_micros("ts").alias("t"), F.col("event_id").alias("fix_id"), "lat", "lon").cast(kind)
+    none = F.lit(None).cast(frames.select(F.struct(*frames.columns).alias("s")).schema["s"].dataType)
+    both = frames.select(key, F.struct(*frames.columns).alias("_row"), (_micros("ts") + width).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kind).alias("_f"))
+    both = both.unionByName(known.select(key, none.alias("_row"), _micros("ts").alias("_t"), F.lit(0).alias("_k"), fix.alias("_f"))).withColumn("_b", F.floor(F.col("_t") / (bucket_s * 1_000_000)))
+    ends = bucket_ends(both, key, "_b", F.col("_f"), F.col("_f"), kind).filter("_prev is not null")
+    both = both.unionByName(ends.select(key, none.alias("_row"), F.col("_prev.t").alias("_t"), F.lit(0).alias("_k"), F.col("_prev").alias("_f"), "_b"))
+    before = F.last("_f", ignorenulls=True).over(Window.partitionBy(key, "_b").orderBy("_t", "_k", "_f.fix_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_p", before).filter("_k = 1")
+    rows = rows.withColumn("_p", F.when(F.col("_t") - F.col("_p.t") <= 2 * width, F.col("_p")))
+    return rows.select("_row.*", "_p.fix_id", "_p.lat", "_p.lon")
 
 
 def bucket_ends(rows: DataFrame, key: str, bucket: str, low: Column, high: Column, kind: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Keyed state in order of event time.
 
-Rows wait in a key's state until the watermark is past them; then a step function sees them in order, whatever the
+Rows wait in state until the watermark is past them; then a step function sees those of a key in order, whatever the
 order and the batches in which they came. State lasts until a time that the step names: an event-time timer then ends
 it or turns it into another one, so that what a stream keeps does not grow with its history. A row whose time the
 watermark has passed when its batch begins is late and left out. The watermark begins at 1970, so times are later.
+
+Keys are dealt over a fixed number of groups, and a group has one timer. Waiting rows stand in state as one block of
+columns for each batch that brought some, so a batch costs a few calls of the state for each group that it touches, and
+not some for each row, key and timer.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,77 +32,128 @@ def _forget(key: tuple, state: tuple, at: int) -> Outcome:
     return None, [], None
 
 
+#: Groups over which the keys are dealt; each holds the rows and the states of its keys.
+GROUPS = 256
+_GROUP = "key_group"
+#: Rows of a block of waiting rows.
+_BLOCK = 200_000
+
+
 class InOrder(StatefulProcessor):
     """step(key, state, t, rows) sees all rows of one time; expire(key, state, until) what is left when its time is over."""
 
-    def __init__(self, columns: list[str], waiting: T.StructType, state: str, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome]):
-        self.columns, self.kinds, self.state, self.out, self.step, self.expire = columns, waiting, state, out, step, expire
+    def __init__(self, keys: list[str], columns: list[str], held: T.StructType, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome]):
+        self.keys, self.columns, self.kinds, self.out, self.step, self.expire = keys, columns, held, out, step, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
-        self.held = handle.getValueState("held", f"until long, {self.state}")
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.held = handle.getListState("held", self.kinds)
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
-        for part in rows:
-            held = [r for r in zip(*(_plain(part[c]) for c in self.columns), strict=True) if r[0] > passed]
-            for r in held:
-                self.waiting.appendValue(r)
-            first = min([r[0] for r in held] + ([] if first is None else [first]), default=first)
-        if first is not None:
-            self._wake(first)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        parts = [p.loc[p["event_us"] > passed, [*self.keys, *self.columns]] for p in rows]
+        new = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        if len(new):
+            self.waiting.appendList(_blocks(new))
+            self._wake(int(new["event_us"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(map(tuple, self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
-        due = [r for r in waiting if r[0] <= passed]
-        state, until = None, None
+        self.timer.clear()
+        blocks = [pa.ipc.open_stream(b).read_pandas() for (b,) in self.waiting.get()] if self.waiting.exists() else []
+        waiting = pd.concat(blocks, ignore_index=True) if blocks else None
+        states = {}
         if self.held.exists():
-            until, *rest = self.held.get()
-            state = tuple(rest)
+            n = len(self.keys)
+            states = {tuple(r[:n]): (r[n], tuple(r[n + 1 :])) for r in self.held.get()}
         out: list[tuple] = []
-        for t, rows in groupby(due, key=lambda r: r[0]):
-            while state is not None and until is not None and until < t:
-                state, more, until = self.expire(key, state, until)
-                out += more
-            state, more, until = self.step(key, state, t, [r[1:] for r in rows])
-            out += more
-        while state is not None and until is not None and until <= passed:
-            state, more, until = self.expire(key, state, until)
-            out += more
-        if len(due) < len(waiting):
-            self.waiting.put(waiting[len(due) :])
-            self._wake(waiting[len(due)][0])
-        elif waiting:
-            self.waiting.clear()
-        if state is None:
+        later = []
+        if waiting is not None:
+            due = waiting["event_us"] <= passed
+            rest = waiting[~due]
+            self._run(waiting[due], states, out)
+            if not len(rest):
+                self.waiting.clear()
+            else:
+                later.append(int(rest["event_us"].min()))
+                if len(rest) < len(waiting) or len(blocks) > 1:
+                    self.waiting.put(_blocks(rest))
+        for k, (until, state) in list(states.items()):
+            while state is not None and until is not None and until <= passed:
+                state, more, until = self.expire(k, state, until)
+                out += [(*k, *r) for r in more]
+            if state is None:
+                del states[k]
+            else:
+                states[k] = (until, state)
+                if until is not None:
+                    later.append(until)
+        if states:
+            self.held.put([(*k, until, *state) for k, (until, state) in states.items()])
+        elif self.held.exists():
             self.held.clear()
-        else:
-            self.held.update((until, *state))
-            if until is not None:
-                self._wake(until)
+        if later:
+            self._wake(min(later))
         if out:
-            yield self._frame(key, out)
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
+    def _run(self, due: pd.DataFrame, states: dict, out: list[tuple]) -> None:
+        """The steps of the rows that are due, key by key in order of time."""
+        due = due.sort_values([*self.keys, *self.columns[:2]], kind="stable")
+        keys = list(zip(*(_plain(due[c]) for c in self.keys), strict=True))
+        times, rows = due["event_us"].tolist(), list(zip(*(_plain(due[c]) for c in self.columns[1:]), strict=True))
+        i = 0
+        while i < len(times):
+            key, t, j = keys[i], times[i], i + 1
+            while j < len(times) and times[j] == t and keys[j] == key:
+                j += 1
+            until, state = states.get(key, (None, None))
+            while state is not None and until is not None and until < t:
+                state, more, until = self.expire(key, state, until)
+                out += [(*key, *r) for r in more]
+            state, more, until = self.step(key, state, t, rows[i:j])
+            out += [(*key, *r) for r in more]
+            states[key] = (until, state)
+            i = j
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([(*key, *r) for r in rows], columns=self.out.names, dtype=object)
+    def _wake(self, at: int) -> None:
+        """The group's timer: the earliest time that was asked for."""
+        at, old = -(-at // 1000), self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and old <= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.out.names, dtype=object)
         for f in self.out.fields:
             if isinstance(f.dataType, T.TimestampType):
                 frame[f.name] = pd.to_datetime(frame[f.name].astype("int64"), unit="us", utc=True)
         return frame
 
 
+def _blocks(rows: pd.DataFrame) -> list[tuple]:
+    """The rows as Arrow streams."""
+    out = []
+    for start in range(0, len(rows), _BLOCK):
+        batch, sink = pa.RecordBatch.from_pandas(rows.iloc[start : start + _BLOCK], preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
 def _plain(column: pd.Series) -> list:
     """Python values, None for what is missing."""
-    return column.astype(object).where(column.notna(), None).tolist()
+    return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
 
 
 def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str], state: str, out: str, step: Callable[..., Outcome], expire: Callable[..., Outcome] = _forget, late: str = "1 minute", stamp: str = "ts", only: Column | None = None) -> DataFrame:
@@ -113,7 +169,9 @@ def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str],
     sound = [F.col(c).isNotNull() for c in (stamp, *keys)] + ([F.coalesce(only, F.lit(False))] if only is not None else [])
     rows = rows.filter(F.array_min(F.array(*sound)))
     rows = rows.select(*keys, stamp, F.unix_micros(stamp).alias("event_us"), order, *fields)
-    kinds = T.StructType([T.StructField("t", T.LongType()), *[T.StructField(c, rows.schema[c].dataType) for c in (order, *fields)]])
-    schema = T.StructType([*[rows.schema[k] for k in keys], *T._parse_datatype_string(out).fields])
-    worker = InOrder(["event_us", order, *fields], kinds, state, schema, step, expire)
-    return rows.groupBy(*keys).transformWithStateInPandas(worker, schema, "append", "EventTime")
+    rows = rows.withColumn(_GROUP, F.pmod(F.hash(*keys), F.lit(GROUPS)))
+    own = [rows.schema[k] for k in keys]
+    held = T.StructType([*own, T.StructField("until", T.LongType()), *T._parse_datatype_string(state).fields])
+    schema = T.StructType([*own, *T._parse_datatype_string(out).fields])
+    worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire)
+    return rows.groupBy(_GROUP).transformWithStateInPandas(worker, schema, "append", "EventTime")

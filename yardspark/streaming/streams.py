@@ -172,19 +172,20 @@ def observations(events: DataFrame, cutoff_s: int, least: int, keep_s: int = 86_
     """(tag, at, n): the moment (in seconds) when `least` observations of a tag lie within the cutoff; then the tag is
     ignored for `keep_s` seconds and forgotten.
 
-    State holds the times within the cutoff, or the mark of a reported tag, and goes when its time is over.
+    State holds the times within the cutoff, or the mark of a reported tag, and goes when its time is over. Times are
+    whole seconds: the last second that counts as within a span lasts to its end.
     """
 
     def on(key, state, t: int, rows: list[tuple]):
         times, reported = state or ([], 0)
         times, s = list(times), t // 1_000_000
         if reported:
-            return state, [], reported * 1_000_000 + keep_s * 1_000_000
+            return state, [], (reported + keep_s + 1) * 1_000_000 - 1
         times = [x for x in times if x >= s - cutoff_s]
         for _ in rows:
             times.append(s)
             if len(times) >= least:
-                return ([], s), [(s, len(times))], (s + keep_s) * 1_000_000
+                return ([], s), [(s, len(times))], (s + keep_s + 1) * 1_000_000 - 1
         return (times, 0), [], (s + cutoff_s + 1) * 1_000_000
 
     return in_order(events, [tag], order, [], "times array<long>, reported long", "at long, n long", on, late=late)
