@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,11 +27,44 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inner / np.maximum(size(a)[:, None] + size(b)[None, :] - inner, 1e-9)
 
 
+#: Pairs of tracks and boxes from which arrays measure them faster than numbers one by one.
+ARRAY_PAIRS = 400
+
+
+def measured(tracks: list[list], number: int, boxes: list[list[float]]) -> tuple[list[list[float]], list[list[float]]]:
+    """Overlap and distance (in the track's diagonals) of each track, moved on to the frame, with each box."""
+    if len(tracks) * len(boxes) > ARRAY_PAIRS:
+        t, box = np.array(tracks, float), np.array(boxes, float)
+        old = t[:, 2:6] + t[:, [6, 7, 6, 7]] * (number - t[:, 1])[:, None]
+        centre = lambda x: (x[:, :2] + x[:, 2:]) / 2
+        apart = np.sqrt(((centre(old)[:, None] - centre(box)[None]) ** 2).sum(2)) / np.maximum(np.sqrt(((old[:, 2:] - old[:, :2]) ** 2).sum(1))[:, None], 1e-9)
+        return _iou(old, box).tolist(), apart.tolist()
+    over, apart = [], []
+    known = [(x1, y1, x2, y2, (x2 - x1) * (y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2) for x1, y1, x2, y2 in boxes]
+    for _, at, l, u, r, d, vx, vy in tracks:
+        gap = number - at
+        l, u, r, d = l + vx * gap, u + vy * gap, r + vx * gap, d + vy * gap
+        w, h = r - l, d - u
+        size, long, cx, cy = w * h, sqrt(w * w + h * h), (l + r) / 2, (u + d) / 2
+        long = 1e-9 if long < 1e-9 else long
+        o, far = [], []
+        for x1, y1, x2, y2, other, bx, by in known:
+            iw, ih = (r if r < x2 else x2) - (l if l > x1 else x1), (d if d < y2 else y2) - (u if u > y1 else y1)
+            inner = iw * ih if iw > 0 and ih > 0 else 0.0
+            both = size + other - inner
+            o.append(inner / (1e-9 if both < 1e-9 else both))
+            far.append(sqrt((cx - bx) * (cx - bx) + (cy - by) * (cy - by)) / long)
+        over.append(o)
+        apart.append(far)
+    return over, apart
+
+
 class Linker:
     """Active tracks of one video: each frame's detections go to tracks at most once each, the best pairs first.
 
     A track's box moves on with its last velocity. State is plain lists, so that a stream can keep it. Tracks stand in
-    order of what they hold, not of their ids, so that equal scores are told apart alike wherever linking began.
+    order of what they hold, not of their ids, so that equal scores are told apart alike wherever linking began. Lost
+    tracks are measured only against the boxes that the active ones leave.
     """
 
     def __init__(self, state: list | None = None, next_id: int = 1):
@@ -42,36 +77,37 @@ class Linker:
 
     def frame(self, number: int, boxes: np.ndarray) -> list[int]:
         self.forget(number)
-        out = [0] * len(boxes)
-        if len(boxes) and self.tracks:
-            gap = np.array([number - t[1] for t in self.tracks])
-            old = np.array([t[2:6] for t in self.tracks], float)
-            old = old + np.array([[t[6], t[7], t[6], t[7]] for t in self.tracks]) * gap[:, None]
-            over = _iou(old, boxes)
-            centre = lambda x: (x[:, :2] + x[:, 2:]) / 2
-            apart = np.sqrt(((centre(old)[:, None] - centre(boxes)[None]) ** 2).sum(2)) / np.maximum(np.sqrt(((old[:, 2:] - old[:, :2]) ** 2).sum(1))[:, None], 1e-9)
-            active = (gap <= 1)[:, None]
-            stages = [(active & (over > SURE_IOU), over)]
-            for rows, (far, least, a, b) in ((active, ACTIVE), (~active, LOST)):
-                fits = (apart <= far) & (over >= least)
-                if rows is not active:
-                    fits = (over > LOST_IOU) | fits
-                stages.append((rows & fits, a * over + b * np.clip(1 - apart / far, 0, None)))
-            free_t, free_b = np.ones(len(old), bool), np.ones(len(boxes), bool)
-            for fits, score in stages:
-                i, j = np.nonzero(fits & free_t[:, None] & free_b[None])
-                for k in np.lexsort((j, i, -score[i, j])):
-                    if free_t[i[k]] and free_b[j[k]]:
-                        free_t[i[k]] = free_b[j[k]] = False
-                        t, box = self.tracks[i[k]], boxes[j[k]]
-                        steps = max(1, number - t[1])
-                        move = ((box[:2] + box[2:]) - (np.array(t[2:4]) + np.array(t[4:6]))) / 2 / steps
-                        self.tracks[i[k]] = [t[0], number, *box.tolist(), *move.tolist()]
-                        out[j[k]] = t[0]
+        boxes, out = boxes.tolist(), [0] * len(boxes)
+        taken: set[int] = set()
+
+        def take(pairs: list[tuple[float, int, int]]) -> None:
+            for _, i, j in sorted(pairs):
+                if i not in taken and not out[j]:
+                    t, box = self.tracks[i], boxes[j]
+                    steps = max(1, number - t[1])
+                    taken.add(i)
+                    out[j] = t[0]
+                    self.tracks[i] = [t[0], number, *box, ((box[0] + box[2]) - (t[2] + t[4])) / 2 / steps, ((box[1] + box[3]) - (t[3] + t[5])) / 2 / steps]
+
+        def fitting(at: list[int], rest: list[int], over: list, apart: list, rule: tuple, sure: float) -> list[tuple[float, int, int]]:
+            far, least, a, b = rule
+            return [(-(a * o + b * max(1 - d / far, 0.0)), i, j) for i, x, y in zip(at, over, apart, strict=True) for j, o, d in zip(rest, x, y, strict=True) if (d <= far and o >= least) or o > sure]
+
+        active = [i for i, t in enumerate(self.tracks) if number - t[1] <= 1]
+        lost = [i for i, t in enumerate(self.tracks) if number - t[1] > 1]
+        if active and boxes:
+            every = list(range(len(boxes)))
+            over, apart = measured([self.tracks[i] for i in active], number, boxes)
+            take([(-o, i, j) for i, x in zip(active, over, strict=True) for j, o in enumerate(x) if o > SURE_IOU])
+            take(fitting(active, every, over, apart, ACTIVE, float("inf")))
+        rest = [j for j, track in enumerate(out) if not track]
+        if lost and rest:
+            over, apart = measured([self.tracks[i] for i in lost], number, [boxes[j] for j in rest])
+            take(fitting(lost, rest, over, apart, LOST, LOST_IOU))
         for j, box in enumerate(boxes):
             if not out[j]:
                 out[j] = self.next_id
-                self.tracks.append([self.next_id, number, *box.tolist(), 0.0, 0.0])
+                self.tracks.append([self.next_id, number, *box, 0.0, 0.0])
                 self.next_id += 1
         return out
 
@@ -81,25 +117,28 @@ RANGE_FRAMES, WARM_FRAMES = 3000, 120
 _KEYS = ["_v", "_r"]
 
 
-def _link_range(number: int, frame: pd.DataFrame, order: str, size: int, given: list[list[float]] | None) -> tuple[list, Linker, list[list], int]:
-    """(frames with ids, linker, tracks at the start, ids used before it) of the range that begins at number * size."""
+def _link_range(number: int, frame: pd.DataFrame, order: str, size: int, given: list[list[float]] | None) -> tuple[pd.DataFrame, list[int], Linker, list[list], int]:
+    """(rows, their ids, linker, tracks at the start, ids used before it) of the range that begins at number * size."""
     begin = number * size
     linker = Linker() if given is None else Linker([[i + 1, int(c[0]), *c[1:]] for i, c in enumerate(given)], len(given) + 1)
-    start, before, out = None, 0, []
-    for at, part in frame.sort_values(["frame", order], kind="stable").groupby("frame", sort=True):
-        if at < begin and given is not None:
-            continue
-        if at >= begin and start is None:
+    rows = frame if given is None else frame[frame["frame"] >= begin]
+    rows = rows.sort_values(["frame", order], kind="stable")
+    frames, boxes = rows["frame"].to_numpy(np.int64), rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    first = int(np.searchsorted(frames, begin))
+    firsts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist()
+    start, before, ids = None, 0, []
+    for a, z in zip(firsts, [*firsts[1:], len(frames)], strict=True):
+        if a == first:
             linker.forget(begin)
             start, before = [list(t) for t in linker.tracks], linker.next_id - 1
-        ids = linker.frame(int(at), part[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        if at >= begin:
-            out.append((part, ids))
+        got = linker.frame(int(frames[a]), boxes[a:z])
+        if a >= first:
+            ids += got
     if start is None:
         linker.forget(begin)
         start, before = [list(t) for t in linker.tracks], linker.next_id - 1
     linker.forget(begin + size)
-    return out, linker, start, before
+    return rows.iloc[first:], ids, linker, start, before
 
 
 def link_detections(detections: DataFrame, key: str = "video", order: str = "box_id", size: int = RANGE_FRAMES, warm: int = WARM_FRAMES) -> DataFrame:
@@ -123,8 +162,8 @@ def link_detections(detections: DataFrame, key: str = "video", order: str = "box
     schema = T.StructType([T.StructField("_v", T.StringType()), T.StructField("_r", T.LongType()), T.StructField("_what", T.StringType()), T.StructField("_local", T.LongType()), T.StructField("_c", T.ArrayType(T.DoubleType())), *[T.StructField(c, kinds[c]) for c in cols]])
 
     def work(v: str, number: int, frame: pd.DataFrame, given: list[list[float]] | None) -> pd.DataFrame:
-        done, linker, start, before = _link_range(number, frame, order, size, given)
-        out = [part[cols].astype(object).assign(_what="box", _local=ids) for part, ids in done]
+        done, ids, linker, start, before = _link_range(number, frame, order, size, given)
+        out = [done[cols].astype(object).assign(_what="box", _local=ids)]
         told = [("start", t[0], [float(x) for x in t[1:]]) for t in start] + [("end", t[0], [float(x) for x in t[1:]]) for t in linker.tracks]
         told.append(("count", before, [float(linker.next_id - 1 - before)]))
         out.append(pd.DataFrame(told, columns=["_what", "_local", "_c"], dtype=object))
