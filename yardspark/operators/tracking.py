@@ -127,7 +127,7 @@ def _link_range(number: int, frame: pd.DataFrame, order: str, size: int, given:
     first = int(np.searchsorted(frames, begin))
     firsts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist()
     start, before, ids = None, 0, []
-    for a, z in zip(firsts, [*firsts[1:], len(frames)], strict=True):
+    for a, z in zip(firsts, [*firsts, len(frames)][1:], strict=True):
         if a == first:
             linker.forget(begin)
             start, before = [list(t) for t in linker.tracks], linker.next_id - 1
