@@ -98,12 +98,26 @@ def rates(metrics: DataFrame, seconds: int = 300, step_s: int = 60, late: str =
     return in_order(rows, [key], order, ["value"], "last double, steps array<long>, ups array<double>, values array<double>, shown long", "start timestamp, rate double, last_value double", on, end_of, late)
 
 
-def gps_join(frames: DataFrame, fixes: DataFrame, tolerance_s: int, late: str = "1 hour") -> DataFrame:
-    """Frames with each fix of their device within the tolerance (inclusive); the latest for a frame is what counts."""
-    f = frames.withWatermark("ts", late).select(F.col("device").alias("fd"), F.col("event_id").alias("event_id"), F.col("ts").alias("f_ts"))
-    g = fixes.withWatermark("ts", late).select(F.col("device"), F.col("event_id").alias("fix_id"), F.col("ts").alias("g_ts"))
-    near = F.expr(f"fd = device and g_ts >= f_ts - interval {tolerance_s} seconds and g_ts <= f_ts + interval {tolerance_s} seconds")
-    return f.join(g, near).select("event_id", "fix_id", "g_ts")
+def gps_join(frames: DataFrame, fixes: DataFrame, tolerance_s: int, late_s: int = 3600) -> DataFrame:
+    """(device, event_id, fix_id, g_ts): each frame (device, event_id, ts) with the latest fix (device, fix_id, ts) of its
+    device within the tolerance (inclusive), of equal times the greater fix; frames without one are left out.
+
+    A frame stands at the end of its tolerance, where the last fix before it is the one, if it is not too old. So state is
+    one fix a device, and no pairs are made, however dense the fixes are. Rows may be `late_s` seconds late.
+    """
+    width = tolerance_s * 1_000_000
+
+    def on(key, state, t: int, rows: list[tuple]):
+        here = [i for i, is_fix in rows if is_fix]
+        last = (t, max(here)) if here else state
+        if last is None:
+            return None, [], None
+        out = [(i, last[1], last[0]) for i, is_fix in rows if not is_fix and t - last[0] <= 2 * width]
+        return last, out, last[0] + 2 * width
+
+    both = frames.select("device", F.col("event_id").alias("id"), F.lit(False).alias("is_fix"), (F.col("ts") + F.expr(f"interval {tolerance_s} seconds")).alias("at"))
+    both = both.unionByName(fixes.select("device", F.col("fix_id").alias("id"), F.lit(True).alias("is_fix"), F.col("ts").alias("at")))
+    return in_order(both, ["device"], "id", ["is_fix"], "at long, fix long", "event_id long, fix_id long, g_ts timestamp", on, late=f"{late_s + tolerance_s} seconds", stamp="at")
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, required: tuple[str, ...] = ("id", "ts")) -> None:
