@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -17,6 +18,19 @@ from yardspark.sources.folders import shared_folder
 from yardspark.streaming.keyed import in_order
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A stream that starts within has its state in two parts for each core, at most as many as the session shuffles to:
+    in every batch each part costs files and a Python worker, also where it holds nothing."""
+    name = "spark.sql.shuffle.partitions"
+    held = spark.conf.get(name)
+    spark.conf.set(name, min(int(held), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """What a stream makes of the input there is, as a table under the shared folder: every batch is one Parquet
     folder of its own number, so that a batch that is run again overwrites itself; in complete mode the last one counts."""
@@ -28,7 +42,8 @@ def run_available(stream: DataFrame, mode: str = "append", checkpoint: str | Non
         batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
         seen.append(number)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}-state").trigger(availableNow=True).foreachBatch(each).start()
+    with state_partitions(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}-state").trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     numbers = sorted(set(seen))[-1:] if mode == "complete" else sorted(set(seen))
     if not numbers:
@@ -158,7 +173,9 @@ def assign(stream: DataFrame, place: Callable[[DataFrame], DataFrame], settle_s:
     def each(batch: DataFrame, n: int) -> None:
         place(batch.select(F.from_json("row", stream.schema, form).alias("r")).select("r.*")).write.mode("overwrite").parquet(f"{root}/placed/batch={n}")
 
-    chosen.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    with state_partitions(spark):
+        query = chosen.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
     return spark.read.parquet(f"{root}/placed").drop("batch")
 
 
