@@ -230,13 +230,14 @@ def tracks(detections: DataFrame, idle_s: int = 60, late: str = "10 seconds", st
 
     def on(key, state, t: int, rows: list[tuple]):
         flat, next_id = state or ([], 1)
-        linker = Linker([[int(x[0]), int(x[1]), *x[2:]] for x in np.array(list(flat), float).reshape(-1, 8).tolist()], next_id)
+        flat = [float(x) for x in flat]
+        linker = Linker([[int(flat[i]), int(flat[i + 1]), *flat[i + 2 : i + 8]] for i in range(0, len(flat), 8)], int(next_id))
         out = []
         for frame, part in groupby(sorted(rows, key=lambda r: (r[1], r[0])), key=lambda r: r[1]):
             boxes = list(part)
             ids = linker.frame(int(frame), np.array([b[2:6] for b in boxes], float))
             out += [(int(frame), int(b[0]), i) for b, i in zip(boxes, ids, strict=True)]
-        return ([float(x) for x in sum(linker.tracks, [])], linker.next_id), out, t + idle_s * 1_000_000
+        return ([float(x) for track in linker.tracks for x in track], linker.next_id), out, t + idle_s * 1_000_000
 
     rows = detections.withColumns({"video": F.col("video").cast("string"), "frame": F.col("frame").cast("long"), "box_id": F.col("box_id").cast("long")})
     return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF)
