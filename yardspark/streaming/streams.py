@@ -67,8 +67,9 @@ def chunks(events: DataFrame, length: str = "45 seconds", late: str = "1 minute"
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Visits of tracks: activity up to a gap."""
-    rows = events.filter("track_id is not null").withWatermark("ts", late)
+    """Visits of tracks: activity up to a gap. Rows without a track only move the watermark."""
+    # the condition names the event time too, or it would be moved in front of the watermark
+    rows = events.withWatermark("ts", late).filter(F.array_min(F.array(F.col("ts").isNotNull(), F.col("track_id").isNotNull())))
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "track_id").agg(F.count("*").alias("n")).select("track_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
