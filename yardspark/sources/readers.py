@@ -123,8 +123,11 @@ def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
 
     The split is the folder that holds the folder `labels`, or else the file's own folder.
     """
-    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/(?:labels/)?[^/]+$", 1)
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), folder.alias("split"), F.split(F.trim("value"), r"\s+").alias("p"))
+    near = lambda n: F.substring_index(F.substring_index("_metadata.file_path", "/", -n), "/", 1)
+    folder = F.when((near(2) == "labels") & (near(3) != ""), near(3)).otherwise(near(2))
+    # blanks of one kind are split without a pattern; exploding holds the parts, so that a line is split once for all columns
+    parts = F.array_remove(F.split(F.translate("value", "\t\n\x0b\f\r", "     "), " "), "")
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), folder.alias("split"), F.explode(F.array(parts)).alias("p"))
     rows = rows.filter((F.col("file") != "classes.txt") & (F.size("p") >= 5))
     return rows.select("file", "split", F.expr("try_cast(p[0] as int)").alias("cls"), *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 1)])
 
