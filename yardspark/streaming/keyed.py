@@ -5,9 +5,9 @@ order and the batches in which they came. State lasts until a time that the step
 it or turns it into another one, so that what a stream keeps does not grow with its history. A row whose time the
 watermark has passed when its batch begins is late and left out. The watermark begins at 1970, so times are later.
 
-Keys are dealt over a fixed number of groups, and a group has one timer. Waiting rows stand in state as one block of
-columns for each batch that brought some, so a batch costs a few calls of the state for each group that it touches, and
-not some for each row, key and timer.
+Keys are dealt over a fixed number of groups, and a group has one timer. Rows are packed into blocks of columns, by
+group, before they are dealt, and stand in state as these blocks, so a batch costs a few calls of the state for each
+group that it touches, and not some for each row, key and timer; nor does Spark hand rows to Python one by one.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,7 @@ def _forget(key: tuple, state: tuple, at: int) -> Outcome:
 #: Groups over which the keys are dealt; each holds the rows and the states of its keys.
 GROUPS = 256
 _GROUP = "key_group"
-#: Rows of a block of waiting rows.
+#: Rows of a block of waiting rows, at most, and rows that a task packs at once, about.
 _BLOCK = 200_000
 
 
@@ -53,18 +55,28 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        parts = [p.loc[p["event_us"] > passed, [*self.keys, *self.columns]] for p in rows]
-        new = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
-        if len(new):
-            self.waiting.appendList(_blocks(new))
-            self._wake(int(new["event_us"].min()))
+        new, firsts = [], []
+        for part in rows:
+            for first, block in zip(part["first_us"].tolist(), part["block"], strict=True):
+                if first > passed:
+                    new.append((bytes(block),))
+                    firsts.append(first)
+                    continue
+                table = _read(block)
+                table = table.filter(pc.greater(table["event_us"], passed))
+                if table.num_rows:
+                    new += _blocks(table)
+                    firsts.append(pc.min(table["event_us"]).as_py())
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(firsts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        blocks = [pa.ipc.open_stream(b).read_pandas() for (b,) in self.waiting.get()] if self.waiting.exists() else []
-        waiting = pd.concat(blocks, ignore_index=True) if blocks else None
+        blocks = [_read(b) for (b,) in self.waiting.get()] if self.waiting.exists() else []
+        waiting = pa.concat_tables(blocks) if blocks else None
         states = {}
         if self.held.exists():
             n = len(self.keys)
@@ -72,14 +84,14 @@ class InOrder(StatefulProcessor):
         out: list[tuple] = []
         later = []
         if waiting is not None:
-            due = waiting["event_us"] <= passed
-            rest = waiting[~due]
-            self._run(waiting[due], states, out)
-            if not len(rest):
+            due = pc.less_equal(waiting["event_us"], passed)
+            rest = waiting.filter(pc.invert(due))
+            self._run(waiting.filter(due).to_pandas(), states, out)
+            if not rest.num_rows:
                 self.waiting.clear()
             else:
-                later.append(int(rest["event_us"].min()))
-                if len(rest) < len(waiting) or len(blocks) > 1:
+                later.append(pc.min(rest["event_us"]).as_py())
+                if rest.num_rows < waiting.num_rows or len(blocks) > 1:
                     self.waiting.put(_blocks(rest))
         for k, (until, state) in list(states.items()):
             while state is not None and until is not None and until <= passed:
@@ -140,17 +152,45 @@ class InOrder(StatefulProcessor):
         return frame
 
 
-def _blocks(rows: pd.DataFrame) -> list[tuple]:
+def _read(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _blocks(rows: pa.Table) -> list[tuple]:
     """The rows as Arrow streams."""
     out = []
-    for start in range(0, len(rows), _BLOCK):
-        batch, sink = pa.RecordBatch.from_pandas(rows.iloc[start : start + _BLOCK], preserve_index=False), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as stream:
-            stream.write_batch(batch)
+    for start in range(0, rows.num_rows, _BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_table(rows.slice(start, _BLOCK).combine_chunks())
         out.append((sink.getvalue().to_pybytes(),))
     return out
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task, a bounded number at a time, as blocks of each group's rows with their earliest time."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows[_GROUP])).combine_chunks()
+        groups, counts = np.unique(rows[_GROUP].to_numpy(), return_counts=True)
+        rows, start, out = rows.drop_columns([_GROUP]), 0, []
+        for group, n in zip(groups.tolist(), counts.tolist(), strict=True):
+            part, start = rows.slice(start, n), start + n
+            out += [(group, pc.min(part["event_us"]).as_py(), block) for (block,) in _blocks(part)]
+        columns = list(zip(*out, strict=True))
+        return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], [_GROUP, "first_us", "block"])
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch] if batch.num_rows else held, n + batch.num_rows
+        if n >= _BLOCK:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
 def _plain(column: pd.Series) -> list:
     """Python values, None for what is missing."""
     return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
@@ -168,10 +208,10 @@ def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str],
     # one condition that names the event time: parts of it that do not would be moved in front of the watermark
     sound = [F.col(c).isNotNull() for c in (stamp, *keys)] + ([F.coalesce(only, F.lit(False))] if only is not None else [])
     rows = rows.filter(F.array_min(F.array(*sound)))
-    rows = rows.select(*keys, stamp, F.unix_micros(stamp).alias("event_us"), order, *fields)
-    rows = rows.withColumn(_GROUP, F.pmod(F.hash(*keys), F.lit(GROUPS)))
+    rows = rows.select(*keys, F.unix_micros(stamp).alias("event_us"), order, *fields, F.pmod(F.hash(*keys), F.lit(GROUPS)).alias(_GROUP))
     own = [rows.schema[k] for k in keys]
     held = T.StructType([*own, T.StructField("until", T.LongType()), *T._parse_datatype_string(state).fields])
     schema = T.StructType([*own, *T._parse_datatype_string(out).fields])
     worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire)
+    rows = rows.mapInArrow(_pack, f"{_GROUP} int, first_us long, block binary")
     return rows.groupBy(_GROUP).transformWithStateInPandas(worker, schema, "append", "EventTime")
