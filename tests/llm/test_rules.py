@@ -88,6 +88,25 @@ def test_jaccard_chunks_and_odd(spark, odd, monkeypatch):
     assert jaccard_join.near_components(empty(spark), 4, 85, 100).count() == 0
 
 
+def test_jaccard_lists_hold_sets_near_in_size_alone(spark, monkeypatch):
+    """op2_jaccard_join, disk: sets of one list that are too far apart in size are not carried on, nor token lists once indexed."""
+    seen, gone, put, drop = {}, [], jaccard_join.Staging.put, jaccard_join.Staging.drop
+
+    def kept(self, df, name):
+        out = put(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join.Staging, "put", kept)
+    monkeypatch.setattr(jaccard_join, "bucket_classes", lambda *_: np.zeros(1 << 16, np.uint8))
+    monkeypatch.setattr(jaccard_join.Staging, "drop", lambda self, *names: (gone.extend(names), drop(self, *names)))
+    # one common shingle in all, beside others: a short text, two of about the same size, and one much longer
+    texts = ["a b c d"] + ["a b c d " + " ".join(f"w{n}x{i}" for i in range(n)) for n in (20, 21, 300)]
+    rows = jaccard_join.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4, num=10, den=100).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert seen["shared"] == 2 and {"sets", "classes"} <= set(gone)
+
+
 def test_list_pairs_finds_every_link_of_a_list(spark):
     """Without any component known, each chunking of one list gives the same pairs."""
     rng = np.random.default_rng(0)

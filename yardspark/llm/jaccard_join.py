@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardspark.llm._components import components
@@ -120,6 +120,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str
     return rows.mapInArrow(run, "rep long, tokens array<long>").filter(F.size("tokens") > 0)
 
 
+def near_in_size(index: DataFrame, num: int, den: int) -> DataFrame:
+    """The index (rep, n, pos, tok) without sets that have no other of their list near in size; with each list's least and
+    greatest set (lead, last).
+
+    No link goes over a gap: where two sets that are next in size are too far apart, the list is cut in two.
+    """
+    by_size = Window.partitionBy("tok").orderBy("n")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    rows = index.withColumns({"begins": F.coalesce(den * before < num * F.col("n"), F.lit(True)), "ends": F.coalesce(den * F.col("n") < num * after, F.lit(True))})
+    rows = rows.filter(~(F.col("begins") & F.col("ends"))).withColumn("run", F.sum(F.col("begins").cast("int")).over(by_size))
+    run = Window.partitionBy("tok", "run")
+    rows = rows.withColumns({"lead": F.min("rep").over(run), "last": F.max("rep").over(run)}).filter(F.col("lead") < F.col("last"))
+    # two runs of one name would only be compared in vain
+    return rows.select("rep", "n", "pos", F.xxhash64("tok", "run").alias("tok"), "lead", "last")
+
+
 def may_link(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps allow the threshold."""
     a, b = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
@@ -255,10 +271,13 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     reps = stage.put(known.groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep")), "reps")
     firsts = known.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "h", "g"], "left_semi").dropDuplicates(["doc_id", "h", "g"])
     classes_ = stage.put(firsts.select(F.col("doc_id").alias("rep"), "n", "prefix", "bits"), "classes")
-    sketches = classes_.select("rep", "n", "bits")
+    # of what is kept on disk, the lists of tokens are the most: they go as soon as they are indexed
+    keys = stage.put(sets.select("doc_id", "n", "h", "g"), "keys")
+    stage.drop("sets")
+    sketches = stage.put(classes_.select("rep", "n", "bits"), "sketches")
     index = classes_.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
-    lists = index.groupBy("tok").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter(F.col("lead") < F.col("last"))
-    shared = stage.put(index.join(lists, "tok"), "shared")
+    shared = stage.put(near_in_size(index, num, den), "shared")
+    stage.drop("classes")
 
     # two leaders, the least and the greatest set of the list: who misses one is mostly linked with the other
     proposed = F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("last").alias("b"))))
@@ -288,7 +307,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # a link between two components joins what is joined already
     whole = stage.put(components(links.unionByName(more), stage, "whole"), "whole")
     named = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h", "g", F.coalesce("comp", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "h", "g").join(named, ["n", "h", "g"], "left")
+    out = keys.join(named, ["n", "h", "g"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
