@@ -31,14 +31,20 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ARRAY_PAIRS = 400
 
 
-def measured(tracks: list[list], number: int, boxes: list[list[float]]) -> tuple[list[list[float]], list[list[float]]]:
+def arrays(tracks: list[list], number: int, boxes: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
     """Overlap and distance (in the track's diagonals) of each track, moved on to the frame, with each box."""
+    t, box = np.array(tracks, float), np.array(boxes, float)
+    old = t[:, 2:6] + t[:, [6, 7, 6, 7]] * (number - t[:, 1])[:, None]
+    centre = lambda x: (x[:, :2] + x[:, 2:]) / 2
+    apart = np.sqrt(((centre(old)[:, None] - centre(box)[None]) ** 2).sum(2)) / np.maximum(np.sqrt(((old[:, 2:] - old[:, :2]) ** 2).sum(1))[:, None], 1e-9)
+    return _iou(old, box), apart
+
+
+def measured(tracks: list[list], number: int, boxes: list[list[float]]) -> tuple[list[list[float]], list[list[float]]]:
+    """All that `arrays` gives, as lists, few pairs one by one: what `fitting` chooses from."""
     if len(tracks) * len(boxes) > ARRAY_PAIRS:
-        t, box = np.array(tracks, float), np.array(boxes, float)
-        old = t[:, 2:6] + t[:, [6, 7, 6, 7]] * (number - t[:, 1])[:, None]
-        centre = lambda x: (x[:, :2] + x[:, 2:]) / 2
-        apart = np.sqrt(((centre(old)[:, None] - centre(box)[None]) ** 2).sum(2)) / np.maximum(np.sqrt(((old[:, 2:] - old[:, :2]) ** 2).sum(1))[:, None], 1e-9)
-        return _iou(old, box).tolist(), apart.tolist()
+        over, apart = arrays(tracks, number, boxes)
+        return over.tolist(), apart.tolist()
     over, apart = [], []
     known = [(x1, y1, x2, y2, (x2 - x1) * (y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2) for x1, y1, x2, y2 in boxes]
     for _, at, l, u, r, d, vx, vy in tracks:
@@ -59,56 +65,113 @@ def measured(tracks: list[list], number: int, boxes: list[list[float]]) -> tuple
     return over, apart
 
 
+def fitting(tracks: list[list], at: list[int], number: int, boxes: list[list[float]], rest: list[int], rule: tuple, sure: float) -> list[tuple[float, int, int, float]]:
+    """(score below zero, track, box, overlap) of the pairs of the tracks `at` and the boxes `rest` that the rule or the
+    sure overlap allows, as `measured` has it; pairs whose overlap is too small for both are not measured further."""
+    far, least, a, b = rule
+    if len(at) * len(rest) > ARRAY_PAIRS:
+        over, apart = arrays([tracks[i] for i in at], number, [boxes[j] for j in rest])
+        i, j = np.nonzero(((apart <= far) & (over >= least)) | (over > sure))
+        o = over[i, j]
+        score = -(a * o + b * np.maximum(1 - apart[i, j] / far, 0.0))
+        return list(zip(score.tolist(), np.array(at)[i].tolist(), np.array(rest)[j].tolist(), o.tolist(), strict=True))
+    known = [(j, x1, y1, x2, y2, (x2 - x1) * (y2 - y1), (x1 + x2) / 2, (y1 + y2) / 2) for j, (x1, y1, x2, y2) in [(j, boxes[j]) for j in rest]]
+    left, up, right, down = min(k[1] for k in known), min(k[2] for k in known), max(k[3] for k in known), max(k[4] for k in known)
+    enough, out = min(least, sure), []
+    for i in at:
+        _, seen, l, u, r, d, vx, vy = tracks[i]
+        gap = number - seen
+        l, r = l + vx * gap, r + vx * gap
+        if l >= right or r <= left:  # beside all boxes, as most tracks are that moved on for long
+            continue
+        u, d = u + vy * gap, d + vy * gap
+        if u >= down or d <= up:
+            continue
+        w, h = r - l, d - u
+        size, long = w * h, None
+        for j, x1, y1, x2, y2, other, bx, by in known:
+            iw = (r if r < x2 else x2) - (l if l > x1 else x1)
+            if iw <= 0:
+                continue
+            ih = (d if d < y2 else y2) - (u if u > y1 else y1)
+            if ih <= 0:
+                continue
+            inner = iw * ih
+            both = size + other - inner
+            o = inner / (1e-9 if both < 1e-9 else both)
+            if o >= enough:
+                if long is None:
+                    long, cx, cy = sqrt(w * w + h * h), (l + r) / 2, (u + d) / 2
+                    long = 1e-9 if long < 1e-9 else long
+                off = sqrt((cx - bx) * (cx - bx) + (cy - by) * (cy - by)) / long
+                if off <= far and o >= least or o > sure:
+                    near = 1 - off / far
+                    out.append((-(a * o + b * (near if near > 0.0 else 0.0)), i, j, o))
+    return out
+
+
+def _place(track: list) -> tuple:
+    return track[1:], track[0]
+
+
 class Linker:
     """Active tracks of one video: each frame's detections go to tracks at most once each, the best pairs first.
 
     A track's box moves on with its last velocity. State is plain lists, so that a stream can keep it. Tracks stand in
-    order of what they hold, not of their ids, so that equal scores are told apart alike wherever linking began. Lost
-    tracks are measured only against the boxes that the active ones leave.
+    order of what they hold, not of their ids, so that equal scores are told apart alike wherever linking began: the
+    frame comes first, so a later frame puts those that it changes behind the others, which stay in order. Lost tracks
+    are measured only against the boxes that the active ones leave.
     """
 
     def __init__(self, state: list | None = None, next_id: int = 1):
         self.tracks: list[list] = state or []  # [id, frame, x1, y1, x2, y2, vx, vy]
         self.next_id = next_id
+        self.last: int | None = None  # the last frame, where the tracks stand in order and none is of a later one
 
     def forget(self, number: int) -> None:
         """Drop the tracks that are lost for good at a frame."""
-        self.tracks = sorted((t for t in self.tracks if number - t[1] <= LOST_FRAMES + 1), key=lambda t: (t[1:], t[0]))
-
-    def frame(self, number: int, boxes: np.ndarray) -> list[int]:
-        self.forget(number)
-        boxes, out = boxes.tolist(), [0] * len(boxes)
-        taken: set[int] = set()
-
-        def take(pairs: list[tuple[float, int, int]]) -> None:
-            for _, i, j in sorted(pairs):
+        self.tracks = sorted((t for t in self.tracks if number - t[1] <= LOST_FRAMES + 1), key=_place)
+
+    def frame(self, number: int, boxes: list[list[float]] | np.ndarray) -> list[int]:
+        boxes = boxes.tolist() if isinstance(boxes, np.ndarray) else boxes
+        if self.last is None or self.last >= number:
+            self.forget(number)
+        tracks, n = self.tracks, len(self.tracks)
+        gone = 0
+        while gone < n and number - tracks[gone][1] > LOST_FRAMES + 1:
+            gone += 1
+        ordered = not n or tracks[-1][1] < number
+        first = n  # of the active tracks
+        while first > gone and number - tracks[first - 1][1] <= 1:
+            first -= 1
+        out, taken = [0] * len(boxes), {}
+
+        def take(pairs: list[tuple]) -> None:
+            pairs.sort()
+            for pair in pairs:
+                i, j = pair[1], pair[2]
                 if i not in taken and not out[j]:
-                    t, box = self.tracks[i], boxes[j]
+                    t, (l, u, r, d) = tracks[i], boxes[j]
                     steps = max(1, number - t[1])
-                    taken.add(i)
                     out[j] = t[0]
-                    self.tracks[i] = [t[0], number, *box, ((box[0] + box[2]) - (t[2] + t[4])) / 2 / steps, ((box[1] + box[3]) - (t[3] + t[5])) / 2 / steps]
-
-        def fitting(at: list[int], rest: list[int], over: list, apart: list, rule: tuple, sure: float) -> list[tuple[float, int, int]]:
-            far, least, a, b = rule
-            return [(-(a * o + b * max(1 - d / far, 0.0)), i, j) for i, x, y in zip(at, over, apart, strict=True) for j, o, d in zip(rest, x, y, strict=True) if (d <= far and o >= least) or o > sure]
-
-        active = [i for i, t in enumerate(self.tracks) if number - t[1] <= 1]
-        lost = [i for i, t in enumerate(self.tracks) if number - t[1] > 1]
-        if active and boxes:
-            every = list(range(len(boxes)))
-            over, apart = measured([self.tracks[i] for i in active], number, boxes)
-            take([(-o, i, j) for i, x in zip(active, over, strict=True) for j, o in enumerate(x) if o > SURE_IOU])
-            take(fitting(active, every, over, apart, ACTIVE, float("inf")))
+                    taken[i] = [t[0], number, l, u, r, d, ((l + r) - (t[2] + t[4])) / 2 / steps, ((u + d) - (t[3] + t[5])) / 2 / steps]
+
+        if first < n and boxes:
+            pairs = fitting(tracks, list(range(first, n)), number, boxes, list(range(len(boxes))), ACTIVE, SURE_IOU)
+            take([(-o, i, j) for _, i, j, o in pairs if o > SURE_IOU])
+            take([p for p in pairs if p[3] >= ACTIVE[1]])
         rest = [j for j, track in enumerate(out) if not track]
-        if lost and rest:
-            over, apart = measured([self.tracks[i] for i in lost], number, [boxes[j] for j in rest])
-            take(fitting(lost, rest, over, apart, LOST, LOST_IOU))
-        for j, box in enumerate(boxes):
+        if gone < first and rest:
+            take(fitting(tracks, list(range(gone, first)), number, boxes, rest, LOST, LOST_IOU))
+        new = list(taken.values())
+        for j in rest:
             if not out[j]:
                 out[j] = self.next_id
-                self.tracks.append([self.next_id, number, *box, 0.0, 0.0])
+                new.append([self.next_id, number, *boxes[j], 0.0, 0.0])
                 self.next_id += 1
+        new.sort(key=_place)
+        self.tracks = [tracks[i] for i in range(gone, n) if i not in taken] + new
+        self.last = number if ordered else None
         return out
 
 
@@ -123,7 +186,7 @@ def _link_range(number: int, frame: pd.DataFrame, order: str, size: int, given:
     linker = Linker() if given is None else Linker([[i + 1, int(c[0]), *c[1:]] for i, c in enumerate(given)], len(given) + 1)
     rows = frame if given is None else frame[frame["frame"] >= begin]
     rows = rows.sort_values(["frame", order], kind="stable")
-    frames, boxes = rows["frame"].to_numpy(np.int64), rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    frames, boxes = rows["frame"].to_numpy(np.int64), rows[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist()
     first = int(np.searchsorted(frames, begin))
     firsts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist()
     start, before, ids = None, 0, []

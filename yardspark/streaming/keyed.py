@@ -42,8 +42,8 @@ _BLOCK = 200_000
 class InOrder(StatefulProcessor):
     """step(key, state, t, rows) sees all rows of one time; expire(key, state, until) what is left when its time is over."""
 
-    def __init__(self, keys: list[str], columns: list[str], held: T.StructType, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome]):
-        self.keys, self.columns, self.kinds, self.out, self.step, self.expire = keys, columns, held, out, step, expire
+    def __init__(self, keys: list[str], columns: list[str], held: T.StructType, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome], pack: Callable[..., tuple] = tuple):
+        self.keys, self.columns, self.kinds, self.out, self.step, self.expire, self.pack = keys, columns, held, out, step, expire, pack
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -92,7 +92,7 @@ class InOrder(StatefulProcessor):
                 if until is not None:
                     later.append(until)
         if states:
-            self.held.put([(*k, until, *state) for k, (until, state) in states.items()])
+            self.held.put([(*k, until, *self.pack(state)) for k, (until, state) in states.items()])
         elif self.held.exists():
             self.held.clear()
         if later:
@@ -156,11 +156,12 @@ def _plain(column: pd.Series) -> list:
     return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
 
 
-def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str], state: str, out: str, step: Callable[..., Outcome], expire: Callable[..., Outcome] = _forget, late: str = "1 minute", stamp: str = "ts", only: Column | None = None) -> DataFrame:
+def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str], state: str, out: str, step: Callable[..., Outcome], expire: Callable[..., Outcome] = _forget, late: str = "1 minute", stamp: str = "ts", only: Column | None = None, pack: Callable[..., tuple] = tuple) -> DataFrame:
     """(keys, out): what step and expire make of the rows (order, fields) of each key in order of `stamp`, then `order`.
 
     state, out: columns of the state and of the output, such as "at long"; times in output of the kind timestamp are
-    given in microseconds. only: rows that count; others, such as a clock's, just move the watermark. Output comes when
+    given in microseconds. pack: the columns of a state that steps hand on in another form; a batch's first step and
+    an expiry may get either form. only: rows that count; others, such as a clock's, just move the watermark. Output comes when
     the watermark is past it, in append mode. Sets the session's state store to the one that has timers (RocksDB).
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
@@ -173,5 +174,5 @@ def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str],
     own = [rows.schema[k] for k in keys]
     held = T.StructType([*own, T.StructField("until", T.LongType()), *T._parse_datatype_string(state).fields])
     schema = T.StructType([*own, *T._parse_datatype_string(out).fields])
-    worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire)
+    worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire, pack)
     return rows.groupBy(_GROUP).transformWithStateInPandas(worker, schema, "append", "EventTime")

@@ -230,18 +230,23 @@ def tracks(detections: DataFrame, idle_s: int = 60, late: str = "10 seconds", st
     """
 
     def on(key, state, t: int, rows: list[tuple]):
-        flat, next_id = state or ([], 1)
-        flat = [float(x) for x in flat]
-        linker = Linker([[int(flat[i]), int(flat[i + 1]), *flat[i + 2 : i + 8]] for i in range(0, len(flat), 8)], int(next_id))
+        linker = state if isinstance(state, Linker) else opened(*state) if state else Linker()
         out = []
         for frame, part in groupby(sorted(rows, key=lambda r: (r[1], r[0])), key=lambda r: r[1]):
             boxes = list(part)
-            ids = linker.frame(int(frame), np.array([b[2:6] for b in boxes], float))
+            ids = linker.frame(int(frame), [b[2:6] if None not in b else [float("nan") if x is None else x for x in b[2:6]] for b in boxes])
             out += [(int(frame), int(b[0]), i) for b, i in zip(boxes, ids, strict=True)]
-        return ([float(x) for track in linker.tracks for x in track], linker.next_id), out, t + idle_s * 1_000_000
+        return linker, out, t + idle_s * 1_000_000
+
+    def opened(flat, next_id: int) -> Linker:
+        flat = [float(x) for x in flat]
+        return Linker([[int(flat[i]), int(flat[i + 1]), *flat[i + 2 : i + 8]] for i in range(0, len(flat), 8)], int(next_id))
+
+    def packed(linker: Linker) -> tuple:
+        return [float(x) for track in linker.tracks for x in track], linker.next_id
 
-    rows = detections.withColumns({"video": F.col("video").cast("string"), "frame": F.col("frame").cast("long"), "box_id": F.col("box_id").cast("long")})
-    return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF)
+    rows = detections.withColumns({"video": F.col("video").cast("string"), "frame": F.col("frame").cast("long"), "box_id": F.col("box_id").cast("long"), **{c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")}})
+    return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF, pack=packed)
 
 
 def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5, idle_s: int = 3600, late: str = "1 minute") -> DataFrame:
