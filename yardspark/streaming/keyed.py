@@ -15,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +42,14 @@ _BLOCK = 200_000
 
 
 class InOrder(StatefulProcessor):
-    """step(key, state, t, rows) sees all rows of one time; expire(key, state, until) what is left when its time is over."""
+    """step(key, state, t, rows) sees all rows of one time; expire(key, state, until) what is left when its time is over.
 
-    def __init__(self, keys: list[str], columns: list[str], held: T.StructType, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome], pack: Callable[..., tuple] = tuple):
-        self.keys, self.columns, self.kinds, self.out, self.step, self.expire, self.pack = keys, columns, held, out, step, expire, pack
+    A `whole` step(key, state, until, rows) sees all rows of a key that are due as a table in no order, with event_us, and
+    itself ends the state whose time is over; its output is a table as well.
+    """
+
+    def __init__(self, keys: list[str], columns: list[str], held: T.StructType, out: T.StructType, step: Callable[..., Outcome], expire: Callable[..., Outcome], whole: bool = False):
+        self.keys, self.columns, self.kinds, self.out, self.step, self.expire, self.whole = keys, columns, held, out, step, expire, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -53,13 +59,31 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.whole:
+            rows = self._unpacked(rows, passed)
         parts = [p.loc[p["event_us"] > passed, [*self.keys, *self.columns]] for p in rows]
+        if not parts:
+            return iter(())
         new = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
         if len(new):
             self.waiting.appendList(_blocks(new))
             self._wake(int(new["event_us"].min()))
         return iter(())
 
+    def _unpacked(self, packs: Iterator[pd.DataFrame], passed: int) -> Iterator[pd.DataFrame]:
+        """The rows of packs that hold late ones; the others wait as they are."""
+        sound, first = [], None
+        for p in packs:
+            for at, block in zip(p["first_us"].tolist(), p["block"], strict=True):
+                if at > passed:
+                    sound.append((bytes(block),))
+                    first = at if first is None else min(first, at)
+                else:
+                    yield pa.ipc.open_stream(block).read_pandas()
+        if sound:
+            self.waiting.appendList(sound)
+            self._wake(first)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
@@ -74,7 +98,10 @@ class InOrder(StatefulProcessor):
         if waiting is not None:
             due = waiting["event_us"] <= passed
             rest = waiting[~due]
-            self._run(waiting[due], states, out)
+            if self.whole:
+                yield from self._run_whole(waiting[due], states)
+            else:
+                self._run(waiting[due], states, out)
             if not len(rest):
                 self.waiting.clear()
             else:
@@ -92,7 +119,7 @@ class InOrder(StatefulProcessor):
                 if until is not None:
                     later.append(until)
         if states:
-            self.held.put([(*k, until, *self.pack(state)) for k, (until, state) in states.items()])
+            self.held.put([(*k, until, *state) for k, (until, state) in states.items()])
         elif self.held.exists():
             self.held.clear()
         if later:
@@ -122,6 +149,13 @@ class InOrder(StatefulProcessor):
             states[key] = (until, state)
             i = j
 
+    def _run_whole(self, due: pd.DataFrame, states: dict) -> Iterator[pd.DataFrame]:
+        for key, rows in due.groupby(self.keys, sort=False):
+            until, state = states.get(key, (None, None))
+            state, out, until = self.step(key, state, until, rows)
+            states[key] = (until, state)
+            yield out.assign(**dict(zip(self.keys, key, strict=True)))[self.out.names]
+
     def _wake(self, at: int) -> None:
         """The group's timer: the earliest time that was asked for."""
         at, old = -(-at // 1000), self.timer.get()[0] if self.timer.exists() else None
@@ -151,18 +185,45 @@ def _blocks(rows: pd.DataFrame) -> list[tuple]:
     return out
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task, a bounded number at a time, as blocks of each group's rows with their earliest time."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [(_GROUP, "ascending")])).combine_chunks()
+        groups, firsts = np.unique(rows[_GROUP].to_numpy(), return_index=True)
+        rows, out = rows.drop_columns([_GROUP]), []
+        for group, a, z in zip(groups.tolist(), firsts.tolist(), [*firsts.tolist(), len(rows)][1:], strict=True):
+            part, sink = rows.slice(a, z - a), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as stream:
+                stream.write_table(part)
+            out.append((group, pc.min(part["event_us"]).as_py(), sink.getvalue().to_pybytes()))
+        return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], [_GROUP, "first_us", "block"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= _BLOCK:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
 def _plain(column: pd.Series) -> list:
     """Python values, None for what is missing."""
     return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
 
 
-def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str], state: str, out: str, step: Callable[..., Outcome], expire: Callable[..., Outcome] = _forget, late: str = "1 minute", stamp: str = "ts", only: Column | None = None, pack: Callable[..., tuple] = tuple) -> DataFrame:
+def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str], state: str, out: str, step: Callable[..., Outcome], expire: Callable[..., Outcome] = _forget, late: str = "1 minute", stamp: str = "ts", only: Column | None = None, whole: bool = False) -> DataFrame:
     """(keys, out): what step and expire make of the rows (order, fields) of each key in order of `stamp`, then `order`.
 
     state, out: columns of the state and of the output, such as "at long"; times in output of the kind timestamp are
-    given in microseconds. pack: the columns of a state that steps hand on in another form; a batch's first step and
-    an expiry may get either form. only: rows that count; others, such as a clock's, just move the watermark. Output comes when
-    the watermark is past it, in append mode. Sets the session's state store to the one that has timers (RocksDB).
+    given in microseconds. whole: a step gets all rows of a key that are due, as a table. only: rows that count; others,
+    such as a clock's, just move the watermark. Output comes when the watermark is past it, in append mode. Sets the
+    session's state store to the one that has timers (RocksDB).
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     rows = stream.withWatermark(stamp, late)
@@ -174,5 +235,7 @@ def in_order(stream: DataFrame, keys: list[str], order: str, fields: list[str],
     own = [rows.schema[k] for k in keys]
     held = T.StructType([*own, T.StructField("until", T.LongType()), *T._parse_datatype_string(state).fields])
     schema = T.StructType([*own, *T._parse_datatype_string(out).fields])
-    worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire, pack)
+    worker = InOrder(keys, ["event_us", order, *fields], held, schema, step, expire, whole)
+    if whole:  # Spark hands rows to keyed state one by one, blocks of them as they are
+        rows = rows.select(_GROUP, *keys, "event_us", order, *fields).mapInArrow(_pack, f"{_GROUP} int, first_us long, block binary")
     return rows.groupBy(_GROUP).transformWithStateInPandas(worker, schema, "append", "EventTime")

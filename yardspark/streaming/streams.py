@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from yardspark.functions.text import nz
+from yardspark.operators.lanes import link_frames
 from yardspark.operators.tracking import LEAST_CONF, Linker
 from yardspark.sources.folders import shared_folder
 from yardspark.streaming.keyed import in_order
@@ -227,26 +227,33 @@ def tracks(detections: DataFrame, idle_s: int = 60, late: str = "10 seconds", st
     """link_detections with keyed state: (video, frame, box_id, track_id), each frame once the watermark is past its time.
 
     A video without frames for `idle_s` seconds is over and forgotten; if it comes back its tracks are numbered anew.
+    Frames that come due together are linked side by side, where they are many.
     """
 
-    def on(key, state, t: int, rows: list[tuple]):
-        linker = state if isinstance(state, Linker) else opened(*state) if state else Linker()
-        out = []
-        for frame, part in groupby(sorted(rows, key=lambda r: (r[1], r[0])), key=lambda r: r[1]):
-            boxes = list(part)
-            ids = linker.frame(int(frame), [b[2:6] if None not in b else [float("nan") if x is None else x for x in b[2:6]] for b in boxes])
-            out += [(int(frame), int(b[0]), i) for b, i in zip(boxes, ids, strict=True)]
-        return linker, out, t + idle_s * 1_000_000
+    idle = idle_s * 1_000_000
+
+    def on(key, state, until: int | None, rows: pd.DataFrame):
+        times, frames, box_ids = (rows[c].to_numpy(np.int64) for c in ("event_us", "frame", "box_id"))
+        order = np.lexsort((box_ids, frames, times))
+        times, frames, box_ids, boxes = times[order], frames[order], box_ids[order], rows[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
+        firsts = np.flatnonzero(np.append(True, (np.diff(times) != 0) | (np.diff(frames) != 0)))
+        over = np.flatnonzero(np.diff(times[firsts]) > idle) + 1
+        firsts = np.append(firsts, len(frames))
+        linker = opened(*state) if state and (until is None or until >= times[0]) else Linker()
+        ids = np.empty(len(frames), np.int64)
+        for n, (a, z) in enumerate(zip([0, *over], [*over, len(firsts) - 1], strict=True)):
+            linker = Linker() if n else linker
+            own = slice(firsts[a], firsts[z])
+            ids[own] = link_frames(linker, frames[firsts[a:z]], firsts[a : z + 1] - firsts[a], boxes[own])
+        flat = [float(x) for track in linker.tracks for x in track]
+        return (flat, linker.next_id), pd.DataFrame({"frame": frames, "box_id": box_ids, "track_id": ids}), int(times[-1]) + idle
 
     def opened(flat, next_id: int) -> Linker:
         flat = [float(x) for x in flat]
         return Linker([[int(flat[i]), int(flat[i + 1]), *flat[i + 2 : i + 8]] for i in range(0, len(flat), 8)], int(next_id))
 
-    def packed(linker: Linker) -> tuple:
-        return [float(x) for track in linker.tracks for x in track], linker.next_id
-
     rows = detections.withColumns({"video": F.col("video").cast("string"), "frame": F.col("frame").cast("long"), "box_id": F.col("box_id").cast("long"), **{c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")}})
-    return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF, pack=packed)
+    return in_order(rows, ["video"], "box_id", ["frame", "x1", "y1", "x2", "y2"], "flat array<double>, next_id long", "frame long, box_id long, track_id long", on, late=late, stamp=stamp, only=F.col("conf") >= LEAST_CONF, whole=True)
 
 
 def reading_cache(readings: DataFrame, stale: int = 30, often: int = 10, low: float = 0.5, idle_s: int = 3600, late: str = "1 minute") -> DataFrame:
